@@ -6,7 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hilbert, mixing, naming, neardup
+from . import dac, hilbert, mixing, naming, neardup, tokencount, warc
+
+
+def tokenizer_path(name: str) -> str:
+    """Where the installed package of public tokenizers keeps a vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,16 +28,28 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op4_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(_table(spark, sf_dir, "pages"))
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dac.token_ids(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op8_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return naming.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_hilbert_shards, op2_source_mix, op8_block_naming, op10_near_duplicates)
+    f.__name__: f for f in (op1_hilbert_shards, op2_source_mix, op4_warc_archives, op6_token_files, op8_block_naming, op9_token_counts, op10_near_duplicates)
 }
 
 ORACLE_SQL: dict[str, str] = {
