@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dac, hilbert, mixing, naming, neardup, tokencount, warc
+from . import dac, decontam, hilbert, mixing, mixlm, naming, neardup, tokencount, toxicity, warc
 
 
 def tokenizer_path(name: str) -> str:
@@ -28,14 +28,26 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.token_ids(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op7_mixing_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixlm.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op8_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return naming.exact_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -48,8 +60,18 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_hilbert_shards, op2_source_mix, op4_warc_archives, op6_token_files, op8_block_naming, op9_token_counts, op10_near_duplicates)
+    f.__name__: f
+    for f in (
+        op1_hilbert_shards, op2_source_mix, op3_toxicity, op4_warc_archives, op5_decontamination, op6_token_files,
+        op7_mixing_scores, op8_block_naming, op9_token_counts, op10_near_duplicates, pipeline,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -28,7 +28,7 @@ from .textkernel import HashTable, grouped, list_array, lower_ascii, slices, spa
 from .workspace import materialise
 
 MAX_LABELLED, FEATURES, VOTERS, BEGINNINGS = 20_000, 2048, 128, (4, 5, 6)
-EM_ROUNDS, FIT_ROUNDS, THRESHOLD = 5, 10, 0.3
+EM_ROUNDS, FIT_ROUNDS, THRESHOLD = 4, 12, 0.3
 _SOLID = np.array([c > 127 or chr(c).isalnum() for c in range(256)])
 
 
@@ -100,7 +100,7 @@ def _lexicon(sample: DataFrame, documents: DataFrame, features: int, voters: int
     if not bad or bad == all_:
         return np.zeros(0, dtype=np.uint64), np.zeros(0), share
     chance = float(np.log(max(tally.count(), 1)))  # so many nats the best of that many random features would gain
-    best = tally.withColumn("gain", gain).where(F.col("gain") * all_ >= chance).orderBy(F.desc("gain"), "h").limit(features).toArrow()
+    best = tally.withColumn("gain", gain).where((F.col("gain") * all_ >= chance) & (b * all_ > row * bad)).orderBy(F.desc("gain"), "h").limit(features).toArrow()
     h, bad_n, good_n = best.column("h").to_numpy().view(np.uint64), best.column("bad").to_numpy(), best.column("good").to_numpy()
     precision = (bad_n + share) / (bad_n + good_n + 1)
     strong = np.flatnonzero((bad_n >= 2) & (precision >= max(0.5, min(0.9, 3 * share))))[:voters]
@@ -109,19 +109,19 @@ def _lexicon(sample: DataFrame, documents: DataFrame, features: int, voters: int
     return h, votes, share
 
 
-def _sums(table: DataFrame, size: int, work: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
-    """Sum ``work(features, row of each, labels)``, an array of ``size`` numbers, over all documents."""
+def _sums(table: DataFrame, size: int, work: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], of: str = "toxic") -> np.ndarray:
+    """Sum ``work(features, row of each, column)``, an array of ``size`` numbers, over all documents; a null is -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
         for batch in batches:
             lists = batch.column("features")
             off = lists.offsets.to_numpy()
-            label = batch.column("toxic").fill_null(-1).to_numpy()
+            label = batch.column(of).fill_null(-1).to_numpy()
             total += work(lists.flatten().to_numpy(), np.repeat(np.arange(len(label)), np.diff(off)), label)
         yield pa.RecordBatch.from_arrays([list_array(total, np.array([0, size]), pa.float64())], ["v"])
 
-    rows = table.select("features", "toxic").mapInArrow(run, "v array<double>").select(F.posexplode("v").alias("at", "x"))
+    rows = table.select("features", of).mapInArrow(run, "v array<double>").select(F.posexplode("v").alias("at", "x"))
     out = np.zeros(size)
     for r in rows.groupBy("at").agg(F.sum("x").alias("x")).collect():  # ``size`` rows
         out[r.at] = r.x
@@ -133,84 +133,86 @@ def _logit(p: np.ndarray | float) -> np.ndarray | float:
     return np.log(p / (1 - p))
 
 
-def _posterior(f: np.ndarray, row: np.ndarray, label: np.ndarray, say: np.ndarray, bias: float, quiet: float) -> np.ndarray:
-    """Chance of "toxic" for each document; a sampled label is taken as it is."""
-    votes = say[f]
-    fired = np.bincount(row, weights=votes != 0, minlength=len(label)) > 0
-    logit = np.where(fired, bias + np.bincount(row, weights=votes, minlength=len(label)), quiet)
-    q = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-    return np.where(label >= 0, np.clip(label, 0.01, 0.99), q)
-
-
-def _label_model(table: DataFrame, precision: np.ndarray, share: float, rounds: int) -> tuple[np.ndarray, float, float]:
-    """Each feature's say in the posterior, the prior's log odds, and the log odds where no voter fires."""
-    n = len(precision)
+class LabelModel:
+    """Voters' accuracies and correlations, the prior, and the chance of "toxic" where no voter fires."""
+
+    def __init__(self, features: int, voter: np.ndarray, accuracy: np.ndarray, share: float):
+        self.index = np.full(features, -1)
+        self.index[voter] = np.arange(len(voter))
+        self.voters, self.accuracy, self.prior, self.quiet = voter, accuracy, share, min(share, 0.02)
+        self.correlation = np.eye(len(voter))
+
+    def firings(self, f: np.ndarray, row: np.ndarray, docs: int) -> Iterator[tuple[int, np.ndarray]]:
+        """The voters that fire, as a 0/1 matrix for some thousand documents at a time."""
+        on = self.index[f] >= 0
+        at, k = row[on], self.index[f[on]]
+        for a in range(0, docs, 4096):
+            lo, hi = np.searchsorted(at, [a, a + 4096])
+            x = np.zeros((min(4096, docs - a), len(self.voters)))
+            x[at[lo:hi] - a, k[lo:hi]] = 1
+            yield a, x
+
+    def posterior(self, f: np.ndarray, row: np.ndarray, label: np.ndarray) -> np.ndarray:
+        """Chance of "toxic" for each document.
+
+        The say of a voter is divided by its correlation with those that fire with
+        it; a sampled label is taken as it is.
+        """
+        q = np.zeros(len(label))
+        say = _logit(self.accuracy) - _logit(self.prior)
+        for a, x in self.firings(f, row, len(label)):
+            shared = np.maximum(x @ self.correlation, 1)
+            logit = np.where(x.any(axis=1), _logit(self.prior) + (x / shared) @ say, _logit(self.quiet))
+            q[a : a + len(x)] = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+        return np.where(label >= 0, np.clip(label, 0.01, 0.99), q)
+
+
+def _label_model(table: DataFrame, precision: np.ndarray, share: float, rounds: int) -> LabelModel:
     voter = np.flatnonzero(~np.isnan(precision))
-    index = np.full(n, -1)
-    index[voter] = np.arange(len(voter))
-    v = len(voter)
-    weight, accuracy, prior, quiet = np.ones(v), precision[voter], share, min(share, 0.02)
-
-    def say() -> np.ndarray:
-        out = np.zeros(n)
-        out[voter] = weight * (_logit(accuracy) - _logit(prior)) + 1e-12
-        return out
-
-    for step in range(rounds):
-        s, bias, calm = say(), float(_logit(prior)), float(_logit(quiet))
+    v, start = len(voter), precision[voter]
+    model = LabelModel(len(precision), voter, start, share)
+    for _ in range(rounds):
 
         def work(f, row, label):
-            q = _posterior(f, row, label, s, bias, calm)
-            k = index[f]
-            on = k >= 0
-            fired = np.bincount(row[on], minlength=len(label)) > 0
-            out = [np.bincount(k[on], weights=q[row[on]], minlength=v), np.bincount(k[on], minlength=v), [q.sum(), len(q), q[~fired].sum(), (~fired).sum()]]
-            return np.concatenate(out)
-
-        total = _sums(table, 2 * v + 4, work)
-        accuracy = (total[:v] + precision[voter]) / (total[v : 2 * v] + 1)
-        prior = (total[-4] + share) / (total[-3] + 1)
-        quiet = (total[-2] + 0.01) / (total[-1] + 1)
-        if step == 1 and v:  # joint firings within the toxic class give the correlations
-            s, bias, calm = say(), float(_logit(prior)), float(_logit(quiet))
-
-            def joint(f, row, label):
-                q = _posterior(f, row, label, s, bias, calm)
-                on = index[f] >= 0
-                both, out = (row[on], index[f[on]]), np.zeros((v, v))
-                for a in range(0, len(label), 4096):
-                    at = (both[0] >= a) & (both[0] < a + 4096)
-                    x = np.zeros((min(4096, len(label) - a), v))
-                    x[both[0][at] - a, both[1][at]] = 1
-                    out += (x * q[a : a + 4096, None]).T @ x
-                return np.concatenate((out.reshape(-1), [q.sum()]))
-
-            moments = _sums(table, v * v + 1, joint)
-            mean = moments[:-1].reshape(v, v) / max(moments[-1], 1e-9)
-            alone = np.diag(mean)
-            cov = mean - np.outer(alone, alone)
-            dev = np.sqrt(np.maximum(np.diag(cov), 1e-12))
-            correlation = np.clip(cov / np.outer(dev, dev), 0, 1)
-            np.fill_diagonal(correlation, 1)
-            weight = 1 / (correlation**2).sum(axis=1)
-    return say(), float(_logit(prior)), float(_logit(quiet))
-
-
-def _fit(table: DataFrame, say: np.ndarray, bias: float, quiet: float, rounds: int) -> tuple[np.ndarray, float]:
+            q = model.posterior(f, row, label)
+            single, joint, calm = np.zeros((2, v)), np.zeros((v, v)), np.zeros(2)
+            for a, x in model.firings(f, row, len(label)):
+                part = q[a : a + len(x)]
+                single += [part @ x, x.sum(axis=0)]
+                joint += (x * part[:, None]).T @ x
+                none = ~x.any(axis=1)
+                calm += [part[none].sum(), none.sum()]
+            return np.concatenate((single.reshape(-1), joint.reshape(-1), calm, [q.sum(), len(q)]))
+
+        total = _sums(table, 2 * v + v * v + 4, work)
+        toxic, docs = total[-2], total[-1]
+        model.accuracy = (total[:v] + start) / (total[v : 2 * v] + 1)
+        model.prior = (toxic + share) / (docs + 1)
+        model.quiet = (total[-4] + 0.01) / (total[-3] + 1)
+        joint = total[2 * v : -4].reshape(v, v) / max(toxic, 1e-9)  # joint firings within the toxic class
+        alone = np.diag(joint)
+        cov = joint - np.outer(alone, alone)
+        dev = np.sqrt(np.maximum(np.diag(cov), 1e-12))
+        model.correlation = np.clip(cov / np.outer(dev, dev), 0, 1)
+        np.fill_diagonal(model.correlation, 1)
+    return model
+
+
+def _fit(table: DataFrame, model: LabelModel, rounds: int) -> tuple[np.ndarray, float]:
     """Logistic regression on the posterior labels, from the label model's weights, by damped diagonal Newton steps."""
-    n = len(say)
-    w, b = say.copy(), quiet
+    n = len(model.index)
+    w, b = np.zeros(n), float(_logit(model.quiet))
+    w[model.voters] = (_logit(model.accuracy) - _logit(model.prior)) / model.correlation.sum(axis=1)
     for _ in range(rounds):
         w0, b0 = w.copy(), b
 
-        def work(f, row, label):
-            q = _posterior(f, row, label, say, bias, quiet)
-            p = 1 / (1 + np.exp(-np.clip(b0 + np.bincount(row, weights=w0[f], minlength=len(label)), -30, 30)))
-            size = np.bincount(row, minlength=len(label)) + 1  # bounds how far the features of a document can move together
+        def work(f, row, q):
+            p = 1 / (1 + np.exp(-np.clip(b0 + np.bincount(row, weights=w0[f], minlength=len(q)), -30, 30)))
+            size = np.bincount(row, minlength=len(q)) + 1  # bounds how far the features of a document can move together
             g, h = p - q, p * (1 - p) * size
             return np.concatenate((np.bincount(f, weights=g[row], minlength=n), [g.sum()], np.bincount(f, weights=h[row], minlength=n), [h.sum()]))
 
-        total = _sums(table, 2 * n + 2, work)
+        total = _sums(table, 2 * n + 2, work, "posterior")
         step = (total[: n + 1] + 0.01 * np.append(w0, 0)) / (total[n + 1 :] + 0.25)
         step = np.clip(step, -2, 2)
         w, b = w0 - step[:n], b0 - float(step[n])
@@ -238,8 +240,16 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame, max_labelled: int =
     known = docs.join(F.broadcast(sample), "doc_id", "left").select("doc_id", "held_out", "text", "toxic")
     table = materialise(known.mapInArrow(_present(shared), f"doc_id {kind}, held_out boolean, toxic long, features array<int>"), "features")
     if len(hashes):
-        say, bias, quiet = _label_model(table, precision, share, EM_ROUNDS)
-        w, b = _fit(table, say, bias, quiet, FIT_ROUNDS)
+        model = _label_model(table, precision, share, EM_ROUNDS)
+
+        def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                lists = batch.column("features")
+                row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+                q = model.posterior(lists.flatten().to_numpy(), row, batch.column("toxic").fill_null(-1).to_numpy())
+                yield pa.RecordBatch.from_arrays([lists, pa.array(q)], ["features", "posterior"])
+
+        w, b = _fit(materialise(table.select("features", "toxic").mapInArrow(label, "features array<int>, posterior double"), "posteriors"), model, FIT_ROUNDS)
     else:
         w, b = np.zeros(1), float(_logit(min(share, 0.05)))
 
