@@ -49,7 +49,7 @@ def pdb_atoms(lines: DataFrame, chain: Column | None = None) -> DataFrame:
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """file, pos, value: each line with its number, which a plain scan does not keep."""
-    whole = spark.read.option("wholetext", True).text(path).withColumn("file", F.col("_metadata.file_name"))
+    whole = spark.read.text(path, wholetext=True).withColumn("file", F.col("_metadata.file_name"))
     return whole.select("file", F.posexplode(F.split("value", "\r?\n")).alias("pos", "value"))
 
 
