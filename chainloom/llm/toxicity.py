@@ -1,9 +1,9 @@
 """Toxicity by weak supervision.
 
 1. A bounded sample of labelled rows (``MAX_LABELLED``) gives the lexicons: words
-   and word beginnings (patterns of 4, 5 and 6 bytes) whose presence says most
-   about the label.  The strongest become voters for "toxic"; a further voter says
-   "clean" where none of them fires.
+   and word beginnings (patterns of 4, 5 and 6 bytes) that stand for "toxic" in at
+   least three quarters of their rows and beyond what chance gives.  The strongest become
+   voters for "toxic"; a further voter says "clean" where none of them fires.
 2. A generative label model over all documents estimates by expectation
    maximisation how accurate each voter is, and from the voters' joint firings how
    correlated they are; a voter's say is divided by its correlation with the
@@ -28,7 +28,7 @@ from .textkernel import HashTable, grouped, list_array, lower_ascii, slices, spa
 from .workspace import materialise
 
 MAX_LABELLED, FEATURES, VOTERS, BEGINNINGS = 20_000, 2048, 128, (4, 5, 6)
-EM_ROUNDS, FIT_ROUNDS, THRESHOLD = 4, 12, 0.3
+EM_ROUNDS, FIT_ROUNDS, THRESHOLD, LEAST_PRECISION = 4, 20, 0.3, 0.75
 _SOLID = np.array([c > 127 or chr(c).isalnum() for c in range(256)])
 
 
@@ -100,12 +100,11 @@ def _lexicon(sample: DataFrame, documents: DataFrame, features: int, voters: int
     if not bad or bad == all_:
         return np.zeros(0, dtype=np.uint64), np.zeros(0), share
     chance = float(np.log(max(tally.count(), 1)))  # so many nats the best of that many random features would gain
-    best = tally.withColumn("gain", gain).where((F.col("gain") * all_ >= chance) & (b * all_ > row * bad)).orderBy(F.desc("gain"), "h").limit(features).toArrow()
+    best = tally.withColumn("gain", gain).where((F.col("gain") * all_ >= chance) & ((b + share) / (row + 1) >= LEAST_PRECISION)).orderBy(F.desc("gain"), "h").limit(features).toArrow()
     h, bad_n, good_n = best.column("h").to_numpy().view(np.uint64), best.column("bad").to_numpy(), best.column("good").to_numpy()
     precision = (bad_n + share) / (bad_n + good_n + 1)
-    strong = np.flatnonzero((bad_n >= 2) & (precision >= max(0.5, min(0.9, 3 * share))))[:voters]
     votes = np.full(len(h), np.nan)
-    votes[strong] = precision[strong]
+    votes[:voters] = precision[:voters]
     return h, votes, share
 
 
@@ -199,24 +198,29 @@ def _label_model(table: DataFrame, precision: np.ndarray, share: float, rounds:
 
 
 def _fit(table: DataFrame, model: LabelModel, rounds: int) -> tuple[np.ndarray, float]:
-    """Logistic regression on the posterior labels, from the label model's weights, by damped diagonal Newton steps."""
+    """Logistic regression on the posterior labels, from the label model's weights.
+
+    Each round minimises a separable bound of the loss: the curvature is at most a
+    quarter, and a document's features share it, so no round overshoots.
+    """
     n = len(model.index)
     w, b = np.zeros(n), float(_logit(model.quiet))
-    w[model.voters] = (_logit(model.accuracy) - _logit(model.prior)) / model.correlation.sum(axis=1)
+    w[model.voters] = _logit(model.accuracy) - _logit(model.prior)
+    here, before, pace = np.append(w, b), np.append(w, b), 1.0
     for _ in range(rounds):
-        w0, b0 = w.copy(), b
+        w0, b0 = here[:n], float(here[n])
 
         def work(f, row, q):
             p = 1 / (1 + np.exp(-np.clip(b0 + np.bincount(row, weights=w0[f], minlength=len(q)), -30, 30)))
             size = np.bincount(row, minlength=len(q)) + 1  # bounds how far the features of a document can move together
-            g, h = p - q, p * (1 - p) * size
+            g, h = p - q, 0.25 * size
             return np.concatenate((np.bincount(f, weights=g[row], minlength=n), [g.sum()], np.bincount(f, weights=h[row], minlength=n), [h.sum()]))
 
         total = _sums(table, 2 * n + 2, work, "posterior")
-        step = (total[: n + 1] + 0.01 * np.append(w0, 0)) / (total[n + 1 :] + 0.25)
-        step = np.clip(step, -2, 2)
-        w, b = w0 - step[:n], b0 - float(step[n])
-    return w, b
+        after = here - (total[: n + 1] + 0.01 * np.append(w0, 0)) / (total[n + 1 :] + 0.01)
+        faster = (1 + np.sqrt(1 + 4 * pace * pace)) / 2  # Nesterov's momentum
+        here, before, pace = after + (pace - 1) / faster * (after - before), after, faster
+    return before[:n], float(before[n])
 
 
 def toxicity_scores(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, features: int = FEATURES, voters: int = VOTERS) -> DataFrame:
