@@ -59,8 +59,8 @@ def hamming_blocks(fp: Column, radius: int = RADIUS) -> Column:
 
 
 def _items(benchmark: DataFrame, width: int) -> DataFrame:
-    """item_id, size (words), k (words in a shingle), m (shingles) and words; items without words are left out."""
-    items = benchmark.select("item_id", word_hashes(F.col("text").cast("string")).alias("words")).withColumn("size", F.size("words")).where("size > 0")
+    """item_id, size (words), k (words in a shingle), m (shingles) and words; items without words or item_id are left out."""
+    items = benchmark.select("item_id", word_hashes(F.col("text").cast("string")).alias("words")).withColumn("size", F.size("words")).where("size > 0 AND item_id IS NOT NULL")
     items = items.withColumn("k", F.least(F.col("size"), F.lit(width))).withColumn("m", F.col("size") - F.col("k") + 1)
     return items.dropDuplicates(["item_id"])
 
@@ -81,7 +81,8 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH,
     document shorter than the item is one window.  Items with fewer than ``width``
     words are one shingle.  Null and empty texts and items match nothing; rows that
     repeat a doc_id give the best of their windows; rows without doc_id are found
-    too, under a null doc_id; of items that repeat an item_id one stays.  Extra
+    too, under a null doc_id; items without item_id are left out, and of items that
+    repeat an item_id one stays.  Extra
     columns are not read.  An empty table gives an empty result.
     """
     items = materialise(_items(benchmark, width), "items")
