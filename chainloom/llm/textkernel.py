@@ -126,40 +126,47 @@ def list_array(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
 
 
-class HashTable:
-    """A read-only open-addressing map from 64-bit hashes to row numbers, probed by whole arrays."""
+class GrowingTable:
+    """An open-addressing map from 64-bit hashes to row numbers in order of addition, probed by whole arrays."""
 
-    def __init__(self, keys: np.ndarray):
-        keys = np.asarray(keys, dtype=np.uint64)
-        self.bits = max(4, int(np.ceil(np.log2(max(len(keys), 1) * 2.5))))
+    def __init__(self, limit: int):
+        self.bits = max(4, int(np.ceil(np.log2(max(limit, 1) * 1.7))))
         self.slots = np.full(1 << self.bits, -1, dtype=np.int32)
-        self.keys = keys
-        todo, at = np.arange(len(keys), dtype=np.int32), self._home(keys)
+        self.keys, self.used = np.zeros(max(limit, 1), dtype=np.uint64), 0
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * _ODD) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def add(self, keys: np.ndarray) -> np.ndarray:
+        """Row numbers of keys that the table lacks; they must differ."""
+        rows = np.arange(self.used, self.used + len(keys), dtype=np.int32)
+        self.keys[rows] = keys
+        self.used += len(keys)
+        todo, at = rows, self._home(keys)
         while len(todo):
             free = self.slots[at] < 0
             self.slots[at[free]] = todo[free]
             lost = self.slots[at] != todo
             todo, at = todo[lost], (at[lost] + 1) & ((1 << self.bits) - 1)
-
-    def _home(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * _ODD) >> np.uint64(64 - self.bits)).astype(np.int64)
+        return rows
 
     def find(self, wanted: np.ndarray) -> np.ndarray:
         """Row numbers, -1 where absent."""
         found = np.full(len(wanted), -1, dtype=np.int32)
-        if not len(self.keys):
-            return found
         at = self._home(wanted)
-        row = self.slots[at]
-        hit = (row >= 0) & (self.keys[row] == wanted)
-        found[hit] = row[hit]
-        left = np.flatnonzero((row >= 0) & ~hit)
-        at = at[left]
+        left = np.arange(len(wanted))
         while len(left):
-            at = (at + 1) & ((1 << self.bits) - 1)
             row = self.slots[at]
             hit = (row >= 0) & (self.keys[row] == wanted[left])
             found[left[hit]] = row[hit]
             more = (row >= 0) & ~hit
-            left, at = left[more], at[more]
+            left, at = left[more], (at[more] + 1) & ((1 << self.bits) - 1)
         return found
+
+
+class HashTable(GrowingTable):
+    """The same with all its keys from the start."""
+
+    def __init__(self, keys: np.ndarray):
+        super().__init__(len(keys))
+        self.add(np.asarray(keys, dtype=np.uint64))

@@ -10,6 +10,8 @@ from collections.abc import Callable
 
 import numpy as np
 
+from .textkernel import GrowingTable
+
 #: Last bytes of the white space characters beyond ASCII, by the bytes before them.
 _WIDE_SPACE = {(0xC2,): (0x85, 0xA0), (0xE1, 0x9A): (0x80,), (0xE2, 0x80): (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF), (0xE2, 0x81): (0x9F,), (0xE3, 0x80): (0x80,)}
 
@@ -84,43 +86,44 @@ def piece_units(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class UnitCache:
-    """Codes of units by 64-bit hash, in one growing pool; it starts anew when full, so its memory is bounded."""
+    """Codes of units by 64-bit hash, in one growing pool; it starts anew when full, so its memory is bounded.
+
+    A unit takes about 30 bytes and its codes.
+    """
 
     def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int = 1_000_000):
         self.encode, self.limit = encode, limit
         self._reset()
 
     def _reset(self) -> None:
-        self.index: dict[int, int] = {}
-        self.first, self.size = np.zeros(1 << 12, dtype=np.int64), np.zeros(1 << 12, dtype=np.int32)
+        self.table = GrowingTable(self.limit)
+        self.first, self.size = np.zeros(self.limit, dtype=np.int32), np.zeros(self.limit, dtype=np.int32)
         self.pool, self.used = np.zeros(1 << 14, dtype=np.int32), 0
 
-    @staticmethod
-    def _room(array: np.ndarray, need: int) -> np.ndarray:
-        return array if need <= len(array) else np.concatenate((array, np.zeros(max(need, len(array) * 2) - len(array), dtype=array.dtype)))
-
     def look_up(self, hashes: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First pool position and number of codes of each unit."""
-        unique, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.index) + len(unique) > self.limit:
-            self._reset()
-        keys = unique.tolist()
-        get = self.index.get
-        slot = np.fromiter((get(k, -1) for k in keys), dtype=np.int64, count=len(keys))
-        new = np.flatnonzero(slot < 0)
-        if len(new):
-            s, e = starts[where[new]].tolist(), ends[where[new]].tolist()
+        slot = self.table.find(hashes)
+        miss = np.flatnonzero(slot < 0)
+        if len(miss):
+            unique, where, inverse = np.unique(hashes[miss], return_index=True, return_inverse=True)
+            if self.table.used + len(unique) > self.limit:
+                if len(unique) > self.limit:
+                    self.limit = len(unique)
+                self._reset()
+                return self.look_up(hashes, raw, starts, ends)
+            s, e = starts[miss[where]].tolist(), ends[miss[where]].tolist()
             codes, sizes = self.encode([raw[a:b] for a, b in zip(s, e)])
-            have = len(self.index)
-            self.first, self.size = self._room(self.first, have + len(new)), self._room(self.size, have + len(new))
-            self.pool = self._room(self.pool, self.used + len(codes))
+            if self.used + len(codes) > len(self.pool):
+                grown = np.zeros(max(self.used + len(codes), len(self.pool) * 3 // 2), dtype=np.int32)
+                grown[: self.used] = self.pool[: self.used]
+                self.pool = grown
             self.pool[self.used : self.used + len(codes)] = codes
-            self.size[have : have + len(new)] = sizes
-            self.first[have : have + len(new)] = self.used + np.cumsum(sizes) - sizes
+            rows = self.table.add(unique)
+            self.size[rows] = sizes
+            self.first[rows] = self.used + np.cumsum(sizes) - sizes
             self.used += len(codes)
-            slot[new] = np.arange(have, have + len(new))
-            self.index.update(zip(unique[new].tolist(), range(have, have + len(new))))
-        return self.first[slot][inverse], self.size[slot][inverse]
+            slot[miss] = rows[inverse]
+        return self.first[slot].astype(np.int64), self.size[slot]
 
 
 def spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
