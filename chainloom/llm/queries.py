@@ -75,6 +75,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_source_mix": r"""
+        WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM d GROUP BY source),
+        f AS (SELECT *, sum(n) OVER () AS total, sum(w) OVER () - sum(w) OVER o + w AS rest, sum(n) OVER () - sum(3 * n) OVER o + 3 * n AS remains
+              FROM s WINDOW o AS (ORDER BY 3 * n / w, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+        g AS (SELECT *, 3 * n * rest <= remains * w AS whole FROM f),
+        t AS (SELECT source, n, total, CASE WHEN whole THEN CAST(3 * n AS DOUBLE)
+                ELSE (SELECT arg_max(CAST(remains AS DOUBLE) / CAST(rest AS DOUBLE), rest) FROM g WHERE NOT whole) * w END AS target FROM g),
+        seats AS (SELECT source, row_number() OVER (ORDER BY target / (2 * k - 1) DESC, source NULLS LAST, k) AS r
+                  FROM t, range(1, CAST((SELECT max(total) FROM t) / 32 + 50 AS BIGINT)) AS k(k) WHERE target > 0 AND k <= target / 32 + 40),
+        q AS (SELECT source, count(*) AS blocks FROM seats WHERE r <= (SELECT floor(max(total) / 32 + 0.5) FROM t) GROUP BY source),
+        p AS (SELECT t.source, n, target, least(coalesce(blocks, 0) * 32, 3 * n) AS words FROM t LEFT JOIN q ON t.source IS NOT DISTINCT FROM q.source),
+        o AS (SELECT d.*, n, target, CASE WHEN n > 0 THEN words // n ELSE 0 END AS passes, CASE WHEN n > 0 THEN words % n ELSE 0 END AS part,
+                coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5('mix-1:' || CAST(doc_id AS VARCHAR)), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+              FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
+        SELECT doc_id, size, n AS source_size, target, CAST(passes * size + greatest(least(start + size, part) - start, 0) AS BIGINT) AS taken, source FROM o
+    """,
+    "op4_warc_archives": """
+        WITH h AS (SELECT page_id, coalesce(html, '') AS t FROM pages), b AS (SELECT page_id, strlen(t) AS n, sha1(t) AS x, max(page_id) OVER (PARTITION BY t) AS best FROM h),
+        c AS (SELECT page_id, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST('0x' || substr(x, CAST(1 + 5 * (i // 4) AS BIGINT), 5) AS INTEGER) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31) AS BIGINT), 1), '' ORDER BY i) AS code
+              FROM b, range(0, 32) AS r(i) GROUP BY page_id)
+        SELECT page_id, n AS payload_bytes, code AS payload_digest, CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
+          CASE WHEN page_id <> best THEN best END AS refers_to FROM b JOIN c USING (page_id)
+    """,
     "op8_block_naming": """
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256
         FROM (SELECT doc_id, t, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size
