@@ -61,3 +61,11 @@ def standardize(df: DataFrame, columns: list[str]) -> DataFrame:
     out = df.crossJoin(F.broadcast(stat))
     out = out.withColumns({c: F.when(F.col(f"_s_{c}") > 0, (F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}")).otherwise(0.0) for c in columns})
     return out.drop(*stat.columns)
+
+
+def prepare(df: DataFrame, id_: str, label: str, numeric: list[str], texts: list[str], share: float = 0.8, seed: int = 0) -> DataFrame:
+    """Ready for a classifier: a balanced sample, coded labels and text columns, standardised numbers, and a part for each row."""
+    out = balanced_sample(df.select(id_, label, *numeric, *texts), id_, label, seed)
+    for c in [label, *texts]:
+        out = label_encode(out, c, f"{c}_code")
+    return split_exact(standardize(out, numeric), id_, share, seed)

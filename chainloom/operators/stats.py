@@ -107,3 +107,21 @@ def kernel_density(df: DataFrame, value: str, points: int = 50, keys: list[str]
     z = (F.col("x") - F.col("_x")) / F.col("_h")
     weight = F.sum(F.col("_m") * F.exp(-z * z / 2))
     return grid.groupBy(*own, "i", "x").agg(weight.alias("_w")).select(*keys, "i", "x", (F.col("_w") / (F.col("_n") * F.col("_h") * 2.5066282746310002)).alias("density"))
+
+
+def leaf_and_pair_composition(df: DataFrame, items: str, size: int = 4) -> DataFrame:
+    """kind, item, count and frequency: the items of each window, and its adjacent pairs in alphabetical order."""
+    at = [F.col(items)[k] for k in range(size)]
+    leaves = [F.struct(F.lit("leaf").alias("kind"), x.alias("item")) for x in at]
+    pairs = [F.struct(F.lit("pair").alias("kind"), F.concat(F.least(a, b), F.greatest(a, b)).alias("item")) for a, b in zip(at, at[1:])]
+    counted = df.select(F.explode(F.array(*leaves, *pairs)).alias("s")).groupBy("s.kind", "s.item").agg(F.count(F.lit(1)).alias("count"))
+    return counted.withColumn("frequency", F.col("count") / F.sum("count").over(Window.partitionBy("kind")))
+
+
+def balanced_sweep(df: DataFrame, id_: str, label: str, positive: str, value: str, low: int, high: int, step: float, seed: int = 0) -> DataFrame:
+    """The threshold sweep over all rows and over a balanced sample, told apart by ``dataset``."""
+    from .sampling import balanced_sample
+
+    sets = {"all": df, "balanced": balanced_sample(df, id_, label, seed)}
+    runs = [threshold_sweep(d, value, F.col(label) == positive, low, high, step).withColumn("dataset", F.lit(n)) for n, d in sets.items()]
+    return runs[0].unionByName(runs[1])

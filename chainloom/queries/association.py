@@ -267,3 +267,32 @@ def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def kde_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.kernel_density(residue(spark, sf_dir), "value", 50, ["state"])
+
+
+def _pairs_sql(where: str) -> str:
+    return f"""WITH {FOUR_SQL}, s AS (SELECT families AS f FROM four WHERE pos4 IS NOT NULL{where}),
+    i AS (SELECT 'leaf' AS kind, unnest(f) AS item FROM s UNION ALL SELECT 'pair', least(f[k], f[k + 1]) || greatest(f[k], f[k + 1]) FROM s, range(1, 4) AS r(k)),
+    c AS (SELECT kind, item, count(*) AS count FROM i GROUP BY kind, item)
+    SELECT kind, item, count, round(count * 1.0 / sum(count) OVER (PARTITION BY kind), 9) AS frequency FROM c"""
+
+
+@query(_pairs_sql(""))
+def leaf_pair_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = stats.leaf_and_pair_composition(four(spark, sf_dir), "families")
+    return out.select("kind", "item", "count", _r(F.col("frequency"), "frequency", 9))
+
+
+@query(_pairs_sql(" AND value <= 40"))
+def leaf_pair_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = stats.leaf_and_pair_composition(four(spark, sf_dir).where("value <= 40"), "families")
+    return out.select("kind", "item", "count", _r(F.col("frequency"), "frequency", 9))
+
+
+@query(f"""WITH {RESIDUE_SQL}, v AS (SELECT event_id, value, CASE WHEN state = 'purchase' THEN 'yes' ELSE 'no' END AS label FROM residue),
+    p AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(event_id AS VARCHAR) || ':0'), event_id) AS k FROM v), n AS (SELECT min(c) AS m FROM (SELECT count(*) AS c FROM v GROUP BY label)),
+    d AS (SELECT 'all' AS dataset, value, label FROM v UNION ALL SELECT 'balanced', value, label FROM p, n WHERE k <= m), j AS (SELECT CAST(range AS INTEGER) AS j FROM range(0, 20))
+    SELECT dataset, j, CAST(j * 10.0 AS DOUBLE) AS boundary, round(avg(CASE WHEN (value > j * 10.0) = (label = 'yes') THEN 1.0 ELSE 0.0 END), 9) AS accuracy FROM d, j WHERE value IS NOT NULL GROUP BY dataset, j""")
+def balanced_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = residue(spark, sf_dir).select("event_id", "value", F.when(F.col("state") == "purchase", "yes").otherwise("no").alias("label"))
+    out = stats.balanced_sweep(rows, "event_id", "label", "yes", "value", 0, 20, 10.0)
+    return out.select("dataset", "j", "boundary", _r(F.col("accuracy"), "accuracy", 9))

@@ -177,3 +177,8 @@ def perm_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def point_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.ranked(point(spark, sf_dir), "vec_id", 7, ["chain"]).where("place <= 10").select("chain", "vec_id", "place")
+
+
+@query()
+def prepared_training_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.prepare(residue(spark, sf_dir).where("value IS NOT NULL"), "event_id", "state", ["value"], ["leaf"])

@@ -14,6 +14,24 @@ class NucleotideClient(Protocol):
     def fetch(self, accession: str, start: int, end: int) -> str: ...
 
 
+class HomologyClient(Protocol):
+    def search(self, sequence: str) -> list[tuple[str, float, int, int]]:
+        """title, expect, align_len and identities of each hit, best first."""
+
+
+def search_hits(chains: DataFrame, client: Callable[[], HomologyClient], limit: float = 0.1) -> DataFrame:
+    """chain_id, hit, title, expect, align_len, identities of the significant hits of rows (chain_id, seq)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        service = client()
+        for pdf in batches:
+            rows = [(c, k, *hit) for c, s in zip(pdf["chain_id"], pdf["seq"]) for k, hit in enumerate(service.search(s))]
+            yield pd.DataFrame(rows, columns=["chain_id", "hit", "title", "expect", "align_len", "identities"])
+
+    found = chains.select("chain_id", "seq").mapInPandas(run, "chain_id string, hit int, title string, expect double, align_len int, identities int")
+    return significant(found, "expect", limit)
+
+
 def fetch_ranges(wanted: DataFrame, client: Callable[[], NucleotideClient]) -> DataFrame:
     """Add ``nt`` to rows (acc, s_start, s_end); each task makes one client, which keeps to its service's rate."""
 
