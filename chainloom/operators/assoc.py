@@ -37,10 +37,11 @@ def set_log_likelihood(df: DataFrame, items: str, size: int = 4, metrics: tuple[
     """log10 of a set's frequency over what its items' frequencies give for all its orders.
 
     One aggregate counts the sets, with the means of ``metrics``; the items' counts
-    come from those counted sets, so the input is aggregated once for both.  The
+    come from those counted sets, which are kept, so the input is read once for both.  The
     item table has one row for each distinct item; Spark broadcasts it if it is small.
     """
     counted = df.groupBy(items).agg(F.count(F.lit(1)).alias("count"), *[F.avg(m).alias(f"avg_{m}") for m in metrics])
+    counted = counted.persist()  # read once for the sets and again for their items; one row a distinct set
     places = counted.select(F.explode(items).alias("item"), "count").groupBy("item").agg(F.sum("count").alias("n"))
     whole = places.agg(F.sum("n").alias("_places"))
     rows = counted.crossJoin(F.broadcast(whole)).withColumn("frequency", F.col("count") * size / F.col("_places"))
