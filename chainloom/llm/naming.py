@@ -143,6 +143,7 @@ def exact_duplicates(documents: DataFrame, block_bytes: int = BLOCK_BYTES, hash_
     """
     named = materialise(name_documents(documents, block_bytes, hash_bits), "names")
     groups = named.groupBy("n_blocks", "name").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = materialise(groups, "groups")  # so that the join below is one whose hot partitions Spark can split
     return named.join(groups, ["n_blocks", "name"]).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
