@@ -1,26 +1,23 @@
-"""Language-model scores by logistic mixing of hashed-context bit predictors.
-
-The spelling model writes each lower-cased word, with a closing space, bit by bit.  Four
-predictors look at the last 1 to 4 bytes, no further back than the word's beginning;
-each keeps counts of zeros and ones in a hashed table of fixed size, gathered from
-every training word of the corpus.  Their log odds are summed with weights that a
-gate chooses by how many predictors know their context and how often each has seen
-it; the weights are learned online, one block of bits after another, from
-predictions that leave the word itself out, and a last table refines the mixed
-probability by what it has turned out to mean.
-
-Words that the corpus has seen are predicted by their counts as well: in each
-language class the chance of a word is its share there, and what the words seen
-once say about unseen ones (Good-Turing) goes to its share anywhere and then to its
-spelling.  A document weighs the classes by what it has shown so far, which is the
-Bayesian mixture of the classes over the whole text.  Its bits are the sum over its
-words and its end; its log10 probability and bits per byte follow.
-
-Scale: a word's bits depend on the word alone, so the model runs once over the
-corpus's distinct words (a counted table that grows with the input), not over its
-tokens.  The tables and weights have a fixed size.  Texts then look up frequent
-words in a broadcast table of at most ``FREQUENT`` rows; rarer words, a few in a
-hundred, are joined by hash.
+"""Language-model scores by online logistic mixing of hashed-context bit predictors.
+
+A text is written byte by byte with a closing byte, each byte bit by bit.  Five
+predictors look at the last 1 to 5 bytes, across word borders; one looks at the
+beginning of the word (lower-cased, the word counts' input to the mixer), and one at
+that and the word before.  Each keeps counts of zeros and ones in a hashed table,
+gathered by tasks over all training texts and merged by table part.  A slot's counts
+are kept as a code of two rounded counts; what a code says in log odds is measured on
+the training bits themselves, each left out of its own slot.  The log odds are summed
+with weights chosen by how many predictors know the context.  The weights start from
+values learned online over all training texts, again with each bit left out, and go
+on to follow each text's own errors block by block.  A last table refines the mixed
+probability by what it has turned out to mean.  A text's score is the log10
+probability of all of its bytes and its end; bits per byte follow.
+
+The base score and the known words come from a counted table of words.
+
+Scale: the tables and weights have a bounded size.  Texts look up frequent words in a
+broadcast table of at most ``FREQUENT`` rows; rarer words, a few in a hundred, are
+joined by hash.
 """
 
 from __future__ import annotations
@@ -36,11 +33,11 @@ from .textkernel import HashTable, grouped, list_array, lower_ascii, mix, slices
 from .units import spread
 from .workspace import materialise
 
-ORDERS, TABLE_BITS = (1, 2, 3, 4), (16, 18, 19, 20)  # bytes of context, and the size of each one's table
-FREQUENT, CLASSES, BLOCK, CHUNK, WORDS_A_TASK = 1 << 18, 6, 8192, 1 << 14, 500_000
-_FIRST = np.concatenate(([0], np.cumsum([1 << b for b in TABLE_BITS])))
-_LEVELS, _GATES, _CELLS = 13, len(ORDERS) + 1, 49
-_SMOOTH, _RATE = 0.05, 0.1
+ORDERS, TABLE_BITS = 5, (16, 20, 20, 20, 20, 21, 21)  # bytes of context; the size of each predictor's table
+FREQUENT, BLOCK, CHUNK, WORDS_A_TASK, BYTES_A_TASK = 1 << 18, 1 << 18, 1 << 14, 500_000, 1 << 26
+END, STEP, MOST_STEP = 255, 64, 1024  # the closing byte; least and most bytes between changes of a text's weights
+_CELLS, _SMOOTH, _RATE, _CALM = 49, 0.05, 0.02, 16.0
+_SPACES = np.array([32, 9, 10, 11, 12, 13], dtype=np.uint8)
 
 
 def _gather(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -49,78 +46,101 @@ def _gather(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(off), pa.py_buffer(data[spread(starts, size)].tobytes())])
 
 
-def _count_words(classes: int):
-    """(h, word, n0, n1, ...): each distinct word of a batch and its number in the training texts of each class."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = texts_of(batch.column("text"))
-            kind = batch.column("class").to_numpy()  # -1: not for training
-            found: list[tuple[np.ndarray, pa.Array, np.ndarray]] = []
-            for a, b in slices(offsets):
-                part, at = lower_ascii(data[offsets[a] : offsets[b]]), offsets[a : b + 1] - offsets[a]
-                starts, ends, row = words(part, at)
-                h, where, inverse = np.unique(span_hashes(part, starts, ends), return_index=True, return_inverse=True)
-                k = kind[a + row]
-                n = np.bincount(inverse[k >= 0] * classes + k[k >= 0], minlength=len(h) * classes).reshape(-1, classes)
-                found.append((h, _gather(part, starts[where], ends[where]), n))
-            if not found:
-                continue
-            h, where, inverse = np.unique(np.concatenate([x[0] for x in found]), return_index=True, return_inverse=True)
-            every = np.concatenate([x[2] for x in found])
-            n = [np.bincount(inverse, weights=every[:, k], minlength=len(h)).astype(np.int64) for k in range(classes)]
-            word = pa.concat_arrays([x[1] for x in found]).take(pa.array(where))
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), word, *map(pa.array, n)], ["h", "word", *[f"n{k}" for k in range(classes)]])
-
-    return run
-
-
-def _spelled(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of the words, each with a closing space, and their offsets."""
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, word, n): each distinct word of a batch and its number in the training texts."""
+    for batch in batches:
+        data, offsets = texts_of(batch.column("text"))
+        trains = batch.column("class").to_numpy() == 0
+        found: list[tuple[np.ndarray, pa.Array, np.ndarray]] = []
+        for a, b in slices(offsets):
+            part, at = lower_ascii(data[offsets[a] : offsets[b]]), offsets[a : b + 1] - offsets[a]
+            starts, ends, row = words(part, at)
+            h, where, inverse = np.unique(span_hashes(part, starts, ends), return_index=True, return_inverse=True)
+            found.append((h, _gather(part, starts[where], ends[where]), np.bincount(inverse[trains[a + row]], minlength=len(h))))
+        if not found:
+            continue
+        h, where, inverse = np.unique(np.concatenate([x[0] for x in found]), return_index=True, return_inverse=True)
+        n = np.bincount(inverse, weights=np.concatenate([x[2] for x in found]), minlength=len(h)).astype(np.int64)
+        word = pa.concat_arrays([x[1] for x in found]).take(pa.array(where))
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), word, pa.array(n)], ["h", "word", "n"])
+
+
+def _levels() -> np.ndarray:
+    """Least counts of the levels 1 to 63 that a count is rounded to: 1 to 8 exactly, then by quarters."""
+    return np.concatenate((np.arange(1, 9), np.ceil(8 * 1.25 ** np.arange(1, 56))))
+
+
+_LEAST = _levels()
+_MIDDLE = np.concatenate((np.arange(9), np.sqrt(_LEAST[8:] * np.append(_LEAST[9:], _LEAST[-1] * 1.25))))
+_NODES = np.ones((256, 8), dtype=np.uint64)  # for each byte, the bits before each of its bits behind a one
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)).reshape(256, 8)
+for _k in range(1, 8):
+    _NODES[:, _k] = _NODES[:, _k - 1] * np.uint64(2) + _BITS[:, _k - 1]
+_NODES = (mix(_NODES, salt=99) >> np.uint64(32)).astype(np.uint32)
+
+
+def _closed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of the texts, each with the closing byte, which no UTF-8 text holds, and their offsets."""
     data, offsets = texts_of(column)
-    return np.insert(data, offsets[1:], 32), offsets + np.arange(len(offsets))
+    return np.insert(data, offsets[1:], END), offsets + np.arange(len(offsets))
+
 
+def _contexts(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """For each predictor the hashed context of every byte: the last 1 to 5 bytes, the word's beginning, and that with the word before.
 
-def _slots(data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """For each context the table slot of every bit, eight to a byte, and the bits themselves."""
+    Bytes before a text's first one count as the closing byte.
+    """
     n = len(data)
-    bits = np.unpackbits(data).reshape(n, 8)
-    node = np.ones((n, 8), dtype=np.uint64)
-    for k in range(1, 8):
-        node[:, k] = node[:, k - 1] * np.uint64(2) + bits[:, k - 1]
-    node *= np.uint64(0x9E3779B97F4A7C15)
-    place = np.arange(n) - np.repeat(offsets[:-1], np.diff(offsets))
+    at = np.arange(n)
+    first = np.repeat(offsets[:-1], np.diff(offsets))
+    place = at - first
     context, out = np.zeros(n, dtype=np.uint64), []
-    for k, (order, size) in enumerate(zip(ORDERS, TABLE_BITS)):
-        before = np.zeros(n, dtype=np.uint64)
+    for order in range(1, ORDERS + 1):
+        before = np.full(n, END, dtype=np.uint64)
         before[order:] = data[: max(n - order, 0)]
-        before[place < order] = 0
+        before[place < order] = END
         context = context * np.uint64(257) + before + np.uint64(1)
-        h = (mix(context, salt=order)[:, None] + node) * np.uint64(0xD6E8FEB86659FD93)
-        out.append(((h >> np.uint64(64 - size)).astype(np.int64) + _FIRST[k]).reshape(-1))
-    return out, bits.reshape(-1)
+        out.append(mix(context, salt=order))
+    low = lower_ascii(data)
+    starts, ends, _ = words(low, offsets)
+    begin = first.copy()
+    space = np.flatnonzero(np.isin(low[:-1], _SPACES))
+    begin[space + 1] = space + 1
+    begin = np.maximum.accumulate(np.maximum(begin, first))
+    word = span_hashes(low, begin, at, salt=ORDERS + 1)
+    ended = np.cumsum(np.bincount(ends, minlength=n + 1))[begin] - 1  # the last word that ended before this one
+    known = np.append(span_hashes(low, starts, ends), np.uint64(0))
+    inside = (ended >= 0) & (np.append(starts, -1)[ended] >= first)
+    out += [word, mix(word + np.where(inside, known[ended], np.uint64(0)) * np.uint64(0x9E3779B97F4A7C15), salt=ORDERS + 2)]
+    return [(x >> np.uint64(32)).astype(np.uint32) for x in out]
 
 
-def _bit_counts():
+def _slots(context: np.ndarray, nodes: np.ndarray, size: int) -> np.ndarray:
+    """The table slot of every bit, eight to a byte."""
+    return ((context[:, None] + nodes) >> np.uint32(32 - size)).astype(np.int64)
+
+
+def _bit_counts(sizes: tuple[int, ...]):
+    first = np.concatenate(([0], np.cumsum([1 << b for b in sizes])))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(chunk, at, zeros, ones): what this task's training words add to each part of the tables."""
-        sums = np.zeros(2 * _FIRST[-1], dtype=np.float64)  # a zero and a one beside each other
+        """(chunk, at, zeros, ones): what this task's training texts add to each part of the tables."""
+        sums = np.zeros(2 * first[-1], dtype=np.int32)  # a zero and a one beside each other
         for batch in batches:
-            count = batch.column("n").to_numpy()
-            data, offsets = _spelled(batch.column("word"))
-            for a, b in slices(offsets, BLOCK * 8):
+            count = batch.column("n").to_numpy().astype(np.int32)
+            data, offsets = _closed(batch.column("text"))
+            for a, b in slices(offsets, BLOCK):
                 part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                slots, bits = _slots(part, at)
-                weight = np.repeat(count[a:b], np.diff(at) * 8).astype(np.float64)
-                for s in slots:
-                    np.add.at(sums, s * 2 + bits, weight)
+                contexts, weight = _contexts(part, at), np.repeat(count[a:b], np.diff(at) * 8)
+                nodes, bits = _NODES[part], _BITS[part].reshape(-1)
+                for k, size in enumerate(sizes):
+                    np.add.at(sums[2 * first[k] : 2 * first[k + 1]], _slots(contexts[k], nodes, size).reshape(-1) * 2 + bits, weight)
         sums = sums.reshape(-1, 2)
-        used = np.flatnonzero(sums.any(axis=1))
-        cuts = np.searchsorted(used, np.arange(0, _FIRST[-1] + CHUNK, CHUNK))
-        for c, (a, b) in enumerate(zip(cuts, cuts[1:])):
-            if b > a:
-                at = used[a:b]
-                lists = [list_array(x, np.array([0, b - a]), t) for x, t in ((at - c * CHUNK, pa.int16()), (sums[at, 0].astype(np.float32), pa.float32()), (sums[at, 1].astype(np.float32), pa.float32()))]
+        for c, a in enumerate(range(0, int(first[-1]), CHUNK)):
+            part = sums[a : a + CHUNK]
+            at = np.flatnonzero(part.any(axis=1))
+            if len(at):
+                lists = [list_array(x, np.array([0, len(at)]), t) for x, t in ((at, pa.int16()), (part[at, 0], pa.int32()), (part[at, 1], pa.int32()))]
                 yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), *lists], ["chunk", "at", "zeros", "ones"])
 
     return run
@@ -130,128 +150,173 @@ def _merge_chunk(table: pa.Table) -> pa.Table:
     """One part of the tables, summed over tasks; a part has ``CHUNK`` slots."""
     table = table.combine_chunks()
     at = table.column("at").combine_chunks().flatten().to_numpy()
-    sums = [np.bincount(at, weights=table.column(c).combine_chunks().flatten().to_numpy(), minlength=CHUNK).astype(np.float32) for c in ("zeros", "ones")]
-    return pa.table({"chunk": table.column("chunk").slice(0, 1), "counts": pa.array([np.stack(sums, axis=1).tobytes()], pa.binary())})
-
-
-def _inputs(tables: np.ndarray, slots: list[np.ndarray], bits: np.ndarray, own: np.ndarray | None) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-    """Log odds and weight place of each predictor, and the gate, for all bits; ``own`` is what each bit's word takes out of the counts.
-
-    ``tables`` pairs the zeros and ones of a slot as the parts of a complex number.
-    """
-    odds, places, gate = [], [], np.zeros(len(bits), dtype=np.int64)
-    for s in slots:
-        both = tables[s]
-        zeros, ones = both.real, both.imag
-        if own is not None:
-            zeros, ones = np.maximum(zeros - own * (bits == 0), 0), np.maximum(ones - own * bits, 0)
-        seen = zeros + ones
-        odds.append(np.log((ones + np.float32(_SMOOTH)) / (zeros + np.float32(_SMOOTH))))
-        level = np.frexp(seen + np.float32(0.5))[1]  # 0 for none, then one more with each doubling
-        places.append(np.clip(level, 0, _LEVELS - 1))
-        gate += seen > 0
-    gate_place = gate * _LEVELS
-    return odds, [gate_place + p for p in places], gate
-
-
-def _mixed(weights: np.ndarray, odds: list[np.ndarray], places: list[np.ndarray]) -> np.ndarray:
-    total = weights[0][places[0]] * odds[0]
-    for k in range(1, len(odds)):
-        total += weights[k][places[k]] * odds[k]
-    return np.clip(total, -12, 12)
-
-
-def _cells(mixed: np.ndarray, gate: np.ndarray) -> np.ndarray:
-    return gate * _CELLS + np.rint((mixed + 12) * 2).astype(np.int64)
+    sums = [np.bincount(at, weights=table.column(c).combine_chunks().flatten().to_numpy(), minlength=CHUNK) for c in ("zeros", "ones")]
+    codes = [np.searchsorted(_LEAST, x, side="right") for x in sums]
+    # what each slot tells of its own bits when one at a time is left out
+    seen = []
+    for zeros, ones, code in ((sums[0] - 1, sums[1], sums[0]), (sums[0], sums[1] - 1, sums[1])):
+        left = [np.searchsorted(_LEAST, np.maximum(x, 0), side="right") for x in (zeros, ones)]
+        seen.append(np.bincount(left[0] * 64 + left[1], weights=code, minlength=4096))
+    used = np.flatnonzero(seen[0] + seen[1])
+    lists = [list_array(x, np.array([0, len(used)]), t) for x, t in ((used, pa.int32()), (seen[0][used], pa.float64()), (seen[1][used], pa.float64()))]
+    return pa.table([table.column("chunk").slice(0, 1).combine_chunks(), pa.array([(codes[0] * 64 + codes[1]).astype(np.uint16).tobytes()], pa.binary()), *lists], ["chunk", "codes", "code", "zeros", "ones"])
+
+
+class _Model:
+    """Tables of codes (the levels of a slot's zeros and ones), what a code says in log odds, and the mixer's starting weights."""
+
+    def __init__(self, sizes: tuple[int, ...], tables: list[np.ndarray], seen: np.ndarray):
+        self.sizes, self.tables = sizes, tables
+        zeros, ones = np.repeat(_MIDDLE, 64), np.tile(_MIDDLE, 64)
+        prior = (ones + _SMOOTH) / (zeros + ones + 2 * _SMOOTH)
+        p = (seen[:, 1] + 2 * prior) / (seen.sum(axis=1) + 2)
+        p[:, 0] = 0.5  # nothing known
+        self.odds = np.log(p / (1 - p)).astype(np.float32)
+        level = np.arange(64)
+        less = np.where((level > 0) & (level < 9), level - 1, level)
+        self.without = np.stack(((less[:, None] * 64 + level).reshape(-1), (level[:, None] * 64 + less).reshape(-1)))  # the code less one zero, less one one
+        self.weights = np.full((len(sizes) + 1, len(sizes)), 0.3, dtype=np.float32)
+        self.refine = np.tile(1 / (1 + np.exp(-(np.arange(_CELLS) / 2 - 12))), len(sizes) + 1).astype(np.float32)
+
+    def along(self, data: np.ndarray, offsets: np.ndarray, weights: np.ndarray, leave_out: bool):
+        """Mix along each text: (log10 probability of each text, its last weights, the refining table's zeros and ones).
+
+        All texts start from ``weights`` and take a block at a time, each text with
+        weights of its own for each number of predictors that know the context; after
+        a block the weights follow the errors made in it.  Nothing looks ahead: a
+        bit's chance comes from bits before it.
+        """
+        n, k_all = len(offsets) - 1, len(self.sizes)
+        sets = k_all + 1
+        size = np.diff(offsets)
+        lane = np.repeat(np.arange(n), size)
+        cuts = [0]
+        while cuts[-1] < size.max(initial=0):
+            cuts.append(cuts[-1] + min(max(STEP, cuts[-1] // 8), MOST_STEP))
+        block = np.searchsorted(cuts, np.arange(len(data)) - offsets[lane], side="right")
+        order = np.argsort(block, kind="stable")
+        ends = np.cumsum(np.bincount(block, minlength=2))
+        contexts = [c[order] for c in _contexts(data, offsets)]
+        data, lane = data[order], lane[order]
+        own = np.tile(weights.reshape(1, sets, k_all), (n, 1, 1)).reshape(n * sets, k_all)
+        energy = np.full(own.shape, _CALM, dtype=np.float32)
+        out, refine = np.zeros(n), np.zeros((2, sets * _CELLS))
+        tables = [(np.concatenate([x[w] for w in self.without]) if leave_out else x) for x in self.odds]
+        for s, e in zip(ends, ends[1:]):
+            part = data[s:e]
+            nodes, bits = _NODES[part], _BITS[part]
+            shift = bits.astype(np.uint16) * np.uint16(4096) if leave_out else None
+            odds, gate = [], np.zeros(e - s, dtype=np.int64)
+            for k in range(k_all):
+                code = self.tables[k][_slots(contexts[k][s:e], nodes, self.sizes[k])]
+                x = tables[k][code + shift if leave_out else code]
+                gate += x[:, 0] != 0
+                odds.append(x)
+            which = lane[s:e] * sets + gate
+            own_now = own[which]
+            z = own_now[:, 0, None] * odds[0]
+            for k in range(1, k_all):
+                z += own_now[:, k, None] * odds[k]
+            np.clip(z, -12, 12, out=z)
+            p = 1 / (1 + np.exp(-z))
+            cell = gate[:, None] * _CELLS + np.rint((z + 12) * 2).astype(np.int64)
+            if leave_out:
+                ones = np.bincount(cell.reshape(-1), weights=bits.reshape(-1), minlength=refine.shape[1])
+                refine += [np.bincount(cell.reshape(-1), minlength=refine.shape[1]) - ones, ones]
+            else:
+                final = 0.5 * (p + self.refine[cell])
+                chance = np.abs(final - (1 - bits))
+                out += np.bincount(lane[s:e], weights=np.log10(chance).sum(axis=1, dtype=np.float64), minlength=n)
+            miss = bits - p
+            used, inverse = np.unique(which, return_inverse=True)
+            for k in range(k_all):
+                step = np.bincount(inverse, weights=np.einsum("ij,ij->i", miss, odds[k]), minlength=len(used))
+                energy[used, k] += step * step
+                own[used, k] += _RATE * step / np.sqrt(energy[used, k])
+        return out, own.reshape(n, sets, k_all), refine
 
 
 def _learner(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One online pass over this task's training words; returns weights times words seen, and the refining table."""
-        tables = shared.value
-        weights = np.full((len(ORDERS), _GATES * _LEVELS), 0.3)
-        energy = np.full(weights.shape, 1e-2)
-        refine = np.zeros((2, _GATES * _CELLS))
-        mass = 0.0
+        """One online pass over this task's training texts; returns starting weights times bytes seen, and the refining table."""
+        model = shared.value
+        weights, refine, mass = model.weights.astype(np.float64), 0, 0.0
         for batch in batches:
             count = batch.column("n").to_numpy()
-            data, offsets = _spelled(batch.column("word"))
+            data, offsets = _closed(batch.column("text"))
             for a, b in slices(offsets, BLOCK):
                 part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                slots, bits = _slots(part, at)
-                weight = np.repeat(count[a:b], np.diff(at) * 8).astype(np.float64)
-                odds, places, gate = _inputs(tables, slots, bits, np.minimum(weight, 1).astype(np.float32))
-                z = _mixed(weights, odds, places)
-                miss = (bits - 1 / (1 + np.exp(-z))) * weight
-                cell = _cells(z, gate)
-                ones = np.bincount(cell, weights=weight * bits, minlength=refine.shape[1])
-                refine += [np.bincount(cell, weights=weight, minlength=refine.shape[1]) - ones, ones]
-                whole = max(weight.sum(), 1e-9)
-                for k, (x, place) in enumerate(zip(odds, places)):
-                    step = np.bincount(place, weights=miss * x, minlength=_GATES * _LEVELS) / whole
-                    energy[k] += step * step
-                    weights[k] += _RATE * step / np.sqrt(energy[k])
-                mass += float(count[a:b].sum())
-        flat = np.concatenate((weights.reshape(-1) * mass, refine.reshape(-1), [mass]))
-        yield pa.RecordBatch.from_arrays([list_array(flat, np.array([0, len(flat)]), pa.float64())], ["v"])
-
-    return run
-
-
-def _scorer(shared, mixer, keep: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """log10 probability of each word's spelling."""
-        tables, (weights, refine) = shared.value, mixer.value
-        for batch in batches:
-            data, offsets = _spelled(batch.column("word"))
-            out = np.zeros(len(offsets) - 1)
-            for a, b in slices(offsets, BLOCK * 2):
-                part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                slots, bits = _slots(part, at)
-                odds, places, gate = _inputs(tables, slots, bits, None)
-                z = _mixed(weights, odds, places)
-                p = 0.5 / (1 + np.exp(-z)) + 0.5 * refine[_cells(z, gate)]
-                out[a:b] = np.add.reduceat(np.log10(np.where(bits == 1, p, 1 - p)), at[:-1] * 8)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(out)], [*keep, "logp"])
+                _, last, seen = model.along(part, at, weights.astype(np.float32), True)
+                share = np.sqrt(np.diff(at)) * count[a:b]
+                weights = weights + 0.5 * np.tensordot(share / share.sum(), last - weights, 1)
+                refine, mass = refine + seen, mass + float(np.diff(at) @ count[a:b])
+        if mass:
+            flat = np.concatenate((weights.reshape(-1) * mass, refine.reshape(-1), [mass]))
+            yield pa.RecordBatch.from_arrays([list_array(flat, np.array([0, len(flat)]), pa.float64())], ["v"])
 
     return run
 
 
-def score_words(counted: DataFrame, n_words: int) -> DataFrame:
-    """(h, word, n, ...) -> (h, n, ..., logp): learn to spell from all counted words, then score each.
+def learn(texts: DataFrame, tasks: int, sizes: tuple[int, ...] = TABLE_BITS) -> _Model:
+    """The model of training texts (text, n): n is how often a text counts.
 
-    The number of tasks that learn follows the number of words, since each sends
-    its part of the tables, whose size is fixed.
+    The number of tasks follows the size of the texts, since each sends its part of
+    the tables, whose size does not.
     """
-    spark = counted.sparkSession
-    learned = counted.where("n > 0").select("word", "n").coalesce(max(1, -(-n_words // WORDS_A_TASK)))
-    parts = learned.mapInArrow(_bit_counts(), "chunk int, at array<short>, zeros array<float>, ones array<float>")
-    merged = parts.groupBy("chunk").applyInArrow(_merge_chunk, "chunk int, counts binary")
-    tables = np.zeros(_FIRST[-1], dtype=np.complex64)
+    texts = texts.coalesce(max(1, tasks))
+    parts = texts.mapInArrow(_bit_counts(sizes), "chunk int, at array<short>, zeros array<int>, ones array<int>")
+    merged = parts.groupBy("chunk").applyInArrow(_merge_chunk, "chunk int, codes binary, code array<int>, zeros array<double>, ones array<double>")
+    first = np.concatenate(([0], np.cumsum([1 << b for b in sizes])))
+    tables, seen = np.zeros(first[-1], dtype=np.uint16), np.zeros((len(sizes), 2, 4096))
     for row in merged.toLocalIterator():  # a fixed number of parts, in turn
-        a, b = row.chunk * CHUNK, min((row.chunk + 1) * CHUNK, int(_FIRST[-1]))
-        tables[a:b] = np.frombuffer(row.counts, dtype=np.complex64)[: b - a]
-    context = spark.sparkContext
-    shared = context.broadcast(tables)
-    sums = learned.mapInArrow(_learner(shared), "v array<double>").select(F.posexplode("v").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x"))
+        a, b = row.chunk * CHUNK, min((row.chunk + 1) * CHUNK, int(first[-1]))
+        tables[a:b] = np.frombuffer(row.codes, dtype=np.uint16)[: b - a]
+        k = int(np.searchsorted(first, a, side="right")) - 1
+        seen[k][:, np.array(row.code, dtype=np.int64)] += [row.zeros, row.ones]
+    model = _Model(sizes, [tables[a:b] for a, b in zip(first, first[1:])], seen)
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+    sums = texts.mapInArrow(_learner(shared), "v array<double>").select(F.posexplode("v").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x"))
     flat = np.array([r.x for r in sums.orderBy("at").collect()])  # one value a weight
-    weights, refine = np.full((len(ORDERS), _GATES * _LEVELS), 0.3), np.zeros((2, _GATES * _CELLS))
-    if len(flat) and flat[-1] > 0:
-        weights, refine = flat[: weights.size].reshape(weights.shape) / flat[-1], flat[weights.size : -1].reshape(refine.shape)
-    prior = np.tile(1 / (1 + np.exp(-(np.arange(_CELLS) / 2 - 12))), _GATES)
-    refine = (refine[1] + prior * 20) / (refine.sum(axis=0) + 20)
-    mixer = context.broadcast((weights, np.clip(refine, 1e-6, 1 - 1e-6)))
+    if len(flat):
+        n = model.weights.size
+        counts = flat[n:-1].reshape(2, -1)
+        refine = (counts[1] + model.refine * 20) / (counts.sum(axis=0) + 20)
+        model.weights = (flat[:n] / flat[-1]).reshape(model.weights.shape).astype(np.float32)
+        model.refine = np.clip(refine, 1e-6, 1 - 1e-6).astype(np.float32)
+    return model
+
+
+def _log10(model: _Model, column: pa.Array) -> np.ndarray:
+    """log10 probability of each text with its end."""
+    data, offsets = _closed(column)
+    out = np.zeros(len(offsets) - 1)
+    for a, b in slices(offsets, BLOCK):
+        out[a:b] = model.along(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], model.weights, False)[0]
+    return out
+
+
+def score_words(counted: DataFrame, n_words: int) -> DataFrame:
+    """(h, word, n, ...) -> (h, n, ..., logp): learn from all counted words as texts of their own, then score each."""
+    learned = counted.where("n > 0").select(F.col("word").alias("text"), "n")
+    shared = counted.sparkSession.sparkContext.broadcast(learn(learned, -(-n_words // WORDS_A_TASK)))
     keep = [c for c in counted.columns if c != "word"]
-    return counted.mapInArrow(_scorer(shared, mixer, keep), ", ".join(f"{c} long" for c in keep) + ", logp double")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(_log10(shared.value, batch.column("word")))], [*keep, "logp"])
+
+    return counted.mapInArrow(run, ", ".join(f"{c} long" for c in keep) + ", logp double")
 
-def _texts(shared, total: float, kinds: float, ends: int, classes: int):
+
+def _texts(shared, mixed, total: float, kinds: float, ends: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, count, logp = shared.value
+        keys, count = shared.value
+        model = mixed.value
         table = HashTable(keys)
         base = np.log10((count + 0.5) / (total + 0.5 * (kinds + 1)))
         for batch in batches:
             data, offsets = texts_of(batch.column("text"))
+            score = _log10(model, batch.column("text"))
             for a, b in slices(offsets):
                 part, at = lower_ascii(data[offsets[a] : offsets[b]]), offsets[a : b + 1] - offsets[a]
                 starts, stops, row = words(part, at)
@@ -259,90 +324,53 @@ def _texts(shared, total: float, kinds: float, ends: int, classes: int):
                 where = table.find(h)
                 hit = where >= 0
                 n, r, w = b - a, row[hit], where[hit]
-                sums = np.stack([np.bincount(r, weights=logp[w, k], minlength=n) for k in range(classes)], axis=1)
                 misses = list_array(h[~hit].view(np.int64), grouped(row[~hit], n), pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [
                         *[batch.column(c).slice(a, n) for c in ("rid", "doc_id", "held_out")], pa.array(np.diff(at)), pa.array(np.bincount(row, minlength=n) + 1),
                         pa.array(np.bincount(r, weights=count[w] > 0, minlength=n).astype(np.int64) + (1 if ends else 0)),
                         pa.array(np.bincount(r, weights=base[w], minlength=n) + np.log10((ends + 0.5) / (total + 0.5 * (kinds + 1)))),
-                        list_array(sums.reshape(-1), np.arange(n + 1) * classes, pa.float64()), misses,
+                        pa.array(score[a:b]), misses,
                     ],
-                    ["rid", "doc_id", "held_out", "n_bytes", "n_tokens", "n_known", "base_score", "sums", "misses"],
+                    ["rid", "doc_id", "held_out", "n_bytes", "n_tokens", "n_known", "base_score", "score", "misses"],
                 )
 
     return run
 
 
-def _word_scores(scored: DataFrame, classes: int, words_in: list[int], once: list[int]) -> DataFrame:
-    """h, n and ``logp``: the log10 probability of each word in each class."""
-    every = max(sum(words_in), 1)
-    new = max(once[-1], 1) / (every + 1)
-    anywhere = (1 - new) * F.col("n") / every + new * F.pow(F.lit(10.0), F.greatest("logp", F.lit(-300.0)))
-    chances = []
-    for k in range(classes):
-        fresh = max(once[k], 1) / (words_in[k] + 1)
-        seen = F.log10((1 - fresh) * F.col(f"n{k}") / max(words_in[k], 1) + fresh * anywhere)
-        chances.append(F.when(F.col("n") > 0, seen).otherwise(F.col("logp") + float(np.log10(fresh * new))))
-    return scored.select("h", "n", F.array(*[c.cast("float") for c in chances]).alias("logp"))
-
-
 def score_documents(documents: DataFrame, folds: int = 5, held: int = 1, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte for every row.
 
     Learns from rows whose crc32(doc_id as text) mod ``folds`` is not ``held``; a
     null doc_id counts as the empty text there.  A null text is empty: its one token
-    is the end.  Classes are the ``CLASSES`` - 1 most frequent languages of the training rows
-    and all others, null among them; lang is not looked at when a text is scored.
-    bits_per_byte is null for empty texts.  Rows may repeat; other columns are not
-    read.  An empty table gives an empty result.
+    is the end.  ``score`` is the log10 probability of all of the text's bytes and its
+    end.  bits_per_byte is null for empty texts.  Rows may repeat; other columns are
+    not read.  An empty table gives an empty result.
     """
     spark = documents.sparkSession
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds
-    docs = documents.select(
-        "doc_id", (fold == held).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang")
-    )
-    learned = docs.where(~F.col("held_out")).groupBy("lang").count()
-    best = [r.lang for r in learned.where("lang IS NOT NULL").orderBy(F.desc("count"), "lang").limit(CLASSES - 1).collect()]
-    rest = bool(learned.where(F.col("lang").isNull() | ~F.col("lang").isin(best or [""])).limit(1).count())
-    classes = max(len(best) + rest, 1)
-    kind = F.lit(classes - 1)
-    for k, lang in enumerate(best):
-        kind = F.when(F.col("lang") == lang, k).otherwise(kind)
-    docs = docs.withColumn("class", F.when(F.col("held_out"), -1).otherwise(kind)).drop("lang")
-    cols = [f"n{k}" for k in range(classes)]
-    counted = docs.select("text", "class").mapInArrow(_count_words(classes), "h long, word binary, " + ", ".join(f"{c} long" for c in cols))
-    counted = counted.groupBy("h", "word").agg(*[F.sum(c).alias(c) for c in cols])
-    counted = materialise(counted.withColumn("n", F.expr(" + ".join(cols))), "words")
-    facts = counted.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in [*cols, "n"]], *[F.count_if(F.col(c) == 1) for c in [*cols, "n"]], F.count_if(F.col("n") > 0)).first()
-    words_in, once, kinds = list(facts[:classes]), list(facts[classes + 1 : 2 * classes + 2]), facts[-1]
-    size = {r["class"]: r["count"] for r in docs.groupBy("class").count().collect()}  # a row a class
-    ends = sum(n for k, n in size.items() if k >= 0)
-    total, kinds = sum(words_in) + ends, kinds + (1 if ends else 0)
-    stop = (ends + 0.5) / (total + 1)
-    scored = materialise(_word_scores(score_words(counted, kinds), classes, words_in, once), "scored")
-    best = scored.orderBy(F.desc("n"), "h").limit(frequent).toArrow()  # at most ``frequent`` rows
-    logp = np.array(best.column("logp").combine_chunks().flatten()).reshape(-1, classes)
-    shared = spark.sparkContext.broadcast((best.column("h").to_numpy().view(np.uint64), best.column("n").to_numpy().astype(np.float64), logp))
+    docs = documents.select("doc_id", (fold == held).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    counted = docs.select("text", F.col("held_out").cast("int").alias("class")).mapInArrow(_count_words, "h long, word binary, n long")
+    counted = materialise(counted.groupBy("h", "word").agg(F.sum("n").alias("n")).drop("word"), "words")
+    total, kinds = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
+    training = docs.where(~F.col("held_out")).select("text", F.lit(1).cast("long").alias("n"))
+    ends, size = training.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    total, kinds = total + ends, kinds + (1 if ends else 0)
+    mixed = spark.sparkContext.broadcast(learn(training, -(-size // BYTES_A_TASK)))
+    best = counted.orderBy(F.desc("n"), "h").limit(frequent).toArrow()  # at most ``frequent`` rows
+    shared = spark.sparkContext.broadcast((best.column("h").to_numpy().view(np.uint64), best.column("n").to_numpy().astype(np.float64)))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.drop("class").withColumn("rid", F.monotonically_increasing_id()).mapInArrow(
-        _texts(shared, total, kinds, ends, classes),
-        f"rid long, doc_id {id_type}, held_out boolean, n_bytes long, n_tokens long, n_known long, base_score double, sums array<double>, misses array<long>",
+    rows = docs.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(
+        _texts(shared, mixed, total, kinds, ends),
+        f"rid long, doc_id {id_type}, held_out boolean, n_bytes long, n_tokens long, n_known long, base_score double, score double, misses array<long>",
     )
     rows = materialise(rows, "rows")
-    rare = rows.select("rid", F.explode("misses").alias("h")).groupBy("rid", "h").agg(F.count(F.lit(1)).alias("times")).join(scored, "h")
+    rare = rows.select("rid", F.explode("misses").alias("h")).groupBy("rid", "h").agg(F.count(F.lit(1)).alias("times")).join(counted, "h")
     base = F.log10((F.col("n") + 0.5) / (total + 0.5 * (kinds + 1)))
-    rare = rare.groupBy("rid").agg(
-        F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("k"), F.sum(F.col("times") * base).alias("b"),
-        *[F.sum(F.col("times") * F.col("logp")[k]).alias(f"s{k}") for k in range(classes)],
-    )
+    rare = rare.groupBy("rid").agg(F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("k"), F.sum(F.col("times") * base).alias("b"))
     plus = lambda a, b: a + F.coalesce(F.col(b), F.lit(0))
-    prior = [float(np.log10((size.get(k, 0) + 0.5) / (ends + 0.5 * classes))) for k in range(classes)]
-    sums = F.array(*[plus(F.col("sums")[k], f"s{k}") + prior[k] for k in range(classes)])
-    out = rows.join(rare, "rid", "left").withColumn("each", sums).withColumn("most", F.array_max("each"))
-    mixture = F.col("most") + F.log10(F.aggregate("each", F.lit(0.0), lambda t, x: t + F.pow(F.lit(10.0), x - F.col("most"))))
-    score = mixture + (F.col("n_tokens") - 1) * float(np.log10(1 - stop)) + float(np.log10(stop))
+    out = rows.join(rare, "rid", "left")
     return out.select(
         "doc_id", "held_out", "n_tokens", plus(F.col("n_known"), "k").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        plus(F.col("base_score"), "b").alias("base_score"), score.alias("score"), (-score / float(np.log10(2.0)) / F.nullif("n_bytes", F.lit(0))).alias("bits_per_byte"),
+        plus(F.col("base_score"), "b").alias("base_score"), "score", (-F.col("score") / float(np.log10(2.0)) / F.nullif("n_bytes", F.lit(0))).alias("bits_per_byte"),
     )

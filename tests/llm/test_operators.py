@@ -384,6 +384,18 @@ def test_spelling_is_a_distribution(spark):
     assert sum(10**r.logp for r in scored if r.n == 0) < 1 and all(r.logp < 0 for r in scored)
 
 
+def test_scores_see_the_order_of_words(spark):
+    """Contexts cross word borders: a text in the order that training texts have is likelier than the same words in another."""
+    line = "the grey cat sat on a warm stone near the old mill and slept"
+    texts = [line + f" {i % 7}" for i in range(60)]
+    held = [i for i in range(60, 400) if zlib.crc32(str(i).encode()) % 5 == 1][:2]
+    other = " ".join(sorted(line.split(), key=lambda w: w[::-1]))
+    rows = mixlm.score_documents(documents(spark, [*texts, (held[0], line), (held[1], other)])).where(F.col("doc_id").isin(held)).collect()
+    usual, mixed = sorted(rows, key=lambda r: r.doc_id)
+    assert usual.held_out and mixed.held_out and usual.base_score == pytest.approx(mixed.base_score)
+    assert usual.score > mixed.score + 1 and usual.bits_per_byte < mixed.bits_per_byte
+
+
 # ---- 8 exact dedup
 
 @pytest.mark.parametrize("block, bits", [(16384, 64), (16, 64), (16, 3)])
