@@ -33,8 +33,8 @@ from .textkernel import HashTable, grouped, list_array, lower_ascii, mix, slices
 from .units import spread
 from .workspace import materialise
 
-ORDERS, TABLE_BITS = 5, (16, 20, 20, 20, 20, 21, 21)  # bytes of context; the size of each predictor's table
-FREQUENT, BLOCK, CHUNK, WORDS_A_TASK, BYTES_A_TASK = 1 << 18, 1 << 18, 1 << 14, 500_000, 1 << 26
+ORDERS, LEAST_BITS, MOST_BITS = 5, 14, 21  # bytes of context; least and most bits of a table's size
+FREQUENT, BLOCK, CHUNK, BYTES_A_TASK = 1 << 18, 1 << 18, 1 << 14, 1 << 26
 END, STEP, MOST_STEP = 255, 64, 1024  # the closing byte; least and most bytes between changes of a text's weights
 _CELLS, _SMOOTH, _RATE, _CALM = 49, 0.05, 0.02, 16.0
 _SPACES = np.array([32, 9, 10, 11, 12, 13], dtype=np.uint8)
@@ -115,6 +115,17 @@ def _contexts(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return [(x >> np.uint64(32)).astype(np.uint32) for x in out]
 
 
+def table_bits(size: int) -> tuple[int, ...]:
+    """Bits of each predictor's table for training texts of ``size`` bytes.
+
+    A byte adds at most eight slots and an order of k bytes has at most 255 * 256**k,
+    so a table has a slot for each until it reaches ``MOST_BITS``: each counting task
+    holds all tables, at 8 bytes a slot.
+    """
+    most = [min(8 * size, 255 * 256**k) for k in range(1, ORDERS + 1)] + [8 * size] * 2
+    return tuple(min(max(m.bit_length(), LEAST_BITS), MOST_BITS) for m in most)
+
+
 def _slots(context: np.ndarray, nodes: np.ndarray, size: int) -> np.ndarray:
     """The table slot of every bit, eight to a byte."""
     return ((context[:, None] + nodes) >> np.uint32(32 - size)).astype(np.int64)
@@ -257,13 +268,14 @@ def _learner(shared):
     return run
 
 
-def learn(texts: DataFrame, tasks: int, sizes: tuple[int, ...] = TABLE_BITS) -> _Model:
+def learn(texts: DataFrame) -> _Model:
     """The model of training texts (text, n): n is how often a text counts.
 
     The number of tasks follows the size of the texts, since each sends its part of
-    the tables, whose size does not.
+    the tables, whose size is bounded.
     """
-    texts = texts.coalesce(max(1, tasks))
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
+    sizes, texts = table_bits(size), texts.coalesce(max(1, -(-size // BYTES_A_TASK)))
     parts = texts.mapInArrow(_bit_counts(sizes), "chunk int, at array<short>, zeros array<int>, ones array<int>")
     merged = parts.groupBy("chunk").applyInArrow(_merge_chunk, "chunk int, codes binary, code array<int>, zeros array<double>, ones array<double>")
     first = np.concatenate(([0], np.cumsum([1 << b for b in sizes])))
@@ -295,10 +307,10 @@ def _log10(model: _Model, column: pa.Array) -> np.ndarray:
     return out
 
 
-def score_words(counted: DataFrame, n_words: int) -> DataFrame:
+def score_words(counted: DataFrame, n_words: int | None = None) -> DataFrame:
     """(h, word, n, ...) -> (h, n, ..., logp): learn from all counted words as texts of their own, then score each."""
     learned = counted.where("n > 0").select(F.col("word").alias("text"), "n")
-    shared = counted.sparkSession.sparkContext.broadcast(learn(learned, -(-n_words // WORDS_A_TASK)))
+    shared = counted.sparkSession.sparkContext.broadcast(learn(learned))
     keep = [c for c in counted.columns if c != "word"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,9 +366,9 @@ def score_documents(documents: DataFrame, folds: int = 5, held: int = 1, frequen
     counted = materialise(counted.groupBy("h", "word").agg(F.sum("n").alias("n")).drop("word"), "words")
     total, kinds = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
     training = docs.where(~F.col("held_out")).select("text", F.lit(1).cast("long").alias("n"))
-    ends, size = training.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    ends = training.count()
     total, kinds = total + ends, kinds + (1 if ends else 0)
-    mixed = spark.sparkContext.broadcast(learn(training, -(-size // BYTES_A_TASK)))
+    mixed = spark.sparkContext.broadcast(learn(training))
     best = counted.orderBy(F.desc("n"), "h").limit(frequent).toArrow()  # at most ``frequent`` rows
     shared = spark.sparkContext.broadcast((best.column("h").to_numpy().view(np.uint64), best.column("n").to_numpy().astype(np.float64)))
     id_type = docs.schema["doc_id"].dataType.simpleString()

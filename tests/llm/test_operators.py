@@ -396,6 +396,16 @@ def test_scores_see_the_order_of_words(spark):
     assert usual.score > mixed.score + 1 and usual.bits_per_byte < mixed.bits_per_byte
 
 
+def test_spelling_sees_more_than_four_bytes(spark):
+    """The whole beginning of a word tells what follows, and tables grow with the training texts."""
+    rows = [(0, b"axxxxxxxb", 20), (1, b"cxxxxxxxd", 20), (2, b"axxxxxxxd", 0)]
+    scored = {r.h: r.logp for r in mixlm.score_words(spark.createDataFrame(rows, "h long, word binary, n long"), 2).collect()}
+    assert scored[0] > scored[2] + 1
+    sizes = [mixlm.table_bits(n) for n in (0, 1000, 10**5, 10**9)]
+    assert all(a <= b for x, y in zip(sizes, sizes[1:]) for a, b in zip(x, y)) and sizes[1] != sizes[2]
+    assert all(1 << b >= 8 * 10**5 or 1 << b >= 255 * 256 for b in sizes[2])
+
+
 # ---- 8 exact dedup
 
 @pytest.mark.parametrize("block, bits", [(16384, 64), (16, 64), (16, 3)])
