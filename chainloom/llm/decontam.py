@@ -59,10 +59,10 @@ def hamming_blocks(fp: Column, radius: int = RADIUS) -> Column:
 
 
 def _items(benchmark: DataFrame, width: int) -> DataFrame:
-    """item_id, size (words), k (words in a shingle), m (shingles) and words; items without words or item_id are left out."""
-    items = benchmark.select("item_id", word_hashes(F.col("text").cast("string")).alias("words")).withColumn("size", F.size("words")).where("size > 0 AND item_id IS NOT NULL")
-    items = items.withColumn("k", F.least(F.col("size"), F.lit(width))).withColumn("m", F.col("size") - F.col("k") + 1)
-    return items.dropDuplicates(["item_id"])
+    """item_id, key (hash of the text), size (words), k (words in a shingle), m (shingles) and words; items without words are left out."""
+    items = benchmark.select("item_id", F.col("text").cast("string").alias("text"))
+    items = items.select("item_id", F.xxhash64("text").alias("key"), word_hashes(F.col("text")).alias("words")).withColumn("size", F.size("words")).where("size > 0")
+    return items.withColumn("k", F.least(F.col("size"), F.lit(width))).withColumn("m", F.col("size") - F.col("k") + 1)
 
 
 def _expand(rows: DataFrame, ks: list[int], keep: list[str]) -> DataFrame:
@@ -74,31 +74,33 @@ def _expand(rows: DataFrame, ks: list[int], keep: list[str]) -> DataFrame:
     return out
 
 
-def contaminated(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
+def leaks(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
     """doc_id, item_id, start, similarity: one row for each document and item of which it holds a near copy.
 
     ``start`` is the first word of the best window, the earliest of equals.  A
     document shorter than the item is one window.  Items with fewer than ``width``
     words are one shingle.  Null and empty texts and items match nothing; rows that
     repeat a doc_id give the best of their windows; rows without doc_id are found
-    too, under a null doc_id; items without item_id are left out, and of items that
-    repeat an item_id one stays.  Extra
-    columns are not read.  An empty table gives an empty result.
+    too, under a null doc_id.  Every distinct item text is searched: items without
+    item_id are found under a null item_id, and of texts that repeat an item_id the
+    best match is given.  Extra columns are not read.  An empty table gives an empty
+    result.
     """
-    items = materialise(_items(benchmark, width), "items")
+    named = materialise(_items(benchmark, width), "items")
+    items = named.drop("item_id").dropDuplicates(["key"])
     ks = sorted(r[0] for r in items.select("k").distinct().collect()) or [width]  # at most ``width`` values
-    grams = materialise(_expand(items, ks, ["item_id", "size", "m", F.col("k").alias("own")]).where("k = own").drop("own"), "grams")
+    grams = materialise(_expand(items, ks, ["key", "size", "m", F.col("k").alias("own")]).where("k = own").drop("own"), "grams")
     docs = documents.select("doc_id", F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     docs = docs.select("doc_id", F.xxhash64("text").alias("tag"), word_hashes(F.col("text")).alias("words"))
 
     # places of documents that hold a shingle of an item
-    known = grams.select("k", "s", "item_id", "size", "m").distinct()
+    known = grams.select("k", "s", "key", "size", "m").distinct()
     known = F.broadcast(known) if grams.count() <= BROADCAST_ROWS else known
     hits = _expand(docs.withColumn("n", F.size("words")), ks, ["doc_id", "tag", "n"]).join(known, ["k", "s"])
 
     # a sweep over the hits: how many each window would hold
     span = F.least(F.col("size"), F.col("n")) - F.col("k") + 1
-    owner = ["doc_id", "tag", "item_id"]
+    owner = ["doc_id", "tag", "key"]
     hits = hits.select(*owner, "n", "size", "k", "m", span.alias("span"), "p").distinct()
     steps = hits.select(
         *owner, "n", "size", "k", "m", "span",
@@ -124,19 +126,25 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH,
     window = ["doc_id", "tag", "size", "k", "span", "start"]
     full = materialise(full, "shingles")
     prints = fingerprints(full, window).withColumn("b", F.explode(hamming_blocks(F.col("fp"), radius))).select(*window, "fp", "b.*")
-    item_prints = fingerprints(grams, ["item_id", "size", "k", "m"]).withColumn("b", F.explode(hamming_blocks(F.col("fp"), radius)))
-    item_prints = item_prints.select("item_id", "size", "k", "m", F.col("fp").alias("item_fp"), "b.*")
+    item_prints = fingerprints(grams, ["key", "size", "k", "m"]).withColumn("b", F.explode(hamming_blocks(F.col("fp"), radius)))
+    item_prints = item_prints.select("key", "size", "k", "m", F.col("fp").alias("item_fp"), "b.*")
     near = prints.join(item_prints, ["size", "k", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
-    near = near.select(*window, "item_id", "m").distinct()
+    near = near.select(*window, "key", "m").distinct()
 
     # exact weighted similarity
     inside = full.groupBy(*window, "s").agg(F.count(F.lit(1)).alias("cw"))
-    wanted = grams.groupBy("item_id", "k", "s").agg(F.count(F.lit(1)).alias("ci"))
+    wanted = grams.groupBy("key", "k", "s").agg(F.count(F.lit(1)).alias("ci"))
     match = near["doc_id"].eqNullSafe(inside["doc_id"])
     for c in window[1:]:
         match = match & (near[c] == inside[c])
-    both = near.join(inside, match).select(*[near[c] for c in window], "item_id", "m", "s", "cw").join(wanted, ["item_id", "k", "s"])
-    common = both.groupBy(*window, "item_id", "m").agg(F.sum(F.least("cw", "ci")).alias("i"))
+    both = near.join(inside, match).select(*[near[c] for c in window], "key", "m", "s", "cw").join(wanted, ["key", "k", "s"])
+    common = both.groupBy(*window, "key", "m").agg(F.sum(F.least("cw", "ci")).alias("i"))
     similar = common.withColumn("similarity", F.col("i") / (F.col("m") + F.col("span") - F.col("i"))).where(F.col("similarity") >= threshold)
-    best = similar.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("at"))).alias("b"))
+    best = similar.groupBy("doc_id", "key").agg(F.max(F.struct("similarity", (-F.col("start")).alias("at"))).alias("b"))
+    best = best.join(named.select("item_id", "key").distinct(), "key").groupBy("doc_id", "item_id").agg(F.max("b").alias("b"))
     return best.select("doc_id", "item_id", (-F.col("b.at")).cast("long").alias("start"), F.round("b.similarity", 6).alias("similarity"))
+
+
+def contaminated(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
+    """``leaks`` of the items that have an item_id; the query and the pipeline take all of them."""
+    return leaks(documents, benchmark, width, threshold, radius).where("item_id IS NOT NULL")

@@ -288,6 +288,15 @@ def test_decontamination(spark):
     assert got == leaks_by_hand(texts, items) and len(got) > 12
 
 
+def test_every_item_text_is_searched(spark):
+    """Items without item_id and all texts of a repeated item_id are found."""
+    rng = random.Random(11)
+    a, b, c, d = (prose(rng, 20) for _ in range(4))
+    bench = spark.createDataFrame([(None, a), (None, b), (1, c), (1, d)], "item_id long, text string")
+    got = decontam.leaks(documents(spark, [a, b, c, d, d + " more " + c[:40]]), bench).collect()
+    assert sorted((r.doc_id, r.item_id, r.start, r.similarity) for r in got) == [(0, None, 0, 1.0), (1, None, 0, 1.0), (2, 1, 0, 1.0), (3, 1, 0, 1.0), (4, 1, 0, 1.0)]
+
+
 def test_hamming_blocks_guarantee():
     rng = random.Random(0)
     cuts = [64 * i // (decontam.RADIUS + 1) for i in range(decontam.RADIUS + 2)]
