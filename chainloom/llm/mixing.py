@@ -27,8 +27,8 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
 
 
-def sized(documents: DataFrame) -> DataFrame:
-    return documents.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"))
+def sized(documents: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    return documents.select("doc_id", *keep, F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -81,16 +81,17 @@ def shard_quotas(table: DataFrame, shards: int = SHARDS, block: int = BLOCK) ->
     return out.select("source", "shard", (F.col("blocks") - before).alias("blocks"))
 
 
-def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK, seed: str = SEED) -> DataFrame:
+def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK, seed: str = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, source_size, target, taken, source and copies-free words taken for every row.
 
     A null text has size 0 and nothing is taken from it; null sources form one
     source, the last.  The seeded order is by a digest of doc_id, so reruns agree;
     rows that repeat a doc_id are told apart by their size, and rows equal in both
     stand side by side in either order with the same sums.  Each source's taken
-    words are within a block of its target.  Other columns are not read.
+    words are within a block of its target.  Other columns are not read but for those
+    named in ``keep``, which come last and order rows equal in doc_id and size.
     """
-    docs = sized(documents)
+    docs = sized(documents, keep)
     table = targets(docs, weights, most)
     quota = quotas(table, F.floor(F.col("total") / block + 0.5))
     plan = table.join(F.broadcast(quota), table["source"].eqNullSafe(quota["source"])).drop(quota["source"])
@@ -102,10 +103,10 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     sums = docs.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     over = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("source", "bucket", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("before"))
-    within = Window.partitionBy("source", "bucket").orderBy("digest", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "bucket").orderBy("digest", "doc_id", "size", *keep).rowsBetween(Window.unboundedPreceding, -1)
     docs = docs.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
     docs = docs.join(sums, docs["source"].eqNullSafe(sums["source"]) & (docs["bucket"] == sums["bucket"])).drop(sums["source"], sums["bucket"])
     docs = docs.join(plan, docs["source"].eqNullSafe(plan["source"])).drop(plan["source"])
     start = F.col("before") + F.col("inside")
     part = F.greatest(F.least(start + F.col("size"), F.col("rest")) - start, F.lit(0))
-    return docs.select("doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size") + part).alias("taken"), "source")
+    return docs.select("doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size") + part).alias("taken"), "source", *keep)

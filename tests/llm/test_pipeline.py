@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -56,3 +57,18 @@ def test_stages(spark, tmp_path):
         start += len(ids)
     whole = sorted(tuple(r) for r in queries.pipeline(spark, str(tmp_path)).collect() if r.doc_id is not None)
     assert whole == sorted(tuple(r) for r in got if r.doc_id is not None)
+
+
+def test_mix_keeps_every_row(spark, tmp_path):
+    """Rows without doc_id reach the token stage, and rows of one doc_id are taken by their own size."""
+    rng = random.Random(5)
+    short, long = prose(rng, 10), prose(rng, 1000)
+    rows = [(None, prose(rng, 40), "en", "a", 1), (None, prose(rng, 40), None, "a", 1), (7, short, "en", "a", 1), (7, long, "en", "a", 1), (8, long, "en", "a", 2), (8, long, "en", "a", 2)]
+    docs = spark.createDataFrame(rows, DOCS)
+    want = Counter()
+    for r in corpus_pipeline.mixing.mix(docs, keep=("text",)).collect():
+        want[r.doc_id, r.text] += int(r.taken / r.size + 0.5)
+    mixed = corpus_pipeline.mix_sources(spark, docs, str(tmp_path))
+    assert Counter((r.doc_id, r.text) for r in mixed.collect()) == +want and want[7, short] == 1 and want[7, long] == 1
+    tokens = Counter(r.doc_id for r in corpus_pipeline.write_token_ids(spark, mixed, str(tmp_path)).collect())
+    assert tokens[None] == 2 and tokens[7] == 2 and tokens[8] == 2
