@@ -24,14 +24,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textkernel import slices, span_hashes, texts_of
+from .ranking import cut_keys, run_of, sortable
+from .textkernel import slices, span_pairs, texts_of
 from .units import UnitCache, byte_bpe_units, spread
-from .workspace import filesystem, fresh_dir, materialise
+from .workspace import filesystem, fresh_dir, map_texts, publish
 
 MAGIC, BITS, RANK = b"DAC1", 8, 512
-END_ID, ROLL_IDS = 0, 4_000_000
+END_ID, ROLL_IDS, FILE_BYTES, TASK_BYTES = 0, 4_000_000, 8 << 20, 32 << 20  # bytes of text in a run; bytes of files in a reading task
 _HEAD = struct.Struct("<4sIQQ")
-MANIFEST = "shard int, roll int, path string, n_docs long, n_ids long, first_doc long, last_doc long, crc32 long"
+MANIFEST = "shard int, roll int, path string, n_docs long, n_ids long, bytes long, first_doc long, last_doc long, crc32 long"
 
 
 def encode_file(doc_ids: np.ndarray, null_ids: np.ndarray, first: np.ndarray, ids: np.ndarray) -> bytes:
@@ -151,7 +152,7 @@ def _encode_texts(tokenizer: str):
             part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
             starts = byte_bpe_units(part, at)
             ends = np.append(starts[1:], len(part)).astype(np.int64) if len(starts) else starts
-            first, size = cache.look_up(span_hashes(part, starts, ends), part.tobytes(), starts, ends) if len(starts) else (starts, starts)
+            first, size = cache.look_up(*span_pairs(part, starts, ends), part.tobytes(), starts, ends) if len(starts) else (starts, starts)
             upto = np.concatenate(([0], np.cumsum(size)))
             per = np.diff(upto[np.searchsorted(starts, at)])
             out = np.full(int(per.sum()) + b - a, END_ID, dtype=np.uint32)
@@ -166,10 +167,10 @@ def _encode_texts(tokenizer: str):
 def _writer(tokenizer: str, folder: str, roll_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, root = filesystem(folder)
-        task = TaskContext.get()
-        shard, attempt = task.partitionId(), task.taskAttemptId()
+        attempt = TaskContext.get().taskAttemptId()
         encode = _encode_texts(tokenizer)
         docs, nulls, counts, codes, held, roll, rows = [], [], [], [], 0, 0, []
+        now = None
 
         def flush() -> None:
             nonlocal held, roll
@@ -177,53 +178,64 @@ def _writer(tokenizer: str, folder: str, roll_ids: int):
                 return
             d, z, c = np.concatenate(docs), np.concatenate(nulls), np.concatenate(counts)
             raw = encode_file(d, z, np.concatenate(([0], np.cumsum(c))), np.concatenate(codes))
-            final = f"{root}/part-{shard:06d}-{roll:05d}.dac"
-            with where.open_output_stream(f"{final}.{attempt}.tmp") as out:
+            name = f"part-{now:06d}-{roll:05d}.dac"
+            with where.open_output_stream(f"{root}/{name}.{attempt}.tmp") as out:
                 out.write(raw)
-            where.move(f"{final}.{attempt}.tmp", final)
+            where.move(f"{root}/{name}.{attempt}.tmp", f"{root}/{name}")
             known = d[~z]
             lo, hi = (int(known[0]), int(known[-1])) if len(known) else (None, None)
-            rows.append((shard, roll, f"{folder}/part-{shard:06d}-{roll:05d}.dac", len(d), int(c.sum()), lo, hi, zlib.crc32(raw)))
+            rows.append((now, roll, f"{folder}/{name}", len(d), int(c.sum()), len(raw), lo, hi, zlib.crc32(raw)))
             for x in (docs, nulls, counts, codes):
                 x.clear()
             held, roll = 0, roll + 1
 
         for batch in batches:
-            ids = batch.column("doc_id")
+            ids, run_ = batch.column("doc_id"), batch.column("run").to_numpy()
             known, values = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
-            for a, b, out, per in encode(*texts_of(batch.column("text"))):
-                docs.append(values[a:b])
-                nulls.append(known[a:b])
-                counts.append(per)
-                codes.append(out)
-                held += len(out)
-                if held >= roll_ids:
+            data, offsets = texts_of(batch.column("text"))
+            borders = np.flatnonzero(np.diff(run_, prepend=run_[:1] - 1)).tolist() + [len(run_)] if len(run_) else []
+            for lo, hi in zip(borders, borders[1:]):  # rows of one run
+                if run_[lo] != now:
                     flush()
+                    now, roll = int(run_[lo]), 0
+                for a, b, out, per in encode(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]):
+                    docs.append(values[lo + a : lo + b])
+                    nulls.append(known[lo + a : lo + b])
+                    counts.append(per)
+                    codes.append(out)
+                    held += len(out)
+                    if held >= roll_ids:
+                        flush()
         flush()
         names = [x.split()[0] for x in MANIFEST.split(", ")]
-        kinds = [pa.int32(), pa.int32(), pa.string(), *[pa.int64()] * 5]
+        kinds = [pa.int32(), pa.int32(), pa.string(), *[pa.int64()] * 6]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
 
     return run
 
 
-def write_token_files(documents: DataFrame, tokenizer: str, folder: str | None = None, roll_ids: int = ROLL_IDS) -> DataFrame:
+def write_token_files(documents: DataFrame, tokenizer: str, folder: str | None = None, roll_ids: int = ROLL_IDS, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Encode all texts and write files in ascending doc_id order; returns the manifest with each file's ``start``.
 
-    Texts are range-shuffled by doc_id once; each task encodes its range and
-    writes its files under temporary names that it then renames, so a task that
-    runs again leaves the same files.  The manifest lists what counts.  A null
-    text is empty and has the end id alone; rows without doc_id come first; rows
-    that repeat a doc_id follow each other by text.  An empty table gives an
-    empty manifest.
+    The order is cut into runs of equally many rows, about ``file_bytes`` of text, at
+    places that depend on the rows alone; each run goes to one task, which encodes it
+    and writes its files, a new one after ``roll_ids`` ids, under temporary names that
+    it then renames.  So a task that runs again, or another run over the same rows,
+    leaves the same files.  The manifest is written beside them and lists what counts.
+    A null text is empty and has the end id alone; rows without doc_id come first; rows
+    that repeat a doc_id follow each other by a hash of the text.  An empty table gives
+    an empty manifest.
     """
     spark = documents.sparkSession
     folder = folder or fresh_dir(spark, "ids")
     where, root = filesystem(folder)
     where.create_dir(root, recursive=True)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    manifest = materialise(ordered.mapInArrow(_writer(tokenizer, folder, roll_ids), MANIFEST), "manifest")
+    key = F.concat(sortable(F.col("doc_id")), sortable(F.xxhash64("text")))
+    rows, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(1))).first()
+    cuts = cut_keys(docs.select(key.alias("key")), max(1, rows * file_bytes // size))
+    ordered = docs.withColumn("key", key).withColumn("run", run_of(F.col("key"), cuts)).repartition("run").sortWithinPartitions("run", "key", "text")
+    manifest = publish(map_texts(ordered.select("doc_id", "run", "text"), _writer(tokenizer, folder, roll_ids), MANIFEST), folder, "manifest")
     before = Window.orderBy("shard", "roll").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
     return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
@@ -254,8 +266,9 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    listed = manifest.select("path", "start", "crc32", "shard", "roll")
-    return listed.repartition("path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    size = manifest.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    listed = manifest.select("path", "start", "crc32")
+    return listed.repartition(max(1, -(-size // TASK_BYTES)), "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_ids(documents: DataFrame, tokenizer: str, roll_ids: int = ROLL_IDS) -> DataFrame:

@@ -13,9 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import global_rank
+from .ranking import global_rank, run_of, sortable
 
-BITS = 8
+BITS, FILE_BYTES = 8, 128 << 20
 
 
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -84,6 +84,15 @@ def cut_runs(df: DataFrame, order: list[str], n_shards: int) -> DataFrame:
     return ranked.withColumn("shard", shard.cast("int")).withColumn("slot", slot.cast("long")).drop("_rank", "_rows", "_long", "_cut")
 
 
+def _placed(documents: DataFrame, keep: list[str]) -> DataFrame:
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = documents.select(
+        *keep, (F.octet_length(text) + 1).cast("long").alias("_size"), F.crc32(text.cast("binary")).alias("_crc"),
+        category_cell("source").alias("_a"), category_cell("lang").alias("_b"), magnitude_cell(F.octet_length(text)).alias("_c"),
+    )
+    return hilbert_order(rows, [F.col("_a"), F.col("_b"), F.col("_c")], name="_curve").drop("_a", "_b", "_c")
+
+
 def shard_documents(documents: DataFrame, n_shards: int = 8) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard and curve, for every row.
 
@@ -93,19 +102,35 @@ def shard_documents(documents: DataFrame, n_shards: int = 8) -> DataFrame:
     ordered by checksum and doc_id, so that copies lie together.  With fewer rows
     than shards the last shards are empty.  Other columns are not read.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = documents.select(
-        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        category_cell("source").alias("_a"), category_cell("lang").alias("_b"), magnitude_cell(F.octet_length(text)).alias("_c"),
-    )
-    placed = hilbert_order(rows, [F.col("_a"), F.col("_b"), F.col("_c")]).drop("_a", "_b", "_c")
+    placed = _placed(documents, ["doc_id"]).select("doc_id", F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), F.col("_curve").alias("curve"))
     cut = cut_runs(placed, ["curve", "text_crc32", "doc_id", "size"], n_shards)
     return cut.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
-def write_shards(documents: DataFrame, placed: DataFrame, path: str, columns: list[str]) -> DataFrame:
-    """Write ``documents`` by shard and return the zone map: the minimum and maximum of ``columns`` in each shard."""
-    full = documents.join(placed.select("doc_id", "shard", "slot"), "doc_id")
-    full.repartition("shard").sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
-    kept = documents.sparkSession.read.parquet(path)
+def write_shards(documents: DataFrame, path: str, columns: list[str], n_shards: int = 8, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Write all rows and columns of ``documents`` by shard and return the zone map: the minimum and maximum of ``columns`` in each shard.
+
+    The order is that of ``shard_documents``.  Each shard's rows are cut into files of
+    about ``file_bytes`` of text, each written by one task, so a shard is never one
+    task.  Rows without doc_id and rows that repeat one are kept as they are; only rows
+    equal in doc_id, text and curve position always share a file, which may move a
+    shard's border by their number.  An empty table gives an empty zone map.
+    """
+    key = F.concat(sortable(F.col("_curve")), sortable(F.col("_crc")), sortable(F.col("doc_id")), sortable(F.col("_size")))
+    full = _placed(documents, documents.columns).withColumn("_key", key)
+    rows, size = full.agg(F.count(F.lit(1)), F.coalesce(F.sum("_size"), F.lit(1))).first()
+    per = max(1, rows * file_bytes // size)
+    cut = cut_runs(full.select("_key"), ["_key"], n_shards).where((F.col("slot") % per == 0) & ((F.col("slot") > 0) | (F.col("shard") > 0)))
+    cuts = cut.groupBy("_key").agg(F.max("shard").alias("shard")).toArrow().sort_by("_key")  # a row a file
+    shards = np.concatenate(([0], cuts.column("shard").to_numpy())).astype(np.int32)
+    full = full.withColumn("_run", run_of(F.col("_key"), np.array(cuts.column("_key").to_pylist(), dtype=bytes)))
+
+    @F.pandas_udf("int")
+    def shard_of(run: pd.Series) -> pd.Series:
+        return pd.Series(shards[run.to_numpy()])
+
+    full = full.withColumn("shard", shard_of("_run"))
+    ordered = full.repartition("_run").sortWithinPartitions("shard", "_run", "_key").select(*documents.columns, "shard")
+    ordered.write.mode("overwrite").partitionBy("shard").parquet(path)
+    kept = documents.sparkSession.read.schema(ordered.schema).parquet(path)
     return kept.groupBy("shard").agg(F.count(F.lit(1)).alias("rows"), *[f(c).alias(f"{c}_{n}") for c in columns for f, n in ((F.min, "min"), (F.max, "max"))])

@@ -8,7 +8,8 @@ only if their bytes are equal: hash ties are told apart by the bytes, so the
 names are free of collisions.
 
 Scale: block contents are shuffled once, after each Arrow batch has dropped its
-own repeats, so a block that a third of all rows hold arrives once a batch.
+own repeats and each task has combined those of its batches, so a block that a
+third of all rows hold arrives once a task.
 Everything after that moves rows of a few integers.  The rounds number
 log2(blocks of the longest text).
 """
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .ranking import global_rank
 from .textkernel import slices, span_hashes, texts_of
-from .workspace import materialise
+from .workspace import map_texts, materialise
 
 BLOCK_BYTES = 16384
 
@@ -43,17 +44,15 @@ def _contents(block_bytes: int, hash_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = texts_of(batch.column("text"))
+            seen: dict[tuple[int, bytes], None] = {}
             for a, b in slices(offsets):
                 part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 starts, ends, *_ = _cut(at, block_bytes)
                 h = (span_hashes(part, starts, ends) >> np.uint64(64 - hash_bits)).view(np.int64)
-                raw = part.tobytes()
-                seen: dict[tuple[int, bytes], None] = {}
+                raw = memoryview(part)
                 for k, s, e in zip(h.tolist(), starts.tolist(), ends.tolist()):
-                    seen.setdefault((k, raw[s:e]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([k for k, _ in seen], pa.int64()), pa.array([x for _, x in seen], pa.binary())], ["h", "block"]
-                )
+                    seen.setdefault((k, bytes(raw[s:e])))
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in seen], pa.int64()), pa.array([x for _, x in seen], pa.binary())], ["h", "block"])
 
     return run
 
@@ -86,8 +85,8 @@ def _places(block_bytes: int, hash_bits: int, with_block: bool):
 def _name_blocks(docs: DataFrame, block_bytes: int, hash_bits: int) -> DataFrame:
     """(doc_id, text_sha256, tag, n_blocks, pos, name) for each block of each row."""
     distinct = (
-        docs.select("text").mapInArrow(_contents(block_bytes, hash_bits), "h long, block binary")
-        .repartition("h").groupBy("h", "block").agg(F.count(F.lit(1)).alias("_n"))
+        map_texts(docs.select("text"), _contents(block_bytes, hash_bits), "h long, block binary")
+        .groupBy("h", "block").agg(F.count(F.lit(1)).alias("_n"))
     )
     same = Window.partitionBy("h")
     ties = materialise(
@@ -97,11 +96,11 @@ def _name_blocks(docs: DataFrame, block_bytes: int, hash_bits: int) -> DataFrame
     names = global_rank(ties, ["h", "ord"], "name")
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, text_sha256 string, tag long, n_blocks long, pos long, h long"
-    placed = docs.mapInArrow(_places(block_bytes, hash_bits, False), schema)
+    placed = map_texts(docs, _places(block_bytes, hash_bits, False), schema)
     tied = names.where("block IS NOT NULL")
     named = placed.join(names.where("block IS NULL").select("h", "name"), "h").drop("h")
     if tied.limit(1).count():  # blocks whose hashes clash are told apart by their bytes
-        full = docs.mapInArrow(_places(block_bytes, hash_bits, True), schema + ", block binary")
+        full = map_texts(docs, _places(block_bytes, hash_bits, True), schema + ", block binary")
         named = named.unionByName(full.join(tied.select("h", "block", "name"), ["h", "block"]).drop("h", "block"))
     return named
 

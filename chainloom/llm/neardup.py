@@ -8,8 +8,8 @@ and the number of equal coordinates of two sketches is concentrated about
 ``t`` times their Jaccard similarity.
 
 Links.  Documents whose sketches agree in one of ``bands`` bands of ``rows``
-coordinates share a bucket (at similarity 0.85, 24 bands of 4 miss 2 pairs in
-10**8).  Texts with equal shingle sets are one class and take part once.  In each
+coordinates share a bucket (at similarity 0.85, 28 bands of 6 miss 2 pairs in
+10**6; at 0.5, 36 pairs in 100 share one).  Texts with equal shingle sets are one class and take part once.  In each
 bucket every class is verified on its full set against the least class.  Buckets
 that then still hold several components are searched exhaustively: their members
 are cut into chunks, and pairs of chunks are compared inside tasks by an exact
@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .textkernel import grouped, list_array, lower_ascii, mix, slices, span_hashes, texts_of, words
-from .workspace import materialise
+from .workspace import map_texts, materialise
 
-BANDS, ROWS = 24, 4
+BANDS, ROWS = 28, 6
 CHUNK_SETS, CHUNK_SHINGLES = 1024, 500_000
 _SCHEMA = "doc_id long, n_shingles long, s1 long, s2 long"
 
@@ -231,7 +231,7 @@ def near_duplicates(documents: DataFrame, width: int = 3, threshold: float = 0.8
     """
     num, den = round(threshold * 100), 100
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    base = materialise(docs.mapInArrow(_kernel(width, bands, rows, "bands"), f"{_SCHEMA}, keys array<long>"), "sketches")
+    base = materialise(map_texts(docs, _kernel(width, bands, rows, "bands"), f"{_SCHEMA}, keys array<long>"), "sketches")
     filled = base.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = materialise(filled.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")), "classes")
     places = classes.select("node", F.posexplode("keys").alias("band", "key"))
@@ -240,7 +240,7 @@ def near_duplicates(documents: DataFrame, width: int = 3, threshold: float = 0.8
     )
     shared = materialise(places.join(buckets, ["band", "key"]).select("band", "key", "node", "centre"), "shared")
     wanted = shared.select(F.col("node").alias("doc_id")).distinct()
-    sets = docs.join(wanted, "doc_id", "left_semi").mapInArrow(_kernel(width, bands, rows, "sets"), "doc_id long, shingles array<long>")
+    sets = map_texts(docs.join(wanted, "doc_id", "left_semi"), _kernel(width, bands, rows, "sets"), "doc_id long, shingles array<long>")
     sets = materialise(sets.select(F.col("doc_id").alias("node"), "shingles"), "sets")
     pairs = shared.where("node <> centre").select("node", "centre").distinct()
     left = sets.select("node", F.col("shingles").alias("x"))

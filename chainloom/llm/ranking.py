@@ -1,7 +1,9 @@
-"""A dense global rank without a single-task window."""
+"""Orders over a whole table without a single-task window: ranks, cuts by rank, the most frequent rows."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,3 +33,47 @@ def global_rank(df: DataFrame, order: list[str | Column], name: str = "rank") ->
         .withColumn(name, F.col("_before") + row)
         .drop("_part", "_before", "_mid")
     )
+
+
+def most_frequent(df: DataFrame, count: str, limit: int) -> DataFrame:
+    """The rows with the largest counts, at most ``limit`` of them; of the last level of counts all rows or none.
+
+    Counts are levelled (exactly up to 64, then by sixteenths of a doubling), the
+    levels' sizes, some thousand rows, give the cut, and the rows pass a filter, so no
+    task sorts them.
+    """
+    level = F.when(F.col(count) <= 64, F.col(count)).otherwise(F.floor(F.log2(count) * 16) - 32).cast("long")
+    sizes = df.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("rows")).collect()
+    cut, held = None, 0
+    for at, rows in sorted(((r.level, r.rows) for r in sizes), reverse=True):
+        held += rows
+        if held > limit:
+            break
+        cut = at
+    return df.where(level >= cut) if cut is not None else df.limit(0)
+
+
+def sortable(number: Column) -> Column:
+    """A long as text of fixed length that sorts like the number, nulls first."""
+    digits = F.lpad(F.hex(number.cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    return F.when(number.isNull(), F.lit("0" * 17)).otherwise(F.concat(F.lit("1"), digits))
+
+
+def cut_keys(keys: DataFrame, per: int) -> np.ndarray:
+    """The keys (column ``key``, ASCII text) at every ``per``-th place of their order: one for each run but the first.
+
+    They depend on the keys alone, never on partitions or samples.
+    """
+    ranked = global_rank(keys.select("key"), ["key"])
+    cuts = ranked.where((F.col("rank") > 0) & (F.col("rank") % per == 0)).select("key").distinct().toArrow()
+    return np.sort(np.array(cuts.column("key").to_pylist(), dtype=bytes))
+
+
+def run_of(key: Column, cuts: np.ndarray) -> Column:
+    """The number of the run that a key belongs to; equal keys share a run."""
+
+    @F.pandas_udf("int")
+    def find(keys: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts, keys.to_numpy().astype(bytes), side="right").astype(np.int32))
+
+    return find(key) if len(cuts) else F.lit(0)

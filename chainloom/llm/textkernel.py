@@ -13,10 +13,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
-SLICE = 1 << 20
-_SEED = 0x5EED
+SLICE, _LONG = 1 << 20, 64
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Odd multipliers of the rounds.
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 
 def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -29,11 +32,6 @@ def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
     return h
 
 
-@lru_cache(maxsize=1)
-def _byte_values() -> np.ndarray:
-    return np.random.default_rng(_SEED).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
 @lru_cache(maxsize=1)
 def _lower() -> np.ndarray:
     table = np.arange(256, dtype=np.uint8)
@@ -48,31 +46,53 @@ def _space() -> np.ndarray:
     return table
 
 
-_powers: list[np.ndarray] = []
+def lower_ascii(data: np.ndarray) -> np.ndarray:
+    return _lower()[data]
 
 
-def _power_tables(n: int) -> list[np.ndarray]:
-    """Powers of an odd multiplier and of its inverse modulo 2**64."""
-    if not _powers or len(_powers[0]) < n:
-        base = 0xD6E8FEB86659FD93
-        size = max(n, SLICE + 4096)
-        _powers[:] = [
-            np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(size, b, dtype=np.uint64))))
-            for b in (base, pow(base, -1, 2**64))
-        ]
-    return _powers
+def _turn(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x << np.uint64(bits)) | (x >> np.uint64(64 - bits))
+
+
+def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int, both: bool) -> tuple[np.ndarray, np.ndarray]:
+    size = ends - starts
+    h = mix(size.astype(np.uint64) * _ODD, salt + 1)
+    check = mix(h, 77) if both else h
+    lanes = np.ndarray((len(data) + 1,), "<u8", np.concatenate((data, np.zeros(8, dtype=np.uint8))), strides=(1,))  # eight bytes from each place
+    left = np.flatnonzero((size > 0) & (size <= _LONG))
+    at, rest = starts[left], size[left]
+    while len(left):
+        lane = lanes[at] & _MASKS[np.minimum(rest, 8)]
+        h[left] = _turn(h[left] ^ (_turn(lane * _P2, 31) * _P1), 27) * _P1 + _P4
+        if both:
+            own = (check[left] ^ lane) * _P3
+            check[left] = (own ^ (own >> np.uint64(29))) * _P5
+        more = rest > 8
+        left, at, rest = left[more], at[more] + 8, rest[more] - 8
+    long = np.flatnonzero(size > _LONG)
+    if len(long):
+        view = memoryview(np.ascontiguousarray(data))
+        raw = b"".join(xxhash.xxh3_128_digest(view[s:e], salt) for s, e in zip(starts[long].tolist(), ends[long].tolist()))
+        wide = np.frombuffer(raw, dtype="<u8").reshape(-1, 2)
+        h[long] ^= wide[:, 0]
+        if both:
+            check[long] ^= wide[:, 1]
+    return mix(h), mix(check, 78) if both else h
 
 
-def lower_ascii(data: np.ndarray) -> np.ndarray:
-    return _lower()[data]
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+    """64-bit hashes of the byte ranges ``[starts, ends)``.
 
+    Short ranges take a multiply-and-rotate round for every eight bytes, long ones a
+    library hash.  No step is linear in the bytes, so patterned texts do not collide
+    by their form, and ranges of eight bytes or fewer of one length never collide.
+    """
+    return _hashes(data, starts, ends, salt, False)[0]
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
-    """64-bit hashes of the byte ranges ``[starts, ends)``, from one pass of prefix sums."""
-    power, inverse = _power_tables(len(data) + 1)
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_byte_values()[data] * power[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _ODD, salt)
+
+def span_pairs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same hashes, and as many bits by other rounds, to tell apart what shares a hash."""
+    return _hashes(data, starts, ends, 0, True)
 
 
 def texts_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,20 +147,26 @@ def list_array(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa
 
 
 class GrowingTable:
-    """An open-addressing map from 64-bit hashes to row numbers in order of addition, probed by whole arrays."""
+    """An open-addressing map from 64-bit hashes to row numbers in order of addition, probed by whole arrays.
+
+    With ``checked`` a key is a hash and a second one, and both must agree.
+    """
 
-    def __init__(self, limit: int):
+    def __init__(self, limit: int, checked: bool = False):
         self.bits = max(4, int(np.ceil(np.log2(max(limit, 1) * 1.7))))
         self.slots = np.full(1 << self.bits, -1, dtype=np.int32)
         self.keys, self.used = np.zeros(max(limit, 1), dtype=np.uint64), 0
+        self.checks = np.zeros(max(limit, 1), dtype=np.uint64) if checked else None
 
     def _home(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * _ODD) >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def add(self, keys: np.ndarray) -> np.ndarray:
+    def add(self, keys: np.ndarray, checks: np.ndarray | None = None) -> np.ndarray:
         """Row numbers of keys that the table lacks; they must differ."""
         rows = np.arange(self.used, self.used + len(keys), dtype=np.int32)
         self.keys[rows] = keys
+        if self.checks is not None:
+            self.checks[rows] = checks
         self.used += len(keys)
         todo, at = rows, self._home(keys)
         while len(todo):
@@ -150,7 +176,7 @@ class GrowingTable:
             todo, at = todo[lost], (at[lost] + 1) & ((1 << self.bits) - 1)
         return rows
 
-    def find(self, wanted: np.ndarray) -> np.ndarray:
+    def find(self, wanted: np.ndarray, checks: np.ndarray | None = None) -> np.ndarray:
         """Row numbers, -1 where absent."""
         found = np.full(len(wanted), -1, dtype=np.int32)
         at = self._home(wanted)
@@ -158,6 +184,8 @@ class GrowingTable:
         while len(left):
             row = self.slots[at]
             hit = (row >= 0) & (self.keys[row] == wanted[left])
+            if self.checks is not None:
+                hit &= self.checks[row] == checks[left]
             found[left[hit]] = row[hit]
             more = (row >= 0) & ~hit
             left, at = left[more], (at[more] + 1) & ((1 << self.bits) - 1)
@@ -167,6 +195,6 @@ class GrowingTable:
 class HashTable(GrowingTable):
     """The same with all its keys from the start."""
 
-    def __init__(self, keys: np.ndarray):
-        super().__init__(len(keys))
-        self.add(np.asarray(keys, dtype=np.uint64))
+    def __init__(self, keys: np.ndarray, checks: np.ndarray | None = None):
+        super().__init__(len(keys), checks is not None)
+        self.add(np.asarray(keys, dtype=np.uint64), checks)

@@ -17,8 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkernel import HashTable, slices, span_hashes, texts_of
+from .ranking import most_frequent
+from .textkernel import HashTable, slices, span_pairs, texts_of
 from .units import UnitCache, piece_units
+from .workspace import map_texts, materialise
 
 TABLE, SUMMARY, LIMIT = 1 << 16, 1 << 13, 4096
 
@@ -46,11 +48,11 @@ def _piece_model(path: str) -> UnitCache:
     return UnitCache(encode)
 
 
-def _units(part: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _units(part: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     part, at = _spaced(part, at)
     starts = piece_units(part, at)
     ends = np.append(starts[1:], len(part)).astype(np.int64)
-    return part, at, starts, ends, span_hashes(part, starts, ends)
+    return part, at, starts, ends, *span_pairs(part, starts, ends)
 
 
 def _summary(keep: int):
@@ -59,7 +61,7 @@ def _summary(keep: int):
         for batch in batches:
             data, offsets = texts_of(batch.column("text"))
             for a, b in slices(offsets):
-                part, _, starts, ends, h = _units(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                part, _, starts, ends, h, _ = _units(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 unique, where, count = np.unique(h, return_index=True, return_counts=True)
                 top = np.argsort(-count, kind="stable")[:keep]
                 raw = part.tobytes()
@@ -76,21 +78,21 @@ def _summary(keep: int):
     return run
 
 
-def _frequent(texts: DataFrame, model: str, table: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and lengths of at most ``table`` frequent pre-tokens."""
+def _frequent(texts: DataFrame, model: str, table: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both hashes and the lengths of at most ``table`` frequent pre-tokens."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _piece_model(model)
         for batch in batches:
             data, offsets = texts_of(batch.column("unit"))
-            h = span_hashes(data, offsets[:-1], offsets[1:])
-            _, size = cache.look_up(h, data.tobytes(), offsets[:-1], offsets[1:])
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(size, pa.int32())], ["h", "n"])
+            h, check = span_pairs(data, offsets[:-1], offsets[1:])
+            _, size = cache.look_up(h, check, data.tobytes(), offsets[:-1], offsets[1:])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(check.view(np.int64)), pa.array(size, pa.int32())], ["h", "check", "n"])
 
-    merged = texts.mapInArrow(_summary(SUMMARY), "unit binary, n long").groupBy("unit").agg(F.sum("n").alias("n"))
-    best = merged.orderBy(F.desc("n"), "unit").limit(table).select("unit").mapInArrow(measure, "h long, n int")
-    rows = best.toArrow()
-    return rows.column("h").to_numpy().view(np.uint64), rows.column("n").to_numpy()
+    merged = map_texts(texts, _summary(SUMMARY), "unit binary, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    best = most_frequent(materialise(merged, "units"), "n", table).select("unit")
+    rows = map_texts(best, measure, "h long, check long, n int").toArrow()
+    return rows.column("h").to_numpy().view(np.uint64), rows.column("check").to_numpy().view(np.uint64), rows.column("n").to_numpy()
 
 
 def token_counts(documents: DataFrame, model: str, limit: int = LIMIT, table: int = TABLE) -> DataFrame:
@@ -100,24 +102,23 @@ def token_counts(documents: DataFrame, model: str, limit: int = LIMIT, table: in
     repeated.  Other columns are not read.  An empty table gives an empty result.
     """
     docs = documents.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    keys, sizes = _frequent(docs.select("text"), model, table)
-    shared = documents.sparkSession.sparkContext.broadcast((keys, sizes))
+    shared = documents.sparkSession.sparkContext.broadcast(_frequent(docs.select("text"), model, table))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, lengths = shared.value
-        first, cache = HashTable(known), _piece_model(model)
+        *known, lengths = shared.value
+        first, cache = HashTable(*known), _piece_model(model)
         for batch in batches:
             data, offsets = texts_of(batch.column("text"))
             total = np.zeros(len(offsets) - 1, dtype=np.int64)
             for a, b in slices(offsets):
-                part, at, starts, ends, h = _units(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                row = first.find(h)
+                part, at, starts, ends, h, check = _units(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                row = first.find(h, check)
                 n = np.zeros(len(h), dtype=np.int64)
                 hit = row >= 0
                 n[hit] = lengths[row[hit]]
                 miss = np.flatnonzero(~hit)
                 if len(miss):
-                    n[miss] = cache.look_up(h[miss], part.tobytes(), starts[miss], ends[miss])[1]
+                    n[miss] = cache.look_up(h[miss], check[miss], part.tobytes(), starts[miss], ends[miss])[1]
                 upto = np.concatenate(([0], np.cumsum(n)))
                 total[a:b] = np.diff(upto[np.searchsorted(starts, at)])
             bytes_ = np.diff(offsets)
@@ -127,4 +128,4 @@ def token_counts(documents: DataFrame, model: str, limit: int = LIMIT, table: in
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(count, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return map_texts(docs, count, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")

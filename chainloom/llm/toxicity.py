@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .textkernel import HashTable, grouped, list_array, lower_ascii, slices, span_hashes, texts_of
-from .workspace import materialise
+from .workspace import map_texts, materialise
 
 MAX_LABELLED, FEATURES, VOTERS, BEGINNINGS = 20_000, 2048, 128, (4, 5, 6)
 EM_ROUNDS, FIT_ROUNDS, THRESHOLD, LEAST_PRECISION = 4, 20, 0.3, 0.75
@@ -91,7 +91,7 @@ def _lexicon(sample: DataFrame, documents: DataFrame, features: int, voters: int
     rows = documents.join(F.broadcast(sample), "doc_id").select("text", "toxic")  # at most MAX_LABELLED ids
     bad, all_ = sample.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count(F.lit(1))).first()
     share = (bad + 1) / (all_ + 20)
-    tally = rows.mapInArrow(_tally, "h long, bad long, good long").groupBy("h").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    tally = map_texts(rows, _tally, "h long, bad long, good long").groupBy("h").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     tally = materialise(tally.where("bad + good >= 2"), "tally")
     b, g = F.col("bad"), F.col("good")
     part = lambda n, of, row: n / all_ * F.log((n * all_ + 1e-9) / (of * row + 1e-9))
@@ -242,7 +242,7 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame, max_labelled: int =
     shared = documents.sparkSession.sparkContext.broadcast(hashes)
     kind = docs.schema["doc_id"].dataType.simpleString()
     known = docs.join(F.broadcast(sample), "doc_id", "left").select("doc_id", "held_out", "text", "toxic")
-    table = materialise(known.mapInArrow(_present(shared), f"doc_id {kind}, held_out boolean, toxic long, features array<int>"), "features")
+    table = materialise(map_texts(known, _present(shared), f"doc_id {kind}, held_out boolean, toxic long, features array<int>"), "features")
     if len(hashes):
         model = _label_model(table, precision, share, EM_ROUNDS)
 

@@ -86,43 +86,43 @@ def piece_units(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class UnitCache:
-    """Codes of units by 64-bit hash, in one growing pool; it starts anew when full, so its memory is bounded.
+    """Codes of units by two 64-bit hashes, in one growing pool; it starts anew when full, so its memory is bounded.
 
-    A unit takes about 30 bytes and its codes.
+    A unit takes about 40 bytes and its codes.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int = 1_000_000):
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int = 500_000):
         self.encode, self.limit = encode, limit
         self._reset()
 
     def _reset(self) -> None:
-        self.table = GrowingTable(self.limit)
+        self.table = GrowingTable(self.limit, checked=True)
         self.first, self.size = np.zeros(self.limit, dtype=np.int32), np.zeros(self.limit, dtype=np.int32)
         self.pool, self.used = np.zeros(1 << 14, dtype=np.int32), 0
 
-    def look_up(self, hashes: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def look_up(self, hashes: np.ndarray, checks: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First pool position and number of codes of each unit."""
-        slot = self.table.find(hashes)
+        slot = self.table.find(hashes, checks)
         miss = np.flatnonzero(slot < 0)
-        if len(miss):
-            unique, where, inverse = np.unique(hashes[miss], return_index=True, return_inverse=True)
+        while len(miss):  # again only for units that share their first hash
+            unique, where = np.unique(hashes[miss], return_index=True)
             if self.table.used + len(unique) > self.limit:
-                if len(unique) > self.limit:
-                    self.limit = len(unique)
+                self.limit = max(self.limit, len(hashes))
                 self._reset()
-                return self.look_up(hashes, raw, starts, ends)
-            s, e = starts[miss[where]].tolist(), ends[miss[where]].tolist()
-            codes, sizes = self.encode([raw[a:b] for a, b in zip(s, e)])
+                return self.look_up(hashes, checks, raw, starts, ends)
+            new = miss[where]
+            codes, sizes = self.encode([raw[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist())])
             if self.used + len(codes) > len(self.pool):
                 grown = np.zeros(max(self.used + len(codes), len(self.pool) * 3 // 2), dtype=np.int32)
                 grown[: self.used] = self.pool[: self.used]
                 self.pool = grown
             self.pool[self.used : self.used + len(codes)] = codes
-            rows = self.table.add(unique)
+            rows = self.table.add(unique, checks[new])
             self.size[rows] = sizes
             self.first[rows] = self.used + np.cumsum(sizes) - sizes
             self.used += len(codes)
-            slot[miss] = rows[inverse]
+            slot[miss] = self.table.find(hashes[miss], checks[miss])
+            miss = miss[slot[miss] < 0]
         return self.first[slot].astype(np.int64), self.size[slot]
 
 

@@ -1,10 +1,11 @@
 """A deterministic sharded WARC writer, and its reader.
 
-Records are range-sorted by page_id; each task writes its range as gzip members,
-rolls to a new file when the compressed size passes a limit, writes under
-temporary names, renames, and reports the file for the manifest.  Headers and
-digests are made anew, dates are a parameter, and gzip headers hold no time, so a
-rerun gives the same bytes.
+Records are sorted by page_id and digest and the order is cut into runs of equally
+many rows, at places that depend on the rows alone.  Each run goes to one task, which
+writes it as gzip members, rolls to a new file when the compressed size passes a
+limit, writes under temporary names, renames, and reports the file for the manifest,
+which is written beside the files.  Headers and digests are made anew, dates are a
+parameter, and gzip headers hold no time, so a rerun gives the same bytes.
 
 Of records with equal payloads the one with the largest page_id is a response and
 the others revisit it.  Which page that is comes from an aggregate over digests
@@ -24,9 +25,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import filesystem, fresh_dir, materialise
+from .ranking import cut_keys, run_of, sortable
+from .workspace import filesystem, fresh_dir, map_texts, materialise, publish
 
 ROLL_BYTES, LEVEL, DATE = 64 << 20, 1, "2020-01-01T00:00:00Z"
+RUN_BYTES, TASK_BYTES = 32 << 20, 16 << 20  # payload bytes in a run; bytes of archives in a reading task
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "shard int, roll int, path string, records long, bytes long, first_page long, last_page long, sha1 string"
 
@@ -65,8 +68,8 @@ def page_record(page_id: int | None, url: str | None, payload: bytes, refers_to:
 def _writer(folder: str, roll_bytes: int, date: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, root = filesystem(folder)
-        task = TaskContext.get()
-        shard, attempt, roll, out = task.partitionId(), task.taskAttemptId(), 0, None
+        attempt = TaskContext.get().taskAttemptId()
+        shard, roll, out = None, 0, None
         rows: list[tuple] = []
         size = records = 0
         seal = hashlib.sha1()
@@ -90,7 +93,10 @@ def _writer(folder: str, roll_bytes: int, date: str):
 
         page, decisions, done = object(), {}, set()
         for batch in batches:
-            for page_id, kind, sha, url, html, response in zip(*(batch.column(c).to_pylist() for c in ("page_id", "kind", "sha", "url", "html", "response"))):
+            for run_, page_id, kind, sha, url, html, response in zip(*(batch.column(c).to_pylist() for c in ("run", "page_id", "kind", "sha", "url", "html", "response"))):
+                if run_ != shard:
+                    close()
+                    shard, roll, page = run_, 0, object()
                 if page_id != page:
                     page, decisions, done = page_id, {}, set()
                 if kind == 0:
@@ -117,7 +123,7 @@ def _writer(folder: str, roll_bytes: int, date: str):
     return run
 
 
-def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int = 0, roll_bytes: int = ROLL_BYTES, date: str = DATE) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int = 0, roll_bytes: int = ROLL_BYTES, date: str = DATE, run_bytes: int = RUN_BYTES) -> DataFrame:
     """Write a record for every row of ``pages`` and return the manifest.
 
     A null html is an empty payload, a null url becomes a name made of the page_id.
@@ -135,11 +141,14 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
     best = small.groupBy("sha").agg(F.max("page_id").alias("response"))
     decisions = materialise(small.distinct().join(best, "sha"), "responses")
     nothing = F.lit(None)
+    key = F.concat(sortable(F.col("page_id")), "sha")
+    n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("html") + 1), F.lit(1))).first()
+    cuts = cut_keys(rows.select(key.alias("key")), max(1, n * run_bytes // size))
     both = rows.select("page_id", F.lit(1).alias("kind"), "sha", "url", "html", nothing.cast("long").alias("response")).unionByName(
         decisions.select("page_id", F.lit(0).alias("kind"), "sha", nothing.cast("string").alias("url"), nothing.cast("binary").alias("html"), "response")
     )
-    ordered = both.repartitionByRange("page_id").sortWithinPartitions("page_id", "kind", "sha", "url")
-    return materialise(ordered.mapInArrow(_writer(folder, roll_bytes, date), MANIFEST), "manifest")
+    ordered = both.withColumn("run", run_of(key, cuts)).repartition("run").sortWithinPartitions("run", "page_id", "sha", "kind", "url")
+    return publish(map_texts(ordered, _writer(folder, roll_bytes, date), MANIFEST), folder, "manifest")
 
 
 def members(source, chunk: int = 1 << 14) -> Iterator[bytes]:
@@ -200,7 +209,8 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                             rows = []
                 yield out(rows)
 
-    return manifest.select("path").repartition("path").mapInArrow(run, schema)
+    size = manifest.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    return manifest.select("path").repartition(max(1, -(-size // TASK_BYTES)), "path").mapInArrow(run, schema)
 
 
 def archive_round_trip(pages: DataFrame, min_bytes: int = 0, roll_bytes: int = ROLL_BYTES) -> DataFrame:

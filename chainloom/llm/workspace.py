@@ -9,6 +9,7 @@ import uuid
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
+_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 _made: list[str] = []
 _local: list[str] = []
 
@@ -46,6 +47,32 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def publish(df: DataFrame, folder: str, name: str) -> DataFrame:
+    """Write ``df`` as ``folder/name``, under a temporary name that is then renamed, and read it back; an older one is replaced."""
+    spark = df.sparkSession
+    where, root = filesystem(folder)
+    temporary = f"{name}-{uuid.uuid4().hex}.tmp"
+    df.write.parquet(f"{folder}/{temporary}")
+    if where.get_file_info(f"{root}/{name}").type != pafs.FileType.NotFound:
+        where.delete_dir(f"{root}/{name}")
+    where.move(f"{root}/{temporary}", f"{root}/{name}")
+    return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+
+def map_texts(df: DataFrame, function, schema: str) -> DataFrame:
+    """``mapInArrow`` over rows that hold texts, in batches of bounded size.
+
+    Spark counts rows, not bytes, when it cuts batches unless it is told a limit, and
+    ten thousand long texts are too much for a worker.
+    """
+    conf = df.sparkSession.conf
+    for key, most in _BATCH.items():
+        now = int(conf.get(key).rstrip("b"))
+        if now <= 0 or now > most:
+            conf.set(key, most)
+    return df.mapInArrow(function, schema)
+
+
 @atexit.register
 def _clean() -> None:
     for path in _made:
