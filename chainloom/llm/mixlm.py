@@ -1,23 +1,28 @@
 """Language-model scores by online logistic mixing of hashed-context bit predictors.
 
-A text is written byte by byte with a closing byte, each byte bit by bit.  Five
-predictors look at the last 1 to 5 bytes, across word borders; one looks at the
-beginning of the word (lower-cased, the word counts' input to the mixer), and one at
-that and the word before.  Each keeps counts of zeros and ones in a hashed table,
-gathered by tasks over all training texts and merged by table part.  A slot's counts
-are kept as a code of two rounded counts; what a code says in log odds is measured on
-the training bits themselves, each left out of its own slot.  The log odds are summed
-with weights chosen by how many predictors know the context.  The weights start from
-values learned online over all training texts, again with each bit left out, and go
-on to follow each text's own errors block by block.  A last table refines the mixed
-probability by what it has turned out to mean.  A text's score is the log10
-probability of all of its bytes and its end; bits per byte follow.
-
-The base score and the known words come from a counted table of words.
-
-Scale: the tables and weights have a bounded size.  Texts look up frequent words in a
-broadcast table of at most ``FREQUENT`` rows; rarer words, a few in a hundred, are
-joined by hash.
+A text is a sequence of tokens, lower-cased words and one end, and every token is
+written as the bits of a prefix code: a known word (one of the ``FREQUENT`` most
+counted, at least twice) by its place in a Huffman tree over the counted words, any
+other word by an escape and then its bytes and a closing byte, each by its place in a
+second tree.  ``PREDICTORS`` predictors guess each bit.  For words their contexts are
+none (the word counts themselves), the last one, two and three words, the word before
+last, and the last word's ending; for bytes the place in the word, the last one, two
+and three bytes, the word's whole beginning, and that with the word before.  Each keeps
+counts of zeros and ones in a hashed table, gathered by tasks over all training texts
+and merged by table part.  A slot's counts are kept as a code of two rounded counts;
+what a code says in log odds is measured on the training bits themselves, each left
+out of its own slot.
+
+The log odds are summed with weights that a gate chooses, by how many predictors know
+the context.  The weights start from values learned online over all training texts,
+again with each bit left out, and go on to follow each text's own errors block by
+block.  A last table refines the mixed probability by what it has turned out to mean,
+and how far it is trusted follows the text's errors too.  A text's score is the log10
+probability of all its tokens; bits per byte follow.
+
+Scale: the vocabulary, tables and weights have a bounded size, and a text is worked on
+in slices.  The base score's counts come from a table of all words: texts look up the
+frequent ones in the broadcast vocabulary; rarer ones are joined by hash.
 """
 
 from __future__ import annotations
@@ -29,15 +34,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import most_frequent
 from .textkernel import HashTable, grouped, list_array, lower_ascii, mix, slices, span_hashes, texts_of, words
 from .units import spread
-from .workspace import materialise
+from .workspace import map_texts, materialise
 
-ORDERS, LEAST_BITS, MOST_BITS = 5, 14, 21  # bytes of context; least and most bits of a table's size
-FREQUENT, BLOCK, CHUNK, BYTES_A_TASK = 1 << 18, 1 << 18, 1 << 14, 1 << 26
-END, STEP, MOST_STEP = 255, 64, 1024  # the closing byte; least and most bytes between changes of a text's weights
-_CELLS, _SMOOTH, _RATE, _CALM = 49, 0.05, 0.02, 16.0
-_SPACES = np.array([32, 9, 10, 11, 12, 13], dtype=np.uint8)
+PREDICTORS, LEAST_BITS, MOST_BITS = 6, 14, 21  # least and most bits of a table's size
+FREQUENT, BLOCK, CHUNK, BYTES_A_TASK = 1 << 18, 1 << 16, 1 << 14, 1 << 26
+STEP, MOST_STEP, CLOSE = 16, 512, 32  # least and most tokens between changes of a text's weights; the byte that closes a spelled word
+_SETS, _CELLS, _SMOOTH, _RATE, _CALM = 2 * (PREDICTORS + 1), 49, 0.05, 0.02, 16.0
+_GOLD, _START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x1F83D9ABFB41BD6B)
 
 
 def _gather(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -65,6 +71,170 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), word, pa.array(n)], ["h", "word", "n"])
 
 
+# ---- codes
+
+def code_lengths(counts: np.ndarray) -> np.ndarray:
+    """Huffman code lengths of symbols given in descending order of their counts."""
+    n = len(counts)
+    weight = [float(c) for c in counts[::-1]] + [0.0] * (n - 1)
+    parent = [0] * (2 * n - 1)
+    leaf, node = 0, n
+    for new in range(n, 2 * n - 1):
+        total = 0.0
+        for _ in range(2):
+            if leaf < n and (node >= new or weight[leaf] <= weight[node]):
+                pick, leaf = leaf, leaf + 1
+            else:
+                pick, node = node, node + 1
+            total += weight[pick]
+            parent[pick] = new
+        weight[new] = total
+    depth = [0] * (2 * n - 1)
+    for k in range(2 * n - 3, -1, -1):
+        depth[k] = depth[parent[k]] + 1
+    return np.array(depth[:n][::-1], dtype=np.int64)
+
+
+def prefix_codes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code (behind a leading one) and length of each symbol: canonical, shorter codes first, counts descending."""
+    length = code_lengths(counts)
+    order = np.argsort(length, kind="stable")
+    most = int(length.max())
+    room = np.uint64(1) << (most - length[order]).astype(np.uint64)
+    start = np.cumsum(room) - room
+    code = np.empty(len(counts), dtype=np.uint64)
+    code[order] = (start >> (most - length[order]).astype(np.uint64)) | (np.uint64(1) << length[order].astype(np.uint64))
+    return code, length
+
+
+def _byte_codes() -> tuple[np.ndarray, np.ndarray]:
+    """Codes of bytes: short for letters and the closing byte."""
+    weight = np.ones(256)
+    weight[33:127] = 4
+    weight[128:] = 4
+    weight[48:58] = 6
+    weight[97:123] = 32
+    weight[CLOSE] = 128
+    order = np.argsort(-weight, kind="stable")
+    code, length = np.empty(256, dtype=np.uint64), np.empty(256, dtype=np.int64)
+    code[order], length[order] = prefix_codes(weight[order])
+    return code, length
+
+
+_BYTE_CODE, _BYTE_LENGTH = _byte_codes()
+
+
+class Vocabulary:
+    """Known words by hash, their counts and codes; the end and the escape have codes too."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, ends: int, others: int):
+        order = np.lexsort((hashes, -counts))
+        self.hashes, self.counts = hashes[order], counts[order]
+        every = np.concatenate((self.counts, [max(ends, 1), max(others, 1)])).astype(np.float64)
+        by = np.argsort(-every, kind="stable")
+        self.code, self.length = np.empty(len(every), dtype=np.uint64), np.empty(len(every), dtype=np.int64)
+        self.code[by], self.length[by] = prefix_codes(every[by])
+
+    def table(self) -> HashTable:
+        return HashTable(self.hashes)
+
+
+class Steps:
+    """What is to be coded in some texts: a step is a token or a byte of a spelled word, with its code and contexts."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, vocabulary: Vocabulary, table: HashTable):
+        low = lower_ascii(data)
+        starts, ends, row = words(low, offsets)
+        n = len(offsets) - 1
+        self.starts, self.row, self.hash = starts, row, span_hashes(low, starts, ends)
+        self.symbol = table.find(self.hash).astype(np.int64)
+        known = self.symbol >= 0
+        last, escape = len(vocabulary.counts), len(vocabulary.counts) + 1
+        # items: the words of each text and its end
+        place = np.arange(len(row)) + row
+        upto = grouped(row, n)
+        ending = upto[1:] + np.arange(n) if n else np.zeros(0, dtype=np.int64)
+        items = len(row) + n
+        symbol, extra, name, tail = np.full(items, last), np.zeros(items, dtype=np.int64), np.full(items, _START), np.zeros(items, dtype=np.uint64)
+        symbol[place] = np.where(known, self.symbol, escape)
+        extra[place] = np.where(known, 0, ends - starts + 1)
+        name[place] = self.hash
+        size = ends - starts
+        for k in range(3):
+            tail[place] = tail[place] * np.uint64(256) + np.where(size > k, low[np.maximum(ends - 1 - k, 0)], 0).astype(np.uint64)
+        lane = np.zeros(items, dtype=np.int64)
+        lane[place], lane[ending] = row, np.arange(n)
+        since = np.arange(items) - np.append(0, ending[:-1] + 1)[lane] if items else np.zeros(0, dtype=np.int64)
+        before = []
+        for k in (1, 2, 3):
+            b = np.full(items, _START)
+            b[k:] = np.where(since[k:] >= k, name[: max(items - k, 0)], _START)
+            before.append(b)
+        ended = np.zeros(items, dtype=np.uint64)
+        ended[1:] = np.where(since[1:] >= 1, tail[:-1], 0)
+        two = before[0] * _GOLD + before[1]
+        contexts = [np.zeros(items, dtype=np.uint64), before[0], two, two * _GOLD + before[2], before[1], ended]
+        # steps: each item, and the bytes of those that are spelled
+        steps = 1 + extra
+        item = np.repeat(np.arange(items), steps)
+        within = np.arange(len(item)) - np.repeat(np.cumsum(steps) - steps, steps)
+        self.lane, self.lanes = lane[item], n
+        self.kind = (within > 0).astype(np.int64)
+        self.code, self.length = vocabulary.code[symbol][item], vocabulary.length[symbol][item]
+        self.context = np.stack([(mix(c, salt=k + 1) >> np.uint64(32)).astype(np.uint32)[item] for k, c in enumerate(contexts)])
+        at = np.flatnonzero(within > 0)
+        if len(at):
+            origin = np.zeros(items, dtype=np.int64)
+            origin[place] = starts
+            j = within[at] - 1
+            here = origin[item[at]] + j
+            closing = j + 1 == extra[item[at]]
+            byte = np.where(closing, CLOSE, low[np.minimum(here, len(low) - 1)])
+            self.code[at], self.length[at] = _BYTE_CODE[byte], _BYTE_LENGTH[byte]
+            back = [np.where(j >= k, low[np.maximum(here - k, 0)].astype(np.uint64) + np.uint64(1), np.uint64(0)) for k in (1, 2, 3)]
+            pairs = back[0] * np.uint64(257) + back[1]
+            beginning = _beginnings(back[0], j)
+            spelled = [np.minimum(j, 12).astype(np.uint64), back[0], pairs, pairs * np.uint64(257) + back[2], beginning, beginning + before[0][item[at]] * _GOLD]
+            for k, c in enumerate(spelled):
+                self.context[k, at] = (mix(c, salt=k + 1 + PREDICTORS) >> np.uint64(32)).astype(np.uint32)
+
+
+def _beginnings(byte: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A running hash of the bytes of each word before each place; words that share one share slots, no more."""
+    base = 0xD6E8FEB86659FD93
+    n = len(byte)
+    power, inverse = (np.multiply.accumulate(np.concatenate((np.ones(1, dtype=np.uint64), np.full(n, b, dtype=np.uint64)))) for b in (base, pow(base, -1, 2**64)))
+    sums = np.cumsum(mix(np.where(place > 0, byte, np.uint64(0))) * power[:n], dtype=np.uint64)
+    first = np.maximum.accumulate(np.where(place == 0, np.arange(n), 0))
+    return (sums - sums[first]) * inverse[first]
+
+
+class _Bits:
+    """The bits of all steps in turn: node in the code tree, value, and each predictor's slot."""
+
+    def __init__(self, steps: Steps, order: np.ndarray | slice, sizes: tuple[int, ...]):
+        code, self.length = steps.code[order], steps.length[order]
+        self.ends = np.cumsum(self.length)
+        self.first = self.ends - self.length
+        total = int(self.ends[-1]) if len(self.ends) else 0
+        whole = np.repeat(code, self.length)
+        left = (np.repeat(self.ends, self.length) - np.arange(total)).astype(np.uint64)
+        node = whole >> left
+        self.bit = ((whole >> (left - np.uint64(1))) & np.uint64(1)).astype(np.uint8)
+        node += np.repeat(steps.kind[order].astype(np.uint64) << np.uint64(62), self.length)
+        node *= _GOLD
+        self.node = (node >> np.uint64(32)).astype(np.uint32)
+        self.context, self.order, self.sizes = steps.context, order, sizes
+
+    def slots(self, k: int) -> np.ndarray:
+        at = np.repeat(self.context[k][self.order], self.length)
+        at += self.node
+        at >>= np.uint32(32 - self.sizes[k])
+        return at.astype(np.int64)
+
+
+# ---- counts
+
 def _levels() -> np.ndarray:
     """Least counts of the levels 1 to 63 that a count is rounded to: 1 to 8 exactly, then by quarters."""
     return np.concatenate((np.arange(1, 9), np.ceil(8 * 1.25 ** np.arange(1, 56))))
@@ -72,80 +242,36 @@ def _levels() -> np.ndarray:
 
 _LEAST = _levels()
 _MIDDLE = np.concatenate((np.arange(9), np.sqrt(_LEAST[8:] * np.append(_LEAST[9:], _LEAST[-1] * 1.25))))
-_NODES = np.ones((256, 8), dtype=np.uint64)  # for each byte, the bits before each of its bits behind a one
-_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)).reshape(256, 8)
-for _k in range(1, 8):
-    _NODES[:, _k] = _NODES[:, _k - 1] * np.uint64(2) + _BITS[:, _k - 1]
-_NODES = (mix(_NODES, salt=99) >> np.uint64(32)).astype(np.uint32)
-
-
-def _closed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of the texts, each with the closing byte, which no UTF-8 text holds, and their offsets."""
-    data, offsets = texts_of(column)
-    return np.insert(data, offsets[1:], END), offsets + np.arange(len(offsets))
 
 
-def _contexts(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    """For each predictor the hashed context of every byte: the last 1 to 5 bytes, the word's beginning, and that with the word before.
+def table_bits(tokens: int, kinds: int) -> tuple[int, ...]:
+    """Bits of each predictor's table for so many training tokens of so many kinds.
 
-    Bytes before a text's first one count as the closing byte.
+    A token has some twenty bits, and a table has a slot for each until it reaches
+    ``MOST_BITS``: each counting task holds all tables, at 8 bytes a slot.  The first
+    predictor has no context and needs a slot for each node of the tree.
     """
-    n = len(data)
-    at = np.arange(n)
-    first = np.repeat(offsets[:-1], np.diff(offsets))
-    place = at - first
-    context, out = np.zeros(n, dtype=np.uint64), []
-    for order in range(1, ORDERS + 1):
-        before = np.full(n, END, dtype=np.uint64)
-        before[order:] = data[: max(n - order, 0)]
-        before[place < order] = END
-        context = context * np.uint64(257) + before + np.uint64(1)
-        out.append(mix(context, salt=order))
-    low = lower_ascii(data)
-    starts, ends, _ = words(low, offsets)
-    begin = first.copy()
-    space = np.flatnonzero(np.isin(low[:-1], _SPACES))
-    begin[space + 1] = space + 1
-    begin = np.maximum.accumulate(np.maximum(begin, first))
-    word = span_hashes(low, begin, at, salt=ORDERS + 1)
-    ended = np.cumsum(np.bincount(ends, minlength=n + 1))[begin] - 1  # the last word that ended before this one
-    known = np.append(span_hashes(low, starts, ends), np.uint64(0))
-    inside = (ended >= 0) & (np.append(starts, -1)[ended] >= first)
-    out += [word, mix(word + np.where(inside, known[ended], np.uint64(0)) * np.uint64(0x9E3779B97F4A7C15), salt=ORDERS + 2)]
-    return [(x >> np.uint64(32)).astype(np.uint32) for x in out]
-
-
-def table_bits(size: int) -> tuple[int, ...]:
-    """Bits of each predictor's table for training texts of ``size`` bytes.
-
-    A byte adds at most eight slots and an order of k bytes has at most 255 * 256**k,
-    so a table has a slot for each until it reaches ``MOST_BITS``: each counting task
-    holds all tables, at 8 bytes a slot.
-    """
-    most = [min(8 * size, 255 * 256**k) for k in range(1, ORDERS + 1)] + [8 * size] * 2
-    return tuple(min(max(m.bit_length(), LEAST_BITS), MOST_BITS) for m in most)
-
-
-def _slots(context: np.ndarray, nodes: np.ndarray, size: int) -> np.ndarray:
-    """The table slot of every bit, eight to a byte."""
-    return ((context[:, None] + nodes) >> np.uint32(32 - size)).astype(np.int64)
+    most = [min(20 * tokens, 4 * kinds + 4096), *[20 * tokens] * (PREDICTORS - 1)]
+    return tuple(min(max(int(m).bit_length(), LEAST_BITS), MOST_BITS) for m in most)
 
 
-def _bit_counts(sizes: tuple[int, ...]):
+def _bit_counts(shared, sizes: tuple[int, ...]):
     first = np.concatenate(([0], np.cumsum([1 << b for b in sizes])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(chunk, at, zeros, ones): what this task's training texts add to each part of the tables."""
+        vocabulary = shared.value
+        table = vocabulary.table()
         sums = np.zeros(2 * first[-1], dtype=np.int32)  # a zero and a one beside each other
         for batch in batches:
-            count = batch.column("n").to_numpy().astype(np.int32)
-            data, offsets = _closed(batch.column("text"))
+            data, offsets = texts_of(batch.column("text"))
             for a, b in slices(offsets, BLOCK):
-                part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                contexts, weight = _contexts(part, at), np.repeat(count[a:b], np.diff(at) * 8)
-                nodes, bits = _NODES[part], _BITS[part].reshape(-1)
-                for k, size in enumerate(sizes):
-                    np.add.at(sums[2 * first[k] : 2 * first[k + 1]], _slots(contexts[k], nodes, size).reshape(-1) * 2 + bits, weight)
+                bits = _Bits(Steps(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], vocabulary, table), slice(None), sizes)
+                for k in range(len(sizes)):
+                    at = bits.slots(k)
+                    at *= 2
+                    at += bits.bit
+                    np.add.at(sums[2 * first[k] : 2 * first[k + 1]], at, np.int32(1))
         sums = sums.reshape(-1, 2)
         for c, a in enumerate(range(0, int(first[-1]), CHUNK)):
             part = sums[a : a + CHUNK]
@@ -173,11 +299,13 @@ def _merge_chunk(table: pa.Table) -> pa.Table:
     return pa.table([table.column("chunk").slice(0, 1).combine_chunks(), pa.array([(codes[0] * 64 + codes[1]).astype(np.uint16).tobytes()], pa.binary()), *lists], ["chunk", "codes", "code", "zeros", "ones"])
 
 
-class _Model:
+# ---- the mixer
+
+class Model:
     """Tables of codes (the levels of a slot's zeros and ones), what a code says in log odds, and the mixer's starting weights."""
 
-    def __init__(self, sizes: tuple[int, ...], tables: list[np.ndarray], seen: np.ndarray):
-        self.sizes, self.tables = sizes, tables
+    def __init__(self, vocabulary: Vocabulary, sizes: tuple[int, ...], tables: list[np.ndarray], seen: np.ndarray):
+        self.vocabulary, self.sizes, self.tables = vocabulary, sizes, tables
         zeros, ones = np.repeat(_MIDDLE, 64), np.tile(_MIDDLE, 64)
         prior = (ones + _SMOOTH) / (zeros + ones + 2 * _SMOOTH)
         p = (seen[:, 1] + 2 * prior) / (seen.sum(axis=1) + 2)
@@ -186,81 +314,99 @@ class _Model:
         level = np.arange(64)
         less = np.where((level > 0) & (level < 9), level - 1, level)
         self.without = np.stack(((less[:, None] * 64 + level).reshape(-1), (level[:, None] * 64 + less).reshape(-1)))  # the code less one zero, less one one
-        self.weights = np.full((len(sizes) + 1, len(sizes)), 0.3, dtype=np.float32)
-        self.refine = np.tile(1 / (1 + np.exp(-(np.arange(_CELLS) / 2 - 12))), len(sizes) + 1).astype(np.float32)
+        self.weights = np.full((_SETS, PREDICTORS), 0.3, dtype=np.float32)
+        self.refine = np.tile(1 / (1 + np.exp(-(np.arange(_CELLS) / 2 - 12))), _SETS).astype(np.float32)
 
-    def along(self, data: np.ndarray, offsets: np.ndarray, weights: np.ndarray, leave_out: bool):
-        """Mix along each text: (log10 probability of each text, its last weights, the refining table's zeros and ones).
+    def along(self, steps: Steps, weights: np.ndarray, leave_out: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Mix along each text: (log10 probability of each step, the texts' last weights, the refining table's zeros and ones).
 
-        All texts start from ``weights`` and take a block at a time, each text with
-        weights of its own for each number of predictors that know the context; after
-        a block the weights follow the errors made in it.  Nothing looks ahead: a
+        All texts start from ``weights`` and take a block of steps at a time, each text
+        with weights of its own for each number of predictors that know the context;
+        after a block the weights follow the errors made in it.  Nothing looks ahead: a
         bit's chance comes from bits before it.
         """
-        n, k_all = len(offsets) - 1, len(self.sizes)
-        sets = k_all + 1
-        size = np.diff(offsets)
-        lane = np.repeat(np.arange(n), size)
+        n, total = steps.lanes, len(steps.lane)
+        size = np.bincount(steps.lane, minlength=n)
         cuts = [0]
         while cuts[-1] < size.max(initial=0):
-            cuts.append(cuts[-1] + min(max(STEP, cuts[-1] // 8), MOST_STEP))
-        block = np.searchsorted(cuts, np.arange(len(data)) - offsets[lane], side="right")
+            cuts.append(cuts[-1] + min(max(STEP, cuts[-1] // 4), MOST_STEP))
+        block = np.searchsorted(cuts, np.arange(total) - (np.cumsum(size) - size)[steps.lane], side="right")
         order = np.argsort(block, kind="stable")
-        ends = np.cumsum(np.bincount(block, minlength=2))
-        contexts = [c[order] for c in _contexts(data, offsets)]
-        data, lane = data[order], lane[order]
-        own = np.tile(weights.reshape(1, sets, k_all), (n, 1, 1)).reshape(n * sets, k_all)
+        borders = np.cumsum(np.bincount(block, minlength=2))
+        bits = _Bits(steps, order, self.sizes)
+        lane, kind = steps.lane[order], steps.kind[order]
+        odds = np.empty((PREDICTORS, len(bits.bit)), dtype=np.float32)
+        shift = bits.bit.astype(np.int64) * 4096 if leave_out else 0
+        for k in range(PREDICTORS):
+            says = np.concatenate([self.odds[k][w] for w in self.without]) if leave_out else self.odds[k]
+            np.take(says, self.tables[k][bits.slots(k)] + shift, out=odds[k], mode="clip")
+        own = np.tile(weights.T, (1, n))  # for each predictor the texts' sets in turn
         energy = np.full(own.shape, _CALM, dtype=np.float32)
-        out, refine = np.zeros(n), np.zeros((2, sets * _CELLS))
-        tables = [(np.concatenate([x[w] for w in self.without]) if leave_out else x) for x in self.odds]
-        for s, e in zip(ends, ends[1:]):
-            part = data[s:e]
-            nodes, bits = _NODES[part], _BITS[part]
-            shift = bits.astype(np.uint16) * np.uint16(4096) if leave_out else None
-            odds, gate = [], np.zeros(e - s, dtype=np.int64)
-            for k in range(k_all):
-                code = self.tables[k][_slots(contexts[k][s:e], nodes, self.sizes[k])]
-                x = tables[k][code + shift if leave_out else code]
-                gate += x[:, 0] != 0
-                odds.append(x)
-            which = lane[s:e] * sets + gate
-            own_now = own[which]
-            z = own_now[:, 0, None] * odds[0]
-            for k in range(1, k_all):
-                z += own_now[:, k, None] * odds[k]
+        trust, trust_energy = np.full(n, 0.5, dtype=np.float32), np.full(n, _CALM)
+        out, refine = np.zeros(total), np.zeros(_SETS * _CELLS * 2)
+        for s, e in zip(borders, borders[1:]):
+            if s == e:
+                continue
+            a, b = int(bits.first[s]), int(bits.ends[e - 1])
+            x, bit, length, first = odds[:, a:b], bits.bit[a:b], bits.length[s:e], bits.first[s:e] - a
+            gate = np.count_nonzero(x[:, first], axis=0) + kind[s:e] * (PREDICTORS + 1)
+            used, inverse = np.unique(lane[s:e] * _SETS + gate, return_inverse=True)
+            mine = own[:, used][:, inverse]
+            z = np.repeat(mine[0], length)
+            z *= x[0]
+            for k in range(1, PREDICTORS):
+                part = np.repeat(mine[k], length)
+                part *= x[k]
+                z += part
             np.clip(z, -12, 12, out=z)
-            p = 1 / (1 + np.exp(-z))
-            cell = gate[:, None] * _CELLS + np.rint((z + 12) * 2).astype(np.int64)
+            cell = np.rint(z * 2).astype(np.int32)
+            cell += np.repeat((gate * _CELLS + 24).astype(np.int32), length)
+            p = np.negative(z, out=z)
+            np.exp(p, out=p)
+            p += 1
+            np.reciprocal(p, out=p)
             if leave_out:
-                ones = np.bincount(cell.reshape(-1), weights=bits.reshape(-1), minlength=refine.shape[1])
-                refine += [np.bincount(cell.reshape(-1), minlength=refine.shape[1]) - ones, ones]
+                cell *= 2
+                cell += bit
+                refine += np.bincount(cell, minlength=len(refine))
             else:
-                final = 0.5 * (p + self.refine[cell])
-                chance = np.abs(final - (1 - bits))
-                out += np.bincount(lane[s:e], weights=np.log10(chance).sum(axis=1, dtype=np.float64), minlength=n)
-            miss = bits - p
-            used, inverse = np.unique(which, return_inverse=True)
-            for k in range(k_all):
-                step = np.bincount(inverse, weights=np.einsum("ij,ij->i", miss, odds[k]), minlength=len(used))
-                energy[used, k] += step * step
-                own[used, k] += _RATE * step / np.sqrt(energy[used, k])
-        return out, own.reshape(n, sets, k_all), refine
+                move = np.take(self.refine, cell, mode="clip")
+                move -= p
+                chance = np.repeat(trust[lane[s:e]], length)
+                chance *= move
+                chance += p
+                np.subtract(1, chance, out=chance, where=bit == 0)
+                out[s:e] = np.log10(np.multiply.reduceat(chance, first, dtype=np.float64))
+                np.negative(move, out=move, where=bit == 0)
+                move /= chance
+                pull = np.bincount(lane[s:e], weights=np.add.reduceat(move, first), minlength=n)
+                trust_energy += pull * pull
+                trust = np.clip(trust + _RATE * pull / np.sqrt(trust_energy), 0, 1).astype(np.float32)
+            miss = np.subtract(bit, p, out=p)
+            for k in range(PREDICTORS):
+                step = np.bincount(inverse, weights=np.add.reduceat(np.multiply(miss, x[k], out=x[k]), first), minlength=len(used)).astype(np.float32)
+                energy[k, used] += step * step
+                own[k, used] += _RATE * step / np.sqrt(energy[k, used])
+        back = np.empty(total)
+        back[order] = out
+        return back, own.T.reshape(n, _SETS, PREDICTORS), refine.reshape(-1, 2).T
 
 
 def _learner(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One online pass over this task's training texts; returns starting weights times bytes seen, and the refining table."""
+        """One online pass over this task's training texts; returns starting weights times bits seen, and the refining table."""
         model = shared.value
+        table = model.vocabulary.table()
         weights, refine, mass = model.weights.astype(np.float64), 0, 0.0
         for batch in batches:
-            count = batch.column("n").to_numpy()
-            data, offsets = _closed(batch.column("text"))
+            data, offsets = texts_of(batch.column("text"))
             for a, b in slices(offsets, BLOCK):
-                part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                _, last, seen = model.along(part, at, weights.astype(np.float32), True)
-                share = np.sqrt(np.diff(at)) * count[a:b]
+                steps = Steps(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], model.vocabulary, table)
+                _, last, seen = model.along(steps, weights.astype(np.float32), True)
+                size = np.bincount(steps.lane, weights=steps.length, minlength=b - a)
+                share = np.sqrt(size)
                 weights = weights + 0.5 * np.tensordot(share / share.sum(), last - weights, 1)
-                refine, mass = refine + seen, mass + float(np.diff(at) @ count[a:b])
+                refine, mass = refine + seen, mass + float(size.sum())
         if mass:
             flat = np.concatenate((weights.reshape(-1) * mass, refine.reshape(-1), [mass]))
             yield pa.RecordBatch.from_arrays([list_array(flat, np.array([0, len(flat)]), pa.float64())], ["v"])
@@ -268,15 +414,16 @@ def _learner(shared):
     return run
 
 
-def learn(texts: DataFrame) -> _Model:
-    """The model of training texts (text, n): n is how often a text counts.
+def learn(texts: DataFrame, vocabulary: Vocabulary, tokens: int) -> Model:
+    """The model of training texts (text), which hold ``tokens`` tokens.
 
     The number of tasks follows the size of the texts, since each sends its part of
     the tables, whose size is bounded.
     """
+    context = texts.sparkSession.sparkContext
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
-    sizes, texts = table_bits(size), texts.coalesce(max(1, -(-size // BYTES_A_TASK)))
-    parts = texts.mapInArrow(_bit_counts(sizes), "chunk int, at array<short>, zeros array<int>, ones array<int>")
+    sizes, texts = table_bits(tokens, len(vocabulary.counts)), texts.coalesce(max(1, -(-size // BYTES_A_TASK)))
+    parts = map_texts(texts, _bit_counts(context.broadcast(vocabulary), sizes), "chunk int, at array<short>, zeros array<int>, ones array<int>")
     merged = parts.groupBy("chunk").applyInArrow(_merge_chunk, "chunk int, codes binary, code array<int>, zeros array<double>, ones array<double>")
     first = np.concatenate(([0], np.cumsum([1 << b for b in sizes])))
     tables, seen = np.zeros(first[-1], dtype=np.uint16), np.zeros((len(sizes), 2, 4096))
@@ -285,9 +432,9 @@ def learn(texts: DataFrame) -> _Model:
         tables[a:b] = np.frombuffer(row.codes, dtype=np.uint16)[: b - a]
         k = int(np.searchsorted(first, a, side="right")) - 1
         seen[k][:, np.array(row.code, dtype=np.int64)] += [row.zeros, row.ones]
-    model = _Model(sizes, [tables[a:b] for a, b in zip(first, first[1:])], seen)
-    shared = texts.sparkSession.sparkContext.broadcast(model)
-    sums = texts.mapInArrow(_learner(shared), "v array<double>").select(F.posexplode("v").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x"))
+    model = Model(vocabulary, sizes, [tables[a:b] for a, b in zip(first, first[1:])], seen)
+    shared = context.broadcast(model)
+    sums = map_texts(texts, _learner(shared), "v array<double>").select(F.posexplode("v").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x"))
     flat = np.array([r.x for r in sums.orderBy("at").collect()])  # one value a weight
     if len(flat):
         n = model.weights.size
@@ -298,51 +445,26 @@ def learn(texts: DataFrame) -> _Model:
     return model
 
 
-def _log10(model: _Model, column: pa.Array) -> np.ndarray:
-    """log10 probability of each text with its end."""
-    data, offsets = _closed(column)
-    out = np.zeros(len(offsets) - 1)
-    for a, b in slices(offsets, BLOCK):
-        out[a:b] = model.along(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], model.weights, False)[0]
-    return out
-
-
-def score_words(counted: DataFrame, n_words: int | None = None) -> DataFrame:
-    """(h, word, n, ...) -> (h, n, ..., logp): learn from all counted words as texts of their own, then score each."""
-    learned = counted.where("n > 0").select(F.col("word").alias("text"), "n")
-    shared = counted.sparkSession.sparkContext.broadcast(learn(learned))
-    keep = [c for c in counted.columns if c != "word"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(_log10(shared.value, batch.column("word")))], [*keep, "logp"])
-
-    return counted.mapInArrow(run, ", ".join(f"{c} long" for c in keep) + ", logp double")
-
-
-def _texts(shared, mixed, total: float, kinds: float, ends: int):
+def _texts(mixed, total: float, kinds: float, ends: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, count = shared.value
         model = mixed.value
-        table = HashTable(keys)
-        base = np.log10((count + 0.5) / (total + 0.5 * (kinds + 1)))
+        vocabulary, table = model.vocabulary, model.vocabulary.table()
+        base = np.log10((vocabulary.counts + 0.5) / (total + 0.5 * (kinds + 1)))
         for batch in batches:
             data, offsets = texts_of(batch.column("text"))
-            score = _log10(model, batch.column("text"))
-            for a, b in slices(offsets):
-                part, at = lower_ascii(data[offsets[a] : offsets[b]]), offsets[a : b + 1] - offsets[a]
-                starts, stops, row = words(part, at)
-                h = span_hashes(part, starts, stops)
-                where = table.find(h)
-                hit = where >= 0
-                n, r, w = b - a, row[hit], where[hit]
-                misses = list_array(h[~hit].view(np.int64), grouped(row[~hit], n), pa.int64())
+            for a, b in slices(offsets, BLOCK):
+                n, at = b - a, offsets[a : b + 1] - offsets[a]
+                steps = Steps(data[offsets[a] : offsets[b]], at, vocabulary, table)
+                score = np.bincount(steps.lane, weights=model.along(steps, model.weights, False)[0], minlength=n)
+                hit = steps.symbol >= 0
+                row, known = steps.row[hit], steps.symbol[hit]
+                misses = list_array(steps.hash[~hit].view(np.int64), grouped(steps.row[~hit], n), pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *[batch.column(c).slice(a, n) for c in ("rid", "doc_id", "held_out")], pa.array(np.diff(at)), pa.array(np.bincount(row, minlength=n) + 1),
-                        pa.array(np.bincount(r, weights=count[w] > 0, minlength=n).astype(np.int64) + (1 if ends else 0)),
-                        pa.array(np.bincount(r, weights=base[w], minlength=n) + np.log10((ends + 0.5) / (total + 0.5 * (kinds + 1)))),
-                        pa.array(score[a:b]), misses,
+                        *[batch.column(c).slice(a, n) for c in ("rid", "doc_id", "held_out")], pa.array(np.diff(at)), pa.array(np.bincount(steps.row, minlength=n) + 1),
+                        pa.array(np.bincount(row, minlength=n) + (1 if ends else 0)),
+                        pa.array(np.bincount(row, weights=base[known], minlength=n) + np.log10((ends + 0.5) / (total + 0.5 * (kinds + 1)))),
+                        pa.array(score), misses,
                     ],
                     ["rid", "doc_id", "held_out", "n_bytes", "n_tokens", "n_known", "base_score", "score", "misses"],
                 )
@@ -355,25 +477,26 @@ def score_documents(documents: DataFrame, folds: int = 5, held: int = 1, frequen
 
     Learns from rows whose crc32(doc_id as text) mod ``folds`` is not ``held``; a
     null doc_id counts as the empty text there.  A null text is empty: its one token
-    is the end.  ``score`` is the log10 probability of all of the text's bytes and its
-    end.  bits_per_byte is null for empty texts.  Rows may repeat; other columns are
-    not read.  An empty table gives an empty result.
+    is the end.  ``score`` is the log10 probability of all of the text's tokens.
+    bits_per_byte is null for empty texts.  Rows may repeat; other columns are not
+    read.  An empty table gives an empty result.
     """
     spark = documents.sparkSession
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds
     docs = documents.select("doc_id", (fold == held).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    counted = docs.select("text", F.col("held_out").cast("int").alias("class")).mapInArrow(_count_words, "h long, word binary, n long")
+    counted = map_texts(docs.select("text", F.col("held_out").cast("int").alias("class")), _count_words, "h long, word binary, n long")
     counted = materialise(counted.groupBy("h", "word").agg(F.sum("n").alias("n")).drop("word"), "words")
     total, kinds = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
-    training = docs.where(~F.col("held_out")).select("text", F.lit(1).cast("long").alias("n"))
+    training = docs.where(~F.col("held_out")).select("text")
     ends = training.count()
+    best = most_frequent(counted.where("n > 1"), "n", frequent).toArrow()  # at most ``frequent`` rows
+    counts = best.column("n").to_numpy()
+    vocabulary = Vocabulary(best.column("h").to_numpy().view(np.uint64), counts, ends, total - int(counts.sum()))
     total, kinds = total + ends, kinds + (1 if ends else 0)
-    mixed = spark.sparkContext.broadcast(learn(training))
-    best = counted.orderBy(F.desc("n"), "h").limit(frequent).toArrow()  # at most ``frequent`` rows
-    shared = spark.sparkContext.broadcast((best.column("h").to_numpy().view(np.uint64), best.column("n").to_numpy().astype(np.float64)))
+    mixed = spark.sparkContext.broadcast(learn(training, vocabulary, total))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(
-        _texts(shared, mixed, total, kinds, ends),
+    rows = map_texts(
+        docs.withColumn("rid", F.monotonically_increasing_id()), _texts(mixed, total, kinds, ends),
         f"rid long, doc_id {id_type}, held_out boolean, n_bytes long, n_tokens long, n_known long, base_score double, score double, misses array<long>",
     )
     rows = materialise(rows, "rows")

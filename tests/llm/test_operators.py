@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from chainloom.llm import components, dac, decontam, hilbert, mixing, mixlm, naming, neardup, textkernel, tokencount, toxicity, units, warc
+from chainloom.llm import components, dac, decontam, hilbert, mixing, mixlm, naming, neardup, ranking, textkernel, tokencount, toxicity, units, warc
 from chainloom.llm.ranking import global_rank
 
 from .conftest import documents
@@ -95,6 +95,54 @@ def test_words_kernel(texts):
     assert len(set(seen.values())) == len(seen)
 
 
+def thue_morse(n):
+    """Two unlike texts of 2**n letters that a polynomial hash modulo a power of two can't tell apart."""
+    x = "a"
+    for _ in range(n):
+        x += x.translate(str.maketrans("ab", "ba"))
+    return x, x.translate(str.maketrans("ab", "ba"))
+
+
+def test_patterned_texts_do_not_collide(spark):
+    """Thue-Morse words of 1024 to 8192 letters give exact results in all operators that name units by hash."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    texts = [f"{x} {y} {x}" for n in (10, 11, 12, 13) for x, y in [thue_morse(n), thue_morse(n)[::-1]]] + [x for n in (10, 11, 12, 13) for x in thue_morse(n)]
+    df = documents(spark, texts)
+    bpe, piece = Tokenizer.from_file(BPE), sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    crc = {r.doc_id: r.ids_crc32 for r in dac.token_ids(df, BPE).collect()}
+    assert all(crc[i] == zlib.crc32(np.array([*bpe.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes()) for i, t in enumerate(texts))
+    assert {r.doc_id: r.n_tokens for r in tokencount.token_counts(df, PIECE).collect()} == {i: len(piece.encode(t)) for i, t in enumerate(texts)}
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(df).collect()} == {i: i for i in range(len(texts))}
+    train = Counter(w for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5 != 1 for w in words_of(t))
+    assert all(r.n_known == 1 + sum(train[w] > 0 for w in words_of(texts[r.doc_id])) for r in mixlm.score_documents(df).collect())
+    assert all(r.kept for r in naming.exact_duplicates(df, 1024).collect())
+
+
+def test_caches_check_units():
+    """Units that share the first hash are told apart by the second."""
+    cache = units.UnitCache(lambda us: (np.array([u[0] for u in us], dtype=np.int32), np.ones(len(us), dtype=np.int32)), limit=4)
+    raw, starts = b"abcdefab", np.arange(8)
+    h, check = np.zeros(8, dtype=np.uint64), np.frombuffer(raw, np.uint8).astype(np.uint64)
+    first, size = cache.look_up(h, check, raw, starts, starts + 1)
+    assert bytes(cache.pool[first].astype(np.uint8)) == raw and (size == 1).all()
+
+
+@given(st.lists(st.binary(max_size=90), min_size=2, max_size=8), st.integers(0, 3))
+@settings(max_examples=80)
+def test_span_hashes(parts, salt):
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    ends = np.cumsum([len(x) for x in parts])
+    starts = ends - [len(x) for x in parts]
+    h = textkernel.span_hashes(data, starts, ends, salt)
+    assert len(set(h.tolist())) == len(set(parts))
+    alone = [textkernel.span_hashes(np.frombuffer(x, np.uint8), np.array([0]), np.array([len(x)]), salt)[0] for x in parts]
+    assert h.tolist() == [int(x) for x in alone]
+    pairs = textkernel.span_pairs(data, starts, ends)
+    assert len(set(pairs[1].tolist())) == len(set(parts)) and (salt or (pairs[0] == h).all())
+
+
 def test_hash_table():
     keys = np.random.default_rng(0).integers(0, 2**63, 5000).astype(np.uint64)
     table = textkernel.HashTable(keys)
@@ -135,6 +183,17 @@ def test_shards(spark):
     assert curve == sorted(curve)
 
 
+def test_shard_files(spark, tmp_path):
+    """Every row is written, those without doc_id and repeated ones too, in shards of equal length."""
+    rows = [(i % 90 if i % 7 else None, prose(random.Random(i), i % 40) if i % 11 else None, "en" if i % 3 else None, f"s{i % 4}", i) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, size long").withColumn("curve", F.lit("clash"))
+    zones = hilbert.write_shards(df, f"{tmp_path}/shards", ["doc_id", "lang"], 4, 2000).collect()
+    back = spark.read.parquet(f"{tmp_path}/shards")
+    assert Counter(tuple(r)[:6] for r in back.select(*df.columns).collect()) == Counter(tuple(r) for r in df.collect())
+    assert sorted(r.rows for r in zones) == [75] * 4
+    assert hilbert.write_shards(df.limit(0), f"{tmp_path}/none", ["doc_id"]).count() == 0
+
+
 # ---- 2 mixing
 
 def mix_by_hand(sizes, weights=(5, 2, 1), most=3):
@@ -239,8 +298,12 @@ def test_warc(spark):
         seen.add((p, h))
         want[(p, len(h.encode()), base64.b32encode(hashlib.sha1(h.encode()).digest()).decode(), "response" if first else "revisit", None if first else target)] += 1
     assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == want
-    again = [r.sha1 for r in warc.write_archives(df.repartition(3), roll_bytes=10**9).orderBy("shard").collect()]
-    assert again == [r.sha1 for r in warc.write_archives(df, roll_bytes=10**9).orderBy("shard").collect()]
+    again = [[tuple(r) for r in warc.write_archives(df.repartition(n), roll_bytes=9000, run_bytes=8000).select("shard", "roll", "sha1").orderBy("shard", "roll").collect()] for n in (3, 7)]
+    assert again[0] == again[1] and len({x[0] for x in again[0]}) > 3
+    known = spark.read.parquet(manifest.first().path.rpartition("/")[0] + "/manifest")
+    assert sorted(r.path for r in known.collect()) == sorted(r.path for r in manifest.collect())
+    long = warc.archive_round_trip(spark.createDataFrame([(1, None, "x y " * 1_500_000), (2, None, "x y " * 1_500_000)], "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id, r.payload_bytes, r.record_type) for r in long) == [(1, 6_000_000, "revisit"), (2, 6_000_000, "response")]
     small = warc.archive_round_trip(df, min_bytes=10**6).collect()
     assert {r.record_type for r in small} == {"response"}
     assert warc.archive_round_trip(df.limit(0)).count() == 0
@@ -324,6 +387,9 @@ def test_token_files(spark):
         ids = [*model.encode(t or "", add_special_tokens=False).ids, 0]
         assert tuple(r) == (r.doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), t
         start += len(ids)
+    many = documents(spark, [prose(random.Random(i), 30) for i in range(300)])
+    again = [[(r.shard, r.roll, r.crc32) for r in dac.write_token_files(many.repartition(n), BPE, roll_ids=900, file_bytes=3000).orderBy("shard", "roll").collect()] for n in (2, 7)]
+    assert again[0] == again[1] and len({x[0] for x in again[0]}) > 3
 
 
 @given(st.lists(st.text("ab 'sT.,|<\n\t\r é1", max_size=14), min_size=1, max_size=4))
@@ -341,7 +407,7 @@ def test_units_end_tokens(texts):
         ids = [i for a, b in zip(starts, starts[1:]) for i in model.encode(raw[a:b].decode(), add_special_tokens=False).ids]
         assert ids == model.encode(t, add_special_tokens=False).ids
     got = tokencount._units(data, offsets)
-    sizes = tokencount._piece_model(PIECE).look_up(got[4], got[0].tobytes(), got[2], got[3])[1] if len(got[2]) else []
+    sizes = tokencount._piece_model(PIECE).look_up(got[4], got[5], got[0].tobytes(), got[2], got[3])[1] if len(got[2]) else []
     upto = np.concatenate(([0], np.cumsum(sizes)))
     n = np.diff(upto[np.searchsorted(got[2], got[1])]) * (np.diff(offsets) > 0)
     assert n.tolist() == [len(piece.encode(t)) for t in texts]
@@ -385,12 +451,110 @@ def test_scores(spark):
     assert odd_rows.score / odd_rows.n_tokens < usual.score / usual.n_tokens
 
 
-def test_spelling_is_a_distribution(spark):
-    """Chances of all continuations of a bit sum to one, so no text gains more than others lose."""
-    counted = spark.createDataFrame([(i, w.encode(), 3) for i, w in enumerate(["ab", "abc", "b", "ca"])], "h long, word binary, n long")
-    probe = spark.createDataFrame([(i, bytes([i]), 0) for i in range(256) if i != 32], "h long, word binary, n long")
-    scored = mixlm.score_words(counted.unionByName(probe), 4).collect()
-    assert sum(10**r.logp for r in scored if r.n == 0) < 1 and all(r.logp < 0 for r in scored)
+def small_model(spark, texts):
+    """A model of some texts and the words it knows."""
+    count = Counter(w for t in texts for w in words_of(t))
+    known = sorted(w for w, n in count.items() if n > 1)
+    raw = "".join(known).encode()
+    ends = np.cumsum([len(w.encode()) for w in known])
+    h = textkernel.span_hashes(np.frombuffer(raw, np.uint8), ends - [len(w.encode()) for w in known], ends)
+    vocabulary = mixlm.Vocabulary(h, np.array([count[w] for w in known]), len(texts), sum(n for n in count.values() if n == 1))
+    return mixlm.learn(spark.createDataFrame([(t,) for t in texts], "text string"), vocabulary, sum(count.values()) + len(texts)), known
+
+
+def steps_of(model, texts):
+    import pyarrow as pa
+
+    return mixlm.Steps(*textkernel.texts_of(pa.array(texts)), model.vocabulary, model.vocabulary.table())
+
+
+@given(st.lists(st.integers(1, 1000), min_size=2, max_size=40))
+@settings(max_examples=60)
+def test_prefix_codes(counts):
+    """Codes decode without doubt, use all leaves, and no code is cheaper in all than Huffman's by another way."""
+    import heapq
+
+    counts = np.array(sorted(counts, reverse=True))
+    code, length = mixlm.prefix_codes(counts)
+    texts = [bin(c)[3:] for c in code.tolist()]
+    assert [len(t) for t in texts] == length.tolist() and sum(2.0**-n for n in length) == 1
+    assert not any(a != b and b.startswith(a) for a in texts for b in texts)
+    heap, cost = counts.tolist(), 0
+    heapq.heapify(heap)
+    while len(heap) > 1:
+        x = heapq.heappop(heap) + heapq.heappop(heap)
+        cost += x
+        heapq.heappush(heap, x)
+    assert int((counts * length).sum()) == cost
+
+
+def test_steps_are_a_distribution(spark):
+    """After any beginning the chances of all tokens sum to one, and those of all next bytes of a spelled word."""
+    rng = random.Random(3)
+    model, known = small_model(spark, [prose(rng, 30) + f" once{i}" for i in range(30)])
+    for begin in ("", "w1 w2", "w7 zzz w9"):
+        steps = steps_of(model, [*[f"{begin} {w}" for w in known], f"{begin} zz", begin])
+        logp = model.along(steps, model.weights, False)[0]
+        place = steps_of(model, [begin]).lane.size - 1  # the step after the beginning
+        assert sum(10 ** logp[np.flatnonzero(steps.lane == k)[place]] for k in range(len(known) + 2)) == pytest.approx(1, abs=1e-4)
+    words_ = [chr(c) for c in range(33, 127) if not 65 <= c < 91] + [chr(c) for c in (0xE9, 0x416, 0x4E00, 0x1F600)]
+    steps = steps_of(model, [f"on{c}" for c in words_] + ["on"])
+    logp = model.along(steps, model.weights, False)[0]
+    assert sum(10 ** logp[np.flatnonzero(steps.lane == k)[3]] for k in range(len(words_) + 1)) <= 1 + 1e-4
+
+
+def test_mixing_bit_by_bit(spark):
+    """The same by plain loops: look up, mix, refine, and follow the errors after each block."""
+    rng = random.Random(4)
+    texts = [prose(rng, rng.randint(0, 60)) + f" new{i} w3 w4" for i in range(40)]
+    model, _ = small_model(spark, texts)
+    text = " ".join(prose(rng, 50).split() + ["strange", "word"] + texts[3].split())
+    steps = steps_of(model, [text])
+    got = model.along(steps, model.weights, False)[0]
+    own = {g: model.weights[g].astype(float).copy() for g in range(mixlm._SETS)}
+    energy = {g: np.full(mixlm.PREDICTORS, mixlm._CALM) for g in own}
+    trust, trust_energy, at, cut, want = 0.5, mixlm._CALM, 0, 0, []
+    while at < len(steps.lane):
+        cut += min(max(mixlm.STEP, cut // 4), mixlm.MOST_STEP)
+        grads, pull = defaultdict(lambda: np.zeros(mixlm.PREDICTORS)), 0.0
+        for t in range(at, min(cut, len(steps.lane))):
+            code, n, total, g = int(steps.code[t]), int(steps.length[t]), 0.0, None
+            for d in range(n):
+                node, bit = code >> (n - d), code >> (n - d - 1) & 1
+                h = ((node + (int(steps.kind[t]) << 62)) * int(mixlm._GOLD) % 2**64) >> 32
+                x = np.array([model.odds[k][model.tables[k][((int(steps.context[k, t]) + h) % 2**32) >> (32 - model.sizes[k])]] for k in range(mixlm.PREDICTORS)], dtype=float)
+                g = int((x != 0).sum() + steps.kind[t] * (mixlm.PREDICTORS + 1)) if g is None else g
+                z = min(max(float(own[g] @ x), -12), 12)
+                p = 1 / (1 + np.exp(-z))
+                r = model.refine[g * mixlm._CELLS + 24 + int(np.rint(z * 2))]
+                chance = p + trust * (r - p)
+                chance = chance if bit else 1 - chance
+                total += np.log10(chance)
+                grads[g] += (bit - p) * x
+                pull += (1 if bit else -1) * (r - p) / chance
+            want.append(total)
+        for g, step in grads.items():
+            energy[g] += step * step
+            own[g] += mixlm._RATE * step / np.sqrt(energy[g])
+        trust_energy += pull * pull
+        trust, at = min(max(trust + mixlm._RATE * pull / np.sqrt(trust_energy), 0), 1), cut
+    assert sum(want) == pytest.approx(got.sum(), rel=1e-3) and np.allclose(want, got, atol=0.05)
+
+
+def test_mixer_decides_the_score(spark):
+    """Held-out texts are likelier than under a fair unigram that spells new words, and a mixer that knows nothing says much else."""
+    rng = random.Random(12)
+    nouns = [f"noun{i}" for i in range(60)]
+    texts = [" ".join(f"{rng.choice(['the', 'a'])} {w} of {w}s" for w in rng.choices(nouns, k=30)) for _ in range(200)]
+    model, known = small_model(spark, texts[:150])
+    steps = steps_of(model, texts[150:])
+    score = model.along(steps, model.weights, False)[0].sum()
+    count = Counter(w for t in texts[:150] for w in [*words_of(t), None])
+    total = sum(count.values())
+    unigram = sum(np.log10(count[w] / total) for t in texts[150:] for w in [*words_of(t), None])
+    blank = mixlm.Model(model.vocabulary, model.sizes, [np.zeros_like(x) for x in model.tables], np.zeros((mixlm.PREDICTORS, 2, 4096)))
+    nothing = blank.along(steps, blank.weights, False)[0].sum()
+    assert score > 0.7 * unigram and score > 0.8 * nothing
 
 
 def test_scores_see_the_order_of_words(spark):
@@ -405,14 +569,15 @@ def test_scores_see_the_order_of_words(spark):
     assert usual.score > mixed.score + 1 and usual.bits_per_byte < mixed.bits_per_byte
 
 
-def test_spelling_sees_more_than_four_bytes(spark):
-    """The whole beginning of a word tells what follows, and tables grow with the training texts."""
-    rows = [(0, b"axxxxxxxb", 20), (1, b"cxxxxxxxd", 20), (2, b"axxxxxxxd", 0)]
-    scored = {r.h: r.logp for r in mixlm.score_words(spark.createDataFrame(rows, "h long, word binary, n long"), 2).collect()}
-    assert scored[0] > scored[2] + 1
-    sizes = [mixlm.table_bits(n) for n in (0, 1000, 10**5, 10**9)]
+def test_tables_grow():
+    sizes = [mixlm.table_bits(n, n // 10) for n in (0, 1000, 10**5, 10**9)]
     assert all(a <= b for x, y in zip(sizes, sizes[1:]) for a, b in zip(x, y)) and sizes[1] != sizes[2]
-    assert all(1 << b >= 8 * 10**5 or 1 << b >= 255 * 256 for b in sizes[2])
+
+
+def test_most_frequent(spark):
+    df = spark.createDataFrame([(i, 1 + i % 7) for i in range(70)] + [(100, 5000), (101, 900)], "k long, n long")
+    assert {r.k for r in ranking.most_frequent(df, "n", 12).collect()} == {100, 101, *range(6, 70, 7)}
+    assert ranking.most_frequent(df, "n", 11).count() == 2 and ranking.most_frequent(df, "n", 100).count() == 72 and ranking.most_frequent(df.limit(0), "n", 3).count() == 0
 
 
 # ---- 8 exact dedup
