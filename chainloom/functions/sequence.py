@@ -75,7 +75,8 @@ def accession(title: Column) -> Column:
 
 
 def organism_word(text: Column) -> Column:
-    return F.lower(F.substring_index(text, " ", 1))
+    """First word in small letters; the virus that titles name by its initials is named so."""
+    return F.when(F.contains(F.lower(text), F.lit("human immunodeficiency virus")), "hiv").otherwise(F.lower(F.substring_index(text, " ", 1)))
 
 
 def one_based_slice(text: Column, start: Column, end: Column) -> Column:
@@ -117,7 +118,16 @@ def _longest_common(a: str, b: str) -> tuple[int, int, int, int, int, str]:
 
 @F.pandas_udf(LCS_TYPE)
 def longest_common_substring(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    """Length, half-open 0-based ranges in both texts, and the substring: the earliest end in the first text, then in the second."""
+    """Length, half-open 0-based ranges in both texts, and the substring: the earliest end in the first text, then in the second.
+
+    The work of a pair grows with the product of its lengths, its memory with the second; pairs that repeat in a batch are compared once.
+    """
     for first, second in pairs:
-        rows = [_longest_common(a or "", b or "") for a, b in zip(first, second)]
+        known: dict[tuple[str, str], tuple] = {}
+        rows = []
+        for a, b in zip(first, second):
+            pair = (a or "", b or "")
+            if pair not in known:
+                known[pair] = _longest_common(*pair)
+            rows.append(known[pair])
         yield pd.DataFrame(rows, columns=["length", "start1", "end1", "start2", "end2", "text"])

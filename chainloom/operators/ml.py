@@ -44,6 +44,22 @@ def silhouette(df: DataFrame, id_: str, features: str, cluster: str) -> DataFram
     return out.select(id_, cluster, F.when(F.col("n") == 1, 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b")).alias("silhouette"))
 
 
+def euclidean_silhouette(df: DataFrame, id_: str, features: str, cluster: str, sample: int = 2000, seed: int = 0) -> DataFrame:
+    """Euclidean silhouette of every row, from mean distances to at most ``sample`` seeded rows of each cluster; exact where clusters are no larger.
+
+    Only those rows are broadcast, so no pairs of rows are formed beyond rows times clusters times ``sample``.
+    """
+    rows = df.select(id_, cluster, vector_to_array(features).alias("_x"))
+    members = ranked(rows, id_, seed, [cluster]).where(F.col("place") <= sample).groupBy(F.col(cluster).alias("_c")).agg(F.collect_list(F.struct(F.col(id_).alias("id"), "_x")).alias("_m"))
+    all_ = rows.crossJoin(F.broadcast(members))  # a row a cluster
+    gap = lambda a, b: F.sqrt(F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda t, v: t + v))
+    total = F.aggregate("_m", F.lit(0.0), lambda t, m: t + gap(F.col("_x"), m["_x"]))
+    n = F.size("_m") - F.exists("_m", lambda m: m["id"] == F.col(id_)).cast("int")
+    own = F.col("_c") == F.col(cluster)
+    out = all_.withColumn("_d", F.when(n > 0, total / n)).groupBy(id_, cluster).agg(F.max(F.when(own, F.col("_d"))).alias("a"), F.min(F.when(~own, F.col("_d"))).alias("b"))
+    return out.select(id_, cluster, F.when(F.col("a").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b")).alias("silhouette"))
+
+
 def principal_components(df: DataFrame, k: int = 2, name: str = "components") -> DataFrame:
     return PCA(k=k, inputCol="features", outputCol=name).fit(df).transform(df)
 
@@ -59,10 +75,21 @@ def random_fourier(df: DataFrame, features: str, dims: int, gamma: float, seed:
     return rows.withColumn(name, array_to_vector(F.transform(table, lambda row: F.cos(dot(row)) * math.sqrt(2 / out)))).drop("_x")
 
 
-def kernel_svm(df: DataFrame, label: str, dims: int, gamma: float, seed: int = 0) -> DataFrame:
-    """A support vector machine with an approximate radial kernel: adds ``prediction`` and ``rawPrediction``."""
-    lifted = random_fourier(df, "features", dims, gamma, seed)
-    return LinearSVC(featuresCol="fourier", labelCol=label, maxIter=50, regParam=0.01).fit(lifted).transform(lifted)
+def kernel_svm(df: DataFrame, label: str, dims: int, gamma: float, seed: int = 0, others: DataFrame | None = None) -> DataFrame:
+    """A support vector machine with an approximate radial kernel: adds ``prediction`` and ``rawPrediction`` to ``others``, or to ``df``."""
+    lift = lambda rows: random_fourier(rows, "features", dims, gamma, seed)
+    model = LinearSVC(featuresCol="fourier", labelCol=label, maxIter=50, regParam=0.01).fit(lift(df))
+    return model.transform(lift(df if others is None else others))
+
+
+def decision_grid(df: DataFrame, x: str, y: str, label: str, gamma: float, side: int = 30, seed: int = 0) -> DataFrame:
+    """i, j, x, y and the decision value on an even grid over two columns, for contours at -1, 0 and 1."""
+    lo_hi = df.agg(*[f(c).cast("double").alias(f"{c}_{n}") for c in (x, y) for f, n in ((F.min, "lo"), (F.max, "hi"))]).first()
+    at = lambda c, k: lo_hi[f"{c}_lo"] + (lo_hi[f"{c}_hi"] - lo_hi[f"{c}_lo"]) * F.col(k) / (side - 1)
+    cells = df.sparkSession.range(side * side).select(F.expr(f"CAST(id div {side} AS INT)").alias("i"), (F.col("id") % side).cast("int").alias("j"))
+    cells = assemble(cells.withColumns({x: at(x, "i"), y: at(y, "j")}), [x, y])
+    out = kernel_svm(assemble(df, [x, y]), label, 2, gamma, seed, cells)
+    return out.select("i", "j", x, y, vector_to_array("rawPrediction")[1].alias("decision"))
 
 
 def logistic(df: DataFrame, label: str, features: str = "features", iterations: int = 1000) -> LogisticRegression:
@@ -70,12 +97,13 @@ def logistic(df: DataFrame, label: str, features: str = "features", iterations:
     return LogisticRegression(featuresCol=features, labelCol=label, maxIter=iterations, regParam=1 / max(df.count(), 1), elasticNetParam=0.0, standardization=False).fit(df)
 
 
-def eliminate_features(df: DataFrame, columns: list[str], label: str, keep: int = 2, iterations: int = 100) -> list[str]:
-    """Fit, drop the column with the least weight, and again until ``keep`` are left; loops over columns, not rows."""
+def eliminate_features(df: DataFrame, columns: list[str], label: str, keep: int = 2, iterations: int = 1000, step: float = 0.0) -> list[str]:
+    """Fit, drop the column with the least weight (or the share ``step`` of those left), and again until ``keep`` are left; loops over columns, not rows."""
     left = list(columns)
     while len(left) > keep:
-        model = logistic(assemble(df, left, "_f"), label, "_f", iterations)
-        left.pop(int(np.argmin(np.abs(model.coefficients.toArray()))))
+        weight = np.abs(logistic(assemble(df, left, "_f"), label, "_f", iterations).coefficients.toArray())
+        gone = set(np.argsort(weight, kind="stable")[: min(max(1, int(len(left) * step)), len(left) - keep)].tolist())
+        left = [c for k, c in enumerate(left) if k not in gone]
     return left
 
 
@@ -83,18 +111,32 @@ def probability(df: DataFrame, name: str = "score") -> DataFrame:
     return df.withColumn(name, vector_to_array("probability")[1])
 
 
-def roc_points(df: DataFrame, score: str, label: str) -> DataFrame:
-    """threshold, tpr, fpr: one row a distinct score, counted before the running sums."""
-    counts = df.groupBy(F.col(score).alias("threshold")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("n"))
-    down, all_ = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
-    return counts.select(
-        "threshold", (F.sum("p").over(down) / F.nullif(F.sum("p").over(all_), F.lit(0))).alias("tpr"), (F.sum("n").over(down) / F.nullif(F.sum("n").over(all_), F.lit(0))).alias("fpr")
+def roc_points(df: DataFrame, score: str, label: str, cells: int = 4096) -> DataFrame:
+    """threshold, tpr, fpr: one row a distinct score, counted before the running sums.
+
+    The running sums go by ``cells`` ranges of the scores first, so a continuous
+    score, with a threshold for almost every row, is not summed by one task.
+    """
+    truth = F.col(label).cast("long")
+    counts = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("threshold")).agg(F.sum(truth).alias("p"), F.sum(1 - truth).alias("n"))
+    edge = df.agg(F.min(score).cast("double").alias("_lo"), F.max(score).cast("double").alias("_hi"))
+    cell = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col("threshold") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * cells)).otherwise(0)
+    counts = counts.crossJoin(F.broadcast(edge)).withColumn("_cell", cell).drop("_lo", "_hi")  # one row
+    above, all_ = Window.orderBy(F.desc("_cell")).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    sums = counts.groupBy("_cell").agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))  # at most a row a cell
+    sums = sums.select("_cell", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}_before") for c in ("_p", "_n")], *[F.sum(c).over(all_).alias(f"{c}_all") for c in ("_p", "_n")])
+    down = Window.partitionBy("_cell").orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
+    return counts.join(F.broadcast(sums), "_cell").select(
+        "threshold", *[((F.col(f"_{c}_before") + F.sum(c).over(down)) / F.nullif(F.col(f"_{c}_all"), F.lit(0))).alias(n) for c, n in (("p", "tpr"), ("n", "fpr"))]
     )
 
 
 def smooth_gaussian(df: DataFrame, order: str, value: str, sigma: float = 2.0, reach: int = 8) -> DataFrame:
-    """Add ``smoothed``: a Gaussian-weighted mean over neighbouring rows; a row's weights are made to sum to one."""
-    w = Window.orderBy(order)
+    """Add ``smoothed``: a Gaussian-weighted mean over neighbouring rows; a row's weights are made to sum to one.
+
+    For a curve that is plotted: all rows pass one window, ties of ``order`` by value.
+    """
+    w = Window.orderBy(order, value)
     top, bottom = None, None
     for d in range(-reach, reach + 1):
         near = F.lag(value, d).over(w) if d > 0 else F.lead(value, -d).over(w) if d else F.col(value)
@@ -105,10 +147,19 @@ def smooth_gaussian(df: DataFrame, order: str, value: str, sigma: float = 2.0, r
 
 
 def area_under(roc: DataFrame) -> DataFrame:
-    """Area under ROC points by trapezoids."""
-    w = Window.orderBy(F.desc("threshold"))
-    x0, y0 = F.coalesce(F.lag("fpr").over(w), F.lit(0.0)), F.coalesce(F.lag("tpr").over(w), F.lit(0.0))
-    return roc.select(((F.col("fpr") - x0) * (F.col("tpr") + y0) / 2).alias("a")).agg(F.sum("a").alias("auc"))
+    """Area under ROC points by trapezoids.
+
+    Rows are paired with the one before by their rank in ranges of the false positive
+    rate; each range's first row takes the last of the range before from a table of a row a range.
+    """
+    cell = F.floor(F.col("fpr") * 4096).alias("_cell")
+    rows = roc.select("threshold", "fpr", "tpr", cell)
+    w = Window.partitionBy("_cell").orderBy(F.desc("threshold"))
+    ends = rows.groupBy("_cell").agg(F.min_by(F.struct("fpr", "tpr"), "threshold").alias("e"))
+    before = ends.select("_cell", F.lag("e").over(Window.orderBy("_cell")).alias("_b"))
+    rows = rows.join(F.broadcast(before), "_cell")
+    x0, y0 = (F.coalesce(F.lag(c).over(w), F.col(f"_b.{c}"), F.lit(0.0)) for c in ("fpr", "tpr"))
+    return rows.select(((F.col("fpr") - x0) * (F.col("tpr") + y0) / 2).alias("a")).agg(F.sum("a").alias("auc"))
 
 
 def decision_tree_accuracy(df: DataFrame, id_: str, label: str, seeds: int = 5, depth: int = 5) -> DataFrame:

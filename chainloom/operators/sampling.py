@@ -51,7 +51,12 @@ def label_encode(df: DataFrame, column: str, name: str) -> DataFrame:
     return df.join(codes, column)
 
 
-def one_hot(df: DataFrame, column: str, values: list[str]) -> DataFrame:
+def one_hot(df: DataFrame, column: str, values: list[str] | None = None, most: int = 1000) -> DataFrame:
+    """A 0/1 column for each value; without ``values`` for each that occurs, in order, of which there may be ``most``."""
+    if values is None:
+        values = sorted(r[0] for r in df.where(F.col(column).isNotNull()).select(column).distinct().limit(most + 1).collect())
+        if len(values) > most:
+            raise ValueError(f"{column} has more than {most} values")
     return df.withColumns({f"{column}_{v}": (F.col(column) == v).cast("int") for v in values})
 
 

@@ -37,6 +37,14 @@ def chi_square_families(counts: DataFrame, family: str, classes: list) -> DataFr
     return out.withColumn("x2", F.when(F.col("df") > 0, F.col("x2")))
 
 
+def chi_square_against(df: DataFrame, family: str, observed: str, expected: str) -> DataFrame:
+    """family, x2, df: one column of counts against another over each family's items; families of one item are left out, and x2 is null where nothing is expected of an item."""
+    o, e = F.col(observed).cast("double"), F.col(expected).cast("double")
+    term = F.when(e > 0, (o - e) * (o - e) / e)
+    out = df.groupBy(family).agg(F.sum(term).alias("x2"), F.count(term).alias("_n"), (F.count(F.lit(1)) - 1).alias("df")).where("df > 0")
+    return out.select(family, F.when(F.col("_n") == F.col("df") + 1, F.col("x2")).alias("x2"), "df")
+
+
 def with_p_value(tested: DataFrame) -> DataFrame:
     return tested.withColumn("p", F.when(F.col("df") > 0, chi_square_tail("x2", "df")))
 
@@ -48,6 +56,16 @@ def composition(df: DataFrame, slots: Column, buckets: list[str], other: str = "
     return counted.withColumn("share", F.col("count") / F.sum("count").over(Window.partitionBy()))
 
 
+def bucket_composition(df: DataFrame, slots: Column, buckets: dict[str, list[str]]) -> DataFrame:
+    """label, count and share of each bucket of labels, empty ones too; labels of no bucket are not counted.  Ascending by count and label."""
+    slot = F.explode(slots).alias("s")
+    counted = df.select(slot).agg(*[F.count_if(F.col("s").isin(*labels)).alias(f"_{k}") for k, labels in enumerate(buckets.values())])
+    rows = F.explode(F.array(*[F.struct(F.lit(name).alias("label"), F.col(f"_{k}").alias("count")) for k, name in enumerate(buckets)])).alias("r")
+    out = counted.select(rows).select("r.*")
+    share = F.col("count") / F.nullif(F.sum("count").over(Window.partitionBy()), F.lit(0))  # a row a bucket
+    return out.withColumn("share", share).orderBy("count", "label")
+
+
 def mean_interval(df: DataFrame, values: list[str], keys: list[str] = (), confidence: float = 0.95) -> DataFrame:
     """metric, n, mean, deviation and the t interval's half width, for each column."""
     long = df.select(*keys, F.explode(F.array(*[F.struct(F.lit(v).alias("metric"), F.col(v).cast("double").alias("x")) for v in values])).alias("s")).select(*keys, "s.*")
@@ -91,22 +109,20 @@ def threshold_sweep(df: DataFrame, value: str, positive: Column, low: int, high:
     return full.select("j", (F.col("j") * step).alias("boundary"), (right / F.sum(F.col("p") + F.col("n")).over(all_)).alias("accuracy")).where(F.col("j") >= low)
 
 
-def kernel_density(df: DataFrame, value: str, points: int = 50, keys: list[str] = (), fine: int = 4096) -> DataFrame:
+def kernel_density(df: DataFrame, value: str, points: int = 50, keys: list[str] = ()) -> DataFrame:
     """x and density on an even grid, a Gaussian kernel with Scott's bandwidth.
 
-    Values are counted in ``fine`` cells first, and each grid point sums over cells,
-    so the work beyond one aggregate does not grow with the data.
+    Every value adds to every grid point; the sums are combined within tasks, so ``points``
+    rows a key and task are shuffled.  Keys without spread have no density.
     """
     stat = df.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(value).alias("_n"), F.stddev_samp(value).alias("_s"))
     stat = stat.where("_s > 0").withColumn("_h", F.col("_s") * F.pow(F.col("_n").cast("double"), F.lit(-0.2)))
-    joined = df.join(F.broadcast(stat), list(keys)) if keys else df.crossJoin(F.broadcast(stat))
-    cell = equal_bin(F.col(value), F.col("_lo"), F.col("_hi"), fine)
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    joined = rows.join(stat, list(keys)) if keys else rows.crossJoin(F.broadcast(stat))  # without keys a single row
     own = [*keys, "_lo", "_hi", "_n", "_h"]
-    cells = joined.groupBy(*own, cell.alias("_c")).agg(F.count(value).alias("_m"), F.avg(value).alias("_x"))
-    grid = cells.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("x", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("i") / (points - 1))
-    z = (F.col("x") - F.col("_x")) / F.col("_h")
-    weight = F.sum(F.col("_m") * F.exp(-z * z / 2))
-    return grid.groupBy(*own, "i", "x").agg(weight.alias("_w")).select(*keys, "i", "x", (F.col("_w") / (F.col("_n") * F.col("_h") * 2.5066282746310002)).alias("density"))
+    grid = joined.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("x", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("i") / (points - 1))
+    z = (F.col("x") - F.col("_v")) / F.col("_h")
+    return grid.groupBy(*own, "i", "x").agg(F.sum(F.exp(-z * z / 2)).alias("_w")).select(*keys, "i", "x", (F.col("_w") / (F.col("_n") * F.col("_h") * 2.5066282746310002)).alias("density"))
 
 
 def leaf_and_pair_composition(df: DataFrame, items: str, size: int = 4) -> DataFrame:

@@ -36,12 +36,21 @@ def validate_strands(hits: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def match_sequences(validated: DataFrame, least: int = 20) -> DataFrame:
-    """Longest common part of query and subject, with its nucleotides; longer than ``least``."""
+    """Longest common part of query and subject, with its nucleotides; longer than ``least``.
+
+    Positions of the part in the whole chain and in the whole nucleotide sequence count
+    from ``q_start``, and from ``s_start`` forward or ``s_end`` backward: match_q_start,
+    match_q_end, match_nt_start and match_nt_end, all included.  Forward, the original
+    reading offsets nucleotides by the query's place; ``match_nt_by_subject`` is where
+    the cut nucleotides themselves begin.
+    """
     rows = validated.withColumn("m", S.longest_common_substring("query", "subject")).where(F.col("m.length") > least)
     ahead = F.substr("nt", F.col("m.start2") * 3 + 1, F.col("m.length") * 3)
     back = S.reverse_complement(F.col("nt"))
+    first = F.when(F.col("strand") == 0, F.col("s_start") + F.col("m.start1") * 3).otherwise(F.col("s_end") - F.col("m.end2") * 3 + 1)
     return rows.withColumns({
-        "aa": F.col("m.text"), "match_len": F.col("m.length"), "q_from": F.col("m.start1"), "nt_start": F.col("m.start2") * 3, "nt_end": (F.col("m.start2") + F.col("m.length")) * 3,
+        "aa": F.col("m.text"), "match_len": F.col("m.length"), "match_q_start": F.col("q_start") + F.col("m.start1"), "match_q_end": F.col("q_start") + F.col("m.end1") - 1,
+        "match_nt_start": first, "match_nt_end": first + F.col("m.length") * 3 - 1, "match_nt_by_subject": F.when(F.col("strand") == 0, F.col("s_start") + F.col("m.start2") * 3).otherwise(first),
         "matched_ss": F.substr("ss", F.col("m.start1") + 1, F.col("m.length")), "nt_match": F.when(F.col("strand") == 0, ahead).otherwise(F.substr(back, F.col("m.start2") * 3 + 1, F.col("m.length") * 3)),
     }).drop("m")
 
@@ -65,6 +74,16 @@ def assemble_residues(atoms: DataFrame, matched: DataFrame, least: int = 19) ->
     return rows, missing
 
 
+def summarise_chains(meta: DataFrame, residues: DataFrame) -> DataFrame:
+    """Metadata of the chains that have residues, with chain_length (rows) and the residues' letters, codons and states in order.
+
+    ``residues``: chain_id, res_num, aa, codon, ss.  Residues are aggregated first, so
+    the join is one row against one row a chain.
+    """
+    whole = windows.sequence_summary(residues, ["chain_id"], "res_num", {"aa": "aa_seq", "codon": "nt_seq", "ss": "secondary_structure"})
+    return meta.join(whole.select("chain_id", F.col("n_rows").alias("chain_length"), "aa_seq", "nt_seq", "secondary_structure"), "chain_id")
+
+
 def simplices(residues: DataFrame, cutoff: float = 12.0) -> DataFrame:
     """Tessellate every chain's residues and describe the simplices; edges up to the cutoff, itself included."""
     points = residues.select("chain_id", F.col("res_num").cast("long").alias("pos"), "x", "y", "z", F.col("codon").alias("leaf"), F.col("ss").alias("state"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chainloom.functions.distributions import chi_square_even
 from chainloom.functions.geometry import adjacency_class, residue_distance
 from chainloom.operators import assoc, joins, stats, windows
+from chainloom.plans import etl
 from chainloom.session import table
 
 from .views import FOUR_SQL, RESIDUE_SQL, four, residue
@@ -218,25 +219,71 @@ def chi_square_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.chi_square_families(counts, "family", [0, 1, 2]).select("family", "class", _r(F.col("x2"), "x2"), "df", _r(chi_square_even(F.col("x2"), 4), "p"))
 
 
-@query()
+@query(f"""WITH {RESIDUE_SQL}, o AS (SELECT family, leaf, class8 AS c, count(*) AS n FROM residue GROUP BY ALL),
+    g AS (SELECT f.family, f.leaf, k.c, coalesce(o.n, 0) AS n FROM (SELECT DISTINCT family, leaf FROM residue) f CROSS JOIN range(0, 8) k(c) LEFT JOIN o ON o.family = f.family AND o.leaf = f.leaf AND o.c = k.c),
+    e AS (SELECT *, CAST(sum(n) OVER (PARTITION BY family, leaf) AS DOUBLE) / sum(n) OVER (PARTITION BY family) * sum(n) OVER (PARTITION BY family, c) AS e FROM g),
+    x AS (SELECT family, CAST(c AS INTEGER) AS class, sum(CASE WHEN e > 0 THEN (n - e) * (n - e) / e END) AS x2, count(*) - 1 AS df FROM e GROUP BY family, c)
+    SELECT family, class, round(x2, 6) AS x2, df, round(exp(-x2 / 2) * (1 + x2 / 2), 6) AS p FROM x""")
 def chi_square_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The general tail function; five leaves a family give four degrees of freedom."""
     counts = stats.class_counts(residue(spark, sf_dir), ["family", "leaf"], F.col("class8"), list(range(8)))
-    return stats.with_p_value(stats.chi_square_families(counts, "family", list(range(8))))
+    out = stats.with_p_value(stats.chi_square_families(counts, "family", list(range(8))))
+    return out.select("family", "class", _r(F.col("x2"), "x2"), "df", _r(F.col("p"), "p"))
+
+
+_LETTERS = "HGIEBSTCMN"
+_FIVE = {"Helix": list("HGI"), "Sheet": list("EB"), "Curvature/Turn": list("ST"), "Blank": ["M"], "None": ["N"]}
+_NINE = {"3-10 helix": ["G"], "Alpha helix": ["H"], "Pi helix": ["I"], "Beta bridge": ["B"], "Beta bulge": ["E"], "Turn": ["T"], "Curvature": ["S"], "Blank": ["C"], "None": ["N"]}
 
 
-def _composition_sql(labels: str) -> str:
-    return f"""WITH {FOUR_SQL}, s AS (SELECT unnest(states) AS s FROM four WHERE pos4 IS NOT NULL), c AS (SELECT CASE WHEN s IN ({labels}) THEN s ELSE 'other' END AS label, count(*) AS count FROM s GROUP BY 1)
+def _composition_sql(buckets: dict[str, list[str]]) -> str:
+    pairs = ", ".join(f"('{n}', '{x}')" for n, xs in buckets.items() for x in xs)
+    return f"""WITH {RESIDUE_SQL}, l AS (SELECT chain, pos, substr('{_LETTERS}', 1 + event_id % 10, 1) AS s FROM residue),
+    w AS (SELECT [s, lead(s, 1) OVER o, lead(s, 2) OVER o, lead(s, 3) OVER o] AS f, lead(pos, 3) OVER o AS p FROM l WINDOW o AS (PARTITION BY chain ORDER BY pos)),
+    s AS (SELECT unnest(f) AS s FROM w WHERE p IS NOT NULL), b AS (SELECT * FROM (VALUES {pairs}) AS t(label, s)), c AS (SELECT label, count(x.s) AS count FROM b LEFT JOIN s x ON x.s = b.s GROUP BY label)
     SELECT label, count, round(count * 1.0 / sum(count) OVER (), 9) AS share FROM c"""
 
 
-@query(_composition_sql("'view', 'click'"))
+def _composition(spark: SparkSession, sf_dir: str, buckets: dict[str, list[str]]) -> DataFrame:
+    """The buckets of the states in all windows of four."""
+    letter = F.substr(F.lit(_LETTERS), (F.col("event_id") % 10 + 1).cast("int"), F.lit(1))
+    rows = windows.sliding(residue(spark, sf_dir).withColumn("s", letter), ["chain"], ["pos"], ["s"], 4)
+    return stats.bucket_composition(rows, F.array(*[F.col(f"s{k}") for k in range(1, 5)]), buckets).select("label", "count", _r(F.col("share"), "share", 9))
+
+
+@query(_composition_sql(_FIVE))
 def composition_5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.composition(four(spark, sf_dir), F.col("states"), ["view", "click"]).select("label", "count", _r(F.col("share"), "share", 9))
+    return _composition(spark, sf_dir, _FIVE)
 
 
-@query(_composition_sql("'view', 'click', 'purchase', 'signup', 'error'"))
+@query(_composition_sql(_NINE))
 def composition_9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.composition(four(spark, sf_dir), F.col("states"), ["view", "click", "purchase", "signup", "error"]).select("label", "count", _r(F.col("share"), "share", 9)).orderBy("count", "label")
+    return _composition(spark, sf_dir, _NINE)
+
+
+@query(f"""WITH {FOUR_SQL}, s AS (SELECT unnest(states) AS s FROM four WHERE pos4 IS NOT NULL), c AS (SELECT CASE WHEN s IN ('view', 'click') THEN s ELSE 'other' END AS label, count(*) AS count FROM s GROUP BY 1)
+    SELECT label, count, round(count * 1.0 / sum(count) OVER (), 9) AS share FROM c""")
+def composition_other(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.composition(four(spark, sf_dir), F.col("states"), ["view", "click"]).select("label", "count", _r(F.col("share"), "share", 9))
+
+
+@query(f"""WITH {RESIDUE_SQL}, o AS (SELECT family, leaf, CAST(count(*) FILTER (class3 = 0) AS DOUBLE) AS o, CAST(count(*) FILTER (class3 = 1) AS DOUBLE) AS e FROM residue GROUP BY family, leaf),
+    x AS (SELECT family, CASE WHEN min(e) > 0 THEN sum((o - e) * (o - e) / e) END AS x2, count(*) - 1 AS df FROM o GROUP BY family HAVING count(*) > 1)
+    SELECT family, round(x2, 6) AS x2, df, round(exp(-x2 / 2) * (1 + x2 / 2), 6) AS p FROM x""")
+def chi_square_against(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One class's counts of each family's leaves against another's; five leaves, so four degrees of freedom."""
+    counts = stats.class_counts(residue(spark, sf_dir), ["family", "leaf"], F.col("class3"), [0, 1])
+    out = stats.with_p_value(stats.chi_square_against(counts, "family", "obs_0", "obs_1"))
+    return out.select("family", _r(F.col("x2"), "x2"), "df", _r(F.col("p"), "p"))
+
+
+@query(f"""WITH {RESIDUE_SQL}, w AS (SELECT chain, count(*) AS chain_length, string_agg(family, '' ORDER BY pos) AS aa_seq, string_agg(leaf, '' ORDER BY pos) AS nt_seq, string_agg(substr(state, 1, 1), '' ORDER BY pos) AS secondary_structure FROM residue GROUP BY chain)
+    SELECT c_custkey AS chain_id, c_name, c_mktsegment, chain_length, aa_seq, nt_seq, secondary_structure FROM customer JOIN w ON chain = c_custkey""")
+def chain_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata of the chains that have residues, with their residues' letters in order."""
+    rows = residue(spark, sf_dir).select(F.col("chain").alias("chain_id"), F.col("pos").alias("res_num"), F.col("family").alias("aa"), F.col("leaf").alias("codon"), F.substring("state", 1, 1).alias("ss"))
+    meta = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("chain_id"), "c_name", "c_mktsegment")
+    return etl.summarise_chains(meta, rows)
 
 
 _ANGLE_SQL = f"{RESIDUE_SQL}, a AS (SELECT family, CAST((event_id * 37) % 361 AS DOUBLE) AS angle FROM residue)"
@@ -264,9 +311,13 @@ def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("j", _r(F.col("boundary"), "boundary"), _r(F.col("accuracy"), "accuracy", 9))
 
 
-@query()
+@query(f"""WITH {RESIDUE_SQL}, s AS (SELECT state, min(value) AS lo, max(value) AS hi, count(value) AS n, stddev_samp(value) * pow(count(value), -0.2) AS h FROM residue GROUP BY state),
+    g AS (SELECT s.*, CAST(i AS INTEGER) AS i, lo + (hi - lo) * i / 49 AS x FROM s, range(0, 50) AS r(i) WHERE h > 0)
+    SELECT g.state, g.i, round(any_value(x), 6) AS x, round(sum(exp(-(x - value) * (x - value) / (2 * h * h))) / (any_value(n) * any_value(h) * 2.5066282746310002), 9) AS density
+    FROM g JOIN residue r ON r.state = g.state WHERE value IS NOT NULL GROUP BY g.state, g.i""")
 def kde_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.kernel_density(residue(spark, sf_dir), "value", 50, ["state"])
+    out = stats.kernel_density(residue(spark, sf_dir), "value", 50, ["state"])
+    return out.select("state", "i", _r(F.col("x"), "x"), _r(F.col("density"), "density", 9))
 
 
 def _pairs_sql(where: str) -> str:

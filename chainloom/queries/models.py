@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from chainloom.operators import ml, sampling
 from chainloom.session import table
 
-from .views import RESIDUE_SQL, point, residue
+from .views import POINT_SQL, RESIDUE_SQL, point, residue
 
 QUERIES, ORACLE = {}, {}
 
@@ -49,9 +51,9 @@ def label_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.label_encode(table(spark, sf_dir, "events"), "event_type", "code").select("event_id", "code")
 
 
-@query("SELECT event_id, CAST(event_type = 'click' AS INTEGER) AS event_type_click, CAST(event_type = 'view' AS INTEGER) AS event_type_view FROM events")
+@query("SELECT event_id, " + ", ".join(f"CAST(event_type = '{v}' AS INTEGER) AS event_type_{v}" for v in ("click", "error", "purchase", "signup", "view")) + " FROM events")
 def one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.one_hot(table(spark, sf_dir, "events").select("event_id", "event_type"), "event_type", ["click", "view"]).drop("event_type")
+    return sampling.one_hot(table(spark, sf_dir, "events").select("event_id", "event_type"), "event_type").drop("event_type")
 
 
 @query("SELECT p_partkey, round((p_retailprice - avg(p_retailprice) OVER ()) / stddev_pop(p_retailprice) OVER (), 6) AS p_retailprice FROM part")
@@ -83,9 +85,25 @@ def roc_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ml.area_under(ml.roc_points(_scored(spark, sf_dir), "score", "label")).select(F.round("auc", 6).alias("auc"))
 
 
-@query()
+@query(f"""WITH {_SCORED_SQL}, c AS (SELECT predicted AS threshold, sum(label) AS p, sum(1 - label) AS n FROM scored GROUP BY predicted),
+    r AS (SELECT threshold, sum(p) OVER w * 1.0 / sum(p) OVER () AS tpr, sum(n) OVER w * 1.0 / sum(n) OVER () AS fpr FROM c WINDOW w AS (ORDER BY threshold DESC))
+    SELECT round(sum((fpr - x) * (tpr + y) / 2), 6) AS auc FROM (SELECT *, coalesce(lag(fpr) OVER w, 0) AS x, coalesce(lag(tpr) OVER w, 0) AS y FROM r WINDOW w AS (ORDER BY threshold DESC))""")
+def roc_auc_hard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The area for hard predictions."""
+    return ml.area_under(ml.roc_points(_scored(spark, sf_dir), "predicted", "label")).select(F.round("auc", 6).alias("auc"))
+
+
+_NEAR = {d: math.exp(-d * d / 8) for d in range(-8, 9)}
+_NEAR_SQL = {d: "tpr" if d == 0 else f"{'lag' if d > 0 else 'lead'}(tpr, {abs(d)}) OVER o" for d in _NEAR}
+
+
+@query(f"""WITH {_SCORED_SQL}, c AS (SELECT score AS threshold, sum(label) AS p, sum(1 - label) AS n FROM scored GROUP BY score),
+    r AS (SELECT threshold, sum(p) OVER w * 1.0 / sum(p) OVER () AS tpr, sum(n) OVER w * 1.0 / sum(n) OVER () AS fpr FROM c WINDOW w AS (ORDER BY threshold DESC)),
+    s AS (SELECT *, {" + ".join(f"coalesce({x} * {_NEAR[d]!r}, 0)" for d, x in _NEAR_SQL.items())} AS a, {" + ".join(f"CASE WHEN {x} IS NOT NULL THEN {_NEAR[d]!r} ELSE 0 END" for d, x in _NEAR_SQL.items())} AS b FROM r WINDOW o AS (ORDER BY fpr, tpr))
+    SELECT threshold, round(tpr, 6) AS tpr, round(fpr, 6) AS fpr, round(CAST(a AS DOUBLE) / CAST(b AS DOUBLE), 6) AS smoothed FROM s""")
 def roc_smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ml.smooth_gaussian(ml.roc_points(_scored(spark, sf_dir), "score", "label"), "fpr", "tpr")
+    out = ml.smooth_gaussian(ml.roc_points(_scored(spark, sf_dir), "score", "label"), "fpr", "tpr")
+    return out.select("threshold", *[F.round(c, 6).alias(c) for c in ("tpr", "fpr", "smoothed")])
 
 
 @query(f"WITH {_SCORED_SQL} SELECT label, predicted, count(*) AS count FROM scored GROUP BY ALL")
@@ -106,7 +124,7 @@ def accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ml.accuracy(_scored(spark, sf_dir), "label", "predicted").select(F.round("accuracy", 6).alias("accuracy"))
 
 
-def _vectors(spark: SparkSession, sf_dir: str, dims: int = 8) -> DataFrame:
+def _vectors(spark: SparkSession, sf_dir: str, dims: int = 64) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     xs = F.slice(F.transform("embedding", lambda v: v.cast("double")), 1, dims)
     return e.select("vec_id", "label", (F.col("label") % 2).cast("double").alias("half"), array_to_vector(xs).alias("features"), *[xs[k].alias(f"x{k}") for k in range(dims)])
@@ -122,6 +140,18 @@ def silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ml.silhouette(ml.kmeans_labels(_vectors(spark, sf_dir), "label", 2), "vec_id", "features", "cluster")
 
 
+@query("""WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), d AS (SELECT a.vec_id, a.label, b.label AS other, CASE WHEN a.label = b.label THEN sum(list_distance(a.e, b.e)) / nullif(count(*) - 1, 0) ELSE avg(list_distance(a.e, b.e)) END AS m FROM v a, v b GROUP BY a.vec_id, a.label, b.label),
+    s AS (SELECT vec_id, label, max(m) FILTER (label = other) AS a, min(m) FILTER (label <> other) AS b FROM d GROUP BY vec_id, label)
+    SELECT vec_id, label, round(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END, 6) AS silhouette FROM s""")
+def silhouette_euclidean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ml.euclidean_silhouette(_vectors(spark, sf_dir), "vec_id", "features", "label").select("vec_id", "label", F.round("silhouette", 6).alias("silhouette"))
+
+
+@query()
+def svm_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ml.decision_grid(_vectors(spark, sf_dir).select("x0", "x1", "half"), "x0", "x1", "half", 4.0)
+
+
 @query()
 def pca(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
@@ -132,7 +162,7 @@ def pca(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def svm_rff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ml.kernel_svm(_vectors(spark, sf_dir), "half", 8, 4.0).select("vec_id", "half", "prediction")
+    return ml.kernel_svm(_vectors(spark, sf_dir), "half", 64, 0.5).select("vec_id", "half", "prediction")
 
 
 @query()
@@ -143,7 +173,7 @@ def logreg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def rfe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = ml.eliminate_features(_vectors(spark, sf_dir, 4).drop("features"), [f"x{k}" for k in range(4)], "half", 2, 30)
+    left = ml.eliminate_features(_vectors(spark, sf_dir).drop("features"), [f"x{k}" for k in range(64)], "half", 2, step=0.25)
     return spark.createDataFrame([(c,) for c in left], "feature string")
 
 
@@ -155,7 +185,7 @@ def dtree(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def mlp(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _vectors(spark, sf_dir).withColumn("label", F.col("label").cast("double"))
-    return ml.perceptron([8, 8, 10], "label", iterations=40).fit(rows).transform(rows).select("vec_id", "label", "prediction")
+    return ml.perceptron([64, 8, 10], "label", iterations=200).fit(rows).transform(rows).select("vec_id", "label", "prediction")
 
 
 @query()
@@ -163,22 +193,27 @@ def kfold_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.ml.classification import LogisticRegression
 
     rows = _vectors(spark, sf_dir).select("vec_id", "half", "features")
-    return ml.cross_validate(rows, "vec_id", "half", LogisticRegression(labelCol="half", maxIter=20), 10)
+    return ml.cross_validate(rows, "vec_id", "half", LogisticRegression(labelCol="half", maxIter=100), 10)
 
 
 @query()
 def perm_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _vectors(spark, sf_dir, 4)
-    model = ml.logistic(rows, "half", iterations=50)
+    """The first eight components: each takes a shuffle of its own."""
+    rows = _vectors(spark, sf_dir, 8)
+    model = ml.logistic(rows, "half")
     score = sum((F.col(f"x{k}") * float(w) for k, w in enumerate(model.coefficients)), F.lit(float(model.intercept)))
-    return ml.permutation_importance(rows.drop("features"), "vec_id", [f"x{k}" for k in range(4)], score, "half")
+    return ml.permutation_importance(rows.drop("features"), "vec_id", [f"x{k}" for k in range(8)], score, "half")
 
 
-@query()
+@query(f"""WITH {POINT_SQL}, p AS (SELECT chain, vec_id, CAST(row_number() OVER (PARTITION BY chain ORDER BY md5(CAST(vec_id AS VARCHAR) || ':7'), vec_id) AS BIGINT) AS place FROM point) SELECT * FROM p WHERE place <= 10""")
 def point_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.ranked(point(spark, sf_dir), "vec_id", 7, ["chain"]).where("place <= 10").select("chain", "vec_id", "place")
 
 
-@query()
+@query(f"""WITH {RESIDUE_SQL}, v AS (SELECT event_id, state, leaf, value, md5(CAST(event_id AS VARCHAR) || ':0') AS d FROM residue WHERE value IS NOT NULL),
+    p AS (SELECT *, row_number() OVER (PARTITION BY state ORDER BY d, event_id) AS k FROM v), n AS (SELECT min(c) AS m FROM (SELECT count(*) AS c FROM v GROUP BY state)), s AS (SELECT * FROM p, n WHERE k <= m)
+    SELECT event_id, state, leaf, CAST(dense_rank() OVER (ORDER BY state) - 1 AS INTEGER) AS state_code, CAST(dense_rank() OVER (ORDER BY leaf) - 1 AS INTEGER) AS leaf_code,
+      round((value - avg(value) OVER ()) / stddev_pop(value) OVER (), 6) AS value, CASE WHEN row_number() OVER (ORDER BY d, event_id) <= round(count(*) OVER () * 0.8) THEN 'train' ELSE 'test' END AS part FROM s""")
 def prepared_training_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.prepare(residue(spark, sf_dir).where("value IS NOT NULL"), "event_id", "state", ["value"], ["leaf"])
+    out = sampling.prepare(residue(spark, sf_dir).where("value IS NOT NULL"), "event_id", "state", ["value"], ["leaf"])
+    return out.select("event_id", "state", "leaf", "state_code", "leaf_code", F.round("value", 6).alias("value"), "part")

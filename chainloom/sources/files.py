@@ -82,6 +82,25 @@ def record_fields(records: DataFrame, header: list[str], marks: dict[str, str])
     return records.select(*[F.get(head, i).alias(n) for i, n in enumerate(header)], *body)
 
 
+def bond_fields(lines: DataFrame) -> DataFrame:
+    """Interface bonds from tab-separated lines: both residues, atoms and coordinates (as text), distance, and the line's last character.
+
+    The ninth field is not used; other columns than ``value`` are kept.  Fields that a
+    line lacks, and numbers that do not parse, are null.
+    """
+    part = F.split("value", "\t")
+    one = lambda k, n, kind="string": F.get(part, F.lit(k)).try_cast(kind).alias(n)
+    names = ["codon", "res", "ss", "atom", "x", "y", "z", "chain"]
+    side = lambda end, first: [one(first + k, f"{n}{end}", "int" if n == "res" else "string") for k, n in enumerate(names)]
+    keep = [c for c in lines.columns if c != "value"]
+    return lines.select(*keep, *side(1, 0), *side(2, 9), one(17, "distance", "double"), F.right(F.rtrim("value"), F.lit(1)).alias("bond"))
+
+
+def read_bonds(spark: SparkSession, path: str) -> DataFrame:
+    """The same from files, one a pair of chains; ``pair`` is the first eight characters of the file's name."""
+    return bond_fields(spark.read.text(path).select(F.substring(F.col("_metadata.file_name"), 1, 8).alias("pair"), "value"))
+
+
 def paired_lines(lines: DataFrame, file: str = "file", pos: str = "pos") -> DataFrame:
     """Hits that take two lines each: a title and tab-separated numbers."""
     pair = F.floor(F.col(pos) / 2)

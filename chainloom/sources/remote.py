@@ -19,6 +19,22 @@ class HomologyClient(Protocol):
         """title, expect, align_len and identities of each hit, best first."""
 
 
+class FileClient(Protocol):
+    def download(self, name: str) -> bytes: ...
+
+
+def download_files(wanted: DataFrame, client: Callable[[], FileClient]) -> DataFrame:
+    """name and content of the files that rows (name) ask for; each task makes one client."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        service = client()
+        for pdf in batches:
+            for name in pdf["name"]:  # a file at a time
+                yield pd.DataFrame({"name": [name], "content": [service.download(name)]})
+
+    return wanted.select("name").mapInPandas(run, "name string, content binary")
+
+
 def search_hits(chains: DataFrame, client: Callable[[], HomologyClient], limit: float = 0.1) -> DataFrame:
     """chain_id, hit, title, expect, align_len, identities of the significant hits of rows (chain_id, seq)."""
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def write_partitioned(df: DataFrame, path: str, keys: list[str]) -> None:
-    """One folder for each key; only the keys in ``df`` are replaced.  Rows meet by key first, so a folder gets few files."""
-    df.repartition(*keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+    """One folder for each key; only the keys in ``df`` are replaced.
+
+    Rows meet by key first, so a folder gets few files; adaptive execution splits a key that holds many rows over several tasks.
+    """
+    df.hint("rebalance", *[F.col(k) for k in keys]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 
 def write_tsv(df: DataFrame, path: str, formats: dict[str, str] | None = None) -> None:
@@ -27,14 +31,29 @@ def write_sheets(sheets: dict[str, DataFrame], path: str) -> None:
         df.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
+def read_sheet(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """One sheet of such a workbook."""
+    return spark.read.parquet(f"{path}/{name}")
+
+
 def save_table(df: DataFrame, name: str, keys: list[str] = ()) -> None:
     """A catalog table, partitioned by entity where one table for each entity would be many."""
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*keys) if keys else writer).saveAsTable(name)
 
 
-def append_rows(df: DataFrame, name: str) -> None:
-    df.write.insertInto(name, overwrite=False)
+def create_table(spark: SparkSession, name: str, schema: T.StructType, keys: list[str] = ()) -> None:
+    """An empty catalog table, unless it is there."""
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    parts = f" PARTITIONED BY ({', '.join(f'`{k}`' for k in keys)})" if keys else ""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet{parts}")
+
+
+def append_rows(df: DataFrame, name: str, keys: list[str]) -> None:
+    """Add the rows whose keys the table does not hold yet, so a rerun adds nothing."""
+    known = df.sparkSession.table(name)
+    new = df.join(known.select(*keys).distinct(), keys, "left_anti")
+    new.select(*known.columns).write.insertInto(name, overwrite=False)
 
 
 def table_column(df_or_spark, name: str, column: str, where: Column | None = None) -> DataFrame:

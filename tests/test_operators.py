@@ -97,7 +97,19 @@ def test_intervals_and_histograms(spark):
     assert dens[7].density == pytest.approx(want)
 
 
+def test_counts_against_counts(spark):
+    df = spark.createDataFrame([("a", "a1", 12, 10), ("a", "a2", 8, 10), ("m", "m1", 3, 3), ("z", "z1", 1, 0), ("z", "z2", 1, 2)], "f string, l string, o long, e long")
+    got = {r.f: (r.x2, r.df) for r in stats.chi_square_against(df, "f", "o", "e").collect()}
+    assert got == {"a": (pytest.approx(0.8), 1), "z": (None, 1)}
+    parts = stats.bucket_composition(spark.createDataFrame([(["H", "G", "C"],), (["E", "H", "Q"],)], "s array<string>"), F.col("s"), {"helix": ["H", "G"], "sheet": ["E"], "none": ["N"]})
+    assert [tuple(r) for r in parts.collect()] == [("none", 0, 0.0), ("sheet", 1, 0.25), ("helix", 3, 0.75)]
+
+
 def test_sampling(spark):
+    wide = sampling.one_hot(spark.createDataFrame([("b",), ("a",), (None,)], "c string"), "c")
+    assert wide.columns == ["c", "c_a", "c_b"] and rows(wide.where("c = 'a'")) == [("a", 1, 0)]
+    with pytest.raises(ValueError):
+        sampling.one_hot(spark.range(9).select(F.col("id").cast("string").alias("c")), "c", most=5)
     df = spark.range(300).select("id", F.when(F.col("id") < 50, "a").otherwise("b").alias("c"))
     assert rows(sampling.balanced_sample(df, "id", "c").groupBy("c").count()) == [("a", 50), ("b", 50)]
     parts = sampling.split_exact(df, "id", 0.8)
@@ -159,3 +171,24 @@ def test_models(spark):
     s = ml.silhouette(two, "id", "features", "cluster").collect()
     assert len(s) == 200 and all(-1 <= r.silhouette <= 1 for r in s)
     assert ml.accuracy(ml.kernel_svm(df, "label", 2, 0.5), "label", "prediction").first()[0] > 0.85
+    grid = ml.decision_grid(df.drop("features"), "x", "y", "label", 0.5, 5).collect()
+    assert len(grid) == 25 and min(r.decision for r in grid) < 0 < max(r.decision for r in grid)
+    x, label = np.array([d[1:3] for d in data]), np.array([d[3] for d in data])
+    gap = np.linalg.norm(x[:, None] - x[None], axis=2)
+    for r in ml.euclidean_silhouette(df, "id", "features", "label").collect():
+        same = label == label[r.id]
+        a, b = gap[r.id][same].sum() / (same.sum() - 1), gap[r.id][~same].mean()
+        assert r.silhouette == pytest.approx((b - a) / max(a, b))
+
+
+def test_roc_over_many_scores(spark):
+    """Running sums by ranges agree with one sort, ties and nulls included."""
+    rng = np.random.default_rng(1)
+    data = [(float(np.round(s, 3)), int(y)) for s, y in zip(rng.normal(size=3000), rng.integers(0, 2, 3000))]
+    df = spark.createDataFrame(data + [(None, 1)], "s double, y int")
+    got = {r.threshold: (r.tpr, r.fpr) for r in ml.roc_points(df, "s", "y", 50).collect()}
+    s, y = np.array([d[0] for d in data]), np.array([d[1] for d in data])
+    assert all(got[t] == (pytest.approx(y[s >= t].sum() / y.sum()), pytest.approx((1 - y[s >= t]).sum() / (1 - y).sum())) for t in np.unique(s)) and len(got) == len(np.unique(s))
+    auc = ((s[y == 1][:, None] > s[y == 0][None]).mean() + 0.5 * (s[y == 1][:, None] == s[y == 0][None]).mean())
+    assert ml.area_under(ml.roc_points(df, "s", "y", 50)).first()[0] == pytest.approx(auc)
+    assert ml.roc_points(spark.createDataFrame([], "s double, y int"), "s", "y").count() == 0

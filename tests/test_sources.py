@@ -56,12 +56,14 @@ def test_hits(spark):
 
 def test_etl_round_trip(spark):
     aa, nt = "ACDEFGHIKLMNPQRSTVWYACDEFG", "GCTTGTGATGAATTTGGTCATATTAAATTAATGAATCCTCAACGTTCTACTGTTTGGTATGCTTGTGATGAATTTGGT"
-    raw = spark.createDataFrame([("1ABCA", aa, aa, "H" * len(aa), nt), ("2ABCB", aa, aa, "E" * len(aa), "A" * 9)], "chain_id string, query string, subject string, ss string, nt string")
+    place = "chain_id string, query string, subject string, ss string, nt string, q_start int, s_start int, s_end int"
+    raw = spark.createDataFrame([("1ABCA", aa, aa, "H" * len(aa), nt, 5, 101, 100 + len(nt)), ("2ABCB", aa, aa, "E" * len(aa), "A" * 9, 1, 1, 9)], place)
     good, bad = etl.validate_strands(raw)
     assert [r.chain_id for r in bad.collect()] == ["2ABCB"]
     matched = etl.match_sequences(good)
     m = matched.first()
     assert m.aa == aa and m.nt_match == nt and m.matched_ss == "H" * len(aa)
+    assert (m.match_q_start, m.match_q_end, m.match_nt_start, m.match_nt_end) == (5, 4 + len(aa), 101, 100 + len(nt))
     atoms = [("1ABCA", 2 * i + d, a, i + 1, float(i), float(i * i % 7), float(i % 3)) for i, a in enumerate(aa) for d in (0, 1)] + [("9ZZZZ", 0, "A", 1, 0.0, 0.0, 0.0)]
     rows, missing = etl.assemble_residues(spark.createDataFrame(atoms, "chain_id string, pos int, aa string, res_num int, x double, y double, z double"), matched.select("chain_id", "aa", "matched_ss", "nt_match"))
     got = rows.orderBy("res_num").collect()
@@ -91,7 +93,53 @@ def test_streaming_runs(spark, tmp_path):
         q.stop()
 
 
+def test_matched_coordinates(spark):
+    """Both strands of a match in the middle, counted in the whole sequences."""
+    protein, coding = "ACDEFGHIKL", "GCTTGTGATGAATTTGGTCATATTAAATTA"
+    back = coding[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    raw = spark.createDataFrame([("f", protein, "QQ" + protein[3:], "ssstttuuuu", "CAACAA" + coding[9:], 11, 201, 227, 0), ("b", protein, "QQ" + protein[3:], "ssstttuuuu", back[: 21] + "TTGTTG", 11, 201, 227, 1)],
+                                "chain_id string, query string, subject string, ss string, nt string, q_start int, s_start int, s_end int, strand int")
+    f, b = etl.match_sequences(raw, 5).orderBy(F.desc("chain_id")).collect()
+    assert (f.match_len, f.match_q_start, f.match_q_end, f.nt_match, f.matched_ss) == (7, 14, 20, coding[9:], "tttuuuu")
+    assert (f.match_nt_start, f.match_nt_end, f.match_nt_by_subject) == (210, 230, 207)  # the query's place, and the cut nucleotides' own
+    assert (b.nt_match, b.match_nt_start, b.match_nt_end) == (coding[9:], 201, 221)
+
+
+def test_bonds(spark, tmp_path):
+    fields = ["A1", "7", "H", "CA", "1", "2", "3", "A", "skip", "C2", "9", "E", "N", "4", "5", "6", "B", "3.25", "bond H"]
+    (tmp_path / "1ABCA_2X_codon").write_text("\t".join(fields) + "\nA1\tx\n")
+    rows = files.read_bonds(spark, str(tmp_path)).orderBy("distance").collect()
+    assert tuple(rows[1]) == ("1ABCA_2X", "A1", 7, "H", "CA", "1", "2", "3", "A", "C2", 9, "E", "N", "4", "5", "6", "B", 3.25, "H")
+    assert rows[0].codon1 == "A1" and rows[0].res1 is None and rows[0].distance is None
+
+
+def test_tables_in_the_catalog(spark):
+    spark.sql("DROP TABLE IF EXISTS kept_rows")
+    for _ in range(2):
+        sinks.create_table(spark, "kept_rows", schemas.T.StructType.fromDDL("v double, k string"), ["k"])
+        sinks.append_rows(spark.createDataFrame([("a", 1.0), ("b", 2.0)], "k string, v double"), "kept_rows", ["k"])
+    assert sorted((r.k, r.v) for r in spark.table("kept_rows").collect()) == [("a", 1.0), ("b", 2.0)]
+    assert [r.v for r in sinks.table_column(spark, "kept_rows", "v", F.col("k") == "b").collect()] == [2.0]
+    spark.sql("DROP TABLE kept_rows")
+
+
+class Files:
+    def download(self, name):
+        return name.encode() * 2
+
+
+def test_downloads(spark):
+    got = remote.download_files(spark.createDataFrame([("a",), ("b",)], "name string"), Files).collect()
+    assert sorted((r.name, bytes(r.content)) for r in got) == [("a", b"aa"), ("b", b"bb")]
+
+
+def test_chain_summary(spark):
+    meta = spark.createDataFrame([("c", "title"), ("none", "t")], "chain_id string, title string")
+    rows = spark.createDataFrame([("c", 2, "C", "C1", "H"), ("c", 1, "A", "A2", "E"), ("x", 1, "A", "A1", "E")], "chain_id string, res_num int, aa string, codon string, ss string")
+    assert [tuple(r) for r in etl.summarise_chains(meta, rows).collect()] == [("c", "title", 2, "AC", "A2C1", "EH")]
+
+
 @pytest.mark.parametrize("name", ["chain_meta", "t"])
 def test_tables(spark, name, tmp_path):
     sinks.write_sheets({name: spark.range(3)}, str(tmp_path))
-    assert spark.read.parquet(f"{tmp_path}/{name}").count() == 3
+    assert sinks.read_sheet(spark, str(tmp_path), name).count() == 3
