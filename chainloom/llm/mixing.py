@@ -5,8 +5,9 @@ but stops at ``most`` times its size, and the excess is shared again by weight.
 Blocks of ``block`` words are then given to sources by highest quotients
 target / (2k - 1), for a growing number of blocks: the method never takes a block
 back when the number grows, so differences are integer quotas for each shard.
-Last, each source's documents are put in a seeded order and cut into blocks of the
-running word count; the quota takes whole passes and then the first blocks.
+Last, each source's documents are put in a seeded order, over and over, and cut into
+blocks of the running word count; each shard takes as many blocks as its quota says,
+from where the shard before it ended.
 
 Scale: no row stands for a block.  A source's quota lies within half the number
 of sources of its exact share, so only about three candidate seats a source are
@@ -71,18 +72,18 @@ def quotas(table: DataFrame, blocks: Column, n: str = "blocks") -> DataFrame:
 
 
 def shard_quotas(table: DataFrame, shards: int = SHARDS, block: int = BLOCK) -> DataFrame:
-    """source, shard, blocks: each shard's integer quota of blocks from each source."""
+    """source, shard, upto, blocks: each shard's integer quota of blocks from each source, and those of all shards up to it."""
     total = F.floor(F.col("total") / block + 0.5)
     out = None
     for s in range(shards):
-        upto = quotas(table, F.floor(total * (s + 1) / shards)).withColumn("shard", F.lit(s))
+        upto = quotas(table, F.floor(total * (s + 1) / shards), "upto").withColumn("shard", F.lit(s))
         out = upto if out is None else out.unionByName(upto)
-    before = F.lag("blocks", 1, 0).over(Window.partitionBy("source").orderBy("shard"))
-    return out.select("source", "shard", (F.col("blocks") - before).alias("blocks"))
+    before = F.lag("upto", 1, 0).over(Window.partitionBy("source").orderBy("shard"))
+    return out.select("source", "shard", "upto", (F.col("upto") - before).alias("blocks"))
 
 
-def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK, seed: str = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, size, source_size, target, taken, source and copies-free words taken for every row.
+def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK, seed: str = SEED, keep: tuple[str, ...] = (), shards: int = SHARDS) -> DataFrame:
+    """doc_id, size, source_size, target, taken, source and shares (the words that each shard takes, together ``taken``) for every row.
 
     A null text has size 0 and nothing is taken from it; null sources form one
     source, the last.  The seeded order is by a digest of doc_id, so reruns agree;
@@ -93,12 +94,10 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     """
     docs = sized(documents, keep)
     table = targets(docs, weights, most)
-    quota = quotas(table, F.floor(F.col("total") / block + 0.5))
-    plan = table.join(F.broadcast(quota), table["source"].eqNullSafe(quota["source"])).drop(quota["source"])
-    plan = plan.withColumn("words", F.least(F.col("blocks") * block, F.col("cap"))).select(
-        "source", "source_size", "target", F.when(F.col("source_size") > 0, F.expr("words div source_size")).otherwise(0).alias("passes"),
-        F.when(F.col("source_size") > 0, F.col("words") % F.col("source_size")).otherwise(0).alias("rest"),
-    )
+    quota = shard_quotas(table, shards, block).groupBy("source").agg(F.array_sort(F.collect_list(F.struct("shard", "upto"))).alias("q"))  # a row a source
+    plan = table.join(quota, table["source"].eqNullSafe(quota["source"])).drop(quota["source"])
+    ends = F.transform("q", lambda x: F.least(x["upto"] * block, F.col("cap")))  # where each shard's blocks end, in words
+    plan = plan.select("source", "source_size", "target", ends.alias("ends"))
     docs = docs.withColumn("digest", F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string")))).withColumn("bucket", F.substring("digest", 1, PREFIX))
     sums = docs.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     over = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -108,5 +107,9 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     docs = docs.join(sums, docs["source"].eqNullSafe(sums["source"]) & (docs["bucket"] == sums["bucket"])).drop(sums["source"], sums["bucket"])
     docs = docs.join(plan, docs["source"].eqNullSafe(plan["source"])).drop(plan["source"])
     start = F.col("before") + F.col("inside")
-    part = F.greatest(F.least(start + F.col("size"), F.col("rest")) - start, F.lit(0))
-    return docs.select("doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size") + part).alias("taken"), "source", *keep)
+    docs = docs.withColumn("start", start)
+    # a document's words among the first so many of its source: once a whole pass, and what the last pass has reached
+    upto = "transform(ends, e -> if(source_size > 0, (e div source_size) * size + greatest(least(start + size, e % source_size) - start, 0L), 0L))"
+    docs = docs.withColumn("upto", F.expr(upto)).withColumn("shares", F.transform("upto", lambda x, i: x - F.when(i == 0, F.lit(0)).otherwise(F.get("upto", i - 1))))
+    taken = F.aggregate("shares", F.lit(0).cast("long"), lambda t, x: t + x)
+    return docs.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source", "shares", *keep)

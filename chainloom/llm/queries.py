@@ -25,7 +25,7 @@ def op1_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_table(spark, sf_dir, "documents"))
+    return mixing.mix(_table(spark, sf_dir, "documents")).drop("shares")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
