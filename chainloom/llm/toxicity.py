@@ -3,13 +3,15 @@
 1. A bounded sample of labelled rows (``MAX_LABELLED``) gives the lexicons: words
    and word beginnings (patterns of 4, 5 and 6 bytes) that stand for "toxic" in at
    least three quarters of their rows and beyond what chance gives.  The strongest become
-   voters for "toxic"; a further voter says "clean" where none of them fires.
-2. A generative label model over all documents estimates by expectation
-   maximisation how accurate each voter is, and from the voters' joint firings how
-   correlated they are; a voter's say is divided by its correlation with the
-   others, so that the word and its beginning do not count twice.
-3. A logistic regression over the lexicon features is fitted to the posterior
-   labels of all documents and gives the scores.
+   voters: they fire or stay silent, and both tells of the class.
+2. A generative label model over all documents says how the voters fire in either
+   class: each voter's firing depends on the class and on one other voter, its parent
+   in a tree, so a word and its beginning do not count twice.  Expectation
+   maximisation estimates how often voters fire (their accuracies) and how they fire
+   together with their parents (their correlations) in each class; the tree joins the
+   voters that tell most of each other once the class is known.
+3. A logistic regression over the lexicon features is fitted to the posterior labels
+   of all documents, labelled or not, and gives the scores.
 
 Scale: two scans of the texts; the second leaves a few feature numbers for each
 document, and everything after it is sums over that small table.
@@ -21,6 +23,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +31,8 @@ from .textkernel import HashTable, grouped, list_array, lower_ascii, slices, spa
 from .workspace import map_texts, materialise
 
 MAX_LABELLED, FEATURES, VOTERS, BEGINNINGS = 20_000, 2048, 128, (4, 5, 6)
-EM_ROUNDS, FIT_ROUNDS, THRESHOLD, LEAST_PRECISION = 4, 20, 0.3, 0.75
+EM_ROUNDS, FIT_ROUNDS, THRESHOLD, LEAST_PRECISION = 8, 20, 0.3, 0.75
+_GROUPS, _PRIOR = 64, 5.0
 _SOLID = np.array([c > 127 or chr(c).isalnum() for c in range(256)])
 
 
@@ -81,16 +85,17 @@ def _present(shared):
                 where = table.find(h)
                 hit = where >= 0
                 lists = list_array(where[hit], grouped(r[hit], b - a), pa.int32())
-                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in ("doc_id", "held_out", "toxic")], lists], ["doc_id", "held_out", "toxic", "features"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in ("doc_id", "held_out")], lists], ["doc_id", "held_out", "features"])
 
     return run
 
 
-def _lexicon(sample: DataFrame, documents: DataFrame, features: int, voters: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """Feature hashes, the voters' precision on the sample (NaN: no voter) and the share of toxic rows."""
+def _lexicon(sample: DataFrame, documents: DataFrame, features: int, voters: int) -> tuple[np.ndarray, np.ndarray, tuple[int, int]]:
+    """Feature hashes, the voters' toxic and clean rows in the sample (a column each), and all such rows."""
     rows = documents.join(F.broadcast(sample), "doc_id").select("text", "toxic")  # at most MAX_LABELLED ids
     bad, all_ = sample.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count(F.lit(1))).first()
     share = (bad + 1) / (all_ + 20)
+    rows_of = (bad, all_ - bad)
     tally = map_texts(rows, _tally, "h long, bad long, good long").groupBy("h").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     tally = materialise(tally.where("bad + good >= 2"), "tally")
     b, g = F.col("bad"), F.col("good")
@@ -98,32 +103,35 @@ def _lexicon(sample: DataFrame, documents: DataFrame, features: int, voters: int
     row = b + g
     gain = part(b, bad, row) + part(g, all_ - bad, row) + part(bad - b, bad, all_ - row) + part(all_ - bad - g, all_ - bad, all_ - row)
     if not bad or bad == all_:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0), share
+        return np.zeros(0, dtype=np.uint64), np.zeros((2, 0)), rows_of
     chance = float(np.log(max(tally.count(), 1)))  # so many nats the best of that many random features would gain
     best = tally.withColumn("gain", gain).where((F.col("gain") * all_ >= chance) & ((b + share) / (row + 1) >= LEAST_PRECISION)).orderBy(F.desc("gain"), "h").limit(features).toArrow()
     h, bad_n, good_n = best.column("h").to_numpy().view(np.uint64), best.column("bad").to_numpy(), best.column("good").to_numpy()
-    precision = (bad_n + share) / (bad_n + good_n + 1)
-    votes = np.full(len(h), np.nan)
-    votes[:voters] = precision[:voters]
-    return h, votes, share
+    return h, np.stack((bad_n, good_n))[:, :voters].astype(float), rows_of
 
 
-def _sums(table: DataFrame, size: int, work: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], of: str = "toxic") -> np.ndarray:
-    """Sum ``work(features, row of each, column)``, an array of ``size`` numbers, over all documents; a null is -1."""
+def _sums(table: DataFrame, size: int, work: Callable[..., np.ndarray], columns: tuple[str, ...] = ()) -> np.ndarray:
+    """Sum ``work(features, row of each, documents, columns...)``, an array of ``size`` numbers, over all documents.
+
+    Each task sends one array; ``_GROUPS`` tasks add them up, and the driver adds theirs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
         for batch in batches:
             lists = batch.column("features")
             off = lists.offsets.to_numpy()
-            label = batch.column(of).fill_null(-1).to_numpy()
-            total += work(lists.flatten().to_numpy(), np.repeat(np.arange(len(label)), np.diff(off)), label)
-        yield pa.RecordBatch.from_arrays([list_array(total, np.array([0, size]), pa.float64())], ["v"])
+            total += work(lists.flatten().to_numpy(), np.repeat(np.arange(batch.num_rows), np.diff(off)), batch.num_rows, *[batch.column(c).to_numpy() for c in columns])
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % _GROUPS], pa.int32()), list_array(total, np.array([0, size]), pa.float64())], ["part", "v"])
+
+    def add(part: pa.Table) -> pa.Table:
+        every = part.column("v").combine_chunks().flatten().to_numpy().reshape(-1, size)
+        return pa.table({"v": list_array(every.sum(axis=0), np.array([0, size]), pa.float64())})
 
-    rows = table.select("features", of).mapInArrow(run, "v array<double>").select(F.posexplode("v").alias("at", "x"))
+    rows = table.select("features", *columns).mapInArrow(run, "part int, v array<double>").groupBy("part").applyInArrow(add, "v array<double>")
     out = np.zeros(size)
-    for r in rows.groupBy("at").agg(F.sum("x").alias("x")).collect():  # ``size`` rows
-        out[r.at] = r.x
+    for r in rows.toLocalIterator():  # ``_GROUPS`` rows, one at a time
+        out += np.array(r.v)
     return out
 
 
@@ -133,67 +141,103 @@ def _logit(p: np.ndarray | float) -> np.ndarray | float:
 
 
 class LabelModel:
-    """Voters' accuracies and correlations, the prior, and the chance of "toxic" where no voter fires."""
-
-    def __init__(self, features: int, voter: np.ndarray, accuracy: np.ndarray, share: float):
-        self.index = np.full(features, -1)
-        self.index[voter] = np.arange(len(voter))
-        self.voters, self.accuracy, self.prior, self.quiet = voter, accuracy, share, min(share, 0.02)
-        self.correlation = np.eye(len(voter))
+    """How voters fire in the clean (0) and the toxic (1) class, each given its parent; and the share of either class."""
+
+    def __init__(self, features: int, counts: np.ndarray, rows: tuple[int, int]):
+        v = counts.shape[1]
+        self.features, self.voters = features, v
+        self.fires = np.stack([(counts[1 - y] + 0.1) / (rows[1 - y] + 1) for y in (0, 1)])  # where the sample begins
+        self.fires = np.clip(self.fires, 1e-5, 1 - 1e-5)
+        self.prior = (rows[0] + 1) / (sum(rows) + 20)
+        self.start, self.weight = self.fires.copy(), np.array([rows[1] + 1.0, rows[0] + 1.0])
+        self.parent = np.full(v, -1)
+        self.given = np.stack([self.fires] * 2, axis=1)  # class, whether the parent fires, voter
 
     def firings(self, f: np.ndarray, row: np.ndarray, docs: int) -> Iterator[tuple[int, np.ndarray]]:
-        """The voters that fire, as a 0/1 matrix for some thousand documents at a time."""
-        on = self.index[f] >= 0
-        at, k = row[on], self.index[f[on]]
+        """The voters that fire, as a 0/1 matrix for some thousand documents at a time; voters are the first features."""
+        on = f < self.voters
+        at, k = row[on], f[on]
         for a in range(0, docs, 4096):
             lo, hi = np.searchsorted(at, [a, a + 4096])
-            x = np.zeros((min(4096, docs - a), len(self.voters)))
+            x = np.zeros((min(4096, docs - a), self.voters))
             x[at[lo:hi] - a, k[lo:hi]] = 1
             yield a, x
 
-    def posterior(self, f: np.ndarray, row: np.ndarray, label: np.ndarray) -> np.ndarray:
-        """Chance of "toxic" for each document.
-
-        The say of a voter is divided by its correlation with those that fire with
-        it; a sampled label is taken as it is.
-        """
-        q = np.zeros(len(label))
-        say = _logit(self.accuracy) - _logit(self.prior)
-        for a, x in self.firings(f, row, len(label)):
-            shared = np.maximum(x @ self.correlation, 1)
-            logit = np.where(x.any(axis=1), _logit(self.prior) + (x / shared) @ say, _logit(self.quiet))
+    def says(self) -> tuple[float, np.ndarray, np.ndarray]:
+        """The log odds of "toxic" as a constant, what each voter adds, and what it adds together with its parent."""
+        log = np.log(self.given)
+        no = np.log1p(-self.given)
+        fire, quiet = log[1] - log[0], no[1] - no[0]  # by parent, voter
+        has = self.parent >= 0
+        single = fire[0] - quiet[0]
+        pair = np.where(has, fire[1] - quiet[1] - single, 0)
+        np.add.at(single, self.parent[has], (quiet[1] - quiet[0])[has])
+        return float(_logit(self.prior) + quiet[0].sum()), single, pair
+
+    def posterior(self, f: np.ndarray, row: np.ndarray, docs: int) -> np.ndarray:
+        """Chance of "toxic" for each document."""
+        q = np.zeros(docs)
+        base, single, pair = self.says()
+        for a, x in self.firings(f, row, docs):
+            logit = base + x @ single + (x * x[:, np.maximum(self.parent, 0)]) @ pair
             q[a : a + len(x)] = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        return np.where(label >= 0, np.clip(label, 0.01, 0.99), q)
-
-
-def _label_model(table: DataFrame, precision: np.ndarray, share: float, rounds: int) -> LabelModel:
-    voter = np.flatnonzero(~np.isnan(precision))
-    v, start = len(voter), precision[voter]
-    model = LabelModel(len(precision), voter, start, share)
+        return q
+
+    def update(self, docs: np.ndarray, joint: np.ndarray) -> None:
+        """From the documents of each class, and how often pairs of voters fire together in each (the diagonal: alone or not)."""
+        v = self.voters
+        single = np.einsum("yii->yi", joint)
+        self.prior = float(np.clip(docs[1] / max(docs.sum(), 1), 1e-4, 0.9))
+        self.fires = np.clip((single + self.weight[:, None] * self.start) / (docs + self.weight)[:, None], 1e-6, 1 - 1e-6)
+        told = np.zeros((v, v))  # what two voters tell of each other within a class
+        for y in (0, 1):
+            n, p = max(docs[y], 1e-9), self.fires[y]
+            both = np.clip(joint[y] / n, 1e-12, 1)
+            cells = [(both, np.outer(p, p)), (p[:, None] - both, np.outer(p, 1 - p)), (p[None] - both, np.outer(1 - p, p)), (1 - p[:, None] - p[None] + both, np.outer(1 - p, 1 - p))]
+            told += n / max(docs.sum(), 1) * sum(np.where(c > 1e-12, c * np.log(np.maximum(c, 1e-12) / np.maximum(e, 1e-12)), 0) for c, e in cells)
+        self.parent = spanning_tree(told)
+        at = np.maximum(self.parent, 0)
+        for y in (0, 1):
+            with_parent = joint[y][at, np.arange(v)]
+            for on, hits, rows in ((1, with_parent, single[y][at]), (0, single[y] - with_parent, docs[y] - single[y][at])):
+                self.given[y, on] = np.clip((hits + _PRIOR * self.fires[y]) / (rows + _PRIOR), 1e-6, 1 - 1e-6)
+        root = self.parent < 0
+        self.given[:, :, root] = self.fires[:, None, root]
+
+
+def spanning_tree(gain: np.ndarray) -> np.ndarray:
+    """Each node's parent in the tree of largest gain (Chow, Liu 1968); the first node, and those that gain nothing, have none."""
+    v = len(gain)
+    parent, best, of = np.full(v, -1), np.full(v, -np.inf), np.zeros(v, dtype=int)
+    left = np.ones(v, dtype=bool)
+    here = 0
+    for _ in range(v - 1):
+        left[here] = False
+        closer = left & (gain[here] > best)
+        best[closer], of[closer] = gain[here][closer], here
+        here = int(np.argmax(np.where(left, best, -np.inf)))
+        parent[here] = of[here] if best[here] > 1e-9 else -1
+    return parent
+
+
+def _label_model(table: DataFrame, counts: np.ndarray, rows: tuple[int, int], features: int, rounds: int) -> LabelModel:
+    model = LabelModel(features, counts, rows)
+    v = model.voters
     for _ in range(rounds):
 
-        def work(f, row, label):
-            q = model.posterior(f, row, label)
-            single, joint, calm = np.zeros((2, v)), np.zeros((v, v)), np.zeros(2)
-            for a, x in model.firings(f, row, len(label)):
-                part = q[a : a + len(x)]
-                single += [part @ x, x.sum(axis=0)]
-                joint += (x * part[:, None]).T @ x
-                none = ~x.any(axis=1)
-                calm += [part[none].sum(), none.sum()]
-            return np.concatenate((single.reshape(-1), joint.reshape(-1), calm, [q.sum(), len(q)]))
-
-        total = _sums(table, 2 * v + v * v + 4, work)
-        toxic, docs = total[-2], total[-1]
-        model.accuracy = (total[:v] + start) / (total[v : 2 * v] + 1)
-        model.prior = (toxic + share) / (docs + 1)
-        model.quiet = (total[-4] + 0.01) / (total[-3] + 1)
-        joint = total[2 * v : -4].reshape(v, v) / max(toxic, 1e-9)  # joint firings within the toxic class
-        alone = np.diag(joint)
-        cov = joint - np.outer(alone, alone)
-        dev = np.sqrt(np.maximum(np.diag(cov), 1e-12))
-        model.correlation = np.clip(cov / np.outer(dev, dev), 0, 1)
-        np.fill_diagonal(model.correlation, 1)
+        def work(f, row, docs):
+            q = model.posterior(f, row, docs)
+            joint = np.zeros((2, v, v))
+            for a, x in model.firings(f, row, docs):
+                some = x.any(axis=1)
+                x, part = x[some], q[a : a + len(x)][some]
+                toxic = (x * part[:, None]).T @ x
+                joint[1] += toxic
+                joint[0] += x.T @ x - toxic
+            return np.concatenate((joint.reshape(-1), [docs - q.sum(), q.sum()]))
+
+        total = _sums(table, 2 * v * v + 2, work)
+        model.update(total[-2:], total[:-2].reshape(2, v, v))
     return model
 
 
@@ -203,20 +247,21 @@ def _fit(table: DataFrame, model: LabelModel, rounds: int) -> tuple[np.ndarray,
     Each round minimises a separable bound of the loss: the curvature is at most a
     quarter, and a document's features share it, so no round overshoots.
     """
-    n = len(model.index)
-    w, b = np.zeros(n), float(_logit(model.quiet))
-    w[model.voters] = _logit(model.accuracy) - _logit(model.prior)
+    n = model.features
+    base, single, _ = model.says()
+    w, b = np.zeros(n), float(np.clip(base, -8, 0))
+    w[: model.voters] = np.clip(single, -8, 8)
     here, before, pace = np.append(w, b), np.append(w, b), 1.0
     for _ in range(rounds):
         w0, b0 = here[:n], float(here[n])
 
-        def work(f, row, q):
-            p = 1 / (1 + np.exp(-np.clip(b0 + np.bincount(row, weights=w0[f], minlength=len(q)), -30, 30)))
-            size = np.bincount(row, minlength=len(q)) + 1  # bounds how far the features of a document can move together
+        def work(f, row, docs, q):
+            p = 1 / (1 + np.exp(-np.clip(b0 + np.bincount(row, weights=w0[f], minlength=docs), -30, 30)))
+            size = np.bincount(row, minlength=docs) + 1  # bounds how far the features of a document can move together
             g, h = p - q, 0.25 * size
             return np.concatenate((np.bincount(f, weights=g[row], minlength=n), [g.sum()], np.bincount(f, weights=h[row], minlength=n), [h.sum()]))
 
-        total = _sums(table, 2 * n + 2, work, "posterior")
+        total = _sums(table, 2 * n + 2, work, ("posterior",))
         after = here - (total[: n + 1] + 0.01 * np.append(w0, 0)) / (total[n + 1 :] + 0.01)
         faster = (1 + np.sqrt(1 + 4 * pace * pace)) / 2  # Nesterov's momentum
         here, before, pace = after + (pace - 1) / faster * (after - before), after, faster
@@ -238,24 +283,23 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame, max_labelled: int =
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (fold() != 2))
     usable = usable.groupBy("doc_id").agg(F.max(F.col("toxic").cast("long")).alias("toxic"))
     sample = materialise(usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled), "sample")
-    hashes, precision, share = _lexicon(sample, docs, features, voters)
+    hashes, counts, rows = _lexicon(sample, docs, features, voters)
     shared = documents.sparkSession.sparkContext.broadcast(hashes)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    known = docs.join(F.broadcast(sample), "doc_id", "left").select("doc_id", "held_out", "text", "toxic")
-    table = materialise(map_texts(known, _present(shared), f"doc_id {kind}, held_out boolean, toxic long, features array<int>"), "features")
+    table = materialise(map_texts(docs, _present(shared), f"doc_id {kind}, held_out boolean, features array<int>"), "features")
     if len(hashes):
-        model = _label_model(table, precision, share, EM_ROUNDS)
+        model = _label_model(table, counts, rows, len(hashes), EM_ROUNDS)
 
         def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 lists = batch.column("features")
                 row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
-                q = model.posterior(lists.flatten().to_numpy(), row, batch.column("toxic").fill_null(-1).to_numpy())
+                q = model.posterior(lists.flatten().to_numpy(), row, batch.num_rows)
                 yield pa.RecordBatch.from_arrays([lists, pa.array(q)], ["features", "posterior"])
 
-        w, b = _fit(materialise(table.select("features", "toxic").mapInArrow(label, "features array<int>, posterior double"), "posteriors"), model, FIT_ROUNDS)
+        w, b = _fit(materialise(table.select("features").mapInArrow(label, "features array<int>, posterior double"), "posteriors"), model, FIT_ROUNDS)
     else:
-        w, b = np.zeros(1), float(_logit(min(share, 0.05)))
+        w, b = np.zeros(1), float(_logit(min((rows[0] + 1) / (sum(rows) + 20), 0.05)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -225,6 +225,11 @@ def test_mix(spark):
         assert r.source_size == sizes[r.source] and r.target == pytest.approx(want[r.source]) and 0 <= r.taken <= 3 * r.size
         taken[r.source] += r.taken
     assert all(abs(taken[s] - want[s]) <= mixing.BLOCK for s in want)
+    quota = {(r.source, r.shard): r.blocks for r in mixing.shard_quotas(mixing.targets(mixing.sized(df))).collect()}
+    for s in want:  # each shard takes its quota of blocks; what is no whole block or above the cap falls to the last
+        per = [sum(r.shares[k] for r in got if r.source == s) for k in range(mixing.SHARDS)]
+        assert all(p == quota[s, k] * mixing.BLOCK or sum(per[: k + 1]) == 3 * sizes[s] for k, p in enumerate(per))
+    assert all(sum(r.shares) == r.taken and min(r.shares) >= 0 for r in got)
     assert sorted((r.doc_id, r.taken) for r in got) == sorted((r.doc_id, r.taken) for r in mixing.mix(df.repartition(5)).collect())
 
 
@@ -269,6 +274,32 @@ def test_toxicity(spark):
     assert np.mean([r.predicted for r in held if truth[r.doc_id]]) > 0.95
 
 
+def test_label_model_finds_accuracies_and_correlations(spark):
+    """Voters of known accuracy, one of them copied twice: rates come out, copies hang together, and do not count again."""
+    rng = np.random.default_rng(7)
+    n, toxic = 6000, 0.2
+    y = rng.random(n) < toxic
+    rate = np.array([[0.02, 0.03, 0.01, 0.05, 0.02, 0.04, 0.03, 0.02], [0.6, 0.5, 0.4, 0.7, 0.5, 0.6, 0.4, 0.5]])  # clean, toxic
+    fires = rng.random((n, 8)) < rate[y.astype(int)]
+    fires = np.column_stack((fires, fires[:, 0], fires[:, 0]))
+    table = spark.createDataFrame([([int(k) for k in np.flatnonzero(f)],) for f in fires], "features array<int>")
+    start = np.vstack((np.full(10, 12.0), np.full(10, 2.0)))  # what a small, rough sample says: toxic and clean rows
+    model = toxicity._label_model(table, start, (30, 60), 10, 12)
+    assert np.allclose(model.fires[:, :8], rate, atol=0.05) and model.prior == pytest.approx(toxic, abs=0.02)
+    linked = {tuple(sorted((k, int(p)))) for k, p in enumerate(model.parent) if p >= 0}
+    assert len(linked & {(0, 8), (0, 9), (8, 9)}) == 2  # the copies are joined in the tree
+    q = model.posterior(np.array([0, 8, 9]), np.array([0, 0, 0]), 1)[0]
+    logit = np.log(toxic / (1 - toxic)) + np.log(rate[1, 0] / rate[0, 0]) + np.log((1 - rate[1, 1:]) / (1 - rate[0, 1:])).sum()
+    assert q == pytest.approx(1 / (1 + np.exp(-logit)), abs=0.05)  # as if the voter stood alone
+
+
+def test_spanning_tree():
+    gain = np.zeros((4, 4))
+    for a, b, g in ((0, 1, 5), (1, 2, 3), (0, 2, 4), (2, 3, 0)):
+        gain[a, b] = gain[b, a] = g
+    assert toxicity.spanning_tree(gain).tolist() == [-1, 0, 0, -1] and len(toxicity.spanning_tree(np.zeros((0, 0)))) == 0
+
+
 def test_toxicity_without_labels(spark, empty):
     labels = spark.createDataFrame([(1, 0, None)], "doc_id long, quality int, toxic int")
     rows = toxicity.toxicity_scores(documents(spark, ["a", None]), labels).collect()
