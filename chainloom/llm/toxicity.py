@@ -73,7 +73,7 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(unique.view(np.int64)), pa.array(bad), pa.array(all_ - bad)], ["h", "bad", "good"])
 
 
-def _present(shared):
+def _present(shared, carried: list[str]):
     """The table's features that each document has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,7 +85,7 @@ def _present(shared):
                 where = table.find(h)
                 hit = where >= 0
                 lists = list_array(where[hit], grouped(r[hit], b - a), pa.int32())
-                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in ("doc_id", "held_out")], lists], ["doc_id", "held_out", "features"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in carried], lists], [*carried, "features"])
 
     return run
 
@@ -268,8 +268,8 @@ def _fit(table: DataFrame, model: LabelModel, rounds: int) -> tuple[np.ndarray,
     return before[:n], float(before[n])
 
 
-def toxicity_scores(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, features: int = FEATURES, voters: int = VOTERS) -> DataFrame:
-    """doc_id, held_out, score and predicted for every row of ``documents``.
+def toxicity_scores(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, features: int = FEATURES, voters: int = VOTERS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, held_out, score and predicted for every row of ``documents``, and its columns named in ``keep``.
 
     Labels are learned only from rows whose crc32(doc_id as text) mod 4 is not 2,
     the first ``max_labelled`` of them by a hash of doc_id; null labels are left out,
@@ -279,14 +279,15 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame, max_labelled: int =
     Other columns are not read.  An empty table gives an empty result.
     """
     fold = lambda: F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4
-    docs = documents.select("doc_id", (fold() == 2).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    docs = documents.select("doc_id", *keep, (fold() == 2).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (fold() != 2))
     usable = usable.groupBy("doc_id").agg(F.max(F.col("toxic").cast("long")).alias("toxic"))
     sample = materialise(usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled), "sample")
     hashes, counts, rows = _lexicon(sample, docs, features, voters)
     shared = documents.sparkSession.sparkContext.broadcast(hashes)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    table = materialise(map_texts(docs, _present(shared), f"doc_id {kind}, held_out boolean, features array<int>"), "features")
+    carried = ["doc_id", "held_out", *keep]
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
+    table = materialise(map_texts(docs, _present(shared, carried), f"{kinds}, features array<int>"), "features")
     if len(hashes):
         model = _label_model(table, counts, rows, len(hashes), EM_ROUNDS)
 
@@ -307,7 +308,7 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame, max_labelled: int =
             f, row = lists.flatten().to_numpy(), np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
             p = 1 / (1 + np.exp(-np.clip(b + np.bincount(row, weights=w[f], minlength=batch.num_rows), -30, 30)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"]
+                [*[batch.column(c) for c in carried], pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], [*carried, "score", "predicted"]
             )
 
-    return table.mapInArrow(score, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return table.mapInArrow(score, f"{kinds}, score double, predicted int").select("doc_id", "held_out", "score", "predicted", *keep)

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from chainloom.llm import queries
@@ -72,3 +73,27 @@ def test_mix_keeps_every_row(spark, tmp_path):
     assert Counter((r.doc_id, r.text) for r in mixed.collect()) == +want and want[7, short] == 1 and want[7, long] == 1
     tokens = Counter(r.doc_id for r in corpus_pipeline.write_token_ids(spark, mixed, str(tmp_path)).collect())
     assert tokens[None] == 2 and tokens[7] == 2 and tokens[8] == 2
+
+
+def test_decisions_reach_rows_without_doc_id(spark, tmp_path):
+    """Rows without doc_id and repeated ones are judged like others; of each group one row stays; extra columns are dropped and empty tables pass."""
+    rng = random.Random(21)
+    texts, labels = toxic_corpus(700, 5)
+    items = [prose(rng, 30)]
+    same, other, long = prose(rng, 50), prose(rng, 60), prose(rng, 400_000)
+    bad = next(texts[i] for i, _, y in labels if y and i % 2)
+    odd = [(None, bad), (None, same), (None, same), (9001, same), (9001, other), (9001, other), (9002, other + " tail"), (None, items[0] + " x"), (None, ""), (None, None), (9003, ""), (9004, long), (9005, long), (None, None)]
+    rows = [(i, t, "en", "src0", len(t), "extra") for i, t in enumerate(texts)] + [(i, t, None, None, None, "extra") for i, t in odd]
+    docs = spark.createDataFrame(rows, DOCS + ", key string")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    toxic = corpus_pipeline.drop_toxic(spark, docs, str(tmp_path))
+    assert toxic.columns == corpus_pipeline.COLUMNS and toxic.where(F.col("text") == bad).count() == 0 and toxic.where("doc_id IS NULL").count() == 6
+    near = corpus_pipeline.drop_near_duplicates(spark, toxic, str(tmp_path))
+    kept = Counter((r.doc_id, r.text) for r in near.where("doc_id >= 9000 OR doc_id IS NULL").collect())
+    assert kept == Counter([(9001, same), (9001, other), (None, items[0] + " x"), (None, ""), (None, None), (None, None), (9003, ""), (9004, long)])
+    clean = corpus_pipeline.drop_contaminated(spark, near, str(tmp_path))
+    assert clean.where(F.col("text").startswith(items[0])).count() == 0 and clean.count() == near.count() - 1
+    nothing = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, nothing, str(tmp_path)).count() == 0
