@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chainloom.functions import geometry as G
-from chainloom.functions.lookup import HYDROPATHIES, VOLUME, VOLUMES
+from chainloom.functions.lookup import HYDROPATHIES, VOLUME
 from chainloom.operators import spatial, stats, windows
 from chainloom.plans import strand
 
@@ -138,7 +138,7 @@ _FEATURE_SQL = f"""{FOUR_SQL}, look AS (SELECT * FROM (VALUES {_VALUES}) AS t(a,
     string_agg(a, '' ORDER BY v, a) AS by_volume FROM item GROUP BY chain, pos HAVING count(*) = 4""")
 def item_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = windows.sliding(residue(spark, sf_dir), ["chain"], ["pos"], ["family"], 4)
-    known = rows.where(" AND ".join(f"family{k} IN ({', '.join(repr(a) for a in VOLUMES.split()[::2])})" for k in range(1, 5)))
+    known = rows.where(" AND ".join(f"family{k} IN ({', '.join(repr(a) for a in VOLUME)})" for k in range(1, 5)))
     out = known.select("chain", "pos", *[c.alias(n) for n, c in G.property_features([F.col(f"family{k}") for k in range(1, 5)], VOLUME, HYDROPATHIES).items()])
     return out.select("chain", "pos", *[F.round(c, 4).alias(c) for c in ("aa_h_ave", "aa_v_ave", "aa_v_std")], "aa_v_max", "aa_v_min", F.concat("a1", "a2", "a3", "a4").alias("by_volume"))
 
