@@ -150,21 +150,61 @@ def _residues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({"leaf": F.concat(letters[(F.col("vec_id") % 5).cast("int")], (F.col("vec_id") % 2 + 1).cast("string")), "state": F.when(F.col("pos") % 9 < 6, "E").otherwise("H")})
 
 
+def _bounded(rows: DataFrame, most: int = 400) -> DataFrame:
+    """Chains of at most ``most`` points, as real ones are bounded: a label's points in order, cut into pieces."""
+    return rows.withColumn("chain", F.col("chain") * 1_000_000 + F.floor((F.col("pos") - 1) / most))
+
+
 @query()
 def delaunay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.tessellate(point(spark, sf_dir), "chain")
+    return spatial.tessellate(_bounded(point(spark, sf_dir)), "chain")
 
 
 @query()
 def simplex_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.simplex_table(delaunay(spark, sf_dir), _residues(spark, sf_dir), "chain", 0.5).drop("leaves")
+    return spatial.simplex_table(delaunay(spark, sf_dir), _bounded(_residues(spark, sf_dir)), "chain", 0.5).drop("leaves")
 
 
 @query()
 def simplex_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.classify(spatial.simplex_table(delaunay(spark, sf_dir), _residues(spark, sf_dir), "chain"), "chain")
+    return spatial.classify(spatial.simplex_table(delaunay(spark, sf_dir), _bounded(_residues(spark, sf_dir)), "chain"), "chain")
 
 
-@query()
+_RESIDUE_SQL = "res AS (SELECT chain, pos, vec_id, x, y, z, ['A', 'C', 'D', 'E', 'F'][vec_id % 5 + 1] AS family, ['A', 'C', 'D', 'E', 'F'][vec_id % 5 + 1] || CAST(vec_id % 2 + 1 AS VARCHAR) AS leaf, CASE WHEN pos % 9 < 6 THEN 'E' ELSE 'H' END AS state FROM point)"
+_SUMS = ", ".join(f"v[{i}] + v[{j}]" for i in range(1, 4) for j in range(i + 1, 5))
+
+
+@query(f"""WITH {_ANGLE_SQL}{_TETRA_SQL[len(_QUAD_SQL):]}, {_RESIDUE_SQL}, look AS (SELECT * FROM (VALUES {_VALUES}) AS t(a, v, h)),
+    run AS (SELECT chain, pos, [family, lead(family, 1) OVER w, lead(family, 2) OVER w, lead(family, 3) OVER w] AS families, state = 'E' AND lead(state, 1) OVER w = 'E' AND lead(state, 2) OVER w = 'E' AND lead(state, 3) OVER w = 'E' AS hit FROM res WINDOW w AS (PARTITION BY chain ORDER BY pos)),
+    item AS (SELECT chain, pos, look.a, CAST(look.v AS DOUBLE) AS v, CAST(look.h AS DOUBLE) AS h FROM (SELECT chain, pos, unnest(families) AS a FROM run WHERE hit) u JOIN look ON look.a = u.a),
+    feat AS (SELECT chain, pos, avg(h) AS aa_h_ave, stddev_samp(h) AS aa_h_std, avg(v) AS aa_v_ave, stddev_samp(v) AS aa_v_std, max(v) AS aa_v_max, min(v) AS aa_v_min, list(v ORDER BY v) AS v, list(a ORDER BY v, a) AS a FROM item GROUP BY chain, pos),
+    f AS (SELECT *, list_sort([{_SUMS}]) AS p FROM feat), t AS (SELECT *, list_sort([e1, e2, e3, e4, e5, e6]) AS e FROM tetra)
+    SELECT {", ".join(f"e[{k}] AS E{k}" for k in range(1, 7))}, round(s / 6, 4) AS Ave, round(q / (15 * (s / 6) * (s / 6)), 3) AS Tetrahedrality, round(volume, 3) AS Volume,
+      {", ".join(f"round({c}, 4) AS {c}" for c in ("aa_h_ave", "aa_h_std", "aa_v_ave", "aa_v_std", "aa_v_max", "aa_v_min"))}, {", ".join(f"round(v[{k + 1}], 4) AS v{k}" for k in range(4))},
+      {", ".join(f"round(p[{k + 1}], 4) AS v_edge{k}" for k in range(6))}, {", ".join(f"a[{k}] AS a{k}" for k in range(1, 5))},
+      round(CASE WHEN rot < 0 THEN rot + 360 ELSE rot END, 4) AS Rotation, round(bend, 4) AS Bend, round(twist, 4) AS Twist FROM f JOIN t USING (chain, pos) JOIN o USING (chain, pos)""")
 def strand_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return strand.strand_features(strand.four_runs(_residues(spark, sf_dir), F.col("state") == "E", "chain", "pos"))
+    out = strand.strand_features(strand.four_runs(_residues(spark, sf_dir), F.col("state") == "E", "chain", "pos"))
+    return out.select(*[F.round(n, 4).alias(n) if kind == "double" else n for n, kind in out.dtypes])
+
+
+_FAR_SQL = POINT_SQL + f", {_RESIDUE_SQL}, quad AS (SELECT chain, vec_id, " + ", ".join(
+    f"lead({c}, {k}) OVER w AS {n}{k + 1}" for k in range(4) for c, n in (("pos", "r"), ("leaf", "l"), ("state", "s"), ("x", "x"), ("y", "y"), ("z", "z"))
+) + " FROM res WHERE vec_id % 7 <> 3 WINDOW w AS (PARTITION BY chain ORDER BY pos)), edges AS (SELECT *, " + ", ".join(f"{_edge_sql(i, j)} AS e{k}" for k, (i, j) in enumerate(_PAIRS, 1)) + (
+    f", abs({_DET}) / 6 AS volume FROM quad WHERE x4 IS NOT NULL), tetra AS (SELECT *, {_SQUARES} AS q, {_SUM} AS e FROM edges)"
+)
+
+
+@query(f"""WITH {_FAR_SQL}, d AS (SELECT *, r2 - r1 = 1 AS a, r3 - r2 = 1 AS b, r4 - r3 = 1 AS c, list_sort([{", ".join(f"{{'k': l{k}, 'v': r{k}}}" for k in range(1, 5))}]) AS r, list_sort([{", ".join(f"{{'k': l{k}, 'v': s{k}}}" for k in range(1, 5))}]) AS s FROM tetra)
+    SELECT chain, r[1].k || r[2].k || r[3].k || r[4].k AS sorted_simplex, {", ".join(f"r[{k}].v AS r{k}" for k in range(1, 5))}, r4 - r1 - 3 AS residue_distance, round(volume, 3) AS volume, round(q / (15 * (e / 6) * (e / 6)), 3) AS tetrahedrality,
+      {", ".join(f"s[{k}].v AS ss{k}" for k in range(1, 5))}, CAST(CASE WHEN a AND b AND c THEN 4 WHEN b AND (a OR c) THEN 3 WHEN a AND c THEN 2 WHEN a OR b OR c THEN 1 ELSE 0 END AS INTEGER) AS class FROM d""")
+def classified_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of simplices whose corners are four residues in order, with gaps: positions and states ordered with the leaves."""
+    rows = _residues(spark, sf_dir).where("vec_id % 7 <> 3").withColumn("p", F.struct("x", "y", "z")).withColumn("r", F.col("pos"))
+    four = G.tetra_metrics(windows.sliding(rows, ["chain"], ["pos"], ["p", "r", "leaf", "state"], 4), [f"p{k}" for k in range(1, 5)])
+    leaves = F.array(*[f"leaf{k}" for k in range(1, 5)])
+    cells = four.select(
+        "chain", F.array_join(F.array_sort(leaves), "").alias("sorted_simplex"), *[f"r{k}" for k in range(1, 5)], G.residue_distance(F.col("r1"), F.col("r4")).alias("residue_distance"),
+        "volume", "tetrahedrality", *[F.col(f"state{k}").alias(f"ss{k}") for k in range(1, 5)], leaves.alias("leaves"),
+    )
+    return spatial.classify(cells, "chain")
