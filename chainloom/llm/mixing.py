@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .workspace import materialise
+
 BLOCK, MOST, WEIGHTS, SEED, SHARDS, PREFIX = 32, 3, (5, 2, 1), "mix-1", 8, 3
 
 
@@ -93,7 +95,7 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     named in ``keep``, which come last and order rows equal in doc_id and size.
     """
     docs = sized(documents, keep)
-    table = targets(docs, weights, most)
+    table = materialise(targets(docs, weights, most), "targets")  # a row a source, read for each shard
     quota = shard_quotas(table, shards, block).groupBy("source").agg(F.array_sort(F.collect_list(F.struct("shard", "upto"))).alias("q"))  # a row a source
     plan = table.join(quota, table["source"].eqNullSafe(quota["source"])).drop(quota["source"])
     ends = F.transform("q", lambda x: F.least(x["upto"] * block, F.col("cap")))  # where each shard's blocks end, in words
