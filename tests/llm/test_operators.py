@@ -699,6 +699,21 @@ def test_odd_rows(spark, odd, name):
         assert {(r.keep_id, r.kept) for r in rows if r.doc_id is None} == {(None, True), (1, False)}
 
 
+@pytest.mark.parametrize("name", [n for n in OPERATORS if n != "leaks"])
+def test_texts_longer_than_a_slice(spark, name):
+    """A text above the slice's size, and a word above it, beside short ones."""
+    texts = ["short one", " ".join(f"w{i % 5000}" for i in range(200_000)), "y" * 1_100_000, "short two", " ".join(f"w{i % 5000}" for i in range(200_000))]
+    assert len(texts[1]) > textkernel.SLICE < len(texts[2])
+    rows = {r.doc_id: r for r in OPERATORS[name](documents(spark, texts), spark).collect()}
+    assert sorted(rows) == list(range(5))
+    if name == "near":
+        assert (rows[4].component_id, rows[4].n_shingles, rows[2].n_shingles) == (1, 5000, 1)
+    if name == "copies":
+        assert (rows[1].keep_id, rows[1].group_size) == (4, 2)
+    if name == "scores":
+        assert rows[1].n_tokens == 200_001 and rows[1].score == rows[4].score < rows[0].score
+
+
 @pytest.mark.parametrize("name", OPERATORS)
 def test_empty_tables(spark, empty, name):
     assert OPERATORS[name](empty, spark).count() == 0
