@@ -13,6 +13,7 @@ chunks, bitmap and rank directory.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -110,6 +111,7 @@ class DacFile:
 
 @lru_cache(maxsize=2)
 def _byte_bpe(path: str) -> UnitCache:
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(path)
