@@ -31,8 +31,8 @@ from .textkernel import HashTable, grouped, list_array, lower_ascii, slices, spa
 from .workspace import map_texts, materialise
 
 MAX_LABELLED, FEATURES, VOTERS, BEGINNINGS = 20_000, 2048, 128, (4, 5, 6)
-EM_ROUNDS, FIT_ROUNDS, THRESHOLD, LEAST_PRECISION = 8, 20, 0.3, 0.75
-_GROUPS, _PRIOR = 64, 5.0
+EM_ROUNDS, FIT_ROUNDS, THRESHOLD, LEAST_PRECISION = 4, 20, 0.3, 0.75
+_GROUPS, _PRIOR = 16, 5.0
 _SOLID = np.array([c > 127 or chr(c).isalnum() for c in range(256)])
 
 
