@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dac, decontam, hilbert, mixing, mixlm, naming, neardup, tokencount, toxicity, warc
+from . import codebooks, dac, decontam, hilbert, mixing, mixlm, naming, neardup, packing, repair, tokencount, toxicity, warc
 
 
 def tokenizer_path(name: str) -> str:
@@ -60,6 +60,19 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebooks.compress(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    return repair.repair_report(turns, repair.damage(turns))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -70,7 +83,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_hilbert_shards, op2_source_mix, op3_toxicity, op4_warc_archives, op5_decontamination, op6_token_files,
-        op7_mixing_scores, op8_block_naming, op9_token_counts, op10_near_duplicates, pipeline,
+        op7_mixing_scores, op8_block_naming, op9_token_counts, op10_near_duplicates,
+        op11_vector_codes, op12_packed_sequences, op13_conversation_repair, pipeline,
     )
 }
 

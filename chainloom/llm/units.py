@@ -131,3 +131,26 @@ def spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     size = size.astype(np.int64)
     ends = np.cumsum(size)
     return np.repeat(first - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+
+
+_DIGIT = np.array([48 <= c < 58 for c in range(256)])
+
+
+def word_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of units for a model of words that drops white space and splits letters, digits and marks.
+
+    Units never hold ASCII white space.  They also end between two ASCII characters of
+    unlike kinds (letter, digit, mark) and after every digit; an apostrophe and a vertical
+    bar, which may belong to a contraction or a special token, end nothing.
+    """
+    kind = np.zeros(256, dtype=np.uint8)
+    kind[_LETTER], kind[_MARK], kind[_DIGIT] = 1, 2, 3
+    kind[[0x27, 0x7C]] = 0
+    now = kind[data]
+    solid = ~_SPACE[data]
+    cut = np.zeros(len(data) + 1, dtype=bool)  # before each byte
+    if len(data) > 1:
+        cut[1:-1] = (now[1:] > 0) & (now[:-1] > 0) & ((now[1:] != now[:-1]) | (now[1:] == 3))
+        cut[1:-1] |= solid[1:] != solid[:-1]
+    cut[offsets] = True
+    return np.flatnonzero(cut[:-1] & solid), np.flatnonzero(cut[1:] & solid) + 1
