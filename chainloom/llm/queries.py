@@ -88,6 +88,51 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
+
+def _code_rounds(rounds: int) -> str:
+    """SQL of ``rounds`` assignments and updates, and a last assignment ``a{rounds}``: every part against every entry."""
+    dist = "(x.x1-b.x1)*(x.x1-b.x1) + (x.x2-b.x2)*(x.x2-b.x2) + (x.x3-b.x3)*(x.x3-b.x3) + (x.x4-b.x4)*(x.x4-b.x4)"
+    floor = lambda c: f"CAST((sum({c}) - ((sum({c}) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS {c}"
+    out = []
+    for k in range(rounds + 1):
+        out.append(f"a{k} AS (SELECT r, p, min(({dist}) * 64 + e) AS best FROM x JOIN b{k} b USING (p) GROUP BY r, p)")
+        if k < rounds:
+            new = ", ".join(floor(f"x{i}") for i in range(1, 5))
+            out.append(f"m{k} AS (SELECT p, best % 64 AS e, {new} FROM a{k} JOIN x USING (r, p) GROUP BY p, best % 64)")
+            out.append(f"b{k + 1} AS (SELECT p, e, " + ", ".join(f"coalesce(m.x{i}, b.x{i}) AS x{i}" for i in range(1, 5)) + f" FROM b{k} b LEFT JOIN m{k} m USING (p, e))")
+    return ", ".join(out)
+
+
+
+def _walk_sql() -> str:
+    """SQL of the least (cost, audit, lines) in each state behind each row: e nothing yet, s, u, v after an assistant."""
+    def go(state: str, cost: str, letter: str, line: str = "") -> str:
+        text = f"{state}.t || chr(10) || {line}" if line else f"{state}.t"
+        return f"CASE WHEN {state} IS NOT NULL THEN struct_pack(c := {state}.c + {cost}, a := {state}.a || '{letter}', t := {text}) END"
+
+    def insert(state: str, role: str) -> str:
+        return go(state, "5", "I", f"'{role}:'")
+
+    def stay(letter: str, when: str, cost: str, line: str, *states: str) -> str:
+        return f"CASE WHEN {when} THEN list_min([{', '.join(go(s, cost, letter, line) for s in states)}]) END"
+
+    def filled(table: str) -> str:
+        """With the insertions before the next row."""
+        one = f"SELECT *, list_min([u, {insert('e', 'user')}, {insert('s', 'user')}, {insert('v', 'user')}]) AS u1 FROM {table}"
+        return f"(SELECT *, list_min([v, {insert('u1', 'assistant')}]) AS v1 FROM ({one}))"
+
+    none = "CAST(NULL AS STRUCT(c INTEGER, a VARCHAR, t VARCHAR))"
+    return f"""
+        z AS (SELECT conv_id, 0 AS p, struct_pack(c := 0, a := '', t := '') AS e, {none} AS s, {none} AS u, {none} AS v FROM g
+              UNION ALL
+              SELECT conv_id, p + 1, {go('e', '2', 'D')}, list_min([{go('s', '2', 'D')}, {stay('K', "k = 's'", 'x', 'me', 'e')}]),
+                list_min([{go('u1', '2', 'D')}, {stay('K', "k = 'u'", 'x', 'me', 'e', 's', 'v1')}, {stay('R', 'k IS NOT NULL', '(1 + x)', "'user:' || text", 'e', 's', 'v1')}]),
+                list_min([{go('v1', '2', 'D')}, {stay('K', "k = 'a'", 'x', 'me', 'u1')}, {stay('R', 'k IS NOT NULL', '(1 + x)', "'assistant:' || text", 'u1')}])
+              FROM (SELECT w.*, f.text, f.role || ':' || f.text AS me, CASE WHEN fault IN ('', 'truncated') THEN left(f.role, 1) END AS k, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS x
+                    FROM {filled('z')} w JOIN f ON w.conv_id IS NOT DISTINCT FROM f.conv_id AND f.p = w.p + 1)),
+        done AS (SELECT w.conv_id, list_min([e, v1]) AS best FROM {filled('z')} w JOIN g ON w.conv_id IS NOT DISTINCT FROM g.conv_id AND w.p = g.rows)"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_source_mix": r"""
         WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
@@ -118,4 +163,32 @@ ORACLE_SQL: dict[str, str] = {
         FROM (SELECT doc_id, t, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size
               FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))
     """,
+    "op11_vector_codes": f"""
+        WITH v AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, q) AS r, * FROM (
+                SELECT vec_id, label, list_transform(embedding, lambda z: CAST(floor(256 * z) AS BIGINT)) AS q FROM embeddings
+                WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda z: z IS NULL OR NOT isfinite(z))) = 0)),
+        x AS (SELECT r, p, q[4 * p + 1] AS x1, q[4 * p + 2] AS x2, q[4 * p + 3] AS x3, q[4 * p + 4] AS x4 FROM v, range(0, 16) AS t(p)),
+        b0 AS (SELECT p, r - 1 AS e, x1, x2, x3, x4 FROM x WHERE r <= 64),
+        {_code_rounds(2)},
+        c AS (SELECT r, string_agg(printf('%02x', best % 64), '' ORDER BY p) AS code, CAST(sum(best // 64) AS BIGINT) AS error FROM a2 GROUP BY r),
+        s AS (SELECT sha256(string_agg(concat_ws(',', x1, x2, x3, x4), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b2)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM v JOIN c USING (r), s
+    """,
+    "op13_conversation_repair": rf"""
+        WITH RECURSIVE o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+            xor(4294967295, list_reduce(list_transform(range(1, len(k) + 1), lambda i: CAST(ascii(k[i]) AS UBIGINT)), lambda c, z:
+              list_reduce([xor(c, z), 1, 1, 1, 1, 1, 1, 1, 1], lambda a, n: xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END)), CAST(4294967295 AS UBIGINT))) % 20 AS fate
+          FROM (SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations)),
+        d AS (SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role, CASE fate WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+              FROM o, range(0, CASE WHEN fate = 3 THEN 2 WHEN fate = 0 THEN 0 ELSE 1 END) AS t(i)),
+        n AS (SELECT *, row_number() OVER w AS p, lag(role[1]) OVER w AS was, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body
+              FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, left(text, 64), md5(text))),
+        f AS (SELECT *, CASE WHEN body = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY p) > 1 THEN 'duplicate' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM n),
+        g AS (SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+                count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (p > 1 AND was || role[1] NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS rows FROM f GROUP BY conv_id),
+        {_walk_sql()}
+        SELECT q.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+          CAST(coalesce(best.c, 0) AS BIGINT) AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(best.t[2:], '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) q LEFT JOIN g ON q.conv_id IS NOT DISTINCT FROM g.conv_id LEFT JOIN done ON q.conv_id IS NOT DISTINCT FROM done.conv_id
+    """,
 }
