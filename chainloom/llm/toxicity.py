@@ -1,24 +1,31 @@
 """Toxicity by weak supervision.
 
 1. A bounded sample of labelled rows (``MAX_LABELLED``) gives the lexicons: words
-   and word beginnings (patterns of 4, 5 and 6 bytes) that stand for "toxic" in at
-   least three quarters of their rows and beyond what chance gives.  The strongest become
-   voters: they fire or stay silent, and both tells of the class.
+   and patterns (beginnings of 4, 5 and 6 bytes, in one, two or three words) that stand for "toxic" in at
+   least three quarters of their rows, as many as keep the share of chance finds below
+   ``FALSE_SHARE`` (Benjamini, Hochberg 1995), so terms of a language with few rows
+   pass as well.  The strongest become voters: they fire or stay silent, and both tells
+   of the class.
 2. A generative label model over all documents says how the voters fire in either
    class: each voter's firing depends on the class and on one other voter, its parent
    in a tree, so a word and its beginning do not count twice.  Expectation
    maximisation estimates how often voters fire (their accuracies) and how they fire
    together with their parents (their correlations) in each class; the tree joins the
    voters that tell most of each other once the class is known.
+   The sample's rows are of known class in every round; without them the few voters of a
+   rare language drift to the class that the silence of all others speaks for.
 3. A logistic regression over the lexicon features is fitted to the posterior labels
-   of all documents, labelled or not, and gives the scores.
+   of all documents, labelled or not, and gives the scores.  Its features are terms of
+   toxic texts, so no weight may be negative.
 
 Scale: two scans of the texts; the second leaves a few feature numbers for each
-document, and everything after it is sums over that small table.
+document.  Documents with the same features are counted together before anything is
+estimated, so the rounds run over the distinct combinations.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,17 +34,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkernel import HashTable, grouped, list_array, lower_ascii, slices, span_hashes, texts_of
+from .textkernel import HashTable, grouped, list_array, lower_ascii, mix, slices, span_hashes, texts_of
 from .workspace import map_texts, materialise
 
-MAX_LABELLED, FEATURES, VOTERS, BEGINNINGS = 20_000, 2048, 128, (4, 5, 6)
-EM_ROUNDS, FIT_ROUNDS, THRESHOLD, LEAST_PRECISION = 4, 20, 0.3, 0.75
+MAX_LABELLED, FEATURES, VOTERS, BEGINNINGS, SEVERAL = 20_000, 2048, 128, (4, 5, 6), (2, 3)
+EM_ROUNDS, FIT_ROUNDS, THRESHOLD, LEAST_PRECISION, FALSE_SHARE, STILL = 40, 40, 0.3, 0.75, 0.02, 0.01
 _GROUPS, _PRIOR = 16, 5.0
 _SOLID = np.array([c > 127 or chr(c).isalnum() for c in range(256)])
 
 
 def _terms(part: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct features of each row, as (hash, row): its words, between white space and ASCII marks, and their beginnings."""
+    """Distinct features of each row, as (hash, row).
+
+    They are its words, between white space and ASCII marks, their beginnings, and
+    beginnings that two or three different words share.
+    """
     low = lower_ascii(part)
     solid = _SOLID[low]
     edges = at[(at > 0) & (at < len(low))]
@@ -47,17 +58,29 @@ def _terms(part: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     first[edges], last[edges - 1] = solid[edges], solid[edges - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     row = np.searchsorted(at, starts, side="right") - 1
-    hashes, rows = [span_hashes(low, starts, ends, salt=1)], [row]
+    h, r, _, pick = _distinct(span_hashes(low, starts, ends, salt=1), row)
+    starts, ends = starts[pick], ends[pick]
+    hashes, rows = [h], [r]
     for n in BEGINNINGS:
         long = np.flatnonzero(ends - starts > n)
-        hashes.append(span_hashes(low, starts[long], starts[long] + n, salt=n))
-        rows.append(row[long])
-    h, r = np.concatenate(hashes), np.concatenate(rows)
-    order = np.lexsort((h, r))
-    h, r = h[order], r[order]
+        begin, of, words, _ = _distinct(span_hashes(low, starts[long], starts[long] + n, salt=n), r[long])
+        hashes.append(begin)
+        rows.append(of)
+        for least in SEVERAL:
+            many = words >= least
+            hashes.append(mix(begin[many], 100 + least))
+            rows.append(of[many])
+    return np.concatenate(hashes), np.concatenate(rows)
+
+
+def _distinct(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (hash, row) pairs by row, how often each comes, and where it comes first."""
+    order = np.lexsort((h, row))
+    h, row = h[order], row[order]
     keep = np.ones(len(h), dtype=bool)
-    keep[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
-    return h[keep], r[keep]
+    keep[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    at = np.flatnonzero(keep)
+    return h[at], row[at], np.diff(at, append=len(h)), order[at]
 
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,7 +106,8 @@ def _present(shared, carried: list[str]):
             for a, b in slices(offsets):
                 h, r = _terms(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 where = table.find(h)
-                hit = where >= 0
+                hit = np.flatnonzero(where >= 0)
+                hit = hit[np.lexsort((where[hit], r[hit]))]
                 lists = list_array(where[hit], grouped(r[hit], b - a), pa.int32())
                 yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in carried], lists], [*carried, "features"])
 
@@ -104,8 +128,11 @@ def _lexicon(sample: DataFrame, documents: DataFrame, features: int, voters: int
     gain = part(b, bad, row) + part(g, all_ - bad, row) + part(bad - b, bad, all_ - row) + part(all_ - bad - g, all_ - bad, all_ - row)
     if not bad or bad == all_:
         return np.zeros(0, dtype=np.uint64), np.zeros((2, 0)), rows_of
-    chance = float(np.log(max(tally.count(), 1)))  # so many nats the best of that many random features would gain
-    best = tally.withColumn("gain", gain).where((F.col("gain") * all_ >= chance) & ((b + share) / (row + 1) >= LEAST_PRECISION)).orderBy(F.desc("gain"), "h").limit(features).toArrow()
+    terms = max(tally.count(), 1)
+    best = tally.withColumn("gain", gain * all_).where((F.col("gain") > 0) & ((b + share) / (row + 1) >= LEAST_PRECISION)).orderBy(F.desc("gain"), "h").limit(features).toArrow()
+    chance = np.array([math.erfc(math.sqrt(x)) for x in best.column("gain").to_pylist()])  # of so much gain for a term without meaning
+    passing = np.flatnonzero(chance <= FALSE_SHARE * np.arange(1, len(chance) + 1) / terms)
+    best = best.slice(0, int(passing[-1]) + 1 if len(passing) else 0)
     h, bad_n, good_n = best.column("h").to_numpy().view(np.uint64), best.column("bad").to_numpy(), best.column("good").to_numpy()
     return h, np.stack((bad_n, good_n))[:, :voters].astype(float), rows_of
 
@@ -174,14 +201,14 @@ class LabelModel:
         np.add.at(single, self.parent[has], (quiet[1] - quiet[0])[has])
         return float(_logit(self.prior) + quiet[0].sum()), single, pair
 
-    def posterior(self, f: np.ndarray, row: np.ndarray, docs: int) -> np.ndarray:
-        """Chance of "toxic" for each document."""
-        q = np.zeros(docs)
+    def posterior(self, f: np.ndarray, row: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """Chance of "toxic" for each document; ``known`` is 1 or 0 where the class is known, else -1."""
+        q = np.zeros(len(known))
         base, single, pair = self.says()
-        for a, x in self.firings(f, row, docs):
+        for a, x in self.firings(f, row, len(known)):
             logit = base + x @ single + (x * x[:, np.maximum(self.parent, 0)]) @ pair
             q[a : a + len(x)] = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        return q
+        return np.where(known < 0, q, known)
 
     def update(self, docs: np.ndarray, joint: np.ndarray) -> None:
         """From the documents of each class, and how often pairs of voters fire together in each (the diagonal: alone or not)."""
@@ -220,28 +247,32 @@ def spanning_tree(gain: np.ndarray) -> np.ndarray:
     return parent
 
 
-def _label_model(table: DataFrame, counts: np.ndarray, rows: tuple[int, int], features: int, rounds: int) -> LabelModel:
+def _label_model(patterns: DataFrame, counts: np.ndarray, rows: tuple[int, int], features: int, rounds: int = EM_ROUNDS) -> LabelModel:
+    """Rounds until no log odds of a voter moves by more than ``STILL``."""
     model = LabelModel(features, counts, rows)
     v = model.voters
     for _ in range(rounds):
+        before = np.concatenate([np.log(model.given).reshape(-1), [_logit(model.prior)]])
 
-        def work(f, row, docs):
-            q = model.posterior(f, row, docs)
+        def work(f, row, docs, known, n):
+            q = model.posterior(f, row, known)
             joint = np.zeros((2, v, v))
             for a, x in model.firings(f, row, docs):
                 some = x.any(axis=1)
-                x, part = x[some], q[a : a + len(x)][some]
-                toxic = (x * part[:, None]).T @ x
+                x, part, of = x[some], q[a : a + len(x)][some], n[a : a + len(x)][some]
+                toxic = (x * (part * of)[:, None]).T @ x
                 joint[1] += toxic
-                joint[0] += x.T @ x - toxic
-            return np.concatenate((joint.reshape(-1), [docs - q.sum(), q.sum()]))
+                joint[0] += (x * of[:, None]).T @ x - toxic
+            return np.concatenate((joint.reshape(-1), [n @ (1 - q), n @ q]))
 
-        total = _sums(table, 2 * v * v + 2, work)
+        total = _sums(patterns, 2 * v * v + 2, work, ("known", "n"))
         model.update(total[-2:], total[:-2].reshape(2, v, v))
+        if np.abs(np.concatenate([np.log(model.given).reshape(-1), [_logit(model.prior)]]) - before).max() < STILL:
+            break
     return model
 
 
-def _fit(table: DataFrame, model: LabelModel, rounds: int) -> tuple[np.ndarray, float]:
+def _fit(patterns: DataFrame, model: LabelModel, rounds: int) -> tuple[np.ndarray, float]:
     """Logistic regression on the posterior labels, from the label model's weights.
 
     Each round minimises a separable bound of the loss: the curvature is at most a
@@ -250,21 +281,23 @@ def _fit(table: DataFrame, model: LabelModel, rounds: int) -> tuple[np.ndarray,
     n = model.features
     base, single, _ = model.says()
     w, b = np.zeros(n), float(np.clip(base, -8, 0))
-    w[: model.voters] = np.clip(single, -8, 8)
+    w[: model.voters] = np.clip(single, 0, 8)
     here, before, pace = np.append(w, b), np.append(w, b), 1.0
     for _ in range(rounds):
         w0, b0 = here[:n], float(here[n])
 
-        def work(f, row, docs, q):
+        def work(f, row, docs, q, m):
             p = 1 / (1 + np.exp(-np.clip(b0 + np.bincount(row, weights=w0[f], minlength=docs), -30, 30)))
             size = np.bincount(row, minlength=docs) + 1  # bounds how far the features of a document can move together
-            g, h = p - q, 0.25 * size
+            g, h = m * (p - q), 0.25 * m * size
             return np.concatenate((np.bincount(f, weights=g[row], minlength=n), [g.sum()], np.bincount(f, weights=h[row], minlength=n), [h.sum()]))
 
-        total = _sums(table, 2 * n + 2, work, ("posterior",))
+        total = _sums(patterns, 2 * n + 2, work, ("posterior", "n"))
         after = here - (total[: n + 1] + 0.01 * np.append(w0, 0)) / (total[n + 1 :] + 0.01)
+        after[:n] = np.maximum(after[:n], 0)
         faster = (1 + np.sqrt(1 + 4 * pace * pace)) / 2  # Nesterov's momentum
         here, before, pace = after + (pace - 1) / faster * (after - before), after, faster
+        here[:n] = np.maximum(here[:n], 0)
     return before[:n], float(before[n])
 
 
@@ -289,16 +322,19 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame, max_labelled: int =
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
     table = materialise(map_texts(docs, _present(shared, carried), f"{kinds}, features array<int>"), "features")
     if len(hashes):
-        model = _label_model(table, counts, rows, len(hashes), EM_ROUNDS)
+        known = F.coalesce("toxic", F.lit(-1).cast("long")).alias("known")
+        labelled = table.select("doc_id", "features").join(F.broadcast(sample), "doc_id", "left")  # at most ``max_labelled`` ids
+        patterns = materialise(labelled.groupBy("features", known).agg(F.count(F.lit(1)).cast("double").alias("n")), "patterns")
+        model = _label_model(patterns, counts, rows, len(hashes))
 
         def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 lists = batch.column("features")
                 row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
-                q = model.posterior(lists.flatten().to_numpy(), row, batch.num_rows)
-                yield pa.RecordBatch.from_arrays([lists, pa.array(q)], ["features", "posterior"])
+                q = model.posterior(lists.flatten().to_numpy(), row, batch.column("known").to_numpy())
+                yield pa.RecordBatch.from_arrays([lists, pa.array(q), batch.column("n")], ["features", "posterior", "n"])
 
-        w, b = _fit(materialise(table.select("features").mapInArrow(label, "features array<int>, posterior double"), "posteriors"), model, FIT_ROUNDS)
+        w, b = _fit(materialise(patterns.mapInArrow(label, "features array<int>, posterior double, n double"), "posteriors"), model, FIT_ROUNDS)
     else:
         w, b = np.zeros(1), float(_logit(min((rows[0] + 1) / (sum(rows) + 20), 0.05)))
 

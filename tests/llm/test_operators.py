@@ -282,17 +282,40 @@ def test_label_model_finds_accuracies_and_correlations(spark):
     rate = np.array([[0.02, 0.03, 0.01, 0.05, 0.02, 0.04, 0.03, 0.02], [0.6, 0.5, 0.4, 0.7, 0.5, 0.6, 0.4, 0.5]])  # clean, toxic
     fires = rng.random((n, 8)) < rate[y.astype(int)]
     fires = np.column_stack((fires, fires[:, 0], fires[:, 0]))
-    table = spark.createDataFrame([([int(k) for k in np.flatnonzero(f)],) for f in fires], "features array<int>")
+    table = spark.createDataFrame([([int(k) for k in np.flatnonzero(f)], -1, 1.0) for f in fires], "features array<int>, known long, n double")
     start = np.vstack((np.full(10, 12.0), np.full(10, 2.0)))  # what a small, rough sample says: toxic and clean rows
-    model = toxicity._label_model(table, start, (30, 60), 10, 12)
+    model = toxicity._label_model(table, start, (30, 60), 10)
     assert np.allclose(model.fires[:, :8], rate, atol=0.05) and model.prior == pytest.approx(toxic, abs=0.02)
     linked = {tuple(sorted((k, int(p)))) for k, p in enumerate(model.parent) if p >= 0}
     assert len(linked & {(0, 8), (0, 9), (8, 9)}) == 2  # the copies are joined in the tree
-    q = model.posterior(np.array([0, 8, 9]), np.array([0, 0, 0]), 1)[0]
+    q = model.posterior(np.array([0, 8, 9]), np.array([0, 0, 0]), np.array([-1]))[0]
     logit = np.log(toxic / (1 - toxic)) + np.log(rate[1, 0] / rate[0, 0]) + np.log((1 - rate[1, 1:]) / (1 - rate[0, 1:])).sum()
     assert q == pytest.approx(1 / (1 + np.exp(-logit)), abs=0.05)  # as if the voter stood alone
 
 
+def test_rare_vocabulary(spark):
+    """Toxic rows of a second vocabulary, 20 among 3000, are found beside 300 of the first; no weight is negative."""
+    rng = random.Random(11)
+    texts, labels = [], []
+    for i in range(3000):
+        kind = "a" if i % 10 == 0 else "b" if i % 150 == 7 else ""
+        w = [f"{'q' if kind == 'b' else 'w'}{rng.randrange(500)}" for _ in range(40)]
+        for k in range({"a": 3, "b": 4, "": 0}[kind]):
+            w.insert(rng.randrange(len(w)), f"bad{rng.randrange(6)}" if kind == "a" else f"xarr{rng.randrange(40)}o")
+        texts.append(" ".join(w))
+        labels.append((i, 1, int(kind != "")))
+    weights, fit = [], toxicity._fit
+    toxicity._fit = lambda *a: weights.append(fit(*a)) or weights[-1]
+    try:
+        rows = toxicity.toxicity_scores(documents(spark, texts), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    finally:
+        toxicity._fit = fit
+    for first in (True, False):
+        held = [r.predicted for r in rows if r.held_out and labels[r.doc_id][2] and (r.doc_id % 10 == 0) == first]
+        assert np.mean(held) >= 0.9
+    assert not any(r.predicted for r in rows if not labels[r.doc_id][2]) and (weights[0][0] >= 0).all()
+
+
 def test_spanning_tree():
     gain = np.zeros((4, 4))
     for a, b, g in ((0, 1, 5), (1, 2, 3), (0, 2, 4), (2, 3, 0)):
