@@ -30,7 +30,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +37,8 @@ from .textkernel import HashTable, grouped, list_array, lower_ascii, mix, slices
 from .workspace import map_texts, materialise
 
 MAX_LABELLED, FEATURES, VOTERS, BEGINNINGS, SEVERAL = 20_000, 2048, 128, (4, 5, 6), (2, 3)
-EM_ROUNDS, FIT_ROUNDS, THRESHOLD, LEAST_PRECISION, FALSE_SHARE, STILL = 40, 40, 0.3, 0.75, 0.02, 0.01
-_GROUPS, _PRIOR = 16, 5.0
+EM_ROUNDS, FIT_ROUNDS, THRESHOLD, LEAST_PRECISION, FALSE_SHARE, STILL = 40, 20, 0.3, 0.75, 0.02, 0.05
+_TASKS, _PRIOR = 32, 5.0
 _SOLID = np.array([c > 127 or chr(c).isalnum() for c in range(256)])
 
 
@@ -137,10 +136,10 @@ def _lexicon(sample: DataFrame, documents: DataFrame, features: int, voters: int
     return h, np.stack((bad_n, good_n))[:, :voters].astype(float), rows_of
 
 
-def _sums(table: DataFrame, size: int, work: Callable[..., np.ndarray], columns: tuple[str, ...] = ()) -> np.ndarray:
-    """Sum ``work(features, row of each, documents, columns...)``, an array of ``size`` numbers, over all documents.
+def _sums(patterns: DataFrame, size: int, work: Callable[..., np.ndarray], columns: tuple[str, ...]) -> np.ndarray:
+    """Sum ``work(features, row of each, patterns, columns...)``, an array of ``size`` numbers, over all patterns.
 
-    Each task sends one array; ``_GROUPS`` tasks add them up, and the driver adds theirs.
+    ``_TASKS`` tasks at most each send one array, without a shuffle, and the driver adds those up.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,17 +148,10 @@ def _sums(table: DataFrame, size: int, work: Callable[..., np.ndarray], columns:
             lists = batch.column("features")
             off = lists.offsets.to_numpy()
             total += work(lists.flatten().to_numpy(), np.repeat(np.arange(batch.num_rows), np.diff(off)), batch.num_rows, *[batch.column(c).to_numpy() for c in columns])
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % _GROUPS], pa.int32()), list_array(total, np.array([0, size]), pa.float64())], ["part", "v"])
+        yield pa.RecordBatch.from_arrays([list_array(total, np.array([0, size]), pa.float64())], ["v"])
 
-    def add(part: pa.Table) -> pa.Table:
-        every = part.column("v").combine_chunks().flatten().to_numpy().reshape(-1, size)
-        return pa.table({"v": list_array(every.sum(axis=0), np.array([0, size]), pa.float64())})
-
-    rows = table.select("features", *columns).mapInArrow(run, "part int, v array<double>").groupBy("part").applyInArrow(add, "v array<double>")
-    out = np.zeros(size)
-    for r in rows.toLocalIterator():  # ``_GROUPS`` rows, one at a time
-        out += np.array(r.v)
-    return out
+    out = patterns.select("features", *columns).coalesce(_TASKS).mapInArrow(run, "v array<double>").toArrow()
+    return out.column("v").combine_chunks().flatten().to_numpy().reshape(-1, size).sum(axis=0)
 
 
 def _logit(p: np.ndarray | float) -> np.ndarray | float:
@@ -324,7 +316,7 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame, max_labelled: int =
     if len(hashes):
         known = F.coalesce("toxic", F.lit(-1).cast("long")).alias("known")
         labelled = table.select("doc_id", "features").join(F.broadcast(sample), "doc_id", "left")  # at most ``max_labelled`` ids
-        patterns = materialise(labelled.groupBy("features", known).agg(F.count(F.lit(1)).cast("double").alias("n")), "patterns")
+        patterns = materialise(labelled.groupBy("features", known).agg(F.count(F.lit(1)).cast("double").alias("n")).repartition(_TASKS), "patterns")
         model = _label_model(patterns, counts, rows, len(hashes))
 
         def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
