@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chainloom.functions import sequence as S
 from chainloom.functions.lookup import CODON_FAMILY, CODON_LABEL, LABEL_CODON, lookup_table
-from chainloom.operators import joins
+from chainloom.operators import homology, joins
 from chainloom.plans import etl
 from chainloom.session import table
 from chainloom.sources import files, remote, sinks
@@ -246,3 +246,12 @@ def top_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = [F.desc("o_totalprice"), F.col("o_orderkey")]
     best = table(spark, sf_dir, "orders").orderBy(*order).limit(100)
     return best.select("o_orderkey", F.row_number().over(Window.orderBy(*order)).alias("rank"))
+
+
+@query()
+def homology_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth part's protein, with a fixed residue changed, against all parts in six frames."""
+    nt = _nt(spark, sf_dir)
+    chains = nt.where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("chain_id"), F.translate(S.translate(F.col("nt")), "*T", "XS").alias("seq"))
+    subjects = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("gi|0|part|"), "p_partkey", F.lit("| "), "p_name").alias("title")).join(nt, "p_partkey")
+    return homology.search(chains, subjects.withColumnRenamed("p_partkey", "acc"))
