@@ -12,6 +12,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranges
 from .sampling import folds, ranked
 
 
@@ -131,19 +132,19 @@ def roc_points(df: DataFrame, score: str, label: str, cells: int = 4096) -> Data
     )
 
 
-def smooth_gaussian(df: DataFrame, order: str, value: str, sigma: float = 2.0, reach: int = 8) -> DataFrame:
+def smooth_gaussian(df: DataFrame, order: str, value: str, sigma: float = 2.0, reach: int = 8, size: int = ranges.SIZE) -> DataFrame:
     """Add ``smoothed``: a Gaussian-weighted mean over neighbouring rows; a row's weights are made to sum to one.
 
-    For a curve that is plotted: all rows pass one window, ties of ``order`` by value.
+    Ties of ``order`` go by value.  Rows are smoothed in blocks of ``size`` that share ``reach`` rows.
     """
-    w = Window.orderBy(order, value)
+    df, w = ranges.blocks(df, [order, value], reach, reach, size), Window.partitionBy("_block").orderBy("_rank")
     top, bottom = None, None
     for d in range(-reach, reach + 1):
         near = F.lag(value, d).over(w) if d > 0 else F.lead(value, -d).over(w) if d else F.col(value)
         k = math.exp(-d * d / (2 * sigma * sigma))
         top = F.coalesce(near * k, F.lit(0.0)) if top is None else top + F.coalesce(near * k, F.lit(0.0))
         bottom = F.when(near.isNotNull(), k).otherwise(0.0) if bottom is None else bottom + F.when(near.isNotNull(), k).otherwise(0.0)
-    return df.withColumn("smoothed", top / bottom)
+    return ranges.owned(df.withColumn("smoothed", top / bottom))
 
 
 def area_under(roc: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranges
+
 _DIGITS = 3
 
 
@@ -45,10 +47,15 @@ def folds(df: DataFrame, id_: str, k: int, seed: int = 0) -> DataFrame:
     return ranked(df, id_, seed).withColumn("fold", ((F.col("place") - 1) % k).cast("int")).drop("place")
 
 
-def label_encode(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Add the alphabetical number of each value; the table of distinct values is what is ranked."""
-    codes = df.select(column).distinct().withColumn(name, (F.row_number().over(Window.orderBy(column)) - 1).cast("int"))
-    return df.join(codes, column)
+def label_encode(df: DataFrame, column: str, name: str, many: bool = False) -> DataFrame:
+    """Add the alphabetical number of each value; the table of distinct values is what is ranked.
+
+    Set ``many`` where values are many millions: then ranges of them are ranked, not one task's.
+    """
+    values = df.select(column).where(F.col(column).isNotNull()).distinct()
+    if many:
+        return df.join(ranges.ranked(values, [column], name), column)
+    return df.join(values.withColumn(name, (F.row_number().over(Window.orderBy(column)) - 1).cast("int")), column)
 
 
 def one_hot(df: DataFrame, column: str, values: list[str] | None = None, most: int = 1000) -> DataFrame:

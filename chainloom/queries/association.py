@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chainloom.functions.distributions import chi_square_even
 from chainloom.functions.geometry import adjacency_class, residue_distance
-from chainloom.operators import assoc, joins, stats, windows
+from chainloom.operators import assoc, joins, ranges, stats, windows
 from chainloom.plans import etl
 from chainloom.session import table
 
@@ -347,3 +347,36 @@ def balanced_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = residue(spark, sf_dir).select("event_id", "value", F.when(F.col("state") == "purchase", "yes").otherwise("no").alias("label"))
     out = stats.balanced_sweep(rows, "event_id", "label", "yes", "value", 0, 20, 10.0)
     return out.select("dataset", "j", "boundary", _r(F.col("accuracy"), "accuracy", 9))
+
+
+#: All events in the order of their times: one chain that holds every row.
+_STREAM_SQL = """stream AS (SELECT CAST(row_number() OVER (ORDER BY ts, event_id) AS BIGINT) AS pos, event_id, ts, event_type AS state, CAST(json_extract(props, '$.k') AS INTEGER) % 8 > 0 AS on_ FROM events)"""
+
+
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("int")
+    return table(spark, sf_dir, "events").select(F.lit(0).alias("chain"), "event_id", "ts", F.col("event_type").alias("state"), (k % 8 > 0).alias("on"))
+
+
+@query(f"WITH {_STREAM_SQL}, g AS (SELECT *, lag(state) OVER (ORDER BY pos) AS b FROM stream) SELECT event_id, state FROM g WHERE pos = 1 OR b IS DISTINCT FROM state")
+def long_chain_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.run_dedupe(_stream(spark, sf_dir), ["chain"], ["ts", "event_id"], "state", size=ranges.SIZE).select("event_id", "state")
+
+
+@query(f"""WITH {_STREAM_SQL}, g AS (SELECT event_id, count(*) FILTER (on_) OVER (ORDER BY pos ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) = 4 AS inside,
+      count(*) FILTER (on_) OVER (ORDER BY pos ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) = 3 AS a, count(*) FILTER (on_) OVER (ORDER BY pos ROWS BETWEEN 4 FOLLOWING AND 6 FOLLOWING) = 3 AS b FROM stream)
+    SELECT event_id, a AND b AS middle FROM g WHERE inside""")
+def long_chain_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of four, with three rows in front and three behind."""
+    rows = windows.context_frame(_stream(spark, sf_dir), ["chain"], ["ts", "event_id"], F.col("on"), 4, 3, 3, size=ranges.SIZE)
+    return rows.where("inside").select("event_id", "middle")
+
+
+@query(f"""WITH {_STREAM_SQL}, g AS (SELECT *, pos - row_number() OVER (PARTITION BY on_ ORDER BY pos) AS run FROM stream),
+    r AS (SELECT *, min(pos) OVER w AS s, max(pos) OVER w AS e, count(*) OVER w AS n FROM g WINDOW w AS (PARTITION BY on_, run))
+    SELECT event_id, s AS run_start, e AS run_end, n AS run_length, CAST(CASE WHEN pos - s <= 2 OR e - (pos + 3) <= 2 THEN 1 ELSE 2 END AS INTEGER) AS place FROM r WHERE on_ AND e - pos >= 3""")
+def long_chain_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs and, for windows of four in them, whether the run ends within two rows."""
+    placed = ranges.ranked(_stream(spark, sf_dir), ["ts", "event_id"], "pos").withColumn("pos", F.col("pos") + 1)
+    runs = windows.islands(placed, ["chain"], ["pos"], "on", "pos", size=ranges.SIZE).where(F.col("on") & (F.col("run_end") - F.col("pos") >= 3))
+    return runs.select("event_id", "run_start", "run_end", "run_length", windows.run_position(F.col("run_start"), F.col("run_end"), F.col("pos")).alias("place"))

@@ -51,6 +51,12 @@ def label_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.label_encode(table(spark, sf_dir, "events"), "event_type", "code").select("event_id", "code")
 
 
+@query("SELECT o_orderkey, CAST(dense_rank() OVER (ORDER BY o_totalprice) - 1 AS BIGINT) AS code FROM orders")
+def label_encode_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A value for almost every row."""
+    return sampling.label_encode(table(spark, sf_dir, "orders"), "o_totalprice", "code", many=True).select("o_orderkey", "code")
+
+
 @query("SELECT event_id, " + ", ".join(f"CAST(event_type = '{v}' AS INTEGER) AS event_type_{v}" for v in ("click", "error", "purchase", "signup", "view")) + " FROM events")
 def one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.one_hot(table(spark, sf_dir, "events").select("event_id", "event_type"), "event_type").drop("event_type")
