@@ -12,37 +12,127 @@ from pyspark.sql import functions as F
 from chainloom.functions.geometry import adjacency_class, residue_distance, tetra_metrics
 
 
-def _spheres(p: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Circumcentres and squared radii of tetrahedra."""
-    a = p[cells[:, 0]]
-    sides = p[cells[:, 1:]] - a[:, None]
-    flat = np.abs(np.linalg.det(sides)) < 1e-14
-    sides[flat] = np.eye(3)
-    centre = np.linalg.solve(sides, (sides**2).sum(axis=2)[..., None] / 2)[..., 0]
-    r2 = (centre**2).sum(axis=1)
-    r2[flat] = np.inf
-    return a + centre, r2
+_SURE = 1e-14  # some ninety roundings: beyond the error of either determinant relative to its terms' sizes
+
+
+def _det3(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Determinants of rows, and the sums of their terms' sizes."""
+    x, y = b[..., 1] * c[..., 2], b[..., 2] * c[..., 1]
+    u, v = b[..., 2] * c[..., 0], b[..., 0] * c[..., 2]
+    p, q = b[..., 0] * c[..., 1], b[..., 1] * c[..., 0]
+    size = np.abs(a)
+    return (
+        a[..., 0] * (x - y) + a[..., 1] * (u - v) + a[..., 2] * (p - q),
+        size[..., 0] * (np.abs(x) + np.abs(y)) + size[..., 1] * (np.abs(u) + np.abs(v)) + size[..., 2] * (np.abs(p) + np.abs(q)),
+    )
+
+
+class _Exact:
+    """Signs of determinants of points, in integers: every coordinate is a whole number of the same power of two."""
+
+    def __init__(self, points: np.ndarray):
+        fraction, exponent = np.frexp(points)
+        least = int(exponent[points != 0].min(initial=0)) - 53
+        self.p = [tuple(int(f * (1 << 53)) << int(e) - 53 - least for f, e in zip(fs, es)) for fs, es in zip(fraction.tolist(), np.where(points == 0, least + 53, exponent).tolist())]
+
+    def turn(self, a: int, b: int, c: int, d: int) -> int:
+        """Positive if the tetrahedron has positive volume in this order."""
+        o = self.p[d]
+        (ax, ay, az), (bx, by, bz), (cx, cy, cz) = ([x - y for x, y in zip(self.p[k], o)] for k in (a, b, c))
+        return ax * (by * cz - bz * cy) + ay * (bz * cx - bx * cz) + az * (bx * cy - by * cx)
+
+    def inside(self, cell: list[int], k: int) -> bool:
+        """Whether point ``k`` is in the circumsphere of a positive cell.
+
+        Ties are broken as if each point were lifted a little, those with lower numbers
+        infinitely more; so cospherical points have one tessellation, without flat cells.
+        """
+        rel = [[x - y for x, y in zip(self.p[v], self.p[k])] for v in cell]
+        lift = [x * x + y * y + z * z for x, y, z in rel]
+        det = 0
+        for i in range(4):
+            (ax, ay, az), (bx, by, bz), (cx, cy, cz) = (rel[j] for j in range(4) if j != i)
+            det += (-1) ** (i + 3) * lift[i] * (ax * (by * cz - bz * cy) + ay * (bz * cx - bx * cz) + az * (bx * cy - by * cx))
+        if det:
+            return det > 0
+        five = [*cell, k]
+        for i in sorted(range(5), key=lambda j: five[j]):
+            by = (-1) ** (i + 3) * self.turn(*(v for j, v in enumerate(five) if j != i))
+            if by:
+                return by > 0
+        return False
+
+
+def _start(exact: _Exact, n: int) -> list[int]:
+    """Four points that span a tetrahedron, the first in order; empty if all lie in a plane."""
+    cross = lambda u, v: (u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0])
+    side = lambda k: tuple(x - y for x, y in zip(exact.p[k], exact.p[0]))
+    b = next((k for k in range(1, n) if any(side(k))), None)
+    c = next((k for k in range(1, n) if any(cross(side(b), side(k)))), None) if b else None
+    d = next((k for k in range(1, n) if exact.turn(0, b, c, k)), None) if c else None
+    return [] if d is None else [0, b, c, d] if exact.turn(0, b, c, d) > 0 else [b, 0, c, d]
 
 
 def delaunay(points: np.ndarray) -> np.ndarray:
-    """Tetrahedra (rows of four ascending indices) by incremental insertion (Bowyer 1981, Watson 1981)."""
-    n = len(points)
-    lo, hi = points.min(axis=0), points.max(axis=0)
-    size = float((hi - lo).max()) or 1.0
-    far = (lo + hi) / 2 + size * 1e3 * np.array([[1, 1, 1], [1, -1, -1], [-1, 1, -1], [-1, -1, 1]])
-    p = np.vstack((points, far))
-    cells = np.array([[n, n + 1, n + 2, n + 3]])
-    centre, r2 = _spheres(p, cells)
+    """Tetrahedra (rows of four ascending indices) by incremental insertion (Bowyer 1981, Watson 1981).
+
+    Signs come from floating point where an error bound proves them, else from integers,
+    so grids, cospherical and far-shifted points are tessellated without gaps or
+    overlaps.  The outside is made of cells with a point at infinity; there is no
+    bounding tetrahedron that could cut the hull.  Points in a plane give none.
+    """
+    n, exact = len(points), _Exact(points)
+    first = _start(exact, n)
+    if not first:
+        return np.zeros((0, 4), dtype=np.int64)
+    far = n
+    cells = [first]
+    for k in range(4):  # outside each face; infinity is on the other side than the corner
+        out = [far if j == k else v for j, v in enumerate(first)]
+        x, y = [j for j in range(4) if j != k][:2]
+        out[x], out[y] = out[y], out[x]
+        cells.append(out)
+    cells = np.array(cells)
+    p = np.vstack((points, np.zeros(3)))
     for k in range(n):
-        hit = ((p[k] - centre) ** 2).sum(axis=1) < r2 * (1 + 1e-12)
-        if not hit.any():
+        if k in first:
             continue
-        faces = np.sort(np.vstack([cells[hit][:, [c for c in range(4) if c != j]] for j in range(4)]), axis=1)
-        outer, times = np.unique(faces, axis=0, return_counts=True)
-        new = np.column_stack((outer[times == 1], np.full((times == 1).sum(), k)))
-        c, r = _spheres(p, new)
-        cells, centre, r2 = np.vstack((cells[~hit], new)), np.vstack((centre[~hit], c)), np.concatenate((r2[~hit], r))
-    inner = np.sort(cells[(cells < n).all(axis=1) & np.isfinite(r2)], axis=1)
+        ghost = (cells == far).any(axis=1)
+        filled = np.where(cells == far, k, cells)
+        rel = p[filled] - p[k]
+        hit = np.zeros(len(cells), dtype=bool)
+        real = np.flatnonzero(~ghost)
+        r = rel[real]
+        lift = (r**2).sum(axis=2)
+        det, size = np.zeros(len(real)), np.zeros(len(real))
+        for i in range(4):
+            d, s = _det3(*(r[:, j] for j in range(4) if j != i))
+            det += (-1) ** (i + 3) * lift[:, i] * d
+            size += lift[:, i] * s
+        hit[real] = det > 0
+        for at in real[np.abs(det) <= _SURE * size].tolist():
+            hit[at] = exact.inside(cells[at].tolist(), k)
+        outer = np.flatnonzero(ghost)
+        corner = np.argmax(cells[outer] == far, axis=1)  # its own row is zero in ``rel``
+        rows = np.array([[j for j in range(4) if j != c] for c in range(4)])[corner]
+        d, s = _det3(*(rel[outer, rows[:, j]] for j in range(3)))
+        sign = np.where(corner % 2 == 1, 1, -1)  # of moving the new point to the end
+        hit[outer] = sign * d > 0
+        for at in outer[np.abs(d) <= _SURE * s].tolist():
+            turn = exact.turn(*filled[at].tolist())
+            if turn == 0:  # in the face's plane: as the cell behind it
+                face = [v for v in cells[at].tolist() if v != far]
+                behind = real[np.isin(cells[real], face).sum(axis=1) == 3]
+                turn = 1 if hit[behind].any() else -1
+            hit[at] = turn > 0
+        gone = cells[hit]
+        faces = np.sort(np.stack([gone[:, [j for j in range(4) if j != i]] for i in range(4)], axis=1).reshape(-1, 3), axis=1)
+        _, where, times = np.unique(faces, axis=0, return_index=True, return_counts=True)
+        border = where[times == 1]
+        new = gone[border // 4].copy()
+        new[np.arange(len(new)), border % 4] = k  # on the same side of the face as the corner that goes
+        cells = np.vstack((cells[~hit], new))
+    inner = np.sort(cells[(cells < far).all(axis=1)], axis=1)
     return inner[np.lexsort(inner.T[::-1])]
 
 
@@ -51,9 +141,9 @@ def _per_chain(key: str, kind: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
         pdf = pdf.sort_values("pos").drop_duplicates(["x", "y", "z"])
         names = [f"i{k}" for k in range(1, 5)]
         xyz = pdf[["x", "y", "z"]].to_numpy(dtype=float)
-        if len(xyz) < 4 or np.linalg.matrix_rank(xyz - xyz.mean(axis=0)) < 3:
+        found = pdf["pos"].to_numpy()[delaunay(xyz)] if len(xyz) > 3 else np.zeros((0, 4), dtype=np.int64)
+        if not len(found):
             return pd.DataFrame({key: pd.Series(dtype=pdf[key].dtype), **{c: pd.Series(dtype="int64") for c in names}})
-        found = pdf["pos"].to_numpy()[delaunay(xyz)]
         return pd.DataFrame({key: pdf[key].iloc[0], **{c: found[:, k] for k, c in enumerate(names)}})
 
     return run
