@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -104,15 +103,57 @@ def strand_of(nt: Column, protein: Column) -> Column:
 LCS_TYPE = T.StructType([T.StructField(n, T.IntegerType()) for n in ("length", "start1", "end1", "start2", "end2")] + [T.StructField("text", T.StringType())])
 
 
-def _longest_common(a: str, b: str) -> tuple[int, int, int, int, int, str]:
-    x, y = np.frombuffer(a.encode("utf-32-le"), np.uint32), np.frombuffer(b.encode("utf-32-le"), np.uint32)
-    row, best, at = np.zeros(len(y) + 1, np.int32), 0, (0, 0)
-    for i, c in enumerate(x, 1):  # one row of the table at a time: memory follows the shorter side
-        row[1:] = np.where(y == c, row[:-1] + 1, 0)
-        j = int(row.argmax())
-        if row[j] > best:
-            best, at = int(row[j]), (i, j)
-    i, j = at
+class _Automaton:
+    """The suffix automaton of a text (Blumer and others 1985): states are sets of substrings that end at the same places."""
+
+    def __init__(self, text: str):
+        self.next: list[dict[str, int]] = [{}]
+        self.link, self.length, self.first = [-1], [0], [0]  # suffix link, longest substring, where it first ends
+        last = 0
+        for at, c in enumerate(text, 1):
+            here = self._state({}, 0, at, at)
+            p = last
+            while p >= 0 and c not in self.next[p]:
+                self.next[p][c] = here
+                p = self.link[p]
+            if p >= 0:
+                q = self.next[p][c]
+                if self.length[q] != self.length[p] + 1:  # q also holds longer substrings: those stay, the others get a state
+                    twin = self._state(dict(self.next[q]), self.link[q], self.length[p] + 1, self.first[q])
+                    while p >= 0 and self.next[p].get(c) == q:
+                        self.next[p][c] = twin
+                        p = self.link[p]
+                    self.link[q] = q = twin
+                self.link[here] = q
+            last = here
+
+    def _state(self, goes: dict[str, int], link: int, length: int, first: int) -> int:
+        self.next.append(goes)
+        self.link.append(link)
+        self.length.append(length)
+        self.first.append(first)
+        return len(self.link) - 1
+
+    def longest(self, other: str) -> tuple[int, int, int]:
+        """Length of the longest substring of ``other`` in the text, where it first ends there, and its first end in the text."""
+        state, size, best = 0, 0, (0, 0, 0)
+        for at, c in enumerate(other, 1):
+            while state and c not in self.next[state]:
+                state = self.link[state]
+                size = self.length[state]
+            if c in self.next[state]:
+                state, size = self.next[state][c], size + 1
+            if size > best[0]:
+                best = (size, at, self.first[state])
+        return best
+
+
+def _longest_common(a: str, b: str, known: dict[str, _Automaton] | None = None) -> tuple[int, int, int, int, int, str]:
+    known = {} if known is None else known
+    if b not in known:
+        known.clear()
+        known[b] = _Automaton(b)
+    best, i, j = known[b].longest(a)
     return best, i - best, i, j - best, j, a[i - best : i]
 
 
@@ -120,14 +161,14 @@ def _longest_common(a: str, b: str) -> tuple[int, int, int, int, int, str]:
 def longest_common_substring(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     """Length, half-open 0-based ranges in both texts, and the substring: the earliest end in the first text, then in the second.
 
-    The work of a pair grows with the product of its lengths, its memory with the second; pairs that repeat in a batch are compared once.
+    The work of a pair grows with the sum of its lengths, its memory with the second; pairs that repeat in a batch are compared once.
     """
     for first, second in pairs:
         known: dict[tuple[str, str], tuple] = {}
-        rows = []
+        rows, made = [], {}
         for a, b in zip(first, second):
             pair = (a or "", b or "")
             if pair not in known:
-                known[pair] = _longest_common(*pair)
+                known[pair] = _longest_common(*pair, made)
             rows.append(known[pair])
         yield pd.DataFrame(rows, columns=["length", "start1", "end1", "start2", "end2", "text"])

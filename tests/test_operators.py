@@ -131,7 +131,9 @@ def test_joins(spark):
 def test_delaunay_properties():
     p = np.random.default_rng(3).random((40, 3))
     cells = spatial.delaunay(p)
-    centre, r2 = spatial._spheres(p, cells)
+    sides = p[cells[:, 1:]] - p[cells[:, :1]]
+    centre = np.linalg.solve(sides, (sides**2).sum(axis=2)[..., None] / 2)[..., 0]
+    centre, r2 = p[cells[:, 0]] + centre, (centre**2).sum(axis=1)
     inside = ((p[None] - centre[:, None]) ** 2).sum(axis=2) < r2[:, None] * (1 - 1e-9)
     assert not inside.any()  # every circumsphere is empty
     volume = np.abs(np.linalg.det(p[cells[:, 1:]] - p[cells[:, :1]])).sum() / 6
