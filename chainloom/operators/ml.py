@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
@@ -45,20 +46,41 @@ def silhouette(df: DataFrame, id_: str, features: str, cluster: str) -> DataFram
     return out.select(id_, cluster, F.when(F.col("n") == 1, 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b")).alias("silhouette"))
 
 
-def euclidean_silhouette(df: DataFrame, id_: str, features: str, cluster: str, sample: int = 2000, seed: int = 0) -> DataFrame:
-    """Euclidean silhouette of every row, from mean distances to at most ``sample`` seeded rows of each cluster; exact where clusters are no larger.
+def _distance_sums(pdf: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+    """Sums of distances from the rows of one tile to each cluster's rows of another."""
+    others = others.sort_values("cluster")
+    clusters, starts, sizes = np.unique(others["cluster"].to_numpy(), return_index=True, return_counts=True)
+    x, y = np.stack(pdf["x"].to_list()), np.stack(others["x"].to_list())
+    gap = np.zeros((len(x), len(y)))
+    for d in range(x.shape[1]):  # differences first: exact where points are close
+        gap += (x[:, d, None] - y[None, :, d]) ** 2
+    total = np.add.reduceat(np.sqrt(gap), starts, axis=1)
+    n, k = len(x), len(clusters)
+    return pd.DataFrame({"row": np.repeat(pdf["row"].to_numpy(), k), "own": np.repeat(pdf["cluster"].to_numpy(), k), "cluster": np.tile(clusters, n), "total": total.reshape(-1), "n": np.tile(sizes, n)})
 
-    Only those rows are broadcast, so no pairs of rows are formed beyond rows times clusters times ``sample``.
+
+def euclidean_silhouette(df: DataFrame, id_: str, features: str, cluster: str, tile: int = 2048) -> DataFrame:
+    """Exact Euclidean silhouette of every row; ids must be unique, and rows without a cluster are left out.
+
+    Rows are dealt to tiles of about ``tile`` rows.  A task has two tiles and returns
+    sums of distances by cluster, so no pair of rows leaves it; every row travels once
+    for each tile.
     """
-    rows = df.select(id_, cluster, vector_to_array(features).alias("_x"))
-    members = ranked(rows, id_, seed, [cluster]).where(F.col("place") <= sample).groupBy(F.col(cluster).alias("_c")).agg(F.collect_list(F.struct(F.col(id_).alias("id"), "_x")).alias("_m"))
-    all_ = rows.crossJoin(F.broadcast(members))  # a row a cluster
-    gap = lambda a, b: F.sqrt(F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda t, v: t + v))
-    total = F.aggregate("_m", F.lit(0.0), lambda t, m: t + gap(F.col("_x"), m["_x"]))
-    n = F.size("_m") - F.exists("_m", lambda m: m["id"] == F.col(id_)).cast("int")
-    own = F.col("_c") == F.col(cluster)
-    out = all_.withColumn("_d", F.when(n > 0, total / n)).groupBy(id_, cluster).agg(F.max(F.when(own, F.col("_d"))).alias("a"), F.min(F.when(~own, F.col("_d"))).alias("b"))
-    return out.select(id_, cluster, F.when(F.col("a").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b")).alias("silhouette"))
+    rows = df.where(F.col(cluster).isNotNull()).select(F.col(id_).alias("row"), F.col(cluster).alias("cluster"), vector_to_array(features).alias("x"))
+    tiles = max(1, math.ceil(rows.count() / tile))
+    dealt = rows.withColumn("t", F.pmod(F.xxhash64("row"), F.lit(tiles)))
+    every = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
+    left, right = dealt.withColumn("u", every), dealt.withColumnsRenamed({"t": "u"}).withColumn("t", every)
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("row", "cluster")}
+    sums = left.groupBy("t", "u").cogroup(right.groupBy("t", "u")).applyInPandas(
+        lambda a, b: _distance_sums(a, b) if len(a) and len(b) else pd.DataFrame({"row": a["row"][:0], "own": a["cluster"][:0], "cluster": b["cluster"][:0], "total": pd.Series(dtype=float), "n": pd.Series(dtype="int64")}),
+        f"row {kinds['row']}, own {kinds['cluster']}, cluster {kinds['cluster']}, total double, n long",
+    )
+    whole = sums.groupBy("row", "own", "cluster").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    same = F.col("own") == F.col("cluster")
+    n = F.col("n") - same.cast("int")  # a row is no neighbour of itself
+    out = whole.withColumn("d", F.when(n > 0, F.col("total") / n)).groupBy("row", "own").agg(F.max(F.when(same, F.col("d"))).alias("a"), F.min(F.when(~same, F.col("d"))).alias("b"))
+    return out.select(F.col("row").alias(id_), F.col("own").alias(cluster), F.when(F.col("a").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b")).alias("silhouette"))
 
 
 def principal_components(df: DataFrame, k: int = 2, name: str = "components") -> DataFrame:

@@ -231,6 +231,20 @@ def chi_square_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("family", "class", _r(F.col("x2"), "x2"), "df", _r(F.col("p"), "p"))
 
 
+@query(f"""WITH {RESIDUE_SQL}, r AS (SELECT * FROM residue WHERE leaf[2] <> '5'), o AS (SELECT family, leaf, class8 AS c, count(*) AS n FROM r GROUP BY ALL),
+    g AS (SELECT f.family, f.leaf, k.c, coalesce(o.n, 0) AS n FROM (SELECT DISTINCT family, leaf FROM r) f CROSS JOIN range(0, 8) k(c) LEFT JOIN o ON o.family = f.family AND o.leaf = f.leaf AND o.c = k.c),
+    e AS (SELECT *, CAST(sum(n) OVER (PARTITION BY family, leaf) AS DOUBLE) / sum(n) OVER (PARTITION BY family) * sum(n) OVER (PARTITION BY family, c) AS e FROM g),
+    x AS (SELECT family, CAST(c AS INTEGER) AS class, sum(CASE WHEN e > 0 THEN (n - e) * (n - e) / e END) AS x2, count(*) - 1 AS df FROM e GROUP BY family, c),
+    z AS (SELECT *, x2 / 2 AS h FROM x), p AS (SELECT family, class, any_value(x2) AS x2, any_value(df) AS df, 1 - exp(-any_value(h)) * sum(pow(h, k + 0.5) / gamma(k + 1.5)) + 2 / sqrt(pi()) * sqrt(any_value(h)) * exp(-any_value(h)) AS p FROM z, range(0, 150) AS t(k) GROUP BY family, class)
+    SELECT family, class, round(x2, 6) AS x2, df, round(p, 6) AS p FROM p""")
+def chi_square_odd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four leaves a family: three degrees of freedom."""
+    rows = residue(spark, sf_dir).where(F.substring("leaf", 2, 1) != "5")
+    counts = stats.class_counts(rows, ["family", "leaf"], F.col("class8"), list(range(8)))
+    out = stats.with_p_value(stats.chi_square_families(counts, "family", list(range(8))))
+    return out.select("family", "class", _r(F.col("x2"), "x2"), "df", _r(F.col("p"), "p"))
+
+
 _LETTERS = "HGIEBSTCMN"
 _FIVE = {"Helix": list("HGI"), "Sheet": list("EB"), "Curvature/Turn": list("ST"), "Blank": ["M"], "None": ["N"]}
 _NINE = {"3-10 helix": ["G"], "Alpha helix": ["H"], "Pi helix": ["I"], "Beta bridge": ["B"], "Beta bulge": ["E"], "Turn": ["T"], "Curvature": ["S"], "Blank": ["C"], "None": ["N"]}

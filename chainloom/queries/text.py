@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chainloom.functions import sequence as S
-from chainloom.functions.lookup import CODON_FAMILY, CODON_LABEL, LABEL_CODON, lookup_table
+from chainloom.functions.lookup import CODON_FAMILY, CODON_LABEL
 from chainloom.operators import homology, joins
 from chainloom.plans import etl
 from chainloom.session import table
@@ -105,9 +105,14 @@ def codon_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", "i", "codon", S.codon_label(F.col("codon")).alias("label"))
 
 
-@query(f"WITH code AS (SELECT * FROM (VALUES {_LABELS}) AS t(codon, label)) SELECT label, codon FROM code")
+@query(f"""WITH {_NT_SQL}, code AS (SELECT * FROM (VALUES {_LABELS}) AS t(codon, label))
+    SELECT label, codon, count(*) AS times FROM nt, range(0, 200) AS r(i) JOIN code ON codon = substr(nt, i * 3 + 1, 3) WHERE (i + 1) * 3 <= length(nt) GROUP BY label, codon""")
 def codon_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookup_table(spark, LABEL_CODON, "label", "codon")
+    """The labels of all triplets, turned back into triplets."""
+    rows = _nt(spark, sf_dir).select(F.explode(S.codons(F.col("nt"))).alias("codon")).select(S.codon_label(F.col("codon")).alias("label"))
+    counted = rows.where("label IS NOT NULL").groupBy("label").agg(F.count(F.lit(1)).alias("times"))
+    return counted.select("label", S.label_codon(F.col("label")).alias("codon"), "times")
+
 
 
 def _name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

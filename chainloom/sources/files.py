@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,9 +48,19 @@ def pdb_atoms(lines: DataFrame, chain: Column | None = None) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, pos, value: each line with its number, which a plain scan does not keep."""
-    whole = spark.read.text(path, wholetext=True).withColumn("file", F.col("_metadata.file_name"))
-    return whole.select("file", F.posexplode(F.split("value", "\r?\n")).alias("pos", "value"))
+    """file, pos, value: each line with its number in its file, from 0, which a plain scan does not keep.
+
+    Files are read in splits; a first pass counts the lines of each, and a line's
+    number is what the splits before it hold and its place in its own.  Only the counts,
+    a row a split, are ordered.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_at"), "value"
+    )
+    counts = lines.groupBy("_path", "_split").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_path").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("_path", "_split", (before - F.col("_first")).alias("_shift"))
+    return lines.join(starts, ["_path", "_split"]).select("file", (F.col("_at") + F.col("_shift")).alias("pos"), "value")
 
 
 def dssp_residues(lines: DataFrame, file: str = "file", pos: str = "pos") -> DataFrame:

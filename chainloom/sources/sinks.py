@@ -50,9 +50,16 @@ def create_table(spark: SparkSession, name: str, schema: T.StructType, keys: lis
 
 
 def append_rows(df: DataFrame, name: str, keys: list[str]) -> None:
-    """Add the rows whose keys the table does not hold yet, so a rerun adds nothing."""
+    """Add the rows whose keys the table does not hold yet, so a rerun adds nothing.
+
+    Null keys are equal; of rows that repeat a key the least by the other columns is added.
+    """
     known = df.sparkSession.table(name)
-    new = df.join(known.select(*keys).distinct(), keys, "left_anti")
+    held = known.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+    same = [df[k].eqNullSafe(held[f"_{k}"]) for k in keys]
+    rest = [c for c in known.columns if c not in keys]
+    new = df.join(held, same, "left_anti").groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_row")) if rest else df.join(held, same, "left_anti").select(*keys).distinct()
+    new = new.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
     new.select(*known.columns).write.insertInto(name, overwrite=False)
 
 

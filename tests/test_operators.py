@@ -177,10 +177,28 @@ def test_models(spark):
     assert len(grid) == 25 and min(r.decision for r in grid) < 0 < max(r.decision for r in grid)
     x, label = np.array([d[1:3] for d in data]), np.array([d[3] for d in data])
     gap = np.linalg.norm(x[:, None] - x[None], axis=2)
-    for r in ml.euclidean_silhouette(df, "id", "features", "label").collect():
-        same = label == label[r.id]
-        a, b = gap[r.id][same].sum() / (same.sum() - 1), gap[r.id][~same].mean()
-        assert r.silhouette == pytest.approx((b - a) / max(a, b))
+    for tile in (2048, 30):
+        rows = ml.euclidean_silhouette(df, "id", "features", "label", tile).collect()
+        assert len(rows) == 200
+        for r in rows:
+            same = label == label[r.id]
+            a, b = gap[r.id][same].sum() / (same.sum() - 1), gap[r.id][~same].mean()
+            assert r.silhouette == pytest.approx((b - a) / max(a, b))
+
+
+def test_silhouette_of_large_clusters(spark):
+    """More than 2000 rows in a cluster, one cluster of one row, a null cluster."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(2602, 3))
+    names = ["big" if k < 2300 else "small" for k in range(2600)] + ["one", None]
+    df = ml.assemble(spark.createDataFrame([(k, *map(float, p), c) for k, (p, c) in enumerate(zip(x, names))], "id long, a double, b double, c double, name string"), ["a", "b", "c"])
+    got = {r.id: r.silhouette for r in ml.euclidean_silhouette(df, "id", "features", "name").collect()}
+    assert sorted(got) == list(range(2601)) and got[2600] == 0.0
+    where = {c: np.array([k for k, n in enumerate(names) if n == c]) for c in ("big", "small", "one")}
+    for k in range(0, 2600, 37):
+        d = {c: np.linalg.norm(x[at] - x[k], axis=1).sum() / (len(at) - (names[k] == c)) for c, at in where.items() if names[k] != c or len(at) > 1}
+        a, b = d.pop(names[k]), min(d.values())
+        assert got[k] == pytest.approx((b - a) / max(a, b))
 
 
 def test_roc_over_many_scores(spark):

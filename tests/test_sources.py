@@ -35,6 +35,28 @@ def test_fixed_width(spark, tmp_path):
     assert [tuple(x) for x in ids] == [("1ABC", "L")]
 
 
+@pytest.mark.parametrize("split", [64, 1000, 1 << 20])
+def test_files_in_ranges(spark, tmp_path, split):
+    """Files cut into many ranges give the numbered lines and the records of whole ones."""
+    texts = {f"f{k}": [f">r{k}.{i}\tx" if i % 3 == 0 else f"${'A' * (i * 7 % 40)}" if i % 3 == 1 else "" for i in range(60)] for k in range(3)}
+    for name, lines in texts.items():
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+    (tmp_path / "crlf").write_bytes(b"one\r\ntwo\r\n\r\nlast")
+    texts["crlf"] = ["one", "two", "", "last"]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        spark.conf.set("spark.sql.files.openCostInBytes", 1)
+        df = files.numbered_lines(spark, str(tmp_path))
+        assert split > 1000 or spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 3
+        assert sorted((r.file, r.pos, r.value) for r in df.collect()) == sorted((f, i, x) for f, lines in texts.items() for i, x in enumerate(lines))
+        records = files.record_fields(files.read_records(spark, str(tmp_path / "f*")), ["id"], {"$": "seq"})
+        assert sorted((r.id, r.seq) for r in records.collect()) == sorted((f"r{k}.{i}", "A" * ((i + 1) * 7 % 40)) for k in range(3) for i in range(0, 60, 3))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_sinks_are_idempotent(spark, tmp_path):
     df = spark.createDataFrame([("a", 1.0005, None), ("b", 2.0, "x")], "k string, v double, s string")
     for _ in range(2):
@@ -119,6 +141,9 @@ def test_tables_in_the_catalog(spark):
         sinks.create_table(spark, "kept_rows", schemas.T.StructType.fromDDL("v double, k string"), ["k"])
         sinks.append_rows(spark.createDataFrame([("a", 1.0), ("b", 2.0)], "k string, v double"), "kept_rows", ["k"])
     assert sorted((r.k, r.v) for r in spark.table("kept_rows").collect()) == [("a", 1.0), ("b", 2.0)]
+    for _ in range(2):  # null and repeated keys
+        sinks.append_rows(spark.createDataFrame([(None, 5.0), (None, 4.0), ("c", 7.0), ("c", 6.0), ("a", 9.0)], "k string, v double"), "kept_rows", ["k"])
+    assert sorted((r.k or "", r.v) for r in spark.table("kept_rows").collect()) == [("", 4.0), ("a", 1.0), ("b", 2.0), ("c", 6.0)]
     assert [r.v for r in sinks.table_column(spark, "kept_rows", "v", F.col("k") == "b").collect()] == [2.0]
     spark.sql("DROP TABLE kept_rows")
 
