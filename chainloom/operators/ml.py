@@ -234,14 +234,32 @@ def accuracy(df: DataFrame, label: str, predicted: str) -> DataFrame:
     return df.agg(F.avg((F.col(label) == F.col(predicted)).cast("double")).alias("accuracy"))
 
 
+def dealing(n: int, columns: int, seed: int = 0) -> list[tuple[int, int]]:
+    """For each column factor and offset of a permutation of 0 to n - 1: place r goes to (factor * r + offset) mod n."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for _ in range(columns):
+        factor = int(rng.integers(1, 1 << 20))
+        while math.gcd(factor, n) > 1:
+            factor += 1
+        out.append((factor, int(rng.integers(0, max(n, 1)))))
+    return out
+
+
 def permutation_importance(df: DataFrame, id_: str, columns: list[str], score: Column, label: str, seed: int = 0) -> DataFrame:
-    """column, drop in accuracy of ``score > 0`` when the column's values are dealt anew in a seeded order."""
-    truth = (F.col(label) == 1)
-    out = df.agg(F.lit("").alias("column"), F.avg(((score > 0) == truth).cast("double")).alias("accuracy"))
-    for k, c in enumerate(columns):
-        here = ranked(df, id_, seed, name="_to").drop(c)
-        there = ranked(df.select(id_, c), id_, seed + k + 1, name="_to").select("_to", c)
-        row = here.join(there, "_to").agg(F.lit(c).alias("column"), F.avg(((score > 0) == truth).cast("double")).alias("accuracy"))
-        out = out.unionByName(row)
-    base = F.max(F.when(F.col("column") == "", F.col("accuracy"))).over(Window.partitionBy())
-    return out.withColumn("importance", base - F.col("accuracy")).where("column <> ''").select("column", "importance")
+    """column, drop in accuracy of ``score > 0`` when the column's values are dealt anew.
+
+    Rows have places in a seeded order, and each column's values move to other places
+    by its own permutation of them; one shuffle carries all columns.
+    """
+    placed = ranked(df.select(id_, label, *columns), id_, seed, name="_p").withColumn("_p", F.col("_p") - 1)
+    n = df.count()
+    moves = [F.struct(F.lit(k).alias("c"), F.pmod(F.col("_p") * a + b, F.lit(n)).alias("to"), F.col(c).cast("double").alias("v")) for k, (c, (a, b)) in enumerate(zip(columns, dealing(max(n, 1), len(columns), seed)))]
+    moved = placed.select(F.explode(F.array(*moves)).alias("m")).groupBy(F.col("m.to").alias("_p")).agg(F.array_sort(F.collect_list(F.struct("m.c", "m.v"))).alias("_y"))
+    each = placed.join(moved, "_p").select(label, *columns, "_y", F.explode(F.sequence(F.lit(-1), F.lit(len(columns) - 1))).alias("_c"))
+    rows = each.select("_c", label, *[F.when(F.col("_c") == k, F.col("_y")[k]["v"]).otherwise(F.col(c)).alias(c) for k, c in enumerate(columns)])
+    right = ((score > 0) == (F.col(label) == 1)).cast("double")
+    out = rows.groupBy("_c").agg(F.avg(right).alias("accuracy"))  # a row a column
+    base = F.max(F.when(F.col("_c") == -1, F.col("accuracy"))).over(Window.partitionBy())
+    named = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("_c") + 1)
+    return out.withColumn("importance", base - F.col("accuracy")).where("_c >= 0").select(named.alias("column"), "importance")

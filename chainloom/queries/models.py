@@ -8,7 +8,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainloom.operators import ml, sampling
+from chainloom.operators import learners, ml, sampling
 from chainloom.session import table
 
 from .views import POINT_SQL, RESIDUE_SQL, point, residue
@@ -194,6 +194,19 @@ def mlp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ml.perceptron([64, 8, 10], "label", iterations=200).fit(rows).transform(rows).select("vec_id", "label", "prediction")
 
 
+@query()
+def relu_perceptron(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _vectors(spark, sf_dir).withColumn("label", F.col("label").cast("double"))
+    weights = learners.train_perceptron(rows, "vec_id", "label", [64, 8, 10], epochs=20, batch=5)
+    return learners.apply_perceptron(rows.select("vec_id", "label", "features"), weights).select("vec_id", "label", "prediction")
+
+
+@query()
+def svm_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The support vectors of odd labels against even ones."""
+    return learners.support_vectors(_vectors(spark, sf_dir).select("vec_id", "half", "features"), "vec_id", "half", 0.5).select(F.col("id").alias("vec_id"), "y", "alpha")
+
+
 @query()
 def kfold_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.ml.classification import LogisticRegression
@@ -204,11 +217,11 @@ def kfold_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def perm_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first eight components: each takes a shuffle of its own."""
-    rows = _vectors(spark, sf_dir, 8)
+    """All components."""
+    rows = _vectors(spark, sf_dir)
     model = ml.logistic(rows, "half")
     score = sum((F.col(f"x{k}") * float(w) for k, w in enumerate(model.coefficients)), F.lit(float(model.intercept)))
-    return ml.permutation_importance(rows.drop("features"), "vec_id", [f"x{k}" for k in range(8)], score, "half")
+    return ml.permutation_importance(rows.drop("features"), "vec_id", [f"x{k}" for k in range(64)], score, "half")
 
 
 @query(f"""WITH {POINT_SQL}, p AS (SELECT chain, vec_id, CAST(row_number() OVER (PARTITION BY chain ORDER BY md5(CAST(vec_id AS VARCHAR) || ':7'), vec_id) AS BIGINT) AS place FROM point) SELECT * FROM p WHERE place <= 10""")

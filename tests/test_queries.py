@@ -37,7 +37,7 @@ def test_same_as_sql(spark, sql, name):
 
 
 #: Rows of the queries without SQL, where the tables tell: a row a vector, a fold, a seed, a kept column, a grid point.
-N = {"kmeans": 100, "silhouette": 100, "pca": 100, "svm_rff": 100, "logreg": 100, "mlp": 100, "kfold_cv": 10, "dtree": 5, "rfe": 2, "perm_importance": 8, "svm_grid": 900}
+N = {"kmeans": 100, "silhouette": 100, "pca": 100, "svm_rff": 100, "logreg": 100, "mlp": 100, "kfold_cv": 10, "dtree": 5, "rfe": 2, "perm_importance": 64, "relu_perceptron": 100, "svm_grid": 900}
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
