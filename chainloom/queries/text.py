@@ -255,8 +255,9 @@ def top_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def homology_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every hundredth part's protein, with a fixed residue changed, against all parts in six frames."""
+    """The three forward readings of every hundredth part against all parts in six frames; stops count as unknown."""
     nt = _nt(spark, sf_dir)
-    chains = nt.where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("chain_id"), F.translate(S.translate(F.col("nt")), "*T", "XS").alias("seq"))
+    reads = nt.where("p_partkey % 100 = 0").select("p_partkey", "nt", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("frame"))
+    chains = reads.select((F.col("p_partkey") * 10 + F.col("frame")).alias("chain_id"), F.translate(S.translate(F.substr("nt", F.col("frame"))), "*", "X").alias("seq"))
     subjects = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("gi|0|part|"), "p_partkey", F.lit("| "), "p_name").alias("title")).join(nt, "p_partkey")
     return homology.search(chains, subjects.withColumnRenamed("p_partkey", "acc"))
