@@ -169,6 +169,23 @@ def test_packing(spark):
     assert Counter(map(tuple, rows)) == Counter(map(tuple, again))
 
 
+def test_packing_of_odd_rows(spark, odd, empty):
+    """Null and repeated doc_ids, null, empty and very long texts, clashing columns; an empty table."""
+    texts = [(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect()]
+    rows = packing.pack_documents(odd, WORDS).collect()
+    want = Counter()
+    for (i, _), x in zip(texts, plain_ids([t for _, t in texts])):
+        want.update((i, p, min(4096, len(x) - p * 4096)) for p in range(-(-len(x) // 4096)))
+    assert Counter((r.doc_id, r.piece, r.length) for r in rows) == want
+    assert packing.pack_documents(empty, WORDS).count() == 0 == packing.packed_sequences(empty, WORDS).count()
+
+
+def test_packing_of_texts_longer_than_a_slice(spark):
+    texts = ["short", "word " * 300_000, "y" * 1_100_000, " " * 1_200_000]
+    rows = packing.pack_documents(documents(spark, texts), WORDS).collect()
+    assert check_packing(texts, rows, 4096)[0] == len({r.sequence_id for r in rows})
+
+
 def test_sequences_hold_the_ids(spark):
     texts = ["one two three", "x " * 100, None, "four", "five's six", "y" * 50]
     ids, rows = plain_ids(texts), packing.packed_sequences(documents(spark, texts), WORDS, 32).collect()
