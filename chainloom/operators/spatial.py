@@ -27,12 +27,12 @@ def _det3(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.n
     )
 
 
-class _Exact:
+class Exact:
     """Signs of determinants of points, in integers: every coordinate is a whole number of the same power of two."""
 
     def __init__(self, points: np.ndarray):
         fraction, exponent = np.frexp(points)
-        least = int(exponent[points != 0].min(initial=0)) - 53
+        self.least = least = int(exponent[points != 0].min(initial=0)) - 53
         self.p = [tuple(int(f * (1 << 53)) << int(e) - 53 - least for f, e in zip(fs, es)) for fs, es in zip(fraction.tolist(), np.where(points == 0, least + 53, exponent).tolist())]
 
     def turn(self, a: int, b: int, c: int, d: int) -> int:
@@ -63,7 +63,7 @@ class _Exact:
         return False
 
 
-def _start(exact: _Exact, n: int) -> list[int]:
+def _start(exact: Exact, n: int) -> list[int]:
     """Four points that span a tetrahedron, the first in order; empty if all lie in a plane."""
     cross = lambda u, v: (u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0])
     side = lambda k: tuple(x - y for x, y in zip(exact.p[k], exact.p[0]))
@@ -74,14 +74,21 @@ def _start(exact: _Exact, n: int) -> list[int]:
 
 
 def delaunay(points: np.ndarray) -> np.ndarray:
-    """Tetrahedra (rows of four ascending indices) by incremental insertion (Bowyer 1981, Watson 1981).
+    """Tetrahedra (rows of four ascending indices, in order) of the Delaunay tessellation; points in a plane give none."""
+    cells = insertion(points)
+    inner = np.sort(cells[(cells < len(points)).all(axis=1)], axis=1)
+    return inner[np.lexsort(inner.T[::-1])]
+
+
+def insertion(points: np.ndarray) -> np.ndarray:
+    """Positive cells by incremental insertion (Bowyer 1981, Watson 1981); index ``len(points)`` is infinity.
 
     Signs come from floating point where an error bound proves them, else from integers,
     so grids, cospherical and far-shifted points are tessellated without gaps or
     overlaps.  The outside is made of cells with a point at infinity; there is no
     bounding tetrahedron that could cut the hull.  Points in a plane give none.
     """
-    n, exact = len(points), _Exact(points)
+    n, exact = len(points), Exact(points)
     first = _start(exact, n)
     if not first:
         return np.zeros((0, 4), dtype=np.int64)
@@ -132,8 +139,7 @@ def delaunay(points: np.ndarray) -> np.ndarray:
         new = gone[border // 4].copy()
         new[np.arange(len(new)), border % 4] = k  # on the same side of the face as the corner that goes
         cells = np.vstack((cells[~hit], new))
-    inner = np.sort(cells[(cells < far).all(axis=1)], axis=1)
-    return inner[np.lexsort(inner.T[::-1])]
+    return cells
 
 
 def _per_chain(key: str, kind: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
