@@ -27,6 +27,7 @@ SIZE = 400
 _AXES = "xyz"
 _WELL = 1e-4  # a determinant above this part of its terms gives a centre with some twelve digits
 _PATH = ["slab", "column", "block"]
+_AROUND = 64  # a block whose surroundings touch more blocks than this starts without them and gets points by asking alone
 
 
 def _tile(df: DataFrame, within: list[str], axis: str, name: str) -> DataFrame:
@@ -181,7 +182,8 @@ def tessellate_large(df: DataFrame, key: str, pos: str = "pos", size: int = SIZE
     The rows are those of ``tessellate``.  ``pos`` is unique in a chain; rows with a null
     or non-finite coordinate are left out, of rows at one place that with the least
     ``pos`` counts.  Fewer than four points, or points in a plane, give none.  A task
-    holds a block, the points around it and those that share a cell with its points.
+    holds a block, the points around it, of at most 64 blocks, and those that share a
+    cell with its points.
     """
     finite = reduce(lambda a, b: a & b, [F.abs(F.col(c).cast("double")) < float("inf") for c in _AXES])
     rows = df.where(finite).select(key, F.col(pos).cast("long").alias("pos"), *[F.col(c).cast("double").alias(c) for c in _AXES])
@@ -211,8 +213,14 @@ def tessellate_large(df: DataFrame, key: str, pos: str = "pos", size: int = SIZE
     for depth, boxes in enumerate(levels):
         meets = reduce(lambda a, b: a & b, [(F.col(f"low_{c}") <= F.col(f"to_{c}")) & (F.col(f"high_{c}") >= F.col(f"from_{c}")) for c in _AXES])
         halo = halo.join(boxes, [key, *_PATH[:depth]]).where(meets).drop(*[f"{s}_{c}" for s in ("low", "high") for c in _AXES])
+    halo = stored(halo.select(key, "home", *_PATH))
+    crowded = stored(halo.groupBy(key, "home").count().where(F.col("count") > _AROUND).select(key, F.col("home").alias("block"), F.lit(True).alias("crowded")))
+    none = {f"{side}_{c}": F.when(F.col("crowded"), F.lit(float(far))).otherwise(F.col(f"{side}_{c}")) for c in _AXES for side, far in (("from", "inf"), ("to", "-inf"))}
+    around = stored(around.join(crowded, [key, "block"], "left").withColumns(none).drop("crowded"))
+    halo = halo.join(around.withColumnRenamed("block", "home").drop("extent"), [key, "home"])
     inside = reduce(lambda a, b: a & b, [F.col(c).between(F.col(f"from_{c}"), F.col(f"to_{c}")) for c in _AXES])
-    halo = halo.join(points, [key, *_PATH]).where(inside).select(key, F.col("home").alias("block"), "pos", *_AXES, (F.col("home") == F.col("block")).alias("own"))
+    own = F.col("home") == F.col("block")
+    halo = halo.join(points, [key, *_PATH]).where(own | inside).select(key, F.col("home").alias("block"), "pos", *_AXES, own.alias("own"))
     corners = leaf.select(key, "block").join(frame, key).select(key, "block", F.explode(F.array("a", "b", "c", "d")).alias("p")).select(key, "block", "p.*", F.lit(False).alias("own"))
     once = halo.unionByName(corners).groupBy(key, "block", "pos").agg(*[F.first(c).alias(c) for c in _AXES], F.max("own").alias("own"))
 

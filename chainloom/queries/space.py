@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chainloom.functions import geometry as G
 from chainloom.functions.lookup import HYDROPATHIES, VOLUME
-from chainloom.operators import spatial, stats, windows
+from chainloom.operators import cells, spatial, stats, windows
 from chainloom.plans import strand
 
 from .views import FOUR_SQL, POINT_SQL, point, residue
@@ -160,6 +160,13 @@ def delaunay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.tessellate(_bounded(point(spark, sf_dir)), "chain")
 
 
+@query()
+def delaunay_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors as one set of points."""
+    rows = point(spark, sf_dir).select(F.lit(0).alias("chain"), F.col("vec_id").alias("pos"), "x", "y", "z")
+    return cells.tessellate_large(rows, "chain")
+
+
 @query()
 def simplex_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.simplex_table(delaunay(spark, sf_dir), _bounded(_residues(spark, sf_dir)), "chain", 0.5).drop("leaves")

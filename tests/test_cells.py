@@ -5,36 +5,34 @@ import pytest
 
 from chainloom.operators import cells, spatial
 
-
-def points(kind):
-    rng = np.random.default_rng(3)
-    if kind == "uniform":
-        return rng.random((500, 3))
-    if kind == "grid":
-        return np.array(list(np.ndindex(7, 7, 7)), dtype=float)[rng.permutation(343)] / 10 + 1000
-    if kind == "clustered":  # a dense cluster, a sparse surround and a line
-        return np.vstack((rng.normal(0, 0.01, (250, 3)), rng.normal(0, 5, (60, 3)), np.column_stack([np.linspace(0, 9, 60)] * 3)))
-    return np.vstack(([[x, y, 0.5] for x in range(12) for y in range(12)], [[3.5, 3.5, 0.5000001]]))  # a plane and a point by it
+SCHEMA = "chain long, pos long, x double, y double, z double"
 
 
-def rows(xyz, chain=0):
+def rows(xyz, chain):
     return [(chain, k, *map(float, p)) for k, p in enumerate(xyz)]
 
 
-@pytest.mark.parametrize("kind", ["uniform", "grid", "clustered", "plane"])
-def test_blocks_give_the_cells_of_one_task(spark, kind):
-    xyz = points(kind)
-    df = spark.createDataFrame(rows(xyz), "chain long, pos long, x double, y double, z double")
-    found = [tuple(r) for r in cells.tessellate_large(df, "chain", size=70).collect()]
-    assert sorted(found) == [(0, *c) for c in spatial.delaunay(xyz).tolist()]
-
-
-def test_chains_and_odd_rows(spark):
-    xyz = points("uniform")[:120]
-    data = rows(xyz, 1) + rows(xyz[:40], 2) + rows([[x, y, 1] for x in range(5) for y in range(5)], 3) + rows(xyz[:3], 4) + rows([[k, k, k] for k in range(9)], 5)
-    odd = [(1, 900, *map(float, xyz[7])), (1, 901, None, 0.0, 0.0), (1, 902, float("nan"), 0.0, 0.0), (2, 903, float("inf"), 0.0, 0.0)]
-    df = spark.createDataFrame(data + odd, "chain long, pos long, x double, y double, z double")
-    found = cells.tessellate_large(df, "chain", size=30)
-    same = spatial.tessellate(spark.createDataFrame(data, df.schema), "chain")
-    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, same.collect()))
-    assert cells.tessellate_large(df.limit(0), "chain").count() == 0
+def chains():
+    """Even points, a far grid, a dense cluster with a sparse surround and a line, a plane with a point by it; and flat or short ones."""
+    rng = np.random.default_rng(3)
+    grid = np.array(list(np.ndindex(6, 6, 6)), dtype=float)[rng.permutation(216)] / 10 + 1000
+    clustered = np.vstack((rng.normal(0, 0.01, (150, 3)), rng.normal(0, 5, (40, 3)), np.column_stack([np.linspace(0, 9, 40)] * 3)))
+    by_a_plane = np.vstack(([[x, y, 0.5] for x in range(9) for y in range(9)], [[3.5, 3.5, 0.5000001]]))
+    flat, short, line = [[x, y, 1] for x in range(5) for y in range(5)], grid[:3], [[k, k, k] for k in range(9)]
+    return [rng.random((300, 3)), grid, clustered, by_a_plane, flat, short, line]
+
+
+@pytest.mark.parametrize("around", [64, 2])
+def test_blocks_give_the_cells_of_one_task(spark, monkeypatch, around):
+    """Also where most blocks have too many others around them and only ask."""
+    monkeypatch.setattr(cells, "_AROUND", around)
+    sets = chains() if around > 2 else chains()[1:3]
+    data = [r for k, xyz in enumerate(sets) for r in rows(xyz, k)]
+    x, y, z = data[7][2:]
+    odd = [(0, 900, x, y, z), (0, 901, None, 0.0, 0.0), (1, 902, float("nan"), 0.0, 0.0), (1, 903, float("inf"), 0.0, 0.0)]
+    found = cells.tessellate_large(spark.createDataFrame(data + odd, SCHEMA), "chain", size=40)
+    assert sorted(map(tuple, found.collect())) == [(k, *c) for k, xyz in enumerate(sets) if len(xyz) > 3 for c in spatial.delaunay(np.array(xyz, dtype=float)).tolist()]
+
+
+def test_no_rows(spark):
+    assert cells.tessellate_large(spark.createDataFrame([], SCHEMA), "chain").count() == 0
