@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import cut_keys, run_of, sortable
+from .ranking import cut_keys, rows_a_run, run_of, sortable
 from .textkernel import slices, span_pairs, texts_of
 from .units import UnitCache, byte_bpe_units, spread
 from .workspace import filesystem, fresh_dir, map_texts, publish
@@ -235,7 +235,7 @@ def write_token_files(documents: DataFrame, tokenizer: str, folder: str | None =
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     key = F.concat(sortable(F.col("doc_id")), sortable(F.xxhash64("text")))
     rows, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(1))).first()
-    cuts = cut_keys(docs.select(key.alias("key")), max(1, rows * file_bytes // size))
+    cuts = cut_keys(docs.select(key.alias("key")), rows_a_run(rows, size, file_bytes))
     ordered = docs.withColumn("key", key).withColumn("run", run_of(F.col("key"), cuts)).repartition("run").sortWithinPartitions("run", "key", "text")
     manifest = publish(map_texts(ordered.select("doc_id", "run", "text"), _writer(tokenizer, folder, roll_ids), MANIFEST), folder, "manifest")
     before = Window.orderBy("shard", "roll").rowsBetween(Window.unboundedPreceding, -1)  # a row a file

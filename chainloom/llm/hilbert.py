@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import global_rank, run_of, sortable
+from .ranking import global_rank, rows_a_run, run_of, sortable
 
 BITS, FILE_BYTES = 8, 128 << 20
 
@@ -119,7 +119,7 @@ def write_shards(documents: DataFrame, path: str, columns: list[str], n_shards:
     key = F.concat(sortable(F.col("_curve")), sortable(F.col("_crc")), sortable(F.col("doc_id")), sortable(F.col("_size")))
     full = _placed(documents, documents.columns).withColumn("_key", key)
     rows, size = full.agg(F.count(F.lit(1)), F.coalesce(F.sum("_size"), F.lit(1))).first()
-    per = max(1, rows * file_bytes // size)
+    per = rows_a_run(rows, size, file_bytes)
     cut = cut_runs(full.select("_key"), ["_key"], n_shards).where((F.col("slot") % per == 0) & ((F.col("slot") > 0) | (F.col("shard") > 0)))
     cuts = cut.groupBy("_key").agg(F.max("shard").alias("shard")).toArrow().sort_by("_key")  # a row a file
     shards = np.concatenate(([0], cuts.column("shard").to_numpy())).astype(np.int32)

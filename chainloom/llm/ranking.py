@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .workspace import materialise
 
+MOST_RUNS = 1 << 16  # runs of an order cut by rank; bounds the keys that reach the driver to some megabytes
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number of a partition in its low 33 bits
 
 
@@ -59,10 +60,16 @@ def sortable(number: Column) -> Column:
     return F.when(number.isNull(), F.lit("0" * 17)).otherwise(F.concat(F.lit("1"), digits))
 
 
+def rows_a_run(rows: int, size: int, bytes_: int) -> int:
+    """Rows that hold about ``bytes_`` of ``size``, or more where that would make over ``MOST_RUNS`` runs."""
+    return max(1, rows * bytes_ // max(size, 1), -(-rows // MOST_RUNS))
+
+
 def cut_keys(keys: DataFrame, per: int) -> np.ndarray:
     """The keys (column ``key``, ASCII text) at every ``per``-th place of their order: one for each run but the first.
 
-    They depend on the keys alone, never on partitions or samples.
+    They depend on the keys alone, never on partitions or samples.  With ``per`` from
+    ``rows_a_run`` fewer than ``MOST_RUNS`` keys reach the driver, at any size.
     """
     ranked = global_rank(keys.select("key"), ["key"])
     cuts = ranked.where((F.col("rank") > 0) & (F.col("rank") % per == 0)).select("key").distinct().toArrow()

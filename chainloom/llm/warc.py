@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import cut_keys, run_of, sortable
+from .ranking import cut_keys, rows_a_run, run_of, sortable
 from .workspace import filesystem, fresh_dir, map_texts, materialise, publish
 
 ROLL_BYTES, LEVEL, DATE = 64 << 20, 1, "2020-01-01T00:00:00Z"
@@ -143,7 +143,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
     nothing = F.lit(None)
     key = F.concat(sortable(F.col("page_id")), "sha")
     n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("html") + 1), F.lit(1))).first()
-    cuts = cut_keys(rows.select(key.alias("key")), max(1, n * run_bytes // size))
+    cuts = cut_keys(rows.select(key.alias("key")), rows_a_run(n, size, run_bytes))
     both = rows.select("page_id", F.lit(1).alias("kind"), "sha", "url", "html", nothing.cast("long").alias("response")).unionByName(
         decisions.select("page_id", F.lit(0).alias("kind"), "sha", nothing.cast("string").alias("url"), nothing.cast("binary").alias("html"), "response")
     )

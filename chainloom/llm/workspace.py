@@ -48,14 +48,21 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 
 
 def publish(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """Write ``df`` as ``folder/name``, under a temporary name that is then renamed, and read it back; an older one is replaced."""
+    """Write ``df`` as ``folder/name``, under a temporary name that is then renamed, and read it back.
+
+    An older one is moved aside, and deleted once the new one is in place.
+    """
     spark = df.sparkSession
     where, root = filesystem(folder)
     temporary = f"{name}-{uuid.uuid4().hex}.tmp"
     df.write.parquet(f"{folder}/{temporary}")
+    older = None
     if where.get_file_info(f"{root}/{name}").type != pafs.FileType.NotFound:
-        where.delete_dir(f"{root}/{name}")
+        older = f"{root}/{name}-{uuid.uuid4().hex}.old"
+        where.move(f"{root}/{name}", older)
     where.move(f"{root}/{temporary}", f"{root}/{name}")
+    if older:
+        where.delete_dir(older)
     return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
