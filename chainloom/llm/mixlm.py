@@ -15,10 +15,11 @@ out of its own slot.
 
 The log odds are summed with weights that a gate chooses, by how many predictors know
 the context.  The weights start from values learned online over all training texts,
-again with each bit left out, and go on to follow each text's own errors block by
-block.  A last table refines the mixed probability by what it has turned out to mean,
-and how far it is trusted follows the text's errors too.  A text's score is the log10
-probability of all its tokens; bits per byte follow.
+again with each bit left out, in buckets of texts dealt by a hash, whose weights are
+averaged, so a model depends on the rows alone.  In scoring they go on to follow each
+text's own errors block by block.  A last table refines the mixed probability by what
+it has turned out to mean, and how far it is trusted follows the text's errors too.
+A text's score is the log10 probability of all its tokens; bits per byte follow.
 
 Scale: the vocabulary, tables and weights have a bounded size, and a text is worked on
 in slices.  The base score's counts come from a table of all words: texts look up the
@@ -40,7 +41,8 @@ from .units import spread
 from .workspace import map_texts, materialise
 
 PREDICTORS, LEAST_BITS, MOST_BITS = 6, 14, 21  # least and most bits of a table's size
-FREQUENT, BLOCK, CHUNK, BYTES_A_TASK = 1 << 18, 1 << 16, 1 << 14, 1 << 26
+FREQUENT, BLOCK, CHUNK = 1 << 18, 1 << 16, 1 << 14
+COUNTING, COUNTERS, BUCKET, BUCKETS = 1 << 24, 4096, 1 << 22, 16384  # bytes of a counting task and most of these; the same for learning
 STEP, MOST_STEP, CLOSE = 16, 512, 32  # least and most tokens between changes of a text's weights; the byte that closes a spelled word
 _SETS, _CELLS, _SMOOTH, _RATE, _CALM = 2 * (PREDICTORS + 1), 49, 0.05, 0.02, 16.0
 _GOLD, _START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x1F83D9ABFB41BD6B)
@@ -394,11 +396,12 @@ class Model:
 
 def _learner(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One online pass over this task's training texts; returns starting weights times bits seen, and the refining table."""
+        """One online pass over a bucket of training texts; returns its number, starting weights times bits seen, and the refining table."""
         model = shared.value
         table = model.vocabulary.table()
-        weights, refine, mass = model.weights.astype(np.float64), 0, 0.0
+        weights, refine, mass, bucket = model.weights.astype(np.float64), 0, 0.0, None
         for batch in batches:
+            bucket = batch.column("bucket").slice(0, 1) if batch.num_rows else bucket
             data, offsets = texts_of(batch.column("text"))
             for a, b in slices(offsets, BLOCK):
                 steps = Steps(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], model.vocabulary, table)
@@ -409,7 +412,7 @@ def _learner(shared):
                 refine, mass = refine + seen, mass + float(size.sum())
         if mass:
             flat = np.concatenate((weights.reshape(-1) * mass, refine.reshape(-1), [mass]))
-            yield pa.RecordBatch.from_arrays([list_array(flat, np.array([0, len(flat)]), pa.float64())], ["v"])
+            yield pa.RecordBatch.from_arrays([bucket, list_array(flat, np.array([0, len(flat)]), pa.float64())], ["bucket", "v"])
 
     return run
 
@@ -417,13 +420,20 @@ def _learner(shared):
 def learn(texts: DataFrame, vocabulary: Vocabulary, tokens: int) -> Model:
     """The model of training texts (text), which hold ``tokens`` tokens.
 
-    The number of tasks follows the size of the texts, since each sends its part of
-    the tables, whose size is bounded.
+    It depends on the rows alone, not on their partitions: counts are whole numbers,
+    and weights are learned in buckets to which rows are dealt by a hash of all their
+    columns, in the order of that hash, and averaged in the order of the buckets.  So
+    texts should come with an id, or many copies of one text make a long bucket.
+
+    The number of counting tasks follows the size of the texts up to ``COUNTERS``,
+    since each sends its part of the tables, whose size is bounded; beyond that
+    tasks grow, and so do buckets beyond ``BUCKETS``.
     """
     context = texts.sparkSession.sparkContext
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
-    sizes, texts = table_bits(tokens, len(vocabulary.counts)), texts.coalesce(max(1, -(-size // BYTES_A_TASK)))
-    parts = map_texts(texts, _bit_counts(context.broadcast(vocabulary), sizes), "chunk int, at array<short>, zeros array<int>, ones array<int>")
+    sizes = table_bits(tokens, len(vocabulary.counts))
+    few = texts.select("text").coalesce(min(max(1, -(-size // COUNTING)), COUNTERS))
+    parts = map_texts(few, _bit_counts(context.broadcast(vocabulary), sizes), "chunk int, at array<short>, zeros array<int>, ones array<int>")
     merged = parts.groupBy("chunk").applyInArrow(_merge_chunk, "chunk int, codes binary, code array<int>, zeros array<double>, ones array<double>")
     first = np.concatenate(([0], np.cumsum([1 << b for b in sizes])))
     tables, seen = np.zeros(first[-1], dtype=np.uint16), np.zeros((len(sizes), 2, 4096))
@@ -434,7 +444,11 @@ def learn(texts: DataFrame, vocabulary: Vocabulary, tokens: int) -> Model:
         seen[k][:, np.array(row.code, dtype=np.int64)] += [row.zeros, row.ones]
     model = Model(vocabulary, sizes, [tables[a:b] for a, b in zip(first, first[1:])], seen)
     shared = context.broadcast(model)
-    sums = map_texts(texts, _learner(shared), "v array<double>").select(F.posexplode("v").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x"))
+    dealt = texts.select(F.xxhash64(*texts.columns).alias("key"), "text").repartition(min(max(1, -(-size // BUCKET)), BUCKETS), "key")
+    dealt = dealt.sortWithinPartitions("key", "text").select(F.spark_partition_id().alias("bucket"), "text")
+    sums = map_texts(dealt, _learner(shared), "bucket int, v array<double>").select("bucket", F.posexplode("v").alias("at", "x"))
+    turns = F.array_sort(F.collect_list(F.struct("bucket", "x")))  # a value a bucket
+    sums = sums.groupBy("at").agg(F.aggregate(turns, F.lit(0.0), lambda t, r: t + r["x"]).alias("x"))
     flat = np.array([r.x for r in sums.orderBy("at").collect()])  # one value a weight
     if len(flat):
         n = model.weights.size
@@ -487,7 +501,7 @@ def score_documents(documents: DataFrame, folds: int = 5, held: int = 1, frequen
     counted = map_texts(docs.select("text", F.col("held_out").cast("int").alias("class")), _count_words, "h long, word binary, n long")
     counted = materialise(counted.groupBy("h", "word").agg(F.sum("n").alias("n")).drop("word"), "words")
     total, kinds = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
-    training = docs.where(~F.col("held_out")).select("text")
+    training = docs.where(~F.col("held_out")).select("doc_id", "text")
     ends = training.count()
     best = most_frequent(counted.where("n > 1"), "n", frequent).toArrow()  # at most ``frequent`` rows
     counts = best.column("n").to_numpy()

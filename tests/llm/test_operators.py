@@ -623,6 +623,21 @@ def test_scores_see_the_order_of_words(spark):
     assert usual.score > mixed.score + 1 and usual.bits_per_byte < mixed.bits_per_byte
 
 
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    """The same rows in 1, 3 and 7 partitions, and in another order, learn the same model from several buckets."""
+    monkeypatch.setattr(mixlm, "BUCKET", 2000)
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(80)], weights=range(1, 81), k=rng.randint(0, 40))) for _ in range(150)] + [None, "", "w1 " * 900]
+    df = documents(spark, texts)
+    runs = [
+        {r.doc_id: (r.n_tokens, r.n_known, r.base_score, r.score) for r in mixlm.score_documents(x).collect()}
+        for x in (df.coalesce(1), df.repartition(3), df.orderBy(F.desc("doc_id")).repartition(7))
+    ]
+    for other in runs[1:]:
+        assert other.keys() == runs[0].keys()
+        assert all(other[k] == pytest.approx(v, rel=1e-6, abs=1e-9) for k, v in runs[0].items())
+
+
 def test_tables_grow():
     sizes = [mixlm.table_bits(n, n // 10) for n in (0, 1000, 10**5, 10**9)]
     assert all(a <= b for x, y in zip(sizes, sizes[1:]) for a, b in zip(x, y)) and sizes[1] != sizes[2]
