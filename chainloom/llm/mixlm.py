@@ -42,7 +42,7 @@ from .workspace import map_texts, materialise
 
 PREDICTORS, LEAST_BITS, MOST_BITS = 6, 14, 21  # least and most bits of a table's size
 FREQUENT, BLOCK, CHUNK = 1 << 18, 1 << 16, 1 << 14
-COUNTING, COUNTERS, BUCKET, BUCKETS = 1 << 24, 4096, 1 << 22, 16384  # bytes of a counting task and most of these; the same for learning
+COUNTING, COUNTERS, BUCKET, BUCKETS = 1 << 25, 4096, 1 << 22, 16384  # bytes of a counting task and most of these; the same for learning
 STEP, MOST_STEP, CLOSE = 16, 512, 32  # least and most tokens between changes of a text's weights; the byte that closes a spelled word
 _SETS, _CELLS, _SMOOTH, _RATE, _CALM = 2 * (PREDICTORS + 1), 49, 0.05, 0.02, 16.0
 _GOLD, _START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x1F83D9ABFB41BD6B)
@@ -257,11 +257,28 @@ def table_bits(tokens: int, kinds: int) -> tuple[int, ...]:
     return tuple(min(max(int(m).bit_length(), LEAST_BITS), MOST_BITS) for m in most)
 
 
+_PACKED = (np.dtype("<u2"), np.dtype("<i4"), np.dtype("<i4"))  # steps between slots, zeros, ones
+
+
+def _pack(at: np.ndarray, zeros: np.ndarray, ones: np.ndarray) -> bytes:
+    """Slots in ascending order with their counts, byte by byte of their digits and compressed: most counts are 0 or 1."""
+    columns = (np.diff(at, prepend=0), zeros, ones)
+    planes = [x.astype(t).view(np.uint8).reshape(-1, t.itemsize).T.ravel() for x, t in zip(columns, _PACKED)]
+    return pa.Codec("zstd").compress(np.concatenate(planes).tobytes(), asbytes=True)
+
+
+def _unpack(packed: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    raw = np.frombuffer(pa.Codec("zstd").decompress(packed, n * sum(t.itemsize for t in _PACKED), asbytes=True), np.uint8)
+    ends = np.cumsum([n * t.itemsize for t in _PACKED])
+    steps, zeros, ones = (np.ascontiguousarray(x.reshape(t.itemsize, n).T).view(t).ravel() for x, t in zip(np.split(raw, ends[:-1]), _PACKED))
+    return np.cumsum(steps, dtype=np.int64), zeros, ones
+
+
 def _bit_counts(shared, sizes: tuple[int, ...]):
     first = np.concatenate(([0], np.cumsum([1 << b for b in sizes])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(chunk, at, zeros, ones): what this task's training texts add to each part of the tables."""
+        """(chunk, n, packed): what this task's training texts add to ``n`` slots of each part of the tables."""
         vocabulary = shared.value
         table = vocabulary.table()
         sums = np.zeros(2 * first[-1], dtype=np.int32)  # a zero and a one beside each other
@@ -279,8 +296,7 @@ def _bit_counts(shared, sizes: tuple[int, ...]):
             part = sums[a : a + CHUNK]
             at = np.flatnonzero(part.any(axis=1))
             if len(at):
-                lists = [list_array(x, np.array([0, len(at)]), t) for x, t in ((at, pa.int16()), (part[at, 0], pa.int32()), (part[at, 1], pa.int32()))]
-                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), *lists], ["chunk", "at", "zeros", "ones"])
+                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([len(at)], pa.int32()), pa.array([_pack(at, *part[at].T)], pa.binary())], ["chunk", "n", "packed"])
 
     return run
 
@@ -288,8 +304,11 @@ def _bit_counts(shared, sizes: tuple[int, ...]):
 def _merge_chunk(table: pa.Table) -> pa.Table:
     """One part of the tables, summed over tasks; a part has ``CHUNK`` slots."""
     table = table.combine_chunks()
-    at = table.column("at").combine_chunks().flatten().to_numpy()
-    sums = [np.bincount(at, weights=table.column(c).combine_chunks().flatten().to_numpy(), minlength=CHUNK) for c in ("zeros", "ones")]
+    sums = [np.zeros(CHUNK), np.zeros(CHUNK)]
+    for n, packed in zip(table.column("n").to_pylist(), table.column("packed")):
+        at, *counts = _unpack(packed.as_py(), n)
+        for total, x in zip(sums, counts):
+            total[at] += x  # a slot comes once in each
     codes = [np.searchsorted(_LEAST, x, side="right") for x in sums]
     # what each slot tells of its own bits when one at a time is left out
     seen = []
@@ -433,7 +452,7 @@ def learn(texts: DataFrame, vocabulary: Vocabulary, tokens: int) -> Model:
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
     sizes = table_bits(tokens, len(vocabulary.counts))
     few = texts.select("text").coalesce(min(max(1, -(-size // COUNTING)), COUNTERS))
-    parts = map_texts(few, _bit_counts(context.broadcast(vocabulary), sizes), "chunk int, at array<short>, zeros array<int>, ones array<int>")
+    parts = map_texts(few, _bit_counts(context.broadcast(vocabulary), sizes), "chunk int, n int, packed binary")
     merged = parts.groupBy("chunk").applyInArrow(_merge_chunk, "chunk int, codes binary, code array<int>, zeros array<double>, ones array<double>")
     first = np.concatenate(([0], np.cumsum([1 << b for b in sizes])))
     tables, seen = np.zeros(first[-1], dtype=np.uint16), np.zeros((len(sizes), 2, 4096))

@@ -638,6 +638,14 @@ def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
         assert all(other[k] == pytest.approx(v, rel=1e-6, abs=1e-9) for k, v in runs[0].items())
 
 
+@pytest.mark.parametrize("slots", [[0], [mixlm.CHUNK - 1], [0, 5, 6, mixlm.CHUNK - 1], list(range(mixlm.CHUNK))])
+def test_packed_counts(slots):
+    rng, at = np.random.default_rng(3), np.array(slots)
+    counts = rng.integers(0, 2**31, (2, len(at)), dtype=np.int32)
+    back = mixlm._unpack(mixlm._pack(at, *counts), len(at))
+    assert back[0].tolist() == slots and back[1].tolist() == counts[0].tolist() and back[2].tolist() == counts[1].tolist()
+
+
 def test_tables_grow():
     sizes = [mixlm.table_bits(n, n // 10) for n in (0, 1000, 10**5, 10**9)]
     assert all(a <= b for x, y in zip(sizes, sizes[1:]) for a, b in zip(x, y)) and sizes[1] != sizes[2]
