@@ -236,9 +236,9 @@ def near_duplicates(documents: DataFrame, width: int = 3, threshold: float = 0.8
     classes = materialise(filled.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")), "classes")
     places = classes.select("node", F.posexplode("keys").alias("band", "key"))
     buckets = materialise(
-        places.groupBy("band", "key").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("m")).where("m > 1"), "buckets"
+        places.groupBy("band", "key").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("m")).where("m > 1"), "buckets", merge=True
     )
-    shared = materialise(places.join(buckets, ["band", "key"]).select("band", "key", "node", "centre"), "shared")
+    shared = materialise(places.join(buckets, ["band", "key"]).select("band", "key", "node", "centre"), "shared", merge=True)
     wanted = shared.select(F.col("node").alias("doc_id")).distinct()
     sets = map_texts(docs.join(wanted, "doc_id", "left_semi"), _kernel(width, bands, rows, "sets"), "doc_id long, shingles array<long>")
     sets = materialise(sets.select(F.col("doc_id").alias("node"), "shingles"), "sets")
@@ -249,14 +249,14 @@ def near_duplicates(documents: DataFrame, width: int = 3, threshold: float = 0.8
     star = materialise(
         pairs.join(left, "node").join(right, "centre").withColumn("i", inter)
         .where(F.lit(den) * F.col("i") >= F.lit(num) * (F.size("x") + F.size("y") - F.col("i")))
-        .select(F.col("centre").alias("a"), F.col("node").alias("b")), "star",
+        .select(F.col("centre").alias("a"), F.col("node").alias("b")), "star", merge=True,
     )
     labels = materialise(connected_components(star), "labels")
     more = _open_bucket_links(shared.select("band", "key", "node"), sets, labels, num, den)
     named = base.where("n_shingles > 0 AND doc_id IS NOT NULL").join(classes.select("s1", "s2", "node"), ["s1", "s2"]).select("doc_id", "node")
     ids = materialise(named.groupBy("doc_id").agg(F.min("node").alias("node"), F.collect_set("node").alias("nodes")), "ids")
     repeated = ids.where(F.size("nodes") > 1).select(F.col("node").alias("a"), F.explode("nodes").alias("b")).where("a <> b")
-    extra = materialise(more.unionByName(repeated), "extra")
+    extra = materialise(more.unionByName(repeated), "extra", merge=True)
     if extra.limit(1).count():
         labels = connected_components(extra.unionByName(labels.select(F.col("component").alias("a"), F.col("node").alias("b"))))
     found = ids.select("doc_id", "node").join(labels, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))

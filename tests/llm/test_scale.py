@@ -3,8 +3,8 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from chainloom.llm import components, dac, ranking
-from chainloom.llm.workspace import fresh_dir, publish
+from chainloom.llm import components, dac, neardup, ranking
+from chainloom.llm.workspace import fresh_dir, materialise, publish
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -50,3 +50,29 @@ def test_publish_replaces(spark):
         assert publish(spark.range(n), folder, "manifest").count() == n
     listed = [s.getPath().getName() for s in spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(spark._jvm.org.apache.hadoop.fs.Path(folder))]
     assert listed == ["manifest"]
+
+
+def test_small_tables_have_few_files(spark, monkeypatch):
+    """What near-duplicates keep of many tasks' rows is a file or two, and the rows are the same."""
+    merged = {}
+
+    def note(df, label, **how):
+        out = materialise(df, label, **how)
+        merged[label] = how.get("merge", False), len(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(neardup, "materialise", note)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 24)
+    try:
+        texts = [" ".join(f"w{(k // 2 * 97 + j) % 5000}" for j in range(40 + k % 2)) for k in range(400)]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(12)
+        found = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()}
+        assert found == {k: k // 2 * 2 for k in range(400)}
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "1k")
+        many = spark.range(40_000, numPartitions=24)
+        assert len(materialise(many, "many").inputFiles()) == 24 and len(materialise(many, "few", merge=True).inputFiles()) < 12
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.minPartitionSize")
+    assert all(merged[x][0] and merged[x][1] <= 2 for x in ("buckets", "shared", "star", "extra")), merged
