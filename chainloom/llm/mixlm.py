@@ -291,10 +291,10 @@ def _bit_counts(shared, sizes: tuple[int, ...]):
                     at *= 2
                     at += bits.bit
                     np.add.at(sums[2 * first[k] : 2 * first[k + 1]], at, np.int32(1))
-        sums = sums.reshape(-1, 2)
+        used, sums = sums.view(np.int64), sums.reshape(-1, 2)  # neither count is negative
         for c, a in enumerate(range(0, int(first[-1]), CHUNK)):
             part = sums[a : a + CHUNK]
-            at = np.flatnonzero(part.any(axis=1))
+            at = np.flatnonzero(used[a : a + CHUNK])
             if len(at):
                 yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([len(at)], pa.int32()), pa.array([_pack(at, *part[at].T)], pa.binary())], ["chunk", "n", "packed"])
 
@@ -357,31 +357,36 @@ class Model:
         bits = _Bits(steps, order, self.sizes)
         lane, kind = steps.lane[order], steps.kind[order]
         odds = np.empty((PREDICTORS, len(bits.bit)), dtype=np.float32)
-        shift = bits.bit.astype(np.int64) * 4096 if leave_out else 0
+        shift = bits.bit.astype(np.int64) * 4096 if leave_out else np.uint16(0)
         for k in range(PREDICTORS):
             says = np.concatenate([self.odds[k][w] for w in self.without]) if leave_out else self.odds[k]
-            np.take(says, self.tables[k][bits.slots(k)] + shift, out=odds[k], mode="clip")
+            np.take(says, self.tables[k].take(bits.slots(k)) + shift, out=odds[k], mode="clip")
         own = np.tile(weights.T, (1, n))  # for each predictor the texts' sets in turn
         energy = np.full(own.shape, _CALM, dtype=np.float32)
         trust, trust_energy = np.full(n, 0.5, dtype=np.float32), np.full(n, _CALM)
         out, refine = np.zeros(total), np.zeros(_SETS * _CELLS * 2)
+        absent = 1 - bits.bit.astype(np.float32)
+        sign = 1 - 2 * absent
+        sets, apart = own.shape[1], np.arange(PREDICTORS)[:, None] * own.shape[1]
+        # the sets of all steps: a text's, for the number of predictors that know the context
+        gate = kind * (PREDICTORS + 1)
+        for x in odds:
+            gate += x[bits.first] != 0
+        mine = lane * _SETS + gate
+        gate = (gate * _CELLS + 24).astype(np.int32)
         for s, e in zip(borders, borders[1:]):
             if s == e:
                 continue
             a, b = int(bits.first[s]), int(bits.ends[e - 1])
-            x, bit, length, first = odds[:, a:b], bits.bit[a:b], bits.length[s:e], bits.first[s:e] - a
-            gate = np.count_nonzero(x[:, first], axis=0) + kind[s:e] * (PREDICTORS + 1)
-            used, inverse = np.unique(lane[s:e] * _SETS + gate, return_inverse=True)
-            mine = own[:, used][:, inverse]
-            z = np.repeat(mine[0], length)
-            z *= x[0]
-            for k in range(1, PREDICTORS):
-                part = np.repeat(mine[k], length)
-                part *= x[k]
-                z += part
-            np.clip(z, -12, 12, out=z)
+            x, bit, first, to = odds[:, a:b], bits.bit[a:b], bits.first[s:e] - a, mine[s:e]
+            length = bits.length[s:e]
+            part = np.repeat(own.take(to, axis=1), length, axis=1)
+            part *= x
+            z = part.sum(axis=0)
+            np.maximum(z, -12, out=z)
+            np.minimum(z, 12, out=z)
             cell = np.rint(z * 2).astype(np.int32)
-            cell += np.repeat((gate * _CELLS + 24).astype(np.int32), length)
+            cell += np.repeat(gate[s:e], length)
             p = np.negative(z, out=z)
             np.exp(p, out=p)
             p += 1
@@ -396,18 +401,20 @@ class Model:
                 chance = np.repeat(trust[lane[s:e]], length)
                 chance *= move
                 chance += p
-                np.subtract(1, chance, out=chance, where=bit == 0)
+                np.abs(np.subtract(chance, absent[a:b], out=chance), out=chance)  # of the other value where the bit is 0
                 out[s:e] = np.log10(np.multiply.reduceat(chance, first, dtype=np.float64))
-                np.negative(move, out=move, where=bit == 0)
+                move *= sign[a:b]
                 move /= chance
                 pull = np.bincount(lane[s:e], weights=np.add.reduceat(move, first), minlength=n)
                 trust_energy += pull * pull
                 trust = np.clip(trust + _RATE * pull / np.sqrt(trust_energy), 0, 1).astype(np.float32)
-            miss = np.subtract(bit, p, out=p)
-            for k in range(PREDICTORS):
-                step = np.bincount(inverse, weights=np.add.reduceat(np.multiply(miss, x[k], out=x[k]), first), minlength=len(used)).astype(np.float32)
-                energy[k, used] += step * step
-                own[k, used] += _RATE * step / np.sqrt(energy[k, used])
+            np.subtract(bit, p, out=p)
+            x *= p
+            pulls = np.add.reduceat(x, first, axis=1)
+            pulls = np.bincount((to + apart).ravel(), weights=pulls.ravel(), minlength=own.size).reshape(PREDICTORS, sets).astype(np.float32)
+            energy += pulls * pulls
+            pulls *= np.float32(_RATE)
+            own += pulls / np.sqrt(energy)
         back = np.empty(total)
         back[order] = out
         return back, own.T.reshape(n, _SETS, PREDICTORS), refine.reshape(-1, 2).T
