@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -414,6 +415,29 @@ def test_every_item_text_is_searched(spark):
     assert sorted((r.doc_id, r.item_id, r.start, r.similarity) for r in got) == [(0, None, 0, 1.0), (1, None, 0, 1.0), (2, 1, 0, 1.0), (3, 1, 0, 1.0), (4, 1, 0, 1.0)]
 
 
+@pytest.mark.parametrize("m", [(7, 20, 55), (12, 100)])
+def test_every_window_is_fingerprinted(spark, m):
+    """The windows come from the fingerprints of all windows, in narrow and wide lanes, over borders of pieces and in short texts."""
+    rng = random.Random(sum(m))
+    pool = [rng.getrandbits(64) - (1 << 63) for _ in range(60)]
+    texts = {t: [rng.choice(pool) for _ in range(n)] for t, n in enumerate((1, 6, 19, 54, 90, 300, 700))}
+    items = [(k, size + 4, size, rng.getrandbits(64) - (1 << 63), rng.sample(pool, 9)) for k, size in enumerate([*m, m[0], m[-1]])]
+    want, all_of_them = set(), 0
+    for t, h in texts.items():
+        for _, size, places, fp, own in items:
+            span = min(places, len(h))
+            need = math.ceil(0.8 / 1.8 * (places + span) - 1e-9)
+            for p in range(len(h) - span + 1 if need <= span else 0):
+                votes = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h[p : p + span]) > span)
+                all_of_them += 1
+                if ((votes ^ fp) & (1 << 64) - 1).bit_count() <= 30 and set(h[p : p + span - need + 1]) & set(own):
+                    want.add((t, size, span, p))
+    prints = spark.createDataFrame([i[:4] for i in items], "key long, size int, m int, fp long")
+    grams = spark.createDataFrame([(i[0], s) for i in items for s in i[4]], "key long, s long")
+    got = decontam._near_windows(spark.createDataFrame(list(texts.items()), "tag long, h array<long>"), prints, grams, 0.8, 30)
+    assert {tuple(r) for r in got.select("tag", "size", "span", "start").collect()} == want and 20 < len(want) < all_of_them / 2
+
+
 def test_hamming_blocks_guarantee():
     rng = random.Random(0)
     cuts = [64 * i // (decontam.RADIUS + 1) for i in range(decontam.RADIUS + 2)]
