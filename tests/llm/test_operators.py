@@ -438,6 +438,17 @@ def test_every_window_is_fingerprinted(spark, m):
     assert {tuple(r) for r in got.select("tag", "size", "span", "start").collect()} == want and 20 < len(want) < all_of_them / 2
 
 
+def test_sums_of_votes_may_run_over(spark):
+    """Sums along a long text exceed a lane's top; each window is fingerprinted once, not once more for every filter, nor again for each item."""
+    full = [-1] * 700 + [5] * 20
+    prints = spark.createDataFrame([(k, 24, 20, fp) for k, fp in enumerate([-1, 5, *range(1 << 40, (1 << 40) + 9)])], "key long, size int, m int, fp long")
+    grams = spark.createDataFrame([(0, -1), (1, 5), *[(k, 7) for k in range(2, 11)]], "key long, s long")
+    got = decontam._near_windows(spark.createDataFrame([(1, full)], "tag long, h array<long>"), prints, grams, 0.8, 0)
+    assert sorted(r.start for r in got.collect()) == [*range(690), 698, 699, 700]  # below 690 most of 20 vote for all bits; from 698 one of the first three is the other item's
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("shiftrightunsigned") == 7
+    assert spark.conf.get("spark.sql.ansi.enabled") == "true"
+
+
 def test_hamming_blocks_guarantee():
     rng = random.Random(0)
     cuts = [64 * i // (decontam.RADIUS + 1) for i in range(decontam.RADIUS + 2)]
