@@ -26,8 +26,12 @@ BLOCK, MOST, WEIGHTS, SEED, SHARDS, PREFIX = 32, 3, (5, 2, 1), "mix-1", 8, 3
 
 
 def word_count(text: Column) -> Column:
-    """Words of a text: runs outside space and 0x09-0x0D; null has none."""
-    return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
+    """Words of a text: runs outside space and 0x09-0x0D; null has none.
+
+    Each run becomes one character and those are counted: ``regexp_count`` lists all words of a text first.
+    """
+    bare = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
+    return F.coalesce(F.length(F.regexp_replace(bare, "[^\\x20\\x09-\\x0D]++[\\x20\\x09-\\x0D]*+", "x")), F.lit(0)).cast("long")
 
 
 def sized(documents: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -364,6 +364,13 @@ def test_warc(spark):
     assert warc.archive_round_trip(df.limit(0)).count() == 0
 
 
+def test_words_are_counted_without_listing_them(spark):
+    texts = ["", " ", "\t\n", " a ", "a\x0bb\x0cc\r", "ünï – x", "a\u00a0b", "\x00 \x1f", "$1 \\ x", None, "\u3000", "a  b\n\nc"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", mixing.word_count(F.col("t")).alias("n"))
+    assert [r.n for r in rows.orderBy("i").collect()] == [len(words_of(t)) if t else 0 for t in texts]
+    assert "regexp_extract_all" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
 # ---- 5 decontamination
 
 def leaks_by_hand(texts, items, width=5, threshold=0.8):
