@@ -456,6 +456,19 @@ def test_sums_of_votes_may_run_over(spark):
     assert spark.conf.get("spark.sql.ansi.enabled") == "true"
 
 
+def test_windows_bring_their_fingerprints(spark):
+    """Each window comes with its fingerprint and shingles, so texts are not read again for them."""
+    rng = random.Random(3)
+    h = [rng.getrandbits(64) - (1 << 63) for _ in range(60)]
+    prints = spark.createDataFrame([(0, 24, 20, 0)], "key long, size int, m int, fp long")
+    grams = spark.createDataFrame([(0, s) for s in h], "key long, s long")
+    got = decontam._near_windows(spark.createDataFrame([(1, h)], "tag long, h array<long>"), prints, grams, 0.8, 64).collect()
+    assert sorted(r.start for r in got) == [*range(41)]
+    for r in got:
+        part = h[r.start : r.start + 20]
+        assert r.inside == part and r.fp & (1 << 64) - 1 == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in part) > 20)
+
+
 def test_hamming_blocks_guarantee():
     rng = random.Random(0)
     cuts = [64 * i // (decontam.RADIUS + 1) for i in range(decontam.RADIUS + 2)]
