@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from chainloom.llm import components, dac, neardup, ranking
+from chainloom.llm import components, dac, decontam, neardup, ranking
 from chainloom.llm.workspace import fresh_dir, materialise, publish
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -76,3 +76,19 @@ def test_small_tables_have_few_files(spark, monkeypatch):
         spark.conf.set("spark.sql.shuffle.partitions", before)
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.minPartitionSize")
     assert all(merged[x][0] and merged[x][1] <= 2 for x in ("buckets", "shared", "star", "extra")), merged
+
+
+def test_windows_are_not_broadcast(spark, monkeypatch):
+    """Windows hold lists, which Spark sizes as one number; their join is a shuffle even where it thinks them small."""
+    plans, write = {}, decontam.materialise
+
+    def spy(df, label, **kinds):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, label, **kinds)
+
+    monkeypatch.setattr(decontam, "materialise", spy)
+    text = " ".join(f"w{k}" for k in range(40))
+    docs = spark.createDataFrame([(1, f"some words {text} and more"), (2, "other words altogether " * 9)], "doc_id long, text string")
+    found = decontam.leaks(docs, spark.createDataFrame([(7, text)], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id, r.start, r.similarity) for r in found] == [(1, 7, 2, 1.0)]
+    assert "SortMergeJoin [tag#" in plans["best"] and "BroadcastHashJoin [tag#" not in plans["best"]
