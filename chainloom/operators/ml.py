@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -46,41 +47,68 @@ def silhouette(df: DataFrame, id_: str, features: str, cluster: str) -> DataFram
     return out.select(id_, cluster, F.when(F.col("n") == 1, 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b")).alias("silhouette"))
 
 
-def _distance_sums(pdf: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-    """Sums of distances from the rows of one tile to each cluster's rows of another."""
-    others = others.sort_values("cluster")
-    clusters, starts, sizes = np.unique(others["cluster"].to_numpy(), return_index=True, return_counts=True)
-    x, y = np.stack(pdf["x"].to_list()), np.stack(others["x"].to_list())
-    gap = np.zeros((len(x), len(y)))
-    for d in range(x.shape[1]):  # differences first: exact where points are close
-        gap += (x[:, d, None] - y[None, :, d]) ** 2
-    total = np.add.reduceat(np.sqrt(gap), starts, axis=1)
-    n, k = len(x), len(clusters)
-    return pd.DataFrame({"row": np.repeat(pdf["row"].to_numpy(), k), "own": np.repeat(pdf["cluster"].to_numpy(), k), "cluster": np.tile(clusters, n), "total": total.reshape(-1), "n": np.tile(sizes, n)})
+_CLOSE = 1e-2  # squared distances under this part of the squares lose digits as a difference of products
+_BATCH_BYTES = 64 << 20
 
 
-def euclidean_silhouette(df: DataFrame, id_: str, features: str, cluster: str, tile: int = 2048) -> DataFrame:
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distances of all rows of ``x`` to all of ``y``: by products, and by differences where rows are close."""
+    middle = y.mean(axis=0)
+    p, q = x - middle, y - middle
+    size = (p**2).sum(axis=1)[:, None] + (q**2).sum(axis=1)
+    gap = size - 2 * (p @ q.T)
+    i, j = np.nonzero(gap <= _CLOSE * size)
+    for a in range(0, len(i), 1 << 16):
+        u, v = i[a : a + (1 << 16)], j[a : a + (1 << 16)]
+        gap[u, v] = ((x[u] - y[v]) ** 2).sum(axis=1)
+    return np.sqrt(gap)
+
+
+def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A tile as one row: its rows' ids and clusters, in order of the clusters, and their vectors as bytes."""
+    pdf = pdf.sort_values(["cluster", "row"])
+    return pd.DataFrame({"t": pdf["t"].iloc[:1].to_numpy(), "row": [pdf["row"].to_numpy()], "cluster": [pdf["cluster"].to_numpy()], "x": [np.stack(pdf["x"].to_list()).tobytes()]})
+
+
+def _distance_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For pairs of tiles, sums of distances from each row of either to each cluster's rows of the other."""
+    for pdf in batches:
+        for same, *tiles in zip(pdf["t"] == pdf["u"], pdf["row"], pdf["cluster"], pdf["x"], pdf["row2"], pdf["cluster2"], pdf["x2"]):
+            sides = [(np.asarray(r), np.asarray(c), np.frombuffer(x).reshape(len(r), -1)) for r, c, x in (tiles[:3], tiles[3:])]
+            gap = _distances(sides[0][2], sides[1][2])
+            for (row, own, _), (_, cluster, _), d in ((*sides, gap), (*sides[::-1], gap.T))[: 1 if same else 2]:
+                starts = np.flatnonzero(np.append(True, cluster[1:] != cluster[:-1]))
+                n, k = len(row), len(starts)
+                total = np.add.reduceat(d, starts, axis=1)
+                yield pd.DataFrame({"row": np.repeat(row, k), "own": np.repeat(own, k), "cluster": np.tile(cluster[starts], n), "total": total.reshape(-1), "n": np.tile(np.diff(np.append(starts, len(cluster))), n)})
+
+
+def euclidean_silhouette(df: DataFrame, id_: str, features: str, cluster: str, tile: int = 2048, together: int = 8) -> DataFrame:
     """Exact Euclidean silhouette of every row; ids must be unique, and rows without a cluster are left out.
 
-    Rows are dealt to tiles of about ``tile`` rows.  A task has two tiles and returns
-    sums of distances by cluster, so no pair of rows leaves it; every row travels once
-    for each tile.
+    Rows are cut into tiles of about ``tile`` rows in order of their clusters, and written as one row
+    each.  A task has every pair of two lists of about ``together`` tiles, which it reads where they
+    are: no pair of tiles or rows is written or shuffled, only sums of distances by cluster.
     """
     rows = df.where(F.col(cluster).isNotNull()).select(F.col(id_).alias("row"), F.col(cluster).alias("cluster"), vector_to_array(features).alias("x"))
-    tiles = max(1, math.ceil(rows.count() / tile))
-    dealt = rows.withColumn("t", F.pmod(F.xxhash64("row"), F.lit(tiles)))
-    every = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
-    left, right = dealt.withColumn("u", every), dealt.withColumnsRenamed({"t": "u"}).withColumn("t", every)
     kinds = {c: rows.schema[c].dataType.simpleString() for c in ("row", "cluster")}
-    sums = left.groupBy("t", "u").cogroup(right.groupBy("t", "u")).applyInPandas(
-        lambda a, b: _distance_sums(a, b) if len(a) and len(b) else pd.DataFrame({"row": a["row"][:0], "own": a["cluster"][:0], "cluster": b["cluster"][:0], "total": pd.Series(dtype=float), "n": pd.Series(dtype="int64")}),
-        f"row {kinds['row']}, own {kinds['cluster']}, cluster {kinds['cluster']}, total double, n long",
-    )
+    dealt = ranges.ranked(rows, ["cluster", "row"]).withColumn("t", F.floor(F.col("_rank") / tile)).drop("_rank")
+    tiles = ranges.stored(dealt.groupBy("t").applyInPandas(_pack, f"t long, row array<{kinds['row']}>, cluster array<{kinds['cluster']}>, x binary"))
+    lists = math.ceil(max(tiles.count(), 1) / together)
+    conf, most = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(conf.get(most).rstrip("b")) <= _BATCH_BYTES:
+        conf.set(most, _BATCH_BYTES)  # Spark counts rows, which here are tiles, unless it has a limit
+    left = tiles.repartition(lists)
+    right = left.withColumnsRenamed({"t": "u", "row": "row2", "cluster": "cluster2", "x": "x2"})
+    pairs = left.join(right.hint("shuffle_replicate_nl"), F.col("t") <= F.col("u"))
+    sums = pairs.mapInPandas(_distance_sums, f"row {kinds['row']}, own {kinds['cluster']}, cluster {kinds['cluster']}, total double, n long")
     whole = sums.groupBy("row", "own", "cluster").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
     same = F.col("own") == F.col("cluster")
     n = F.col("n") - same.cast("int")  # a row is no neighbour of itself
     out = whole.withColumn("d", F.when(n > 0, F.col("total") / n)).groupBy("row", "own").agg(F.max(F.when(same, F.col("d"))).alias("a"), F.min(F.when(~same, F.col("d"))).alias("b"))
-    return out.select(F.col("row").alias(id_), F.col("own").alias(cluster), F.when(F.col("a").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b")).alias("silhouette"))
+    larger = F.greatest("a", "b")
+    ratio = (F.col("b") - F.col("a")) / F.when(larger != 0, larger).otherwise(float("nan"))  # all rows at one place: as 0 / 0 in SQL
+    return out.select(F.col("row").alias(id_), F.col("own").alias(cluster), F.when(F.col("a").isNull(), 0.0).otherwise(ratio).alias("silhouette"))
 
 
 def principal_components(df: DataFrame, k: int = 2, name: str = "components") -> DataFrame:

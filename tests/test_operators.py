@@ -214,6 +214,37 @@ def test_silhouette_of_large_clusters(spark):
         assert got[k] == pytest.approx((b - a) / max(a, b))
 
 
+def test_silhouette_over_partitions(spark):
+    """No pair of tiles is lost where shuffles keep their partitions; close, far-shifted and equal vectors keep their distances."""
+    rng = np.random.default_rng(6)
+    x = np.vstack((rng.normal(size=(200, 3)), 1e6 + rng.normal(0, 1e-3, (200, 3))))
+    x[300:340] = x[300]
+    label = np.arange(400) % 3
+    df = ml.assemble(spark.createDataFrame([(k, *map(float, p), int(c)) for k, (p, c) in enumerate(zip(x, label))], "id long, a double, b double, c double, name int"), ["a", "b", "c"])
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        got = {r.id: r.silhouette for r in ml.euclidean_silhouette(df, "id", "features", "name", 30).collect()}
+    finally:
+        spark.conf.set(key, before)
+    gap = np.linalg.norm(x[:, None] - x[None], axis=2)
+    assert sorted(got) == list(range(400))
+    for k in range(400):
+        d = {c: gap[k][label == c].sum() / ((label == c).sum() - (label[k] == c)) for c in range(3)}
+        a, b = d.pop(label[k]), min(d.values())
+        assert got[k] == pytest.approx((b - a) / max(a, b), abs=1e-9)
+    one_place = df.withColumns({c: F.lit(1.0) for c in "abc"}).drop("features").limit(9)
+    assert all(math.isnan(r.silhouette) for r in ml.euclidean_silhouette(ml.assemble(one_place, ["a", "b", "c"]), "id", "features", "name").collect())
+
+
+def test_silhouette_shuffles_no_pairs(spark):
+    """Pairs of tiles are read where they are; what is shuffled grows with the rows and not with their pairs."""
+    df = ml.assemble(spark.range(400).select("id", F.rand(1).alias("a"), F.rand(2).alias("b"), (F.col("id") % 3).alias("name")), ["a", "b"])
+    plan = ml.euclidean_silhouette(df, "id", "features", "name", 30)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "CoGroups" not in plan
+
+
 def test_roc_over_many_scores(spark):
     """Running sums by ranges agree with one sort, ties and nulls included."""
     rng = np.random.default_rng(1)
