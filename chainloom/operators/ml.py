@@ -48,7 +48,6 @@ def silhouette(df: DataFrame, id_: str, features: str, cluster: str) -> DataFram
 
 
 _CLOSE = 1e-2  # squared distances under this part of the squares lose digits as a difference of products
-_BATCH_BYTES = 64 << 20
 
 
 def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -95,9 +94,7 @@ def euclidean_silhouette(df: DataFrame, id_: str, features: str, cluster: str, t
     dealt = ranges.ranked(rows, ["cluster", "row"]).withColumn("t", F.floor(F.col("_rank") / tile)).drop("_rank")
     tiles = ranges.stored(dealt.groupBy("t").applyInPandas(_pack, f"t long, row array<{kinds['row']}>, cluster array<{kinds['cluster']}>, x binary"))
     lists = math.ceil(max(tiles.count(), 1) / together)
-    conf, most = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not 0 < int(conf.get(most).rstrip("b")) <= _BATCH_BYTES:
-        conf.set(most, _BATCH_BYTES)  # Spark counts rows, which here are tiles, unless it has a limit
+    ranges.bound_batches(df.sparkSession)
     left = tiles.repartition(lists)
     right = left.withColumnsRenamed({"t": "u", "row": "row2", "cluster": "cluster2", "x": "x2"})
     pairs = left.join(right.hint("shuffle_replicate_nl"), F.col("t") <= F.col("u"))
