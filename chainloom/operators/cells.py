@@ -21,12 +21,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chainloom.operators.ranges import ranked, stored
-from chainloom.operators.spatial import Exact, insertion
+from chainloom.operators.spatial import _WELL, Exact, insertion
 
 SIZE = 400
 _AXES = "xyz"
-_WELL = 1e-4  # a determinant above this part of its terms gives a centre with some twelve digits
 _PATH = ["slab", "column", "block"]
+_TASKS = 4096
 _AROUND = 64  # a block whose surroundings touch more blocks than this starts without them and gets points by asking alone
 
 
@@ -226,9 +226,10 @@ def tessellate_large(df: DataFrame, key: str, pos: str = "pos", size: int = SIZE
 
     kind = df.schema[key].dataType.simpleString()
     schema = f"{key} {kind}, block long, ghost boolean, certified boolean, first boolean, i1 long, i2 long, i3 long, i4 long, at array<double>, " + ", ".join(f"{n} double" for n in ("cx", "cy", "cz", "r", "nx", "ny", "nz", "slack"))
-    active, done = stored(once), []
+    active, done, tasks = stored(once), [], min(max(leaf.count(), 1), _TASKS)
     while True:
-        cells = stored(active.join(around, [key, "block"]).groupBy(key, "block").applyInPandas(_star(key), schema))
+        dealt = active.join(around, [key, "block"]).repartition(tasks, key, "block")  # by number: blocks are small, but slow, and Spark merges small partitions
+        cells = stored(dealt.groupBy(key, "block").applyInPandas(_star(key), schema))
         new = stored(_found(cells.where(~F.col("certified")), points, levels, key))
         again = new.select(key, "block").distinct()
         four = F.array_sort(F.array("i1", "i2", "i3", "i4"))

@@ -15,6 +15,10 @@ from chainloom.functions.geometry import adjacency_class, residue_distance, tetr
 _SURE = 1e-14  # some ninety roundings: beyond the error of either determinant relative to its terms' sizes
 
 
+_WELL = 1e-4  # a determinant above this part of its terms gives a centre with some ten digits at least
+_OTHERS = np.array([[j for j in range(4) if j != i] for i in range(4)])
+
+
 def _det3(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Determinants of rows, and the sums of their terms' sizes."""
     x, y = b[..., 1] * c[..., 2], b[..., 2] * c[..., 1]
@@ -80,10 +84,26 @@ def delaunay(points: np.ndarray) -> np.ndarray:
     return inner[np.lexsort(inner.T[::-1])]
 
 
+def _spheres(p: np.ndarray, cells: np.ndarray, far: int, largest: float) -> np.ndarray:
+    """Centre, a radius within which points are surely inside and one beyond which they are surely outside; not numbers where rounding leaves too few digits."""
+    o = p[cells[:, 3]]
+    a, b, c = (p[cells[:, k]] - o for k in range(3))
+    u, v, w = np.cross(b, c), np.cross(c, a), np.cross(a, b)
+    x, y, z = ((e**2).sum(axis=1) for e in (a, b, c))
+    det = (a * u).sum(axis=1)
+    with np.errstate(all="ignore"):
+        rel = (x[:, None] * u + y[:, None] * v + z[:, None] * w) / (2 * det)[:, None]
+        r = np.sqrt((rel**2).sum(axis=1))
+        r[~(np.abs(det) > _WELL * np.sqrt(x * y * z)) | (cells == far).any(axis=1)] = np.nan
+    slack = 1e-9 * r + 1e-14 * largest
+    return np.column_stack((rel + o, r - slack, r + slack))
+
+
 def insertion(points: np.ndarray) -> np.ndarray:
     """Positive cells by incremental insertion (Bowyer 1981, Watson 1981); index ``len(points)`` is infinity.
 
-    Signs come from floating point where an error bound proves them, else from integers,
+    Cells keep their spheres, which decide for most of them whether the next point is
+    inside.  Other signs come from floating point where an error bound proves them, else from integers,
     so grids, cospherical and far-shifted points are tessellated without gaps or
     overlaps.  The outside is made of cells with a point at infinity; there is no
     bounding tetrahedron that could cut the hull.  Points in a plane give none.
@@ -101,44 +121,47 @@ def insertion(points: np.ndarray) -> np.ndarray:
         cells.append(out)
     cells = np.array(cells)
     p = np.vstack((points, np.zeros(3)))
+    largest = float(np.abs(points).max())
+    ghost, spheres = (cells == far).any(axis=1), _spheres(p, cells, far, largest)
     for k in range(n):
         if k in first:
             continue
-        ghost = (cells == far).any(axis=1)
-        filled = np.where(cells == far, k, cells)
-        rel = p[filled] - p[k]
-        hit = np.zeros(len(cells), dtype=bool)
-        real = np.flatnonzero(~ghost)
-        r = rel[real]
-        lift = (r**2).sum(axis=2)
-        det, size = np.zeros(len(real)), np.zeros(len(real))
-        for i in range(4):
-            d, s = _det3(*(r[:, j] for j in range(4) if j != i))
-            det += (-1) ** (i + 3) * lift[:, i] * d
-            size += lift[:, i] * s
-        hit[real] = det > 0
-        for at in real[np.abs(det) <= _SURE * size].tolist():
-            hit[at] = exact.inside(cells[at].tolist(), k)
+        away = np.sqrt(((spheres[:, :3] - p[k]) ** 2).sum(axis=1))
+        hit = away < spheres[:, 3]  # false where a sphere is unknown
+        real = np.flatnonzero(~(ghost | hit | (away > spheres[:, 4])))  # those that spheres don't decide
+        if len(real):
+            r = p[cells[real]] - p[k]
+            lift = (r**2).sum(axis=2)
+            det, size = np.zeros(len(real)), np.zeros(len(real))
+            for i in range(4):
+                d, s = _det3(*(r[:, j] for j in range(4) if j != i))
+                det += (-1) ** (i + 3) * lift[:, i] * d
+                size += lift[:, i] * s
+            hit[real] = det > 0
+            for at in real[np.abs(det) <= _SURE * size].tolist():
+                hit[at] = exact.inside(cells[at].tolist(), k)
         outer = np.flatnonzero(ghost)
-        corner = np.argmax(cells[outer] == far, axis=1)  # its own row is zero in ``rel``
-        rows = np.array([[j for j in range(4) if j != c] for c in range(4)])[corner]
-        d, s = _det3(*(rel[outer, rows[:, j]] for j in range(3)))
+        corner = np.argmax(cells[outer] == far, axis=1)
+        rows = _OTHERS[corner]
+        d, s = _det3(*(p[cells[outer, rows[:, j]]] - p[k] for j in range(3)))
         sign = np.where(corner % 2 == 1, 1, -1)  # of moving the new point to the end
         hit[outer] = sign * d > 0
         for at in outer[np.abs(d) <= _SURE * s].tolist():
-            turn = exact.turn(*filled[at].tolist())
+            turn = exact.turn(*(k if v == far else v for v in cells[at].tolist()))
             if turn == 0:  # in the face's plane: as the cell behind it
                 face = [v for v in cells[at].tolist() if v != far]
-                behind = real[np.isin(cells[real], face).sum(axis=1) == 3]
+                behind = np.flatnonzero(~ghost & (np.isin(cells, face).sum(axis=1) == 3))
                 turn = 1 if hit[behind].any() else -1
             hit[at] = turn > 0
         gone = cells[hit]
-        faces = np.sort(np.stack([gone[:, [j for j in range(4) if j != i]] for i in range(4)], axis=1).reshape(-1, 3), axis=1)
-        _, where, times = np.unique(faces, axis=0, return_index=True, return_counts=True)
+        faces = np.sort(np.stack([gone[:, _OTHERS[i]] for i in range(4)], axis=1).reshape(-1, 3), axis=1)
+        _, where, times = np.unique((faces[:, 0] * (n + 1) + faces[:, 1]) * (n + 1) + faces[:, 2], return_index=True, return_counts=True)
         border = where[times == 1]
         new = gone[border // 4].copy()
         new[np.arange(len(new)), border % 4] = k  # on the same side of the face as the corner that goes
-        cells = np.vstack((cells[~hit], new))
+        keep = ~hit
+        cells, ghost = np.vstack((cells[keep], new)), np.append(ghost[keep], (new == far).any(axis=1))
+        spheres = np.vstack((spheres[keep], _spheres(p, new, far, largest)))
     return cells
 
 

@@ -34,5 +34,19 @@ def test_blocks_give_the_cells_of_one_task(spark, monkeypatch, around):
     assert sorted(map(tuple, found.collect())) == [(k, *c) for k, xyz in enumerate(sets) if len(xyz) > 3 for c in spatial.delaunay(np.array(xyz, dtype=float)).tolist()]
 
 
+def test_blocks_are_dealt_to_tasks(spark, monkeypatch):
+    """A block is slow however few its bytes are, so small blocks are not merged into one task."""
+    tasks, write = [], cells.stored
+
+    def spy(df):
+        if "certified" in df.columns:
+            tasks.append(df.rdd.getNumPartitions())
+        return write(df)
+
+    monkeypatch.setattr(cells, "stored", spy)
+    cells.tessellate_large(spark.createDataFrame(rows(np.random.default_rng(1).random((60, 3)), 0), SCHEMA), "chain", size=40)
+    assert tasks and set(tasks) == {8}
+
+
 def test_no_rows(spark):
     assert cells.tessellate_large(spark.createDataFrame([], SCHEMA), "chain").count() == 0
